@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, mixing, url_filters
+from quillon.llm import exact_dedup, language_id, mixing, pieces, secrets, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_source_mixing": mixing.op5_source_mixing,
+        "op6_language_id": language_id.op6_language_id,
         "op7_url_filters": url_filters.op7_url_filters,
+        "op8_sentence_pieces": pieces.op8_sentence_pieces,
     }
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,20 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the session's executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="spark-quillon-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(path, "w") as packed:
+            for source in sorted(root.rglob("*.py")):
+                packed.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(path))
+        _SHIPPED.add(context.applicationId)
+    return spark

@@ -127,10 +127,10 @@ WITH p AS (
   UNION ALL
   SELECT domain, day + CAST((draw >> 12) % 90 + 20 AS INTEGER), CASE WHEN draw % 50 = 0 THEN 'allow' ELSE 'unlist' END, 'feed' FROM f
   UNION ALL
-  SELECT column0, CAST(column1 AS DATE), column2, 'fixed' FROM (VALUES
+  SELECT v.domain, CAST(v.day AS DATE), v.action, 'fixed' FROM (VALUES
     ('spam-farm.example.org', '2023-06-01', 'block'), ('ads-track.example.com', '2023-11-15', 'block'),
     ('ads-track.example.com', '2024-05-01', 'unlist'), ('ads-track.example.com', '2024-09-10', 'block'),
-    ('example.net', '2024-03-01', 'block'), ('example.net', '2024-04-01', 'unlist'))
+    ('example.net', '2024-03-01', 'block'), ('example.net', '2024-04-01', 'unlist')) v(domain, day, action)
 ), spans AS (
   SELECT domain, list, action, since AS valid_from, lead(since) OVER (PARTITION BY domain, list ORDER BY since) AS valid_to FROM entries
 ), hits AS (
