@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, language_id, mixing, pieces, secrets, toxicity, url_filters
+from quillon.llm import embedding_join, exact_dedup, language_id, mixing, ngram_join, pieces, secrets, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         "op6_language_id": language_id.op6_language_id,
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_sentence_pieces": pieces.op8_sentence_pieces,
+        "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
+        "op10_embedding_near_dedup": embedding_join.op10_embedding_near_dedup,
     }
 
 
@@ -28,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op5_source_mixing": mixing.OP5_SQL,
         "op7_url_filters": url_filters.OP7_SQL,
+        "op10_embedding_near_dedup": embedding_join.OP10_SQL,
     }

@@ -25,8 +25,8 @@ from quillon.llm.shared import table
 
 #: Days after EPOCH over which the captures of the pages table are dated, by their id.
 EPOCH, DAYS = "2024-01-01", 360
-#: The last day that an interval without an end is repeated for.
-HORIZON = "2025-12-31"
+#: Later months share one join key, so that an interval without an end is not repeated for ever.
+HORIZON = "2026-01-01"
 #: Entries that hold for whole networks: domain, day, action.
 FIXED_ENTRIES = (
     ("spam-farm.example.org", "2023-06-01", "block"),
@@ -81,15 +81,17 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, host, fetched) with verdict ('block', 'allow' or 'none'), matched domain, list and start."""
-    last = F.coalesce(F.date_sub("valid_to", 1), F.lit(HORIZON).cast("date"))
-    months = F.sequence(F.trunc("valid_from", "month"), F.greatest(F.trunc("valid_from", "month"), F.trunc(last, "month")), F.expr("interval 1 month"))
+    horizon = F.lit(HORIZON).cast("date")
+    key = lambda day: F.least(F.trunc(day, "month"), horizon)
+    last = F.coalesce(F.date_sub("valid_to", 1), horizon)
+    months = F.sequence(key(F.col("valid_from")), F.greatest(key(F.col("valid_from")), key(last)), F.expr("interval 1 month"))
     spans = intervals(entries).withColumn("month", F.explode(months))
     labels = F.split("host", r"\.")
     domains = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
-    asked = captures.select("capture", "fetched", F.trunc("fetched", "month").alias("month"), F.explode(domains).alias("domain"))
+    asked = captures.select("capture", "fetched", key(F.col("fetched")).alias("month"), F.explode(domains).alias("domain"))
     rank = F.struct(F.length("domain").alias("size"), (F.col("action") == "allow").alias("allowed"), "domain", "action", "list", "valid_from")
     hits = (
         asked.join(spans, ["domain", "month"])
