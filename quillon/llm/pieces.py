@@ -10,7 +10,8 @@ Three machines are compiled from a model file with byte-pair pieces:
 
 Merging is local: a sequence of pieces is what the merges make of their text if and only if each two neighbours are.
 So composing the machines with an input and taking the path of least weight (min, +) gives the model's own encoding,
-which a path over piece scores alone would not. Composition runs left to right over states (position, last piece).
+which a path over piece scores alone would not; it is the one path of finite weight. Composition runs left to right over
+states (position, last piece).
 
 No piece reads a mark after another character, and no piece has a character that only stands alone, so the composed
 machine has one state at these points. Texts are cut there, and a shortest path that was found for a segment is used
@@ -38,6 +39,7 @@ from quillon.llm.shared import ship, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+FAR = float("inf")
 #: Segments, and half the pairs of pieces, that a worker remembers.
 MEMORY = 400_000
 
@@ -55,8 +57,11 @@ class Transducer:
         #: What an id is read back as, and whether it is a byte that only means something beside others.
         self.read_as = [chr(self.byte_of[i]) if i in self.byte_of else text for i, text in enumerate(self.texts)]
         self.partial = np.array([self.byte_of.get(i, 0) >= 0x80 for i in range(len(pieces))])
+        self.traces: dict[int, tuple] = {}
         self.trie: dict = {}
         for text, piece in self.ids.items():
+            if len(text) > 1 and not self.reachable(piece):
+                continue
             node = self.trie
             for char in text:
                 node = node.setdefault(char, {})
@@ -65,72 +70,121 @@ class Transducer:
         inside = "".join(sorted(re.escape(c) for c in joined - {MARK}))
         # marks and what follows them, or a run without marks, or one character that joins no other
         self.segment = re.compile(f"{MARK}+[{inside}]*|[{inside}]+|.", re.DOTALL) if inside else re.compile(f"{MARK}+|.", re.DOTALL)
-        self.whole: dict[int, bool] = {}
         self.arcs: dict[int, bool] = {}
-        self.paths = Recent(self.path, MEMORY)
-
-    def merged(self, text: str) -> list[str]:
-        """The merges of the model on a short text: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
-        ids, cost = self.ids, self.cost
+        #: Neighbours that some piece has.
+        self.beside = {text[k : k + 2] for text in self.ids for k in range(len(text) - 1)}
+        self.paths, self.parts = Recent(self.split_path, MEMORY), Recent(self.path, MEMORY)
+
+    def trace(self, piece: int) -> tuple[list[float], list[str], list[str], bool]:
+        """How the merges build a piece's text alone: the weight of each merge, the last and the first part before each
+        merge and at the end, and whether the piece comes out. The best-scored neighbours merge first, of equals the
+        leftmost."""
+        if (known := self.traces.get(piece)) is not None:
+            return known
+        parts, ids, cost = list(self.texts[piece]), self.ids, self.cost
+        weights, lasts, firsts = [], [parts[-1]], [parts[0]]
         while True:
-            best, at = None, -1
+            best, at = FAR, -1
             for k in range(len(parts) - 1):
                 i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or cost[i] < best):
+                if i is not None and cost[i] < best:
                     best, at = cost[i], k
             if at < 0:
-                return parts
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            weights.append(best)
+            lasts.append(parts[-1])
+            firsts.append(parts[0])
+        known = self.traces[piece] = ([*weights, FAR], lasts, firsts, len(parts) == 1)
+        return known
 
     def reachable(self, piece: int) -> bool:
-        if (known := self.whole.get(piece)) is None:
-            known = self.whole[piece] = self.merged(self.texts[piece]) == [self.texts[piece]]
-        return known
+        return self.trace(piece)[3]
 
     def arc(self, a: int, b: int) -> bool:
+        """Whether the text of a and b merges to a and b: both are built side by side, in the order of their weights,
+        and at no time the parts that meet make a piece that would be merged first."""
         key = a * len(self.texts) + b
-        if (known := self.arcs.get(key)) is None:
-            if len(self.arcs) > 2 * MEMORY:
-                self.arcs.clear()
-            known = self.arcs[key] = self.merged(self.texts[a] + self.texts[b]) == [self.texts[a], self.texts[b]]
-        return known
+        if (known := self.arcs.get(key)) is not None:
+            return known
+        if len(self.arcs) > 2 * MEMORY:
+            self.arcs.clear()
+        left, lasts, _, _ = self.trace(a)
+        right, _, firsts, _ = self.trace(b)
+        i = j = 0
+        last, first, apart = "", "", True
+        while True:
+            if lasts[i] is not last or firsts[j] is not first:
+                last, first = lasts[i], firsts[j]
+                piece = self.ids.get(last + first)
+                across = FAR if piece is None else self.cost[piece]
+            if across < left[i] and across <= right[j]:
+                apart = False
+                break
+            if left[i] <= right[j]:
+                if left[i] == FAR:
+                    break
+                i += 1
+            else:
+                j += 1
+        self.arcs[key] = apart
+        return apart
 
     def fallback(self, char: str) -> tuple[int, ...]:
         raw = char.encode("utf-8", "replace")
         return tuple(self.bytes[b] for b in raw) if len(self.bytes) == 256 else (self.unknown,)
 
+    def steps(self, text: str, at: int) -> list[tuple[int, int]]:
+        """The arcs of the pieces machine from a position of a text: end and piece, the longest first; -1: bytes."""
+        node, end, n, out = self.trie, at, len(text), []
+        while end < n and (node := node.get(text[end])) is not None:
+            end += 1
+            if (piece := node.get("")) is not None:
+                out.append((end, piece))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, -1))
+        out.reverse()
+        return out
+
     def path(self, segment: str) -> bytes:
-        """The ids (as int32 in bytes) on the path of least weight through a segment."""
-        n, trie, cost, arcs, size = len(segment), self.trie, self.cost, self.arcs, len(self.texts)
-        # the states at each position: (weight, last piece or -1 if that merges with nothing, position before, index of the state before)
-        states: list[list[tuple[float, int, int, int]]] = [[] for _ in range(n + 1)]
-        states[0].append((0.0, -1, -1, -1))
-        for at in range(n):
-            here = states[at]
-            if segment[at] not in trie:
-                k = min(range(len(here)), key=here.__getitem__)
-                states[at + 1].append((here[k][0], -1, at, k))
-                continue
-            node, end = trie, at
-            while end < n and (node := node.get(segment[end])) is not None:
-                end += 1
-                piece = node.get("")
-                if piece is None or not self.reachable(piece):
+        """The ids (as int32 in bytes) on the path of least weight through a segment.
+
+        Only one path through the composed machine has a finite weight, so the first that a search from the left
+        completes is the least; states from which none goes on are left for good.
+        """
+        n, arcs, size = len(segment), self.arcs, len(self.texts)
+        stack, dead = [(0, -1, iter(self.steps(segment, 0)))], set()
+        while stack:
+            at, last, ahead = stack[-1]
+            if at == n:
+                break
+            for end, piece in ahead:
+                if last >= 0 and piece >= 0:
+                    known = arcs.get(last * size + piece)
+                    if not (self.arc(last, piece) if known is None else known):
+                        continue
+                if dead and (end, piece) in dead:
                     continue
-                for k, (weight, last, _, _) in enumerate(here):
-                    if last >= 0:
-                        known = arcs.get(last * size + piece)
-                        if not (self.arc(last, piece) if known is None else known):
-                            continue
-                    states[end].append((weight + cost[piece], piece, at, k))
-        steps, at = [], n
-        k = min(range(len(states[n])), key=states[n].__getitem__)
-        while at > 0:
-            _, piece, before, k = states[at][k]
-            steps.append((piece,) if piece >= 0 else self.fallback(segment[before]))
-            at = before
-        return np.array([i for wrote in reversed(steps) for i in wrote], dtype=np.int32).tobytes()
+                stack.append((end, piece, iter(self.steps(segment, end)) if end < n else None))
+                break
+            else:
+                dead.add((at, last))
+                stack.pop()
+        ids: list[int] = []
+        for (at, _, _), (_, piece, _) in zip(stack, stack[1:], strict=False):
+            ids += (piece,) if piece >= 0 else self.fallback(segment[at])
+        return np.array(ids, dtype=np.int32).tobytes()
+
+    def split_path(self, segment: str) -> bytes:
+        """The path through a segment, cut where no piece has the two neighbours side by side."""
+        beside, cuts = self.beside, [0]
+        for k in range(1, len(segment)):
+            if segment[k - 1 : k + 1] not in beside:
+                cuts.append(k)
+        if len(cuts) == 1:
+            return self.path(segment)
+        cuts.append(len(segment))
+        return b"".join([self.parts[segment[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
