@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import embedding_join, exact_dedup, language_id, mixing, ngram_join, pieces, secrets, toxicity, url_filters
+from quillon.llm import embedding_join, exact_dedup, language_id, line_dedup, mixing, ngram_join, pieces, secrets, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
