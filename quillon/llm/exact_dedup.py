@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import Scratch, ascii_lower, table, text_or_empty
+from quillon.llm.shared import Scratch, ascii_lower, table, text_or_empty, without_ids
 
 #: Index entries that a bucket holds before it is split.
 CAPACITY = 250_000
@@ -119,9 +119,8 @@ def exact_groups(docs: DataFrame, scratch: Scratch | None = None, capacity: int
 
 def drop_exact_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts, those with the largest doc_id."""
-    groups = exact_groups(docs, scratch)
-    dropped = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+    scratch = scratch or Scratch(docs.sparkSession)
+    return without_ids(docs, exact_groups(docs, scratch).where(~F.col("kept")), scratch)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.memory import Recent
-from quillon.llm.shared import Scratch, ship, table
+from quillon.llm.shared import SENT_IDS, Scratch, ship, table
 
 PERCENT = 80
 #: Words with a rank, at most: 16 bytes each.
@@ -39,7 +39,6 @@ MOST_FREQUENT = 1 << 18
 #: Words that a task counts together; entries of a list that each entry is compared with; lines handled at once (2^12).
 COUNTED, LAGS, LINES = 1 << 21, 12, 4096
 MAP_BITS = 48
-SENT_IDS = 500_000
 MEMORY = 1_000_000
 
 

@@ -84,9 +84,9 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("s", F.shiftleft(nearer, shift).alias("threshold"))
 
 
-def mix(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every document."""
-    scratch = scratch or Scratch(docs.sparkSession)
+def plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """The documents as doc_id, source, size and hash; and for each source s its source_size, target, passes (how often
+    all its documents are taken) and threshold (documents with a smaller hash are taken once more)."""
     words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
     sized = scratch.keep(docs.select("doc_id", "source", words.alias("size"), document_hash().alias("hash")), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -94,29 +94,31 @@ def mix(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[int, ...
     budgets = source_targets(totals, weights, budget).withColumn("passes", passes)
     budgets = scratch.keep(budgets.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "budgets")
     thresholds = _thresholds(sized.select("source", "size", "hash"), budgets.select("source", "rest"))
-    plan = scratch.keep(
-        budgets.join(thresholds, F.col("source").eqNullSafe(F.col("s")), "left").select(
-            F.col("source").alias("s"), "source_size", "target", "passes", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold")
-        ),
-        "plan",
+    found = budgets.join(thresholds, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("s"), "source_size", "target", "passes", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold")
     )
+    return sized, scratch.keep(found, "plan")
+
+
+def mix(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every document."""
+    sized, sources = plan(docs, scratch or Scratch(docs.sparkSession), weights, budget)
     copies = F.col("passes") + (F.col("hash") < F.col("threshold")).cast("long")
     return (
-        sized.join(plan, F.col("source").eqNullSafe(F.col("s")))
+        sized.join(sources, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("copies", copies)
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
 def apply_mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns."""
-    taken = mix(docs, scratch).select(F.col("doc_id").alias("__id"), "copies").distinct()
-    repeated = F.explode(F.expr("sequence(1L, copies)"))
-    return (
-        docs.join(taken.where(F.col("copies") > 0), docs["doc_id"].eqNullSafe(F.col("__id")))
-        .withColumn("__copy", repeated)
-        .select(*[docs[c] for c in docs.columns])
-    )
+    """The rows of docs as often as the mix takes them, with all their columns. No shuffle of texts: the plan has one row
+    for each source, and a document's hash says how often it is taken."""
+    _, sources = plan(docs, scratch or Scratch(docs.sparkSession))
+    copies = F.col("__passes") + (document_hash() < F.col("__threshold")).cast("long")
+    sources = sources.select(F.col("s").alias("__source"), F.col("passes").alias("__passes"), F.col("threshold").alias("__threshold"))
+    taken = docs.join(sources, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__copies", copies).where("__copies > 0")
+    return taken.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

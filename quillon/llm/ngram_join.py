@@ -37,17 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.llm.shared import Scratch, ship, table
+from quillon.llm.shared import Scratch, sent_if_small, ship, table, without_ids
 from quillon.llm.shingles import shingle_set, signature
-from quillon.llm.toxicity import keep_rows
 
 WORDS, PERCENT = 4, 85
 #: Lists whose length is known to all tasks, at most: 16 bytes each.
 MOST_FREQUENT = 1 << 17
 #: Shingles that a task counts together, and that a block of the search holds.
 COUNTED, BLOCK = 1 << 21, 1 << 20
-#: Candidates up to which their ids are sent to all tasks; more are joined by a shuffle.
-SENT_IDS = 500_000
 #: Entries of short lists up to which they are merged by a heap; beyond, by counting.
 HEAPED = 256
 
@@ -228,9 +225,7 @@ def search(gathered: DataFrame, percent: int) -> DataFrame:
 
 def fetch_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """members (id, node, job, part) with the shingles of the document of that id."""
-    wanted = members.select(F.col("id").alias("doc_id"), "node", "job", "part")
-    if members.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = sent_if_small(members.select(F.col("id").alias("doc_id"), "node", "job", "part"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,10 +294,10 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scr
     return sets.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group of near copies, the one with the least doc_id."""
-    groups = near_groups(docs, words, percent)
-    return keep_rows(docs, groups.where("component_id is null or doc_id = component_id").select("doc_id"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    return without_ids(docs, near_groups(docs, words, percent, scratch).where("doc_id <> component_id"), scratch)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quillon.llm import embedding_join, exact_dedup, language_id, line_dedup, mixing, ngram_join, pieces, secrets, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -13,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_toxicity": toxicity.op3_toxicity,
@@ -27,7 +29,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    whole = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return whole | {
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op5_source_mixing": mixing.OP5_SQL,
         "op7_url_filters": url_filters.OP7_SQL,

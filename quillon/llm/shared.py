@@ -59,6 +59,21 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows up to which ids are sent to all tasks (16 bytes each or less); more are joined by a shuffle.
+SENT_IDS = 500_000
+
+
+def sent_if_small(ids: DataFrame) -> DataFrame:
+    """ids (a stored table of one or a few numbers a row), marked for broadcast after its rows were counted."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs without the rows whose doc_id is among ids (a column doc_id); rows with a null id stay."""
+    dropped = scratch.keep(ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct(), "dropped")
+    return docs.join(sent_if_small(dropped), docs["doc_id"] == F.col("__id"), "left_anti")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -46,20 +46,19 @@ THRESHOLD = 0.3
 MEMORY = 1_000_000
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, toxic and fold of the rows that may be learned from."""
-    toxic = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", text_or_empty().alias("text"), fold_of().alias("fold")).where("fold <> 2")
-    return rows.join(toxic.where(fold_of("id") != 2), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic", "fold")
+def sample_ids(labels: DataFrame) -> DataFrame:
+    """id, toxic and fits of the labels that are learned from: a sample by the hash of the id, which is bounded.
 
-
-def bounded(rows: DataFrame, sizes: dict[int, int], wanted: dict[int, int]) -> DataFrame:
-    """A sample by the hash of doc_id: about wanted[c] of the sizes[c] rows of class c."""
-    keep = F.lit(False)
-    for label, n in sizes.items():
-        share = min(1.0, wanted.get(label, 0) / max(n, 1))
-        keep = F.when(F.col("toxic") == label, F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).otherwise(keep)
-    return rows.where(keep)
+    fits: the row is for fitting the logistic function (fold 3), not for counts (folds 0 and 1).
+    """
+    toxic = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of() != 2))
+    rows = toxic.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"), (fold_of() == 3).alias("fits"))
+    draw, keep = F.pmod(F.xxhash64("id"), F.lit(1_000_000)), F.lit(False)
+    for r in rows.groupBy("fits", "toxic").agg(F.count("*").alias("n")).collect():  # four rows at most, but for odd labels
+        wanted = {1: MAX_TOXIC, 0: MAX_ORDINARY}.get(r["toxic"], 0) // (4 if r["fits"] else 1)
+        of = (F.col("fits") == r["fits"]) & (F.col("toxic") == r["toxic"])
+        keep = keep | of & (draw < int(1_000_000 * min(1.0, wanted / r["n"])))
+    return rows.where(keep).dropDuplicates(["id"])
 
 
 def ngram_counts(sample: DataFrame) -> DataFrame:
@@ -166,15 +165,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
 
 def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> dict | None:
     """The counts and the logistic function; None where one class has no rows to learn from."""
-    rows = labelled(docs, labels).withColumn("fits", F.col("fold") == 3)
-    # the texts of the sample only: sizes first, from ids and labels
-    toxic = labels.where(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"), fold_of().alias("fold")).where("fold <> 2")
-    sizes = {(r["fits"], r["toxic"]): r["n"] for r in toxic.groupBy((F.col("fold") == 3).alias("fits"), "toxic").agg(F.count("*").alias("n")).collect()}
-    parts = []
-    for fits, share in ((False, 1), (True, 4)):
-        wanted = {1: MAX_TOXIC // share, 0: MAX_ORDINARY // share}
-        parts.append(bounded(rows.where(F.col("fits") == fits), {c: sizes.get((fits, c), 0) for c in (0, 1)}, wanted))
-    sample = scratch.keep(parts[0].unionByName(parts[1]).select("text", "toxic", "fits"), "sample")
+    ship(docs.sparkSession)
+    # the ids of the sample are bounded, so they go to all tasks and no text is shuffled
+    ids = scratch.keep(sample_ids(labels), "ids")
+    texts = docs.select(F.col("doc_id").alias("__id"), text_or_empty().alias("text"))
+    sample = scratch.keep(texts.join(F.broadcast(ids), F.col("__id") == F.col("id")).select("text", "toxic", "fits"), "sample")
     counts = [(r[0], r[1], r[2]) for r in ngram_counts(sample.where("not fits")).toLocalIterator()]
     if not sum(c[1] for c in counts) or not sum(c[2] for c in counts):
         return None
@@ -208,22 +203,31 @@ def ratios_of(model) -> Ratios:
     return _MODELS[key]
 
 
+class Scorer:
+    """Scores and ratios of the texts of a column, in a task."""
+
+    def __init__(self, learned: dict) -> None:
+        self.counts, self.weights = learned["counts"], learned["weights"]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        model, (w, mean, deviation) = ratios_of(self.counts), self.weights
+        x = np.array([model.features(text.as_py() or "") for text in texts]).reshape(-1, len(mean))
+        return 1 / (1 + np.exp(-np.clip(((x - mean) / deviation) @ w[:-1] + w[-1], -30, 30))), x
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; the four ratios as `ratios`."""
-    ship(docs.sparkSession)
     learned = learn(docs, labels, scratch or Scratch(docs.sparkSession))
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold_of() == 2).alias("held_out"))
     schema = "doc_id long, held_out boolean, score double, predicted int, ratios array<double>"
     if learned is None:
         empty = F.array().cast("array<double>")
         return inputs.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), empty.alias("ratios"))
-    counts, (w, mean, deviation) = learned["counts"], learned["weights"]
+    scorer = Scorer(learned)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ratios_of(counts)
         for batch in batches:
-            x = np.array([model.features(text.as_py() or "") for text in batch.column(1)]).reshape(-1, len(mean))
-            score = 1 / (1 + np.exp(-np.clip(((x - mean) / deviation) @ w[:-1] + w[-1], -30, 30)))
+            score, x = scorer(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(x.tolist(), pa.list_(pa.float64()))],
                 ["doc_id", "held_out", "score", "predicted", "ratios"],
@@ -232,15 +236,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, scratch: Scratch | None =
     return inputs.mapInArrow(rows, schema)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted to be toxic, with all their columns."""
-    return keep_rows(docs, score_toxicity(docs, labels).where("predicted = 0").select("doc_id"))
+def drop_toxic(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs that are not predicted to be toxic, with all their columns; a map over rows."""
+    learned = learn(docs, labels, scratch or Scratch(docs.sparkSession))
+    if learned is None:
+        return docs
+    scorer, at = Scorer(learned), docs.columns.index("text")
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at))[0] < THRESHOLD))
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of the ids; a null id among them keeps rows with a null id."""
-    wanted = ids.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return docs.mapInArrow(rows, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
