@@ -6,10 +6,11 @@ of n shingles then occurs on at least T = ceil(n * percent / 100) of the set's n
 1. Frequent shingles. Each task counts shingles in blocks of its documents and passes on those that occur twice in a
    block; the MOST_FREQUENT of the sums are known to all tasks as the long lists. This is an order of lists only: any
    order gives the same links, a good one gives few candidates. Its bound is what makes its broadcast safe.
-2. Candidates. Of a set's lists, T - 1 may be set aside, the longest ones; a partner must be on one of the remaining
-   n - T + 1. These are joined across all documents as a star (each document with the least of its list), so a list
-   with a third of all documents makes as many rows as it has entries, not pairs. Components of these stars are the
-   candidate groups: all links lie within them. Most lists have one entry and vanish.
+2. Candidates. Of a set's lists the longest are set aside, so that two linked sets share at least c of the others, with c
+   about (1 - percent / 100) * n; a shared passage is not enough then. Entries of these short lists are dealt by shingle,
+   pairs on a list are counted, and those that reach c are candidates. On a list of more than NEAR + 1 entries each
+   entry is paired with the NEAR before it, and all its entries are candidates of the next one; so a list makes rows in
+   proportion to its entries, however long it is. Components of candidates are groups: all links lie within them.
 3. Search. The sets of candidate groups are gathered by group, in blocks of at most BLOCK shingles, and each block is
    searched with DivideSkip: lists of the block are sorted by length, the long ones set aside, the short ones merged and
    counted, and sets that reach the remaining need are probed on the long lists by binary search. Sets of a block that
@@ -38,13 +39,15 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
 from quillon.llm.shared import Scratch, sent_if_small, ship, table, without_ids
-from quillon.llm.shingles import shingle_set, signature
+from quillon.llm.shingles import Frequencies, shingle_sets, signature
 
 WORDS, PERCENT = 4, 85
 #: Lists whose length is known to all tasks, at most: 16 bytes each.
-MOST_FREQUENT = 1 << 17
+MOST_FREQUENT = 1 << 19
 #: Shingles that a task counts together, and that a block of the search holds.
 COUNTED, BLOCK = 1 << 21, 1 << 20
+#: Entries before it on a list that an entry is paired with.
+NEAR = 32
 #: Entries of short lists up to which they are merged by a heap; beyond, by counting.
 HEAPED = 256
 
@@ -65,8 +68,7 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) ->
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
         for batch in batches:
-            for text in batch.column(0):
-                shingles = shingle_set(text.as_py(), words)
+            for shingles in shingle_sets((t.as_py() for t in batch.column(0)), words):
                 if (mark := signature(shingles)) in seen:
                     continue
                 seen.add(mark)
@@ -85,6 +87,11 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) ->
     return values[order], found["n"].to_numpy(np.int64)[order]
 
 
+def shared_need(n: int | np.ndarray, percent: int) -> int | np.ndarray:
+    """c: how many short lists two linked sets share at least, if each keeps n - T + c of its lists."""
+    return 1 + n - need(n, percent)
+
+
 def describe_sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n_shingles, sig (128 bits of the set), node (64 bits of it) and prefix: its lists that are not set aside.
 
@@ -92,27 +99,30 @@ def describe_sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def prefix(s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        keep = min(len(s), len(s) - need(len(s), percent) + shared_need(len(s), percent))
+        short = s[lengths == 0]
+        if len(short) >= keep:
+            return short[:keep].view(np.int64)
+        rest = np.flatnonzero(lengths)
+        rest = rest[np.argsort(lengths[rest], kind="stable")]
+        return np.concatenate([short, s[rest[: keep - len(short)]]]).view(np.int64)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = shared.value
+        lists = Frequencies(*shared.value)
         seen: set[bytes] = set()
         for batch in batches:
             sizes, sigs, prefixes = [], [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), words)
+            for s in shingle_sets((t.as_py() for t in batch.column(1)), words):
                 sig = signature(s)
                 sizes.append(len(s))
                 sigs.append(sig)
                 if not len(s) or sig in seen:
                     prefixes.append(None)
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 500_000:
                     seen.add(sig)
-                length = np.zeros(len(s), np.int64)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    length = np.where(values[at] == s, counts[at], 0)
-                keep = len(s) - need(len(s), percent) + 1
-                prefixes.append(s[np.lexsort((s, length))[:keep]].view(np.int64))
+                prefixes.append(prefix(s, lists.of(s)))
             nodes = np.frombuffer(b"".join(sig[:8] for sig in sigs), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(nodes), pa.array(prefixes, pa.list_(pa.int64()))],
@@ -124,11 +134,40 @@ def describe_sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.
     )
 
 
-def candidate_stars(sets: DataFrame) -> DataFrame:
-    """a, b: sets on a common list, each with the least of the list."""
-    entries = sets.select(F.explode("prefix").alias("shingle"), "node")
-    lists = entries.groupBy("shingle").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").drop("last")
-    return entries.join(lists, "shingle").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+def candidates(sets: DataFrame, percent: int, near: int = NEAR) -> DataFrame:
+    """a, b: sets that share enough of their short lists, and neighbours on lists too long to count pairs on."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            new = [c.to_numpy().astype(np.int64) for c in batch.columns]
+            token, node, n = (np.concatenate([t, c]) for t, c in zip(tail, new, strict=True))
+            fresh = len(token) - len(new[0])
+            found = []
+            for lag in range(1, near + 1):
+                i = np.arange(max(fresh, lag), len(token))
+                i = i[token[i] == token[i - lag]]
+                if not len(i):
+                    break
+                j = i - lag
+                ok = (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                found.append((node[i], node[j], shared_need(np.minimum(n[i], n[j]), percent)))
+            i = np.arange(max(fresh, near + 1), len(token))
+            i = i[token[i] == token[i - near - 1]]
+            if len(i):  # the list is longer: each entry with the one before it, the first such entry with all before it
+                first = i[(i == near + 1) | (token[np.maximum(i - near - 2, 0)] != token[i])]
+                for now, before in [(i, i - 1), *[(first, first - k) for k in range(2, near + 2)]]:
+                    found.append((node[now], node[before], np.zeros(len(now), np.int64)))
+            a, b, c = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], ["a", "b", "c"])
+            tail = [x[-(near + 2) :] for x in (token, node, n)]
+
+    entries = sets.select(F.explode("prefix").alias("shingle"), "node", F.col("n_shingles").alias("n"))
+    dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "node")
+    pairs = dealt.mapInArrow(rows, "a long, b long, c long")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("c"))
+    return counted.where("a <> b and (least = 0 or n >= c)").select("a", "b")
 
 
 class Groups:
@@ -230,7 +269,7 @@ def fetch_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, text, node, job, part = (batch.column(k) for k in range(5))
-            sets = [shingle_set(t.as_py(), words) for t in text]
+            sets = list(shingle_sets((t.as_py() for t in text), words))
             same = pa.array([int.from_bytes(signature(s)[:8], "little", signed=True) == k for s, k in zip(sets, node.to_pylist(), strict=True)], pa.bool_())
             found = pa.RecordBatch.from_arrays([ids, node, job, part, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "node", "job", "part", "shingles"])
             yield found.filter(same)
@@ -272,7 +311,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scr
     spark = ship(docs.sparkSession)
     scratch = scratch or Scratch(spark)
     sets = scratch.keep(describe_sets(docs, words, percent, frequent_shingles(docs, words)), "sets")
-    groups = connected_components(candidate_stars(sets.where("prefix is not null")), scratch, "candidates")
+    groups = connected_components(candidates(sets.where("prefix is not null"), percent), scratch, "candidates")
     groups = groups.select(F.col("id").alias("node"), F.col("component").alias("job"))
     firsts = sets.where("doc_id is not null and n_shingles > 0").groupBy("sig", "node", "n_shingles").agg(F.min("doc_id").alias("id"))
     firsts = scratch.keep(firsts, "firsts")

@@ -1,39 +1,125 @@
-"""Word shingles of a text as sorted arrays of 64-bit hashes."""
+"""Words and word shingles of many texts at once, as 64-bit hashes.
+
+Words are runs of anything but ASCII white space, after lower-casing A-Z. A word's hash is a polynomial over random
+64-bit values of its bytes, taken from running sums, so that numpy handles a whole chunk of texts in a few passes.
+Two different words or shingles share a hash with a probability of about 2^-64.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import xxhash
 
-from quillon.llm.memory import Recent
+_RNG = np.random.default_rng(20_240_101)
+_VALUES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of texts that are handled at once (a longer text by itself).
+CHUNK = 1 << 18
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-#: Word hashes that a worker remembers.
-MEMORY = 1_000_000
-_WORDS = Recent(xxhash.xxh64_intdigest, MEMORY)
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * CHUNK)
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
 
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct shingles of so many words, after lower-casing A-Z; of a shorter text, its whole sequence as one.
-
-    Words are runs of anything but ASCII white space. Empty without words. Two different shingles share a hash with
-    probability 2^-64; within two texts of 10^5 words that is about 10^-9.
-    """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    width = min(words, len(found))
-    out = h[: len(h) - width + 1].copy()
+
+def lowered(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").lower()
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the place of each word."""
+    b = np.frombuffer(data, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_VALUES[b] * up, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), starts
+
+
+def chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
+    """Lowered texts in lists of about CHUNK bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(lowered(text))
+        size += len(held[-1]) + 1
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _combined(h: np.ndarray, width: int) -> np.ndarray:
+    n = len(h) - width + 1
+    out = h[:n].copy()
     for k in range(1, width):
-        out = _mixed(out) + h[k : len(h) - width + 1 + k]
-    return np.unique(_mixed(out + np.uint64(width)))
+        out = mixed(out) + h[k : n + k]
+    return mixed(out + np.uint64(width))
+
+
+def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
+    """For each text the distinct shingles of so many words, in ascending order; of a shorter text its whole sequence as
+    one, and none of a text without words."""
+    for held in chunks(texts):
+        hashes, starts = words_of(b"\n".join(held))
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in held]))
+        whole = _combined(hashes, words) if len(hashes) >= words else np.zeros(0, np.uint64)
+        first = 0
+        for end in ends.tolist():
+            n = end - first
+            if n >= words:
+                yield np.unique(whole[first : end - words + 1])
+            elif n:
+                yield _combined(hashes[first:end], n)
+            else:
+                yield np.zeros(0, np.uint64)
+            first = end
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return next(shingle_sets([text], words))
 
 
 def signature(shingles: np.ndarray) -> bytes:
     """128 bits of a whole set."""
     return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+class Frequencies:
+    """Counts of the most frequent hashes; most others are told apart by one look into a table of bits."""
+
+    def __init__(self, values: np.ndarray, counts: np.ndarray) -> None:
+        self.values, self.counts = values, counts
+        self.some = np.zeros(1 << 22, bool)
+        self.some[(values >> np.uint64(42)).astype(np.int64)] = True
+
+    def of(self, hashes: np.ndarray, absent: int = 0) -> np.ndarray:
+        out = np.full(len(hashes), absent, np.int64)
+        if len(self.values):
+            maybe = np.flatnonzero(self.some[(hashes >> np.uint64(42)).astype(np.int64)])
+            asked = hashes[maybe]
+            at = np.minimum(np.searchsorted(self.values, asked), len(self.values) - 1)
+            out[maybe] = np.where(self.values[at] == asked, self.counts[at], absent)
+        return out
