@@ -4,16 +4,18 @@ A line is what stands between line feeds; its tokens are its distinct words afte
 an earlier one, by (doc_id, position), has a Jaccard similarity of PERCENT / 100 or more with it, whether that one stays
 or not. The first line of each kind stays. Lines without words stay.
 
-1. Rarity. Words are counted in blocks by the tasks; the MOST_FREQUENT of the sums get ranks, known to all tasks, and
-   all other words count as rare. Any order gives the same result, and the bound makes the broadcast safe.
+1. Rarity. Words are counted in blocks by the tasks; the MOST_FREQUENT of the sums get their places in an order, known
+   to all tasks, and all other words count as rarer. Any order gives the same result, and the bound makes the broadcast
+   safe.
 2. Lines of equal token sets are one class, whose first line matters; this ends most repeats.
-3. Prefixes. A class lists its n - ceil(n * PERCENT / 100) + 1 rarest tokens. Entries are dealt by token; two classes on
-   a list are candidates if their lengths (length filter), their places on the list (positional filter: what can still be
-   common behind both) and a 48-bit map of their tokens allow the overlap. Each entry is compared with those LAGS before
-   it; lists with more entries than that are also passed on.
+3. Prefixes. A class lists its n - ceil(n * PERCENT / 100) + 1 rarest tokens. Entries are dealt by token, and a list is
+   sorted by n, so that the length filter leaves an entry a run of entries before it. Of those, the positional filter
+   (what can still be common before and behind) and a 128-bit parity map of all tokens (which differs in no more bits
+   than the sets differ in tokens) leave candidates. An entry is compared with LAGS entries before it.
 4. Verification. The token sets of candidates are fetched by the position of their first line, and compared.
-5. For classes on long lists that have no earlier match yet, all their other pairs are tried in the same way. In a group
-   of near copies few are left by then, so a group's pairs never become rows, yet none is missed.
+5. Where an entry's run is longer than LAGS, what lies beyond is joined by token and tried with the same filters, but
+   only if a class of the pair has no earlier match yet. In a group of near copies few are left by then, so a group's
+   pairs never all become rows, yet none that matters is missed.
 
 Defined results. A null or empty text has no lines of words. Rows that repeat a doc_id and text are the same document and
 get the same result; a null doc_id keeps all its lines and removes no others. An empty table gives an empty result.
@@ -21,179 +23,157 @@ get the same result; a null doc_id keeps all its lines and removes no others. An
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.memory import Recent
 from quillon.llm.shared import SENT_IDS, Scratch, ship, table
+from quillon.llm.shingles import Frequencies, chunks, lowered, mixed, words_of
 
 PERCENT = 80
-#: Words with a rank, at most: 16 bytes each.
+#: Words with a place in the order, at most: 16 bytes each.
 MOST_FREQUENT = 1 << 18
 #: Words that a task counts together; entries of a list that each entry is compared with; lines handled at once (2^12).
-COUNTED, LAGS, LINES = 1 << 21, 12, 4096
-MAP_BITS = 48
-MEMORY = 1_000_000
+COUNTED, LAGS, LINES = 1 << 21, 96, 4096
 
 
-def _lines(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
+def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - -(-n * percent // 100) + 1
 
 
 def frequent_words(docs: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words in ascending order, and their ranks (0: the rarest of them)."""
+    """Hashes of the most frequent words in ascending order, and their places (1: the rarest of them)."""
 
-    def counted(words: Counter) -> pa.RecordBatch:
-        often = [(xxhash.xxh64_intdigest(w), n) for w, n in words.items() if n > 1]
-        hashes = np.array([h for h, _ in often], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([n for _, n in often], pa.int64())], ["word", "n"])
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        words, counts = np.unique(np.concatenate(parts), return_counts=True)
+        often = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(words[often].view(np.int64)), pa.array(counts[often])], ["word", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Counter(), 0
+        parts, held = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                found = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                words.update(found)
-                held += len(found)
+            for texts in chunks(t.as_py() for t in batch.column(0)):
+                parts.append(words_of(b"\n".join(texts))[0])
+                held += len(parts[-1])
                 if held >= COUNTED:
-                    yield counted(words)
-                    words, held = Counter(), 0
-        yield counted(words)
+                    yield counted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield counted(parts)
 
     counts = docs.select("text").mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     found = counts.orderBy(F.desc("n"), "word").limit(most).toPandas()
-    ranks = np.arange(len(found), dtype=np.int64)[::-1]
+    places = np.arange(len(found), 0, -1, dtype=np.int64)
     values = found["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
-    return values[order], ranks[order]
-
-
-#: Codes of words: 51 bits of the hash, or the highest bit and a rank; so codes ascend from rare to frequent.
-_CODES: dict[str, Recent] = {}
-
-
-def _coder(key: str, frequent: tuple[np.ndarray, np.ndarray]) -> Recent:
-    if key not in _CODES:
-        rank = dict(zip(frequent[0].tolist(), frequent[1].tolist(), strict=True))
-
-        def code(word: bytes) -> int:
-            h = xxhash.xxh64_intdigest(word)
-            r = rank.get(h)
-            return h >> 13 if r is None else 1 << 51 | r
-
-        _CODES.clear()
-        _CODES[key] = Recent(code, MEMORY)
-    return _CODES[key]
-
-
-def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = (x ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - -(-n * percent // 100) + 1
+    return values[order], places[order]
 
 
 def describe_lines(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row for each line with words: doc_id, line, n (tokens), hi and lo (the class), prefix (rarest tokens, or null
-    where the task met the class before) and map (which bits of MAP_BITS the tokens have)."""
-    shared = docs.sparkSession.sparkContext.broadcast((xxhash.xxh64_hexdigest(frequent[0].tobytes() + frequent[1].tobytes()), frequent))
-
-    def described(where: list[tuple[int, int]], words: list[bytes], sizes: list[int], code: Recent, seen: set) -> pa.RecordBatch:
-        line = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-        codes = np.unique(np.fromiter(map(code.__getitem__, words), np.uint64, len(words)) | line << np.uint64(52))
-        line, token = (codes >> np.uint64(52)).astype(np.int64), codes & np.uint64((1 << 52) - 1)
-        n = np.bincount(line, minlength=len(sizes))
+    where the task met the class before), even and odd (the parity map: how many tokens have each bit, modulo 2)."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def described(doc: np.ndarray, line: np.ndarray, at: np.ndarray, words: np.ndarray, order: Frequencies, seen: set) -> pa.RecordBatch:
+        # codes ascend from rare to frequent words: 51 bits of a rare word's hash, or the highest bit and a place
+        place = order.of(words)
+        code = np.where(place > 0, np.uint64(1 << 51) | place.astype(np.uint64), words >> np.uint64(13))
+        codes = np.unique(code | at.astype(np.uint64) << np.uint64(52))
+        at, token = (codes >> np.uint64(52)).astype(np.int64), codes & np.uint64((1 << 52) - 1)
+        n = np.bincount(at, minlength=len(doc))
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        hi, lo = (np.add.reduceat(_mixed(token, salt), starts).view(np.int64) for salt in (1, 2))
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (_mixed(token, 3) % np.uint64(MAP_BITS)), starts).view(np.int64)
+        hi, lo = (np.add.reduceat(mixed(token, salt), starts).view(np.int64) for salt in (1, 2))
+        bit = mixed(token, 3) >> np.uint64(57)  # 0 to 127
+        one = np.uint64(1) << (bit & np.uint64(63))
+        maps = [np.bitwise_xor.reduceat(np.where((bit >= 64) == half, one, np.uint64(0)), starts).view(np.int64) for half in (False, True)]
         keep = np.minimum(_prefix(n, percent), n)
         lists = [token[a : a + k].view(np.int64) for a, k in zip(starts.tolist(), keep.tolist(), strict=True)]
         for k, key in enumerate(zip(hi.tolist(), lo.tolist(), strict=True)):
             if key in seen:
                 lists[k] = None
-            elif len(seen) < 1_000_000:
+            elif len(seen) < 300_000:
                 seen.add(key)
-        at = pa.array([w[0] for w in where], pa.int64()), pa.array([w[1] for w in where], pa.int32())
         return pa.RecordBatch.from_arrays(
-            [*at, pa.array(n, pa.int32()), pa.array(hi), pa.array(lo), pa.array(lists, pa.list_(pa.int64())), pa.array(bits)],
-            ["doc_id", "line", "n", "hi", "lo", "prefix", "map"],
+            [pa.array(doc), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(hi), pa.array(lo), pa.array(lists, pa.list_(pa.int64())), *map(pa.array, maps)],
+            ["doc_id", "line", "n", "hi", "lo", "prefix", "even", "odd"],
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, seen = _coder(*shared.value), set()
-        where, words, sizes = [], [], []
+        order, seen = Frequencies(*shared.value), set()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for k, line in enumerate(_lines(text.as_py())):
-                    if found := line.split():
-                        where.append((doc_id, k))
-                        words += found
-                        sizes.append(len(found))
-                        if len(sizes) >= LINES:
-                            yield described(where, words, sizes, code, seen)
-                            where, words, sizes = [], [], []
-        if sizes:
-            yield described(where, words, sizes, code, seen)
+            ids, done = batch.column(0).to_numpy(), 0
+            for texts in chunks(t.as_py() for t in batch.column(1)):
+                data = b"\n".join(texts)
+                words, places = words_of(data)
+                feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A)
+                of_line = np.searchsorted(feeds, places)  # the number of the line in the chunk
+                begins = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+                first_line = np.searchsorted(feeds, begins)  # of each document
+                lines, at = np.unique(of_line, return_inverse=True)
+                owner = np.searchsorted(first_line, lines, side="right") - 1
+                for a in range(0, len(lines), LINES):
+                    b = min(a + LINES, len(lines))
+                    w = slice(*np.searchsorted(at, [a, b]))
+                    yield described(ids[done + owner[a:b]], lines[a:b] - first_line[owner[a:b]], at[w] - a, words[w], order, seen)
+                done += len(texts)
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        rows, "doc_id long, line int, n int, hi long, lo long, prefix array<long>, map long"
+        rows, "doc_id long, line int, n int, hi long, lo long, prefix array<long>, even long, odd long"
     )
 
 
-def allowed(n1: np.ndarray, at1: np.ndarray, map1: np.ndarray, n2: np.ndarray, at2: np.ndarray, map2: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of entries the filters let through."""
-    overlap = -(-percent * (n1 + n2) // (100 + percent))
-    fits = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    fits &= np.minimum(at1, at2) + 1 + np.minimum(n1 - at1, n2 - at2) - 1 >= overlap
-    apart = np.bitwise_count((map1 ^ map2).view(np.uint64)).astype(np.int64)
-    return fits & (apart <= n1 + n2 - 2 * overlap)
+#: Of an entry: n and its place in the prefix in one number.
+PLACE_BITS = 24
 
 
 def list_pairs(entries: DataFrame, percent: int, lags: int) -> DataFrame:
-    """From entries (token, node, n, at, map; sorted by token in each partition): candidates as a, b with kind 0, and the
-    entries of lists longer than lags + 1 as kind 1 (a: node, b: token)."""
+    """From entries (token, node, size, even, odd; sorted by token and size in each partition): candidates as a, b with
+    kind 0; entries whose run goes on beyond lags with kind 1, those beyond as kind 2 (a: node, b: token)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [np.zeros(0, np.int64)] * 5
         for batch in batches:
             new = [c.to_numpy().astype(np.int64) for c in batch.columns]
-            token, node, n, at, bits = (np.concatenate([t, c]) for t, c in zip(tail, new, strict=True))
+            token, node, size, even, odd = (np.concatenate([t, c]) for t, c in zip(tail, new, strict=True))
+            n, at = size >> PLACE_BITS, size & ((1 << PLACE_BITS) - 1)
             fresh = len(token) - len(new[0])
-            a, b, kind, extra = [], [], [], []
+            found = []
+
+            def runs(i: np.ndarray, lag: int, token=token, n=n) -> np.ndarray:
+                return i[(token[i] == token[i - lag]) & (100 * n[i - lag] >= percent * n[i])]
+
+            i = np.arange(fresh, len(token))
             for lag in range(1, lags + 1):
-                i = np.arange(max(fresh, lag), len(token))
-                i = i[token[i] == token[i - lag]]
+                i = runs(i[i >= lag], lag)  # what ends a run ends it for greater lags too
+                if not len(i):
+                    break
                 j = i - lag
-                ok = (node[i] != node[j]) & allowed(n[i], at[i], bits[i], n[j], at[j], bits[j], percent)
-                a.append(node[i[ok]])
-                b.append(node[j[ok]])
-                kind.append(np.zeros(int(ok.sum()), np.int32))
-                extra.append(np.zeros((int(ok.sum()), 3), np.int64))
-            i = np.arange(max(fresh, lags + 1), len(token))
-            full = i[token[i] == token[i - lags - 1]]  # the entry ends a run that is longer than lags + 1
-            first = full[(full == lags + 1) | (token[np.maximum(full - lags - 2, 0)] != token[full])]
-            long = np.unique(np.concatenate([full, *[first - k for k in range(1, lags + 2)]])) if len(full) else full
-            a.append(node[long])
-            b.append(token[long])
-            kind.append(np.ones(len(long), np.int32))
-            extra.append(np.column_stack([n[long], at[long], bits[long]]).astype(np.int64).reshape(-1, 3))
-            more = np.concatenate(extra)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(kind)), pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), *[pa.array(more[:, k]) for k in range(3)]],
-                ["kind", "a", "b", "n", "at", "map"],
-            )
-            tail = [x[-(lags + 2) :] for x in (token, node, n, at, bits)]
-
-    return entries.select("token", "node", "n", "at", "map").mapInArrow(rows, "kind int, a long, b long, n long, at long, map long")
+                overlap = -(-percent * (n[i] + n[j]) // (100 + percent))
+                apart = np.bitwise_count((even[i] ^ even[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((odd[i] ^ odd[j]).view(np.uint64))
+                ok = (node[i] != node[j]) & (np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap) & (apart <= n[i] + n[j] - 2 * overlap)
+                found.append((0, node[i[ok]], node[j[ok]], i[ok]))
+            if len(i):
+                i = runs(i[i > lags], lags + 1)
+                found += [(1, node[i], token[i], i), (2, node[i - lags - 1], token[i], i - lags - 1)]
+            kind, a, b, of = (np.concatenate([np.full(len(f[1]), f[0]) if k == 0 else f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+            more = [np.where(kind > 0, x[of], 0) if len(of) else of for x in (size, even, odd)]
+            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), *(pa.array(x) for x in (a, b, *more))], ["kind", "a", "b", "size", "even", "odd"])
+            tail = [x[-(lags + 1) :] for x in (token, node, size, even, odd)]
+
+    return entries.select("token", "node", "size", "even", "odd").mapInArrow(rows, "kind int, a long, b long, size long, even long, odd long")
+
+
+def beyond(runs: DataFrame, partners: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of entries of a list that the filters let through; runs and partners: node, token, size, even, odd."""
+    y = partners.select("token", *[F.col(c).alias(f"{c}_y") for c in ("node", "size", "even", "odd")])
+    n, m = F.shiftright("size", PLACE_BITS), F.shiftright("size_y", PLACE_BITS)
+    overlap = F.ceil((n + m) * percent / F.lit(100 + percent))
+    apart = F.bit_count(F.col("even").bitwiseXOR(F.col("even_y"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("odd_y")))
+    fits = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= n + m - overlap * 2)
+    return runs.join(y, "token").where((F.col("node") != F.col("node_y")) & fits).select(F.col("node").alias("a"), F.col("node_y").alias("b"))
 
 
 def fetch_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -203,16 +183,14 @@ def fetch_tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         by_doc = F.broadcast(by_doc)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Recent(xxhash.xxh64_intdigest, MEMORY)
         for batch in batches:
             nodes, tokens = [], []
             for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _lines(text)
+                found = lowered(text).split(b"\n")
                 for x in lines:
                     if x["line"] < len(found):
-                        words = found[x["line"]].split()
                         nodes.append(x["node"])
-                        tokens.append(np.unique(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))).tobytes())
+                        tokens.append(np.unique(words_of(found[x["line"]])[0]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -243,8 +221,10 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | No
     lines = scratch.keep(describe_lines(docs, percent, frequent_words(docs)), "lines")
     first = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "line")).alias("first"))
     classes = scratch.keep(first.select(F.col("hi").alias("node"), "lo", "first"), "classes")
-    entries = lines.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), F.col("hi").alias("node"), "n", "map")
-    listed = scratch.keep(list_pairs(entries.repartition("token").sortWithinPartitions("token", "node"), percent, lags), "listed")
+    size = F.shiftleft(F.col("n").cast("long"), PLACE_BITS) + F.col("at")
+    entries = lines.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), F.col("hi").alias("node"), "n", "even", "odd")
+    dealt = entries.select("token", "node", size.alias("size"), "even", "odd").repartition("token").sortWithinPartitions("token", "size", "node")
+    listed = scratch.keep(list_pairs(dealt, percent, lags), "listed")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def later(links: DataFrame) -> DataFrame:
@@ -264,15 +244,10 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | No
 
     near = ordered(listed.where("kind = 0"))
     removed = check(near, "near")
-    long = listed.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("token"), "n", "at", "map").distinct()
-    long = scratch.keep(long, "long")
-    left = scratch.keep(long.join(removed, "node", "left_anti"), "left")
-    if not left.isEmpty():
-        y = left.select(F.col("token"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "at", "map")])
-        overlap = F.ceil((F.col("n") + F.col("n_y")) * percent / F.lit(100 + percent))
-        fits = (F.least("n", "n_y") * 100 >= F.greatest("n", "n_y") * percent) & (F.bit_count(F.col("map").bitwiseXOR(F.col("map_y"))) <= F.col("n") + F.col("n_y") - overlap * 2)
-        more = ordered(long.join(y, "token").where((F.col("node") != F.col("node_y")) & fits).select(F.col("node").alias("a"), F.col("node_y").alias("b")))
-        removed = removed.unionByName(check(more.join(scratch.spark.read.parquet(f"{scratch.path}/near-pairs"), ["a", "b"], "left_anti"), "more")).distinct()
+    runs, partners = (listed.where(f"kind = {k}").select(F.col("a").alias("node"), F.col("b").alias("token"), "size", "even", "odd").distinct() for k in (1, 2))
+    if not listed.where("kind = 1").isEmpty():
+        more = beyond(runs.join(removed, "node", "left_anti"), partners, percent).unionByName(beyond(runs, partners.join(removed, "node", "left_anti"), percent))
+        removed = removed.unionByName(check(ordered(more).join(spark.read.parquet(f"{scratch.path}/near-pairs"), ["a", "b"], "left_anti"), "more")).distinct()
     verdict = classes.join(removed.withColumn("similar", F.lit(True)), "node", "left").select(
         F.col("node").alias("hi"), "lo", "first", F.coalesce("similar", F.lit(False)).alias("similar")
     )
