@@ -68,9 +68,10 @@ def menu_url(base: str, short_name: Column) -> Column:
 
 
 def templates(spark: SparkSession, path: str) -> DataFrame:
-    """name and body of each text file below a path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return files.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1).alias("name"), F.col("value").alias("body"))
+    """name and body of each file below a path; the body as it is, to its last line feed."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(.*?)(\.[^.]*)?$", 1)
+    return found.select(name.alias("name"), F.decode("content", "UTF-8").alias("body"))
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", without: tuple[str, ...] = ()) -> DataFrame:
