@@ -23,7 +23,7 @@ number of different vectors.
 
 Defined results. Vectors that are null, zero, or hold nulls or values that are not finite link with nothing. A shorter
 vector counts as filled up with zeros. Rows that repeat a vec_id are linked like any equal vectors. A row with a null
-vec_id counts in others' n_links; its own component is that of its equal vectors, null if they have no id.
+vec_id (ids are below 2^62) counts in others' n_links; its own component is that of its equal vectors, null if they have no id.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from quillon.llm.shared import Scratch, ship, table
 
 COSINE = 0.9
 PIVOTS, CELL, BLOCK, TILE = 2048, 8192, 4096, 1024
+#: Ids from here on are those of vectors without one.
+UNNAMED = 1 << 62
 #: What single precision may be off by, generously.
 MARGIN = 1e-4
 
@@ -204,8 +206,8 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, scratch: Scratch
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     own = F.struct(F.xxhash64("embedding").alias("hash"), "embedding")
     classes = rows.where(usable()).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-    # classes without an id get a negative one of their own; it never shows
-    named = F.coalesce("first", -1 - F.abs(F.shiftrightunsigned(F.xxhash64("embedding"), 1)))
+    # classes without an id get one of their own above all others; it never shows
+    named = F.coalesce("first", F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64("embedding"), 2))
     classes = scratch.keep(classes.select(named.alias("id"), "first", "n", "embedding"), "classes")
     size = classes.agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dim")).first()
     found = None
@@ -237,7 +239,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, scratch: Scratch
         .select(own.alias("key"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     )
     keyed = rows.withColumn("key", F.when(usable(), own))
-    component = F.coalesce(F.when(F.col("component") >= 0, F.col("component")), F.col("vec_id"))
+    component = F.coalesce(F.when(F.col("component") < UNNAMED, F.col("component")), F.col("vec_id"))
     return keyed.join(known, "key", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

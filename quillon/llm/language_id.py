@@ -36,6 +36,8 @@ PER_LANGUAGE = 800
 BUCKETS, DIM = 1 << 16, 16
 NGRAMS = (2, 3, 4, 5)
 SEGMENT, SEGMENTS, EPOCHS, BATCH, RATE = 24, 6, 4, 64, 40.0
+#: Steps of training at least, for small samples.
+STEPS = 600
 REJECT = 0.01
 UNDETERMINED = "und"
 #: Words that a worker remembers.
@@ -97,8 +99,10 @@ def train(texts: list[str], labels: list[int], n: int, seed: int = 7) -> tuple[n
     rng = np.random.default_rng(seed)
     rows, layer, offset = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 1 / DIM, (DIM, n)), np.zeros(n)
     weight = len(y) / (n * np.maximum(np.bincount(y, minlength=n), 1))  # rare languages count as much as others
-    steps, step = EPOCHS * (len(xs) // BATCH + 1), 0
-    for _ in range(EPOCHS):
+    a_pass = len(xs) // BATCH + 1
+    epochs = max(EPOCHS, -(-STEPS // a_pass))
+    steps, step = epochs * a_pass, 0
+    for _ in range(epochs):
         order = rng.permutation(len(xs))
         for start in range(0, len(order), BATCH):
             at = order[start : start + BATCH]
