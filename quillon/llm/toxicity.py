@@ -42,8 +42,10 @@ WINDOWS = (4, 16)
 #: A ratio from which a word counts as a toxic expression.
 STRONG = 4.0
 THRESHOLD = 0.3
+#: A difference of ratios that an entry of the table is not kept for.
+NEGLIGIBLE = 0.05
 #: Ratios that a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 300_000
 
 
 def sample_ids(labels: DataFrame) -> DataFrame:
@@ -83,46 +85,55 @@ def ngram_counts(sample: DataFrame) -> DataFrame:
         words.select("t", "o", F.explode(spans).alias("ngram"))
         .groupBy("ngram")
         .agg(F.sum("t").alias("n_toxic"), F.sum("o").alias("n_ordinary"))
+        .where(f"length(ngram) <= {SHARED + 1} or n_toxic + n_ordinary > 1")  # a longer one that occurs once is left out
     )
 
 
+def ratio_table(counts: dict[int, tuple[list[str], np.ndarray, np.ndarray]]) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Both models as one table: n-grams with their ratio, contexts with the ratio of their weights for going back.
+
+    counts: for each order its n-grams and their occurrences in toxic and in ordinary text. An entry that differs by
+    less than NEGLIGIBLE from what going back gives is left out.
+    """
+    rows = {k: {g: i for i, g in enumerate(counts[k][0])} for k in counts}
+    grams, ratios, contexts, backs = [], [], [], []
+    lower = {"": 0}
+    lower_p, lower_ratio = np.full((1, 2), 1.0 / max(1, len(rows.get(1, ())))), np.zeros(1)
+    for k in sorted(counts):
+        names, *occurrences = counts[k]
+        use = np.column_stack(occurrences).astype(float)
+        if k < ORDER and k + 1 in counts:  # how many letters are seen before it, but where a word starts
+            longer, *more = counts[k + 1]
+            before, after = np.zeros_like(use), np.array([rows[k].get(g[1:], -1) for g in longer])
+            np.add.at(before, after[after >= 0], (np.column_stack(more) > 0)[after >= 0])
+            inner = np.array([g[0] != " " for g in names], bool) & (before.sum(1) > 0)
+            use[inner] = before[inner]
+        if k <= SHARED:
+            use = np.repeat(use.sum(1, keepdims=True), 2, axis=1)
+        context, suffix = (np.array([lower.get(part(g), 0) for g in names], np.int64) for part in (lambda g: g[:-1], lambda g: g[1:]))
+        total, kinds = np.zeros((len(lower), 2)), np.zeros((len(lower), 2))
+        np.add.at(total, context, use)
+        np.add.at(kinds, context, use > 0)
+        weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        p = np.maximum(use - DISCOUNT, 0) / np.maximum(total[context], 1) + weight[context] * lower_p[suffix]
+        ratio, back = np.log(p[:, 0] / p[:, 1]), np.log(weight[:, 0] / weight[:, 1])
+        for i in np.flatnonzero(np.abs(ratio - back[context] - lower_ratio[suffix]) >= NEGLIGIBLE if k > 1 else np.ones(len(names), bool)):
+            grams.append(names[i])
+            ratios.append(ratio[i])
+        held = list(lower)
+        for i in np.flatnonzero(np.abs(back) >= NEGLIGIBLE):
+            contexts.append(held[i])
+            backs.append(back[i])
+        lower, lower_p, lower_ratio = rows[k], p, ratio
+    return grams, np.array(ratios, np.float32), contexts, np.array(backs, np.float32)
+
+
 class Ratios:
-    """The two models as one table: n-gram -> ratio where it was seen, context -> ratio of the weights for going back."""
-
-    def __init__(self, counts: list[tuple[str, int, int]]) -> None:
-        raw = {g: (t, o) for g, t, o in counts}
-        # how an n-gram counts: occurrences at the longest order and where a word starts, different letters before it elsewhere
-        use: dict[str, list[float]] = {}
-        left: dict[str, list[float]] = {}
-        for g, (t, o) in raw.items():
-            if len(g) > 1:
-                seen = left.setdefault(g[1:], [0, 0])
-                seen[0] += t > 0
-                seen[1] += o > 0
-        for g, (t, o) in raw.items():
-            found = [t, o] if len(g) == ORDER or g[0] == " " else left.get(g, [t, o])
-            use[g] = [sum(found)] * 2 if len(g) <= SHARED else found
-        total: dict[str, list[float]] = {}
-        kinds: dict[str, list[float]] = {}
-        for g, n in use.items():
-            h = g[:-1]
-            sums, different = total.setdefault(h, [0, 0]), kinds.setdefault(h, [0, 0])
-            for c in (0, 1):
-                sums[c] += n[c]
-                different[c] += n[c] > 0
-        letters = max(1, len([g for g in use if len(g) == 1]))
-        probability: dict[str, tuple[float, float]] = {"": (1 / letters, 1 / letters)}
-        self.back: dict[str, float] = {}
-        weight: dict[str, tuple[float, float]] = {}
-        for h, sums in total.items():
-            weight[h] = tuple(DISCOUNT * kinds[h][c] / sums[c] if sums[c] else 1.0 for c in (0, 1))
-            self.back[h] = math.log(weight[h][0] / weight[h][1])
-        for g in sorted(use, key=len):
-            h, lower = g[:-1], probability[g[1:]] if len(g) > 1 else probability[""]
-            probability[g] = tuple(
-                (max(use[g][c] - DISCOUNT, 0.0) / total[h][c] if total[h][c] else 0.0) + weight[h][c] * lower[c] for c in (0, 1)
-            )
-        self.ratio = {g: math.log(t / o) for g, (t, o) in probability.items() if g}
+    """Ratios of words and texts, from a ratio table."""
+
+    def __init__(self, grams: list[str], ratios: np.ndarray, contexts: list[str], backs: np.ndarray) -> None:
+        self.ratio = dict(zip(grams, ratios.tolist(), strict=True))
+        self.back = dict(zip(contexts, backs.tolist(), strict=True))
         self.words = Recent(self.word, MEMORY)
 
     def word(self, word: str) -> float:
@@ -170,11 +181,16 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> dict | None:
     ids = scratch.keep(sample_ids(labels), "ids")
     texts = docs.select(F.col("doc_id").alias("__id"), text_or_empty().alias("text"))
     sample = scratch.keep(texts.join(F.broadcast(ids), F.col("__id") == F.col("id")).select("text", "toxic", "fits"), "sample")
-    counts = [(r[0], r[1], r[2]) for r in ngram_counts(sample.where("not fits")).toLocalIterator()]
-    if not sum(c[1] for c in counts) or not sum(c[2] for c in counts):
+    counts: dict[int, tuple[list, list, list]] = {}
+    for r in ngram_counts(sample.where("not fits")).toLocalIterator():  # bounded by the sample
+        of = counts.setdefault(len(r[0]), ([], [], []))
+        for part, x in zip(of, r, strict=True):
+            part.append(x)
+    if not counts or not sum(counts[1][1]) or not sum(counts[1][2]):
         return None
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, counts))
+    table_of = ratio_table({k: (names, np.array(t, np.int64), np.array(o, np.int64)) for k, (names, t, o) in counts.items()})
+    del counts
+    model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, table_of))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratios = ratios_of(model)
@@ -188,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> dict | None:
         weights = np.array([1.0] + [0.0] * (1 + len(WINDOWS)) + [0.0]), np.zeros(2 + len(WINDOWS)), np.ones(2 + len(WINDOWS))
     else:
         weights = fit_logistic(np.array([r["x"] for r in seen]), y)
-    return {"counts": model, "weights": weights}
+    return {"model": model, "weights": weights}
 
 
 #: One model in a Python worker, kept for its later tasks.
@@ -196,10 +212,10 @@ _MODELS: dict[str, Ratios] = {}
 
 
 def ratios_of(model) -> Ratios:
-    key, counts = model.value
+    key, table_of = model.value
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = Ratios(counts)
+        _MODELS[key] = Ratios(*table_of)
     return _MODELS[key]
 
 
@@ -207,10 +223,10 @@ class Scorer:
     """Scores and ratios of the texts of a column, in a task."""
 
     def __init__(self, learned: dict) -> None:
-        self.counts, self.weights = learned["counts"], learned["weights"]
+        self.model, self.weights = learned["model"], learned["weights"]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        model, (w, mean, deviation) = ratios_of(self.counts), self.weights
+        model, (w, mean, deviation) = ratios_of(self.model), self.weights
         x = np.array([model.features(text.as_py() or "") for text in texts]).reshape(-1, len(mean))
         return 1 / (1 + np.exp(-np.clip(((x - mean) / deviation) @ w[:-1] + w[-1], -30, 30))), x
 

@@ -128,11 +128,21 @@ def test_logistic_fit_separates():
     assert ((score > 0.5) == (y > 0)).mean() > 0.95
 
 
-def test_models_are_distributions():
-    counts = [("a", 5, 5), ("b", 3, 9), (" ", 8, 14), (" a", 4, 2), (" b", 1, 4), ("aa", 1, 3), ("ab", 2, 5), ("a ", 2, 0), ("b ", 6, 14), ("ba", 0, 3)]
-    ratios = toxicity.Ratios(counts)
-    assert ratios.word("a") == pytest.approx(ratios.words["a"])
-    assert all(np.isfinite(v) for v in ratios.ratio.values())
+def test_ratios_of_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "NEGLIGIBLE", 0.0)
+    words = {"aa": (5, 1), "ab": (2, 6), "ba": (0, 4)}
+    counts = {}
+    for word, (t, o) in words.items():
+        padded = f" {word} "
+        for end in range(2, len(padded) + 1):
+            for n in range(1, min(toxicity.ORDER, end) + 1):
+                of = counts.setdefault(n, {}).setdefault(padded[end - n : end], [0, 0])
+                of[0] += t
+                of[1] += o
+    table = toxicity.ratio_table({n: (list(g), np.array([v[0] for v in g.values()]), np.array([v[1] for v in g.values()])) for n, g in counts.items()})
+    ratios = toxicity.Ratios(*table)
+    assert ratios.word("aa") > 0 > ratios.word("ba") and ratios.words["ab"] == ratios.word("ab")
+    assert np.isfinite(ratios.word("zzz")) and abs(ratios.word("zzz")) < 3
     assert ratios.features("") == [0.0] * (2 + len(toxicity.WINDOWS))
 
 
