@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.memory import Recent
+from quillon.llm.memory import Recent, held
 from quillon.llm.shared import fold_of, ship, table
 
 PER_LANGUAGE = 800
@@ -164,16 +164,9 @@ def learn(docs: DataFrame) -> Classifier:
     return model
 
 
-#: One model in a Python worker, kept for its later tasks.
-_MODELS: dict[str, Classifier] = {}
-
-
 def _model(shared) -> Classifier:
     key, parts = shared.value
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Classifier(*parts)
-    return _MODELS[key]
+    return held(key, lambda: Classifier(*parts))
 
 
 def find_languages(docs: DataFrame, model: Classifier | None = None) -> DataFrame:

@@ -65,9 +65,9 @@ def frequent_words(docs: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarr
             yield counted(parts)
 
     counts = docs.select("text").mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "word").limit(most).toPandas()
+    found = counts.orderBy(F.desc("n"), "word").limit(most).toArrow()
     places = np.arange(len(found), 0, -1, dtype=np.int64)
-    values = found["word"].to_numpy(np.int64).view(np.uint64)
+    values = found["word"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], places[order]
 

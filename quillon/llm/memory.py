@@ -1,4 +1,4 @@
-"""A bounded memory for results of a function of a string, in one Python worker."""
+"""What a Python worker remembers: one model, and a bounded number of results."""
 
 from __future__ import annotations
 
@@ -22,3 +22,14 @@ class Recent(dict):
             self.clear()
         self[key] = value
         return value
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The model of a key, kept for later tasks of the worker until another one is asked for."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

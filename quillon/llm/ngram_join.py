@@ -81,10 +81,10 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) ->
             yield counted(parts)
 
     counts = docs.select("text").mapInArrow(rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "shingle").limit(most).toPandas()
-    values = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    values = found["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(values)
-    return values[order], found["n"].to_numpy(np.int64)[order]
+    return values[order], found["n"].to_numpy()[order]
 
 
 def shared_need(n: int | np.ndarray, percent: int) -> int | np.ndarray:

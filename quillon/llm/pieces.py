@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.memory import Recent
+from quillon.llm.memory import Recent, held
 from quillon.llm.shared import ship, table
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -206,17 +206,9 @@ class Transducer:
         return out.replace(MARK, " ").removeprefix(" ")
 
 
-#: One machine for each model in a Python worker, kept for its later tasks.
-_MACHINES: dict[int, Transducer] = {}
-
-
 def _machine(model) -> Transducer:
     pieces, unknown = model.value
-    key = hash((tuple(pieces), unknown))
-    if key not in _MACHINES:
-        _MACHINES.clear()
-        _MACHINES[key] = Transducer(pieces, unknown)
-    return _MACHINES[key]
+    return held(hash((tuple(pieces), unknown)), lambda: Transducer(pieces, unknown))
 
 
 def read_model(model_file: str = MODEL_FILE) -> tuple[list[tuple[str, float, bool]], int]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.memory import Recent
+from quillon.llm.memory import Recent, held
 from quillon.llm.shared import Scratch, fold_of, ship, table, text_or_empty
 
 #: Documents of each class that counts are taken from, at most (about: the sample is by hash).
@@ -207,16 +207,9 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> dict | None:
     return {"model": model, "weights": weights}
 
 
-#: One model in a Python worker, kept for its later tasks.
-_MODELS: dict[str, Ratios] = {}
-
-
 def ratios_of(model) -> Ratios:
     key, table_of = model.value
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Ratios(*table_of)
-    return _MODELS[key]
+    return held(key, lambda: Ratios(*table_of))
 
 
 class Scorer:
