@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,3 +98,27 @@ def checked_counts(fields: DataFrame, keys: list[str], checked: Column, least: i
 
 def visible_inputs(fields: DataFrame, skipped: tuple[str, ...] = ("submit", "image")) -> DataFrame:
     return fields.where(~F.col("type").isin(*skipped)).where("visible")
+
+
+def distinct_forms(fields: DataFrame) -> DataFrame:
+    return fields.select("form").distinct()
+
+
+def remote_checks(values: DataFrame, ask: Callable[[str], tuple[bool, str]]) -> DataFrame:
+    """value, valid and message of each different value (column value), as `ask` says in a task; null is not asked.
+
+    ask runs on the executors, for one value at a time; a value that it fails on counts as valid, as one without an
+    answer does.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for value in batch["value"]:
+                try:
+                    out.append((value, *ask(value)))
+                except OSError:
+                    out.append((value, True, ""))
+            yield pd.DataFrame(out, columns=["value", "valid", "message"])
+
+    return values.where("value is not null").select("value").distinct().mapInPandas(rows, "value string, valid boolean, message string")

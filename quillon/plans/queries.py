@@ -526,6 +526,30 @@ def small_scalars(spark, d):
     )
 
 
+@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('error', 'purchase') AND event_id % 3 <> 0")
+def visible_inputs(spark, d):
+    fields = read(spark, d, "events").withColumns({"type": F.col("event_type"), "visible": F.col("event_id") % 3 != 0})
+    return validate.visible_inputs(fields, ("error", "purchase")).select("event_id", "event_type")
+
+
+@query("SELECT DISTINCT event_type AS value, length(event_type) > 4 AS valid, CASE WHEN length(event_type) > 4 THEN '' ELSE event_type || ' is short' END AS message FROM events")
+def remote_checks(spark, d):
+    values = read(spark, d, "events").select(F.col("event_type").alias("value"))
+    return validate.remote_checks(values, lambda v: (len(v) > 4, "" if len(v) > 4 else f"{v} is short"))
+
+
+@query("SELECT DISTINCT user_id AS form FROM events")
+def distinct_forms(spark, d):
+    return validate.distinct_forms(read(spark, d, "events").withColumnRenamed("user_id", "form"))
+
+
+@query("SELECT event_id, value >= 75 AS shouted FROM events")
+def callback_rules(spark, d):
+    predicates.register_callback("loud", lambda v: v.cast("double") >= 75)
+    rule = predicates.Rule("Loud", "callback", "loud")
+    return read(spark, d, "events").select("event_id", predicates.in_error(rule, F.col("value").cast("string")).alias("shouted"))
+
+
 @query()
 def shadow_lists(spark, d):
     shadow = F.concat(F.lit("inset 1px "), F.col("p_size").cast("string"), F.lit("px 3px #0f0, 0 0 4px rgba(1,2,3,.5)"))
