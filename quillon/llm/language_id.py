@@ -147,9 +147,8 @@ def learn(docs: DataFrame) -> Classifier:
     if not sizes:
         return Classifier([], np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = F.when(F.col("lang") == lang, draw < max(1, int(1_000_000 * PER_LANGUAGE / n))).otherwise(keep)
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, int(1_000_000 * PER_LANGUAGE / n)))])
+    keep = draw < F.element_at(shares, F.col("lang"))
     sample = rows.where(keep).select("lang", "text", (draw % 5 == 0).alias("held")).orderBy(F.xxhash64("doc_id")).collect()
     sample = [r for r in sample if any(map(str.isalpha, r["text"]))]
     languages = sorted({r["lang"] for r in sample if not r["held"]})
