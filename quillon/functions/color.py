@@ -68,26 +68,25 @@ _HEX = re.compile(r"#([0-9a-fA-F]{6}|[0-9a-fA-F]{3})")
 _CALL = re.compile(r"rgba?\(([^)]*)\)")
 
 
-def _one_shadow(text: str) -> dict:
-    """One shadow between commas; what a shadow does not say is 0, and its color black without alpha."""
-    lengths = _LENGTHS.search(_CALL.sub(" ", _HEX.sub(" ", text)))
-    sizes = [int(float(x)) if x else 0 for x in lengths.groups()] if lengths else [0, 0, 0, 0]
-    color = None
-    if m := _HEX.search(text):
-        digits = m[1] if len(m[1]) == 6 else "".join(c * 2 for c in m[1])
-        color = [float(int(digits[k : k + 2], 16)) for k in (0, 2, 4)] + [1.0]
-    elif m := _CALL.search(text):
-        parts = [float(x) for x in m[1].split(",")]
-        color = [float(int(x)) for x in parts[:3]] + [parts[3] if len(parts) > 3 else 1.0]
-    return dict(zip(("left", "top", "blur", "spread"), sizes, strict=True)) | {"inset": bool(re.search(r"\binset\b", text)), "color": color}
-
-
 def parse_shadows(text: Column) -> Column:
     """The shadows of a list like 'inset 1px 2px 3px #000, 0 0 4px rgba(0,0,0,.5)'; null for null."""
 
+    def one(text: str) -> dict:
+        """One shadow between commas; what a shadow does not say is 0, and its color black without alpha."""
+        lengths = _LENGTHS.search(_CALL.sub(" ", _HEX.sub(" ", text)))
+        sizes = [int(float(x)) if x else 0 for x in lengths.groups()] if lengths else [0, 0, 0, 0]
+        color = None
+        if m := _HEX.search(text):
+            digits = m[1] if len(m[1]) == 6 else "".join(c * 2 for c in m[1])
+            color = [float(int(digits[k : k + 2], 16)) for k in (0, 2, 4)] + [1.0]
+        elif m := _CALL.search(text):
+            parts = [float(x) for x in m[1].split(",")]
+            color = [float(int(x)) for x in parts[:3]] + [parts[3] if len(parts) > 3 else 1.0]
+        return dict(zip(("left", "top", "blur", "spread"), sizes, strict=True)) | {"inset": bool(re.search(r"\binset\b", text)), "color": color}
+
     def parsed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield batch.map(lambda t: None if t is None else [_one_shadow(x) for x in re.split(r",(?![^()]*\))", t)])
+            yield batch.map(lambda t: None if t is None else [one(x) for x in re.split(r",(?![^()]*\))", t)])
 
     return F.pandas_udf(parsed, SHADOW)(text)
 
