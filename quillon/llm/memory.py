@@ -30,6 +30,11 @@ _HELD: dict[object, object] = {}
 def held(key: object, make: Callable[[], object]) -> object:
     """The model of a key, kept for later tasks of the worker until another one is asked for."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def release() -> None:
+    """Let go of the model of an earlier stage, at the start of tasks that need none."""
+    _HELD.clear()

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
+from quillon.llm.memory import release
 from quillon.llm.shared import Scratch, sent_if_small, ship, table, without_ids
 from quillon.llm.shingles import Frequencies, shingle_sets, signature
 
@@ -66,6 +67,7 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) ->
         return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         parts, held, seen = [], 0, set()
         for batch in batches:
             for shingles in shingle_sets((t.as_py() for t in batch.column(0)), words):
@@ -109,6 +111,7 @@ def describe_sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.
         return np.concatenate([short, s[rest[: keep - len(short)]]]).view(np.int64)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         lists = Frequencies(*shared.value)
         seen: set[bytes] = set()
         for batch in batches:
@@ -138,6 +141,7 @@ def candidates(sets: DataFrame, percent: int, near: int = NEAR) -> DataFrame:
     """a, b: sets that share enough of their short lists, and neighbours on lists too long to count pairs on."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tail = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             new = [c.to_numpy().astype(np.int64) for c in batch.columns]

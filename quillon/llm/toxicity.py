@@ -45,7 +45,7 @@ THRESHOLD = 0.3
 #: A difference of ratios that an entry of the table is not kept for.
 NEGLIGIBLE = 0.05
 #: Ratios that a worker remembers.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 def sample_ids(labels: DataFrame) -> DataFrame:
