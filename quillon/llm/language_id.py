@@ -41,7 +41,7 @@ STEPS = 600
 REJECT = 0.01
 UNDETERMINED = "und"
 #: Words that a worker remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 
 
 def features(word: str) -> np.ndarray:
