@@ -3,8 +3,9 @@
 Three kinds of secret are matched in a text: assignments (assign), access keys (access) and long hexadecimal runs
 (hex). A text can also hold layers: percent-encoded runs, \\\\u and \\\\x escapes, base64 and, below base64, gzip, zlib, bzip2, xz
 or zstd data. The worklist starts with the text; each layer that decodes to printable text joins it, is scanned in
-turn and searched for further layers, until no new layer appears. A layer whose text was seen before in the same
-document is not taken up again, so encodings that give themselves back end.
+turn and searched for further layers, until no new layer appears. A layer with the text and the original ranges of an
+earlier one is not taken up again, so encodings that give themselves back end; the same encoded run at another place
+is another layer, for which only the matches of its text are remembered.
 
 A layer keeps, for each of its characters, the range of the original text that it came from; a match inside a layer
 is reported as the span of the original text that covers it. Compressed data has no such ranges: all of its matches
@@ -76,6 +77,11 @@ class Layer:
             return start, end
         return int(self.starts[start]), int(self.ends[end - 1])
 
+    def key(self) -> tuple[bytes, bytes]:
+        """Digests of the text and of its ranges."""
+        ranges = hashlib.blake2b(b"" if self.starts is None else self.starts.tobytes() + self.ends.tobytes(), digest_size=16)
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), ranges.digest()
+
     def part(self, text: str, starts: list[int] | np.ndarray, ends: list[int] | np.ndarray) -> Layer:
         """A layer below this one, from ranges in this one's offsets."""
         starts, ends = np.asarray(starts, dtype=np.int64), np.asarray(ends, dtype=np.int64)
@@ -184,16 +190,19 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], int, int]:
     """Base spans, all spans (both in order), the number of layers below the text and of oversized ones."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(matches(text or ""), key=order)
-    spans, seen, oversized = set(base), {text}, []
-    todo = [Layer(text or "")]
+    top = Layer(text or "")
+    spans, seen, known, oversized = set(base), {top.key()}, {}, []
+    todo = [top]
     while todo:
         layer = todo.pop()
         for unwrap in (_percent(layer), _escapes(layer), _base64(layer, oversized)):
             for below in unwrap:
-                if below.text in seen:
+                if (key := below.key()) in seen:
                     continue
-                seen.add(below.text)
-                spans.update((kind, *below.span(start, end)) for kind, start, end in matches(below.text))
+                seen.add(key)
+                if key[0] not in known:
+                    known[key[0]] = matches(below.text)
+                spans.update((kind, *below.span(start, end)) for kind, start, end in known[key[0]])
                 todo.append(below)
     return base, sorted(spans, key=order), len(seen) - 1, len(oversized)
 

@@ -69,6 +69,21 @@ def test_layers_that_give_themselves_back_end():
     assert secrets.scan(text)[2] < 10
 
 
+def test_encoded_runs_that_repeat_are_each_reported():
+    secret = b"password=hunter2hunter2x"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    percent = lambda s: "".join(f"%{ord(c):02x}" for c in s)
+    runs = [b64(secret), percent(secret.decode()), b64(b64(secret).encode()), percent(b64(secret)), "".join(f"\\x{c:02x}" for c in secret)]
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        text, wanted = "", set()
+        for k in rng.integers(0, len(runs), 6):
+            text += rng.choice(["né, ", "x y ", "12; "])
+            wanted.add(("assign", len(text), len(text) + len(runs[k].rstrip("="))))
+            text += runs[k] + " . "
+        assert set(secrets.scan(text)[1]) == wanted
+
+
 def test_secret_query_columns(spark, sf_dir):
     rows = secrets.find_secrets(docs_of(spark, [(1, None), (2, ""), (3, f"x {SECRET}"), (3, f"x {SECRET}")])).collect()
     assert [len(r["spans"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [0, 0, 1, 1]
