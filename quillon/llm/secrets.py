@@ -1,11 +1,13 @@
 """Secret scans (operator 2): a recursive decoding worklist.
 
 Three kinds of secret are matched in a text: assignments (assign), access keys (access) and long hexadecimal runs
-(hex). A text can also hold layers: percent-encoded runs, \\\\u and \\\\x escapes, base64 and, below base64, gzip, zlib, bzip2, xz
-or zstd data. The worklist starts with the text; each layer that decodes to printable text joins it, is scanned in
-turn and searched for further layers, until no new layer appears. A layer with the text and the original ranges of an
-earlier one is not taken up again, so encodings that give themselves back end; the same encoded run at another place
-is another layer, for which only the matches of its text are remembered.
+(hex). A text can also hold layers: percent codes, \\\\u and \\\\x escapes, base64 and, below base64, gzip, zlib, bzip2, xz
+or zstd data. Percent codes and escapes give the whole text with its codes decoded, so key and value of a secret can lie
+on two sides of a quote or space; bytes that are not UTF-8 become U+FFFD. The worklist starts with the text; each layer
+joins it, is scanned in turn and searched for further layers, until no new layer appears; base64 counts if it decodes to
+printable text. A layer with the text and the original ranges of an earlier one is not taken up again, so encodings that
+give themselves back end; the same encoded run at another place is another layer, for which only the matches of its text
+are remembered.
 
 A layer keeps, for each of its characters, the range of the original text that it came from; a match inside a layer
 is reported as the span of the original text that covers it. Compressed data has no such ranges: all of its matches
@@ -41,9 +43,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-ESCAPED = re.compile(r"\S*\\[ux][0-9A-Fa-f{]\S*")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_LAYER = 1 << 26
 
@@ -63,7 +64,7 @@ def matches(text: str) -> list[Span]:
 
 
 def _printable(text: str) -> bool:
-    return len(text) >= 4 and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text)
+    return len(text) >= 4 and sum(c.isprintable() and c != "\ufffd" or c in "\t\r\n" for c in text) >= 0.95 * len(text)
 
 
 class Layer:
@@ -90,58 +91,49 @@ class Layer:
         return Layer(text, self.starts[starts], self.ends[ends - 1])
 
 
-def _by_bytes(raw: bytes, starts: list[int] | np.ndarray, ends: list[int] | np.ndarray) -> tuple[str, np.ndarray, np.ndarray] | None:
-    """Bytes with a range each, read as UTF-8: the text and a range for each character."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    first = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
-    last = np.append(first[1:], len(raw)) - 1
-    return text, np.asarray(starts)[first], np.asarray(ends)[last]
+def _by_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Bytes with a range each, read as UTF-8: the text and a range for each character. A byte that is not UTF-8 is U+FFFD."""
+    text = raw.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    bad = (codes >= 0xDC80) & (codes <= 0xDCFF)
+    width[bad] = 1
+    if bad.any():
+        text = re.sub("[\udc80-\udcff]", "\ufffd", text)
+    last = np.cumsum(width) - 1
+    return text, starts[last - width + 1], ends[last]
+
+
+def _whole(layer: Layer, runs: Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Iterator[Layer]:
+    """The layer's whole text with its runs of codes (from, to, text, starts, ends) decoded, if it has any."""
+    out, starts, ends, k = [], [], [], 0
+    for a, b, text, first, last in runs:
+        plain = np.arange(k, a)
+        out += [layer.text[k:a], text]
+        starts += [plain, first]
+        ends += [plain + 1, last]
+        k = b
+    if out:
+        plain = np.arange(k, len(layer.text))
+        yield layer.part("".join([*out, layer.text[k:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1]))
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
     if "%" not in layer.text:
         return
-    for m in PERCENT.finditer(layer.text):
-        run, at = m.group(), m.start()
-        raw, starts, ends = bytearray(), [], []
-        k = 0
-        while k < len(run):
-            if run[k] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", run[k + 1 : k + 3]):
-                piece, step = unquote_to_bytes(run[k : k + 3]), 3
-            else:
-                piece, step = run[k].encode("utf-8", "replace"), 1
-            raw += piece
-            starts += [at + k] * len(piece)
-            ends += [at + k + step] * len(piece)
-            k += step
-        if got := _by_bytes(bytes(raw), starts, ends):
-            yield layer.part(*got)
+    runs = ((m, m.start() + 3 * np.arange(len(m.group()) // 3)) for m in PERCENT.finditer(layer.text))
+    yield from _whole(layer, ((m.start(), m.end(), *_by_bytes(unquote_to_bytes(m.group()), at, at + 3)) for m, at in runs))
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
     if "\\" not in layer.text:
         return
-    for m in ESCAPED.finditer(layer.text):
-        run, at = m.group(), m.start()
-        out, starts, ends, k = [], [], [], 0
-        for e in ESCAPE.finditer(run):
-            code = int(e.group(1) or e.group(2) or e.group(3), 16)
-            plain = range(k, e.start())
-            out += [run[i] for i in plain]
-            starts += [at + i for i in plain]
-            ends += [at + i + 1 for i in plain]
-            out.append(chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd")
-            starts.append(at + e.start())
-            ends.append(at + e.end())
-            k = e.end()
-        if out:
-            out += list(run[k:])
-            starts += range(at + k, at + len(run))
-            ends += range(at + k + 1, at + len(run) + 1)
-            yield layer.part("".join(out), starts, ends)
+
+    def char(m: re.Match) -> str:
+        code = int(m.group(1) or m.group(2) or m.group(3), 16)
+        return chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd"
+
+    yield from _whole(layer, ((*m.span(), char(m), np.array([m.start()]), np.array([m.end()])) for m in ESCAPE.finditer(layer.text)))
 
 
 def _inflate(raw: bytes) -> tuple[bytes, bool] | None:
@@ -182,7 +174,7 @@ def _base64(layer: Layer, oversized: list[int]) -> Iterator[Layer]:
             continue
         at = np.arange(len(raw), dtype=np.int64)
         got = _by_bytes(raw, m.start() + at * 8 // 6, m.start() + (at * 8 + 7) // 6 + 1)
-        if got and _printable(got[0]):
+        if _printable(got[0]):
             yield layer.part(*got)
 
 

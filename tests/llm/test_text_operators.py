@@ -84,6 +84,23 @@ def test_encoded_runs_that_repeat_are_each_reported():
         assert set(secrets.scan(text)[1]) == wanted
 
 
+@pytest.mark.parametrize(
+    ("text", "start", "end"),
+    [
+        ("é password: %68unter22 end", 2, 22),
+        ('secret="%73ecret99"', 0, 18),
+        ("%70assword = hunter22", 0, 21),
+        ('{"password": "\\u0068unter22"}', 2, 27),
+        ("\\x70assword: 'hunter22'", 0, 22),
+        ("?name=%E9t%E9&token=%61bcdefgh", 14, 30),
+        ("%e2%82 %C3%A9 %F0%9F%98%80 token=%61bcdefgh", 27, 43),
+        ("token='%5Cx61bcdefgh'", 0, 20),
+    ],
+)
+def test_codes_are_decoded_in_the_whole_text(text, start, end):
+    assert ("assign", start, end) in secrets.scan(text)[1]
+
+
 def test_secret_query_columns(spark, sf_dir):
     rows = secrets.find_secrets(docs_of(spark, [(1, None), (2, ""), (3, f"x {SECRET}"), (3, f"x {SECRET}")])).collect()
     assert [len(r["spans"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [0, 0, 1, 1]
