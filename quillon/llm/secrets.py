@@ -1,11 +1,12 @@
 """Secret scans (operator 2): a recursive decoding worklist.
 
 Three kinds of secret are matched in a text: assignments (assign), access keys (access) and long hexadecimal runs
-(hex). A text can also hold layers: percent codes, \\\\u and \\\\x escapes, base64 and, below base64, gzip, zlib, bzip2, xz
-or zstd data. Percent codes and escapes give the whole text with its codes decoded, so key and value of a secret can lie
+(hex). A text can also hold layers: percent codes, \\\\u and \\\\x escapes, base64 (a run, or runs joined over line breaks)
+and, in the bytes of any of these, gzip, zlib, bzip2, xz or zstd data at any place, one in another and member after member.
+Percent codes and escapes give the whole text with its codes decoded, so key and value of a secret can lie
 on two sides of a quote or space; bytes that are not UTF-8 become U+FFFD. The worklist starts with the text; each layer
-joins it, is scanned in turn and searched for further layers, until no new layer appears; base64 counts if it decodes to
-printable text. A layer with the text and the original ranges of an earlier one is not taken up again, so encodings that
+joins it, is scanned in turn and searched for further layers, until no new layer appears; `layers` counts those that are
+printable text. Base64 over line breaks is read from the first line of each alignment, and each line also by itself. A layer with the text and the original ranges of an earlier one is not taken up again, so encodings that
 give themselves back end; the same encoded run at another place is another layer, for which only the matches of its text
 are remembered.
 
@@ -13,21 +14,22 @@ A layer keeps, for each of its characters, the range of the original text that i
 is reported as the span of the original text that covers it. Compressed data has no such ranges: all of its matches
 cover the encoded run. Spans are in code points, end exclusive.
 
-Scale: a map over rows, no shuffle; memory follows the longest text. A layer that decompresses to more than
-MAX_LAYER characters is not unwrapped but reported in `oversized`. Defined results: a null or empty text has no spans;
-rows that repeat are scanned by themselves.
+Scale: a map over rows, no shuffle; memory follows the longest text. Content of compressed data longer than WINDOW bytes
+is scanned in overlapping windows and counted in `oversized`; a window grows with an unbroken run of characters of
+encodings at its end, so memory also follows the longest such run. Data that is cut or broken is scanned as far as it
+goes. Defined results: a null or empty text has no spans; rows that repeat are scanned by themselves.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -46,7 +48,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_LAYER = 1 << 26
+LINE = re.compile(r"[A-Za-z0-9+/_-]++")
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68][\x00-\xff]")
+#: Bytes of content in a window and by which windows overlap at least; bytes given to a decompressor and taken from it at once.
+WINDOW, OVERLAP, STEP, TAKEN = 1 << 23, 1 << 19, 256, 1 << 20
+#: Characters of encodings: no window begins within a run of them that ends the last one.
+ENCODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=%\\{}.~- \t\r\n"
 
 Span = tuple[str, int, int]
 
@@ -64,31 +72,47 @@ def matches(text: str) -> list[Span]:
 
 
 def _printable(text: str) -> bool:
+    if len(text) >= 4 and text.isascii() and text.isprintable():
+        return True
     return len(text) >= 4 and sum(c.isprintable() and c != "\ufffd" or c in "\t\r\n" for c in text) >= 0.95 * len(text)
 
 
+Offsets = np.ndarray | int
+
+
 class Layer:
-    """A text with the original range of each of its characters; starts is None for the original itself."""
+    """A text or bytes with the original range of each character or byte. starts is None for the original itself, and a
+    number if all have one range. close is where the encoded run ends, with its padding; more gives the bytes that follow."""
+
+    def __init__(self, data: str | bytes, starts: Offsets | None = None, ends: Offsets | None = None, close: int | None = None) -> None:
+        self.data, self.starts, self.ends, self.close = data, starts, ends, close
+        self.more: Callable[[], Iterator[bytes]] = lambda: iter(())
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> None:
-        self.text, self.starts, self.ends = text, starts, ends
+    @property
+    def single(self) -> bool:
+        return isinstance(self.starts, int)
 
     def span(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
+        if self.single:
+            return self.starts, self.ends
         return int(self.starts[start]), int(self.ends[end - 1])
 
     def key(self) -> tuple[bytes, bytes]:
-        """Digests of the text and of its ranges."""
-        ranges = hashlib.blake2b(b"" if self.starts is None else self.starts.tobytes() + self.ends.tobytes(), digest_size=16)
-        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), ranges.digest()
+        """Digests of the data and of its ranges."""
+        data = self.data.encode("utf-8", "surrogatepass") + b"t" if isinstance(self.data, str) else self.data + b"b"
+        places = f"{self.starts} {self.ends}".encode() if self.starts is None or self.single else self.starts.tobytes() + self.ends.tobytes()
+        return hashlib.blake2b(data, digest_size=16).digest(), hashlib.blake2b(places, digest_size=16).digest()
 
-    def part(self, text: str, starts: list[int] | np.ndarray, ends: list[int] | np.ndarray) -> Layer:
+    def part(self, data: str | bytes, starts: np.ndarray, ends: np.ndarray, close: int | None = None) -> Layer:
         """A layer below this one, from ranges in this one's offsets."""
-        starts, ends = np.asarray(starts, dtype=np.int64), np.asarray(ends, dtype=np.int64)
+        if self.single:
+            return Layer(data, self.starts, self.ends)
+        close = None if close is None else self.span(close - 1, close)[1]
         if self.starts is None:
-            return Layer(text, starts, ends)
-        return Layer(text, self.starts[starts], self.ends[ends - 1])
+            return Layer(data, starts, ends, close)
+        return Layer(data, self.starts[starts], self.ends[ends - 1], close)
 
 
 def _by_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
@@ -104,99 +128,237 @@ def _by_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np
     return text, starts[last - width + 1], ends[last]
 
 
-def _whole(layer: Layer, runs: Iterator[tuple[int, int, str, np.ndarray, np.ndarray]]) -> Iterator[Layer]:
-    """The layer's whole text with its runs of codes (from, to, text, starts, ends) decoded, if it has any."""
+def _text(layer: Layer, start: int, end: int) -> Layer:
+    """The text of a part of bytes."""
+    if layer.single:
+        return Layer(layer.data[start:end].decode("utf-8", "replace"), layer.starts, layer.ends)
+    return Layer(*_by_bytes(layer.data[start:end], layer.starts[start:end], layer.ends[start:end]))
+
+
+def _whole(layer: Layer, runs: Iterable[tuple[int, int, bytes, int]]) -> Iterator[Layer]:
+    """The bytes of the layer's whole text with its runs of codes (from, to, bytes, length of the code of a byte or 0 for all) decoded, if it has any."""
     out, starts, ends, k = [], [], [], 0
-    for a, b, text, first, last in runs:
-        plain = np.arange(k, a)
-        out += [layer.text[k:a], text]
-        starts += [plain, first]
-        ends += [plain + 1, last]
+
+    def plain(a: int, b: int) -> None:
+        text = layer.data[a:b]
+        out.append(text.encode("utf-8", "replace"))
+        if not layer.single:
+            at = np.arange(a, b)
+            at = at if len(out[-1]) == len(text) else np.repeat(at, [len(c.encode("utf-8", "replace")) for c in text])
+            starts.append(at)
+            ends.append(at + 1)
+
+    for a, b, raw, width in runs:
+        plain(k, a)
+        out.append(raw)
+        if not layer.single:
+            starts.append(a + width * np.arange(len(raw)))
+            ends.append(starts[-1] + width if width else np.full(len(raw), b))
         k = b
     if out:
-        plain = np.arange(k, len(layer.text))
-        yield layer.part("".join([*out, layer.text[k:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1]))
+        plain(k, len(layer.data))
+        yield layer.part(b"".join(out), *((np.concatenate(starts), np.concatenate(ends)) if starts else (None, None)))
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
-    if "%" not in layer.text:
-        return
-    runs = ((m, m.start() + 3 * np.arange(len(m.group()) // 3)) for m in PERCENT.finditer(layer.text))
-    yield from _whole(layer, ((m.start(), m.end(), *_by_bytes(unquote_to_bytes(m.group()), at, at + 3)) for m, at in runs))
+    if "%" in layer.data:
+        yield from _whole(layer, ((*m.span(), unquote_to_bytes(m.group()), 3) for m in PERCENT.finditer(layer.data)))
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
-    if "\\" not in layer.text:
+    """Codes as characters, and if some are those of upper bytes also as bytes."""
+    if "\\" not in layer.data:
         return
-
-    def char(m: re.Match) -> str:
-        code = int(m.group(1) or m.group(2) or m.group(3), 16)
-        return chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd"
-
-    yield from _whole(layer, ((*m.span(), char(m), np.array([m.start()]), np.array([m.end()])) for m in ESCAPE.finditer(layer.text)))
-
-
-def _inflate(raw: bytes) -> tuple[bytes, bool] | None:
-    """The content of gzip, zlib, bzip2, xz or zstd data, and whether it is larger than MAX_LAYER."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            machine = zlib.decompressobj(47)
-            return machine.decompress(raw, MAX_LAYER), bool(machine.unconsumed_tail)
-        if raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00":
-            machine = bz2.BZ2Decompressor() if raw[:1] == b"B" else lzma.LZMADecompressor()
-            return machine.decompress(raw, MAX_LAYER), not machine.eof and not machine.needs_input
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                return reader.read(MAX_LAYER), bool(reader.read(1))
-    except (zlib.error, lzma.LZMAError, OSError, EOFError, zstandard.ZstdError):
-        pass
-    return None
-
-
-def _base64(layer: Layer, oversized: list[int]) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        run = m.group().rstrip("=")
+    codes = [(*m.span(), int(m.group(1) or m.group(2) or m.group(3), 16)) for m in ESCAPE.finditer(layer.data)]
+    char = lambda code: (chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd").encode()
+    yield from _whole(layer, ((a, b, char(code), 0) for a, b, code in codes))
+    if any(0x80 <= code < 0x100 for _, _, code in codes):
+        yield from _whole(layer, ((a, b, bytes([code]) if code < 0x100 else char(code), 0) for a, b, code in codes))
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
+    text = layer.data
+    runs = [([m.span()], m.end()) for m in BASE64.finditer(text)]
+    for m in LINES.finditer(text) if "\n" in text else ():
+        lines = [line.span() for line in LINE.finditer(text, *m.span())]
+        before, aligned = 0, set()
+        for k, (a, b) in enumerate(lines):
+            if before % 4 not in aligned and k + 1 < len(lines):
+                aligned.add(before % 4)
+                runs.append((lines[k:], m.end()))
+            before += b - a
+    for lines, close in runs:
+        run = "".join(text[a:b] for a, b in lines).rstrip("=")
+        run = run[: len(run) - (len(run) % 4 == 1)]
         # an ordinary word: base64 of text or compressed data in one case only does not occur
-        if len(run) % 4 == 1 or run.isalpha() and run[1:].islower():
+        if len(run) < 16 or run.isalpha() and run[1:].islower():
+            continue
+        raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+        if layer.single:
+            yield Layer(raw, layer.starts, layer.ends)
             continue
+        place = np.concatenate([np.arange(a, b) for a, b in lines])
+        at = np.arange(len(raw), dtype=np.int64)
+        yield layer.part(raw, place[at * 8 // 6], place[(at * 8 + 7) // 6] + 1, close)
+
+
+def _kind(head: bytes) -> str | None:
+    if head[:3] == b"\x1f\x8b\x08":
+        return "gzip"
+    for kind, magic in (("bzip2", b"BZh"), ("xz", b"\xfd7zXZ\x00"), ("zstd", b"\x28\xb5\x2f\xfd")):
+        if head.startswith(magic):
+            return kind
+    return "zlib" if len(head) > 1 and head[0] & 15 == 8 and head[0] < 0x80 and (head[0] * 256 + head[1]) % 31 == 0 else None
+
+
+MACHINES = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}
+
+
+def _taken(kind: str, machine, piece: bytes) -> Iterator[bytes]:
+    """What a decompressor gives for a piece, in parts of bounded size."""
+    if kind == "zstd":
+        yield machine.decompress(piece)
+        return
+    while True:
+        got = machine.decompress(piece, TAKEN)
+        yield got
+        if kind in ("gzip", "zlib"):
+            piece = machine.unconsumed_tail
+            if machine.eof or not piece and len(got) < TAKEN:
+                return
+        else:
+            piece = b""
+            if machine.eof or machine.needs_input:
+                return
+
+
+def _inflated(chunks: Iterator[bytes], used: list[int | bool]) -> Iterator[bytes]:
+    """The content of the compressed members of one kind that chunks begin with; used becomes the bytes of the members and whether they end in an error."""
+    left, first = b"", None
+    used[:] = 0, False
+    while True:
+        gap = 0
+        while True:  # zero bytes can pad members
+            gap, left = (gap + len(left) - len(left.lstrip(b"\0")), left.lstrip(b"\0")) if first else (0, left)
+            if len(left) >= 6 or (more := next(chunks, None)) is None:
+                break
+            left += more
+        kind = _kind(left)
+        if kind is None or first not in (None, kind):
+            return
+        first = kind
+        machine, view, at, read = MACHINES[kind](), memoryview(left), 0, 0
         try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-        except binascii.Error:
+            while not machine.eof:
+                if at == len(view):
+                    if (more := next(chunks, None)) is None:
+                        used[0] += gap + read
+                        if kind in ("gzip", "zlib"):
+                            yield machine.flush()
+                        return
+                    view, at = memoryview(more), 0
+                piece = bytes(view[at : at + STEP])
+                at += len(piece)
+                read += len(piece)
+                yield from _taken(kind, machine, piece)
+        except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError, zstandard.ZstdError):
+            used[:] = used[0] + gap + read, True
+            return
+        used[0] += gap + read - len(machine.unused_data)
+        left = machine.unused_data + bytes(view[at:])
+
+
+def _skip(chunks: Iterator[bytes], n: int) -> Iterator[bytes]:
+    for chunk in chunks:
+        if n < len(chunk):
+            yield chunk[n:]
+        n = max(0, n - len(chunk))
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Where a window begins, and its bytes."""
+    buffer, at, limit = bytearray(), 0, WINDOW
+    for chunk in chunks:
+        buffer += chunk
+        if len(buffer) >= limit:
+            cut = min(len(buffer) - OVERLAP, len(buffer.rstrip(ENCODED)))
+            if cut > 0:
+                yield at, bytes(buffer)
+                del buffer[:cut]
+                at += cut
+            limit = max(WINDOW, 2 * len(buffer))
+    if buffer:
+        yield at, bytes(buffer)
+
+
+def _packed(layer: Layer, oversized: set[tuple]) -> Iterator[Layer]:
+    """The contents of compressed data in bytes, and the text of what is between them."""
+    raw, at, done = layer.data, 0, 0
+    while m := MAGIC.search(raw, at):
+        begin, used = m.start(), [0, False]
+        at = begin + 1
+
+        def content(used: list[int | bool], begin: int = begin) -> Iterator[bytes]:
+            here = (raw[k : k + TAKEN] for k in range(begin, len(raw), TAKEN))
+            return _inflated(chain(here, (chunk for get in (layer.more,) for chunk in get())), used)
+
+        size, kept = 0, []
+        for chunk in content(used):
+            size += len(chunk)
+            if size <= WINDOW:
+                kept.append(chunk)
+        if not size:
             continue
-        if (packed := _inflate(raw)) is not None:
-            content, more = packed
-            if more:
-                oversized.append(m.start())
-                continue
-            text = content.decode("utf-8", "replace")
-            if _printable(text):
-                yield layer.part(text, np.full(len(text), m.start()), np.full(len(text), m.end()))
+        last = min(begin + used[0], len(raw))
+        if not used[1]:
+            if done < begin:
+                yield _text(layer, done, begin)
+            at = done = max(at, last)
+        start, end = layer.span(begin, last)
+        if last == len(raw) and layer.close is not None:
+            end = layer.close
+        if size <= WINDOW:
+            yield Layer(b"".join(kept), start, end)
             continue
-        at = np.arange(len(raw), dtype=np.int64)
-        got = _by_bytes(raw, m.start() + at * 8 // 6, m.start() + (at * 8 + 7) // 6 + 1)
-        if _printable(got[0]):
-            yield layer.part(*got)
+        kept.clear()
+        oversized.add((layer.key(), begin))
+        for offset, window in _windows(content([0, False])):
+            below = Layer(window, start, end)
+            below.more = lambda skip=offset + len(window), content=content: _skip(content([0, False]), skip)
+            yield below
+    if done < len(raw):
+        yield _text(layer, done, len(raw))
+
+
+def _unwrap(layer: Layer, oversized: set[tuple]) -> Iterator[Layer]:
+    if isinstance(layer.data, bytes):
+        yield from _packed(layer, oversized)
+    else:
+        for unwrap in (_percent, _escapes, _base64):
+            yield from unwrap(layer)
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, all spans (both in order), the number of layers below the text and of oversized ones."""
+    """Base spans, all spans (both in order), the number of layers below the text and of those scanned in windows."""
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = sorted(matches(text or ""), key=order)
     top = Layer(text or "")
-    spans, seen, known, oversized = set(base), {top.key()}, {}, []
-    todo = [top]
+    spans, seen, known, layers, oversized = set(base), {top.key()}, {}, 0, set()
+    todo = [_unwrap(top, oversized)]
     while todo:
-        layer = todo.pop()
-        for unwrap in (_percent(layer), _escapes(layer), _base64(layer, oversized)):
-            for below in unwrap:
-                if (key := below.key()) in seen:
-                    continue
-                seen.add(key)
-                if key[0] not in known:
-                    known[key[0]] = matches(below.text)
-                spans.update((kind, *below.span(start, end)) for kind, start, end in known[key[0]])
-                todo.append(below)
-    return base, sorted(spans, key=order), len(seen) - 1, len(oversized)
+        if (below := next(todo[-1], None)) is None:
+            todo.pop()
+            continue
+        if (key := below.key()) in seen:
+            continue
+        seen.add(key)
+        if isinstance(below.data, str):
+            layers += _printable(below.data)
+            if key[0] not in known:
+                known[key[0]] = matches(below.data)
+            spans.update((kind, *below.span(start, end)) for kind, start, end in known[key[0]])
+        todo.append(_unwrap(below, oversized))
+    return base, sorted(spans, key=order), layers, len(oversized)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

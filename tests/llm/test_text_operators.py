@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import json
+import lzma
 import re
+import zlib
 from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 
 from quillon.llm import language_id, pieces, secrets, toxicity
 from quillon.llm.memory import Recent
@@ -101,6 +105,64 @@ def test_codes_are_decoded_in_the_whole_text(text, start, end):
     assert ("assign", start, end) in secrets.scan(text)[1]
 
 
+def b64(raw, width=0):
+    run = base64.b64encode(raw).decode()
+    return "\n".join(run[k : k + width] for k in range(0, len(run), width)) if width else run
+
+
+ZIPS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress]
+NOISE = np.random.default_rng(7).integers(0, 256, 3000, np.uint8).tobytes()
+
+
+@pytest.mark.parametrize("pack", ZIPS)
+def test_compressed_data_is_followed_to_the_end(pack):
+    plain, secret = pack(b"nothing here, really"), SECRET.encode()
+    encoded = [
+        b64(pack(pack(pack(secret)))),
+        *[b64(pack(z(secret))) for z in ZIPS],
+        *[b64(plain + z(secret)) for z in ZIPS],
+        b64(pack(secret[:7]) + pack(secret[7:])),
+        b64(plain + secret),
+        b64(pack(NOISE + secret), 76),
+        b64(pack(pack(NOISE + secret)), 64).replace("\n", "\r\n  "),
+        "".join(f"%{c:02X}" for c in pack(secret)),
+        quote(pack(pack(secret)), safe=""),
+        "".join(f"\\x{c:02x}" for c in pack(secret)),
+        "".join(f"\\u{c:04x}" for c in pack(secret)),
+    ]
+    for run in encoded:
+        for text in (f"né: {run} . end", f"né: {run} . {run} . end"):
+            found = {(a, b) for kind, a, b in secrets.scan(text)[1] if kind == "assign"}
+            assert found and all(4 <= a < b <= len(text) - 6 for a, b in found)
+            assert text.count(run) == len({a > 6 + len(run) for a, _ in found})
+
+
+def test_compressed_bytes_are_not_read_as_text():
+    run = b64(gzip.compress(b"one, two. " * 400000))
+    assert secrets.scan(f"x {run} y")[1] == []
+
+
+def test_base64_over_line_breaks_is_joined():
+    for before in (b"", b"x", "éèé".encode() * 9, b"word " * 20):
+        for width in (19, 20, 64, 76):
+            text = "-----BEGIN PRIVATE KEY-----\n" + b64(before + SECRET.encode() + b" etc.", width) + "\n-----END"
+            spans = secrets.scan(text)[1]
+            whole = [(a, b) for _, a, b in spans if len(text[a:b].replace("\n", "")) >= len(b64(SECRET.encode()[:-1])) - 3]
+            assert whole, (before, width)
+
+
+def test_long_content_is_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 5000, raising=False)
+    monkeypatch.setattr(secrets, "OVERLAP", 500, raising=False)
+    monkeypatch.setattr(secrets, "MAX_LAYER", 5000, raising=False)
+    noise, words = NOISE * 5, b"one, two. " * 800
+    for inner in (SECRET.encode(), b64(gzip.compress(noise + SECRET.encode())).encode(), gzip.compress(noise + SECRET.encode()), b64(noise + SECRET.encode()).encode()):
+        for at in (0, 4980, 7990):
+            text = "x " + b64(gzip.compress(words[:at] + b", " + inner + b" , " + words)) + " y"
+            _, spans, _, oversized = secrets.scan(text)
+            assert ("assign", 2, len(text) - 2) in spans and oversized >= 1
+
+
 def test_secret_query_columns(spark, sf_dir):
     rows = secrets.find_secrets(docs_of(spark, [(1, None), (2, ""), (3, f"x {SECRET}"), (3, f"x {SECRET}")])).collect()
     assert [len(r["spans"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [0, 0, 1, 1]
