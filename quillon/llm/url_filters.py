@@ -2,7 +2,7 @@
 
 A block list is a log of dated entries (domain, at, action, list): from its date on, a domain is blocked, allowed or no
 longer listed. The entries of a domain and list become validity intervals by the date of the next entry. A capture is
-matched with the entries of its host and all parent domains that were active when it was fetched; of those, the most
+matched with the entries of its host and all parent domains, the last label included, that were active when it was fetched; of those, the most
 specific domain decides, and at equal domains `allow` wins over `block`.
 
 The as-of join is an equi-join: an interval is repeated for each calendar month that it touches, and a capture joins on
@@ -88,7 +88,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     spans = intervals(entries).withColumn("month", F.explode(months))
     labels = F.split("host", r"\.")
     domains = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
+        F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     asked = captures.select("capture", "fetched", key(F.col("fetched")).alias("month"), F.explode(domains).alias("domain"))

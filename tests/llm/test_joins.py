@@ -116,6 +116,15 @@ def test_as_of_intervals(spark):
     assert spark.range(1).select(url_filters.host_of(F.lit("HTTP://u:p@Ex.COM:80/x"))).first()[0] == "ex.com"
 
 
+def test_entries_of_a_last_label(spark):
+    log = [("zip", dt.date(2024, 1, 1), "block", "l"), ("localhost", dt.date(2024, 1, 1), "block", "l"), ("b.zip", dt.date(2024, 1, 1), "allow", "l")]
+    entries = spark.createDataFrame(log, "domain string, at date, action string, list string")
+    hosts = ["a.x.zip", "zip", "a.localhost", "a.b.zip", "a.unzip", "zip.com", ""]
+    captures = spark.createDataFrame([(k, h, dt.date(2024, 2, 1)) for k, h in enumerate(hosts)], "page_id long, host string, fetched date").withColumn("capture", F.struct("page_id", "host"))
+    got = [(r["verdict"], r["matched_domain"]) for r in url_filters.evaluate(captures, entries).orderBy("page_id").collect()]
+    assert got == [("block", "zip"), ("block", "zip"), ("block", "localhost"), ("allow", "b.zip"), *[("none", None)] * 3]
+
+
 # --- near copies
 
 
