@@ -110,6 +110,17 @@ def test_shortcuts_with_a_cycle_end(spark):
     assert {r["name"] for r in found.collect()} == {"a", "b", "email", "validemail"}
 
 
+def test_as_of_orders_offsets_by_cell(spark):
+    values = [-9000.5, -8999.0, -3.0, -2.5, 0.0, 0.5, 1.0, 7.0, 1023.0, 1024.0, 2500.0, 9000.0]
+    offsets = spark.createDataFrame([(v, f"t{v}") for v in values], "offset double, target string")
+    asked = [float(y) for v in values for y in (v - 0.25, v, v + 0.25)] + [5000.0, -5000.0, 99999.0]
+    found = lookup.as_of(spark.createDataFrame([(y,) for y in asked], "y double"), "y", offsets, 1.0)
+    wanted = [(y, max((v for v in values if v <= y), default=None)) for y in asked]
+    assert sorted((r["y"], r["target"]) for r in found.collect()) == sorted((y, None if v is None else f"t{v}") for y, v in wanted)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(offset" not in plan and "windowspecdefinition(0" not in plan
+
+
 def test_as_of_before_between_and_after(spark):
     offsets = spark.createDataFrame([(10.0, "a"), (20.0, "b"), (20.5, "c")], "offset double, target string")
     rows = spark.createDataFrame([(x,) for x in (-5.0, 9.99, 10.0, 19.0, 20.0, 20.4, 20.5, 1e6)], "y double")
