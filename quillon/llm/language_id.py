@@ -3,51 +3,87 @@
 A word gives features: itself and its character n-grams of 2 to 5 letters, between word marks; each feature is hashed
 to a row of an embedding table. A text is the mean of its features' rows, and a linear layer with softmax gives the
 languages' probabilities. Table and layer are trained together by stochastic gradient descent in numpy, with a rate that
-falls to zero, over segments of SEGMENT words.
+falls to zero, over segments of SEGMENT words. Words are runs without white space after lower-casing; of a run beyond
+LONGEST letters (a text without spaces) each LONGEST letters are a word.
 
 Calibrated rejection: on part of the sample that was not trained on, a temperature is fitted by likelihood, and the
 threshold is the score below which at most REJECT of the right answers lie. find_languages() marks texts below it
 (`rejected`) and leaves what follows from that to its caller; lang_pred stays the likeliest language.
 
-Learning uses rows with a language outside fold 2, about PER_LANGUAGE of each language by a hash of the id, whole texts;
-that bound limits what is collected on the driver. The model has a fixed size (BUCKETS x DIM) and is broadcast. Scoring
-is a map over rows without a shuffle; a worker remembers the mean rows of words that it met lately. Language, source and
-doc_id are never inputs of a prediction.
+Learning uses rows with a language outside fold 2: of each of the LANGUAGES most frequent languages about PER_LANGUAGE
+different texts, by a hash of the text, so that copies and rows without an id add nothing. Tasks cut SEGMENTS segments
+from all over each text, and score those that calibrate; this is what reaches the driver, so its amount has a bound
+that no length of text changes. The model has a fixed size (BUCKETS x languages) and is broadcast.
+
+Scoring is a map over rows without a shuffle. Words are numbered over many texts at once, each distinct word's features
+are hashed and summed in numpy, and texts add up the rows of their words. Language, source and doc_id are never inputs of
+a prediction.
 
 Defined results: 'und' with score 0 for a null text or one without a letter, and for all rows where no language can be
-learned. Rows that repeat get equal results.
+learned. A null doc_id stays null. Rows that repeat get equal results, and each a row. Of equally likely languages the
+first by name is given. An empty table gives an empty result; columns other than doc_id, text and lang are ignored.
+Memory of a task follows the longest text, not the number of its features.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.memory import Recent, held
-from quillon.llm.shared import fold_of, ship, table
+from quillon.llm.memory import held
+from quillon.llm.shared import Scratch, fold_of, ship, table
+from quillon.llm.shingles import mixed
 
-PER_LANGUAGE = 800
-BUCKETS, DIM = 1 << 16, 16
+PER_LANGUAGE, LANGUAGES = 800, 256
+BUCKET_BITS, DIM = 16, 16
+BUCKETS = 1 << BUCKET_BITS
 NGRAMS = (2, 3, 4, 5)
 SEGMENT, SEGMENTS, EPOCHS, BATCH, RATE = 24, 6, 4, 64, 40.0
 #: Steps of training at least, for small samples.
 STEPS = 600
 REJECT = 0.01
 UNDETERMINED = "und"
-#: Words that a worker remembers.
-MEMORY = 200_000
-
-
-def features(word: str) -> np.ndarray:
-    marked = f"<{word}>"
-    grams = [marked] + [marked[k : k + n] for n in NGRAMS for k in range(len(marked) - n + 1)]
-    return np.array([xxhash.xxh32_intdigest(g) % BUCKETS for g in grams], dtype=np.int64)
+LONGEST = 40
+#: Words that are numbered together, and numbers (rows x languages) of n-grams that are summed together.
+WORDS, SUMMED = 1 << 17, 1 << 22
+WORD = re.compile(rf"\S{{1,{LONGEST}}}")
+
+
+def word_lists(text: str) -> Iterator[list[str]]:
+    """The words of a text, in lists of bounded length."""
+    text = text.lower()
+    if len(text) <= WORDS:
+        yield WORD.findall(text)
+    else:
+        for found in batched(WORD.finditer(text), WORDS):
+            yield [m.group() for m in found]
+
+
+def windows(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For the words themselves and each n in turn: the buckets of all places, BUCKETS where no n-gram of a word begins,
+    and where each word's places start."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    joined = "<" + "><".join(words) + ">"
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # letters from a place to the end of its word
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    power = np.multiply.accumulate(np.full(LONGEST + 3, factor, np.uint64))
+    whole = np.add.reduceat(mixed(codes) * power[np.arange(len(codes)) - np.repeat(starts, sizes)], starts)
+    yield (mixed(whole, 1) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.arange(len(words))
+    h, ahead = codes, np.concatenate([codes, np.zeros(max(NGRAMS), np.uint64)])
+    for n in range(2, max(NGRAMS) + 1):
+        h = h * factor + ahead[n - 1 : n - 1 + len(codes)]
+        if n in NGRAMS:
+            yield np.where(left >= n, mixed(h, n) >> np.uint64(64 - BUCKET_BITS), np.uint64(BUCKETS)).astype(np.int64), starts
 
 
 class Classifier:
@@ -56,46 +92,89 @@ class Classifier:
     def __init__(self, languages: list[str], logits: np.ndarray, offset: np.ndarray, temperature: float, threshold: float) -> None:
         self.languages, self.logits, self.offset = languages, logits, offset
         self.temperature, self.threshold = temperature, threshold
-        self.words = Recent(self.word, MEMORY)
-
-    def word(self, word: str) -> np.ndarray:
-        """The sum of a word's feature rows, and their number."""
-        rows = features(word)
-        return np.append(self.logits[rows].sum(0), float(len(rows)))
-
-    def probabilities(self, text: str) -> np.ndarray:
-        total = np.sum([self.words[w] for w in text.lower().split()], axis=0)
-        z = (total[:-1] / total[-1] + self.offset) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
-
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0, True
-        p = self.probabilities(text)
-        k = int(p.argmax())
-        return self.languages[k], float(p[k]), bool(p[k] < self.threshold)
-
-
-def segments(texts: list[str], labels: list[int], seed: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature numbers of up to SEGMENTS segments of each text, spread over it, and their labels."""
-    rng, remembered = np.random.default_rng(seed), Recent(features, MEMORY)
-    out, of = [], []
-    for text, label in zip(texts, labels, strict=True):
-        words = text.lower().split()
-        if not words:
-            continue
+        #: One more column counts features; the last row is that of no feature.
+        self.table = np.zeros((BUCKETS + 1, len(languages) + 1), np.float32)
+        if languages:
+            self.table[:-1, :-1] = logits
+            self.table[:-1, -1] = 1.0
+
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        """For each word the sum of its features' rows, and their number."""
+        out = np.empty((len(words), self.table.shape[1]))
+        step = max(64, SUMMED // (self.table.shape[1] * (LONGEST + 2)))
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            out[at : at + len(part)] = sum(np.add.reduceat(np.take(self.table, buckets, axis=0), starts) for buckets, starts in windows(part))
+        return out
+
+    def means(self, texts: list[str]) -> np.ndarray:
+        """The languages' logits of each text; 0 for a text without words."""
+        total = np.zeros((len(texts), self.table.shape[1]))
+        words: list[str] = []
+        of: list[int] = []
+        sizes: list[int] = []
+
+        def add() -> None:
+            index: defaultdict[str, int] = defaultdict()
+            index.default_factory = index.__len__
+            numbers = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            rows = self.word_rows(list(index))[numbers]
+            np.add.at(total, of, np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]])))
+            words.clear(), of.clear(), sizes.clear()
+
+        for k, text in enumerate(texts):
+            for found in word_lists(text):
+                if found:
+                    words.extend(found)
+                    of.append(k)
+                    sizes.append(len(found))
+                if len(words) >= WORDS:
+                    add()
+        if words:
+            add()
+        return total[:, :-1] / np.maximum(total[:, -1:], 1.0) + self.offset
+
+    def softmax(self, z: np.ndarray) -> np.ndarray:
+        e = np.exp((z - z.max(1, keepdims=True)) / self.temperature)
+        return e / e.sum(1, keepdims=True)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """Language, score and whether it is rejected, for each text."""
+        out = [(UNDETERMINED, 0.0, True)] * len(texts)
+        some = [k for k, text in enumerate(texts) if text and self.languages and any(map(str.isalpha, text))]
+        if some:
+            p = self.softmax(self.means([texts[k] for k in some]))
+            best = p.argmax(1)
+            for k, b, score in zip(some, best.tolist(), p[np.arange(len(p)), best].tolist(), strict=True):
+                out[k] = self.languages[b], score, score < self.threshold
+        return out
+
+
+def segments(text: str, rng: np.random.Generator) -> list[str]:
+    """Up to SEGMENTS segments of a text, spread over it; words are separated by spaces."""
+    words = [w for part in word_lists(text) for w in part]
+    out = []
+    if words:
         n = min(SEGMENTS, max(1, len(words) // SEGMENT))
         for at in rng.integers(0, max(1, len(words) - SEGMENT + 1), n):
-            size = int(rng.integers(3, SEGMENT + 1))
-            out.append(np.concatenate([remembered[w] for w in words[at : at + size]]))
-            of.append(label)
-    return out, np.array(of)
+            out.append(" ".join(words[at : at + int(rng.integers(3, SEGMENT + 1))]))
+    return out
 
 
-def train(texts: list[str], labels: list[int], n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The table of logits and the offsets."""
-    xs, y = segments(texts, labels, seed)
+def features(cut: list[str]) -> list[np.ndarray]:
+    """The buckets of all features of each segment."""
+    index = {w: k for k, w in enumerate(dict.fromkeys(w for s in cut for w in s.split(" ")))}
+    of: list[list[np.ndarray]] = []
+    for part in batched(index, 4096):
+        per_word = [np.split(buckets, starts[1:]) for buckets, starts in windows(list(part))]
+        of += [[b[b < BUCKETS] for b in word] for word in zip(*per_word, strict=True)]
+    rows = [np.concatenate(word) for word in of]
+    return [np.concatenate([rows[index[w]] for w in s.split(" ")]) for s in cut]
+
+
+def train(cut: list[str], labels: list[int], n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The table of logits and the offsets, from segments and their languages' numbers."""
+    xs, y = features(cut), np.array(labels)
     rng = np.random.default_rng(seed)
     rows, layer, offset = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 1 / DIM, (DIM, n)), np.zeros(n)
     weight = len(y) / (n * np.maximum(np.bincount(y, minlength=n), 1))  # rare languages count as much as others
@@ -118,77 +197,106 @@ def train(texts: list[str], labels: list[int], n: int, seed: int = 7) -> tuple[n
             down = p @ layer.T / sizes[:, None]
             layer -= 0.02 * rate * (mean.T @ p)
             offset -= 0.02 * rate * p.sum(0)
-            np.add.at(rows, flat, -rate * np.repeat(down, sizes, axis=0))
+            np.add.at(rows.reshape(-1), (flat[:, None] * DIM + np.arange(DIM)).reshape(-1), np.repeat(-rate * down, sizes, axis=0).reshape(-1))
             step += 1
     return rows @ layer, offset
 
 
-def calibrate(model: Classifier, texts: list[str], labels: list[int]) -> None:
-    """Set the temperature and the threshold from rows that were not trained on."""
-    if not texts:
+def calibrate(model: Classifier, z: np.ndarray, y: np.ndarray) -> None:
+    """Set the temperature and the threshold from logits and languages' numbers of texts that were not trained on."""
+    if not len(y):
         return
-    p = np.array([model.probabilities(t) for t in texts])
-    z, y = np.log(np.maximum(p, 1e-12)), np.array(labels)
-    candidates = np.geomspace(0.05, 20, 60)
+
+    # as if one text more had been right and one wrong, so that a sample without an error does not make all scores 1
+    n = z.shape[1]
+    wanted = np.full(z.shape, 1 / (len(y) + 2) / max(1, n - 1))
+    wanted[np.arange(len(y)), y] = (len(y) + 1) / (len(y) + 2)
 
     def loss(t: float) -> float:
-        e = np.exp((z - z.max(1, keepdims=True)) / t)
-        return -float(np.log(e[np.arange(len(y)), y] / e.sum(1) + 1e-300).mean())
+        model.temperature = float(t)
+        return -float((wanted * np.log(model.softmax(z) + 1e-300)).sum())
 
-    model.temperature = float(min(candidates, key=loss))
-    p = np.array([model.probabilities(t) for t in texts])
+    model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
+    p = model.softmax(z)
     right = p[np.arange(len(y)), y][p.argmax(1) == y]
     model.threshold = float(np.quantile(right, REJECT)) if len(right) else 0.0
 
 
-def learn(docs: DataFrame) -> Classifier:
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold_of() != 2))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def take_sample(docs: DataFrame) -> DataFrame:
+    """lang, text, hash and calibrates of the rows to learn from: different texts, about PER_LANGUAGE for each language."""
+    rows = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (fold_of() != 2)).select("lang", "text", F.xxhash64("text").alias("hash"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
-        return Classifier([], np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, int(1_000_000 * PER_LANGUAGE / n)))])
-    keep = draw < F.element_at(shares, F.col("lang"))
-    sample = rows.where(keep).select("lang", "text", (draw % 5 == 0).alias("held")).orderBy(F.xxhash64("doc_id")).collect()
-    sample = [r for r in sample if any(map(str.isalpha, r["text"]))]
-    languages = sorted({r["lang"] for r in sample if not r["held"]})
-    number = {lang: k for k, lang in enumerate(languages)}
+        return rows.select("*", F.lit(False).alias("calibrates")).limit(0)
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(1, int(1_000_000 * PER_LANGUAGE / r["n"])))])
+    draw = F.pmod("hash", F.lit(1_000_000))
+    sample = rows.where(draw < F.try_element_at(shares, F.col("lang"))).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    return sample.select("lang", "text", "hash", (F.pmod(F.shiftright("hash", 24), F.lit(5)) == 0).alias("calibrates"))
+
+
+def learn(docs: DataFrame, scratch: Scratch | None = None) -> Classifier:
+    spark = ship(docs.sparkSession)
+    scratch = scratch or Scratch(spark)
+    sample = scratch.keep(take_sample(docs), "sample")
+
+    def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [segments(t.as_py(), np.random.default_rng(h.as_py() & (1 << 62) - 1)) for t, h in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.string())), batch.column(2)], ["lang", "cut", "hash"])
+
+    seen = sample.where("not calibrates").select("lang", "text", "hash").mapInArrow(cut_rows, "lang string, cut array<string>, hash long")
+    seen = sorted((r["lang"], r["hash"], s) for r in seen.collect() for s in r["cut"])  # the bound is on rows, segments and their lengths
+    languages = sorted({r[0] for r in seen})
     if not languages:
         return Classifier([], np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
-    seen = [r for r in sample if not r["held"]]
-    logits, offset = train([r["text"] for r in seen], [number[r["lang"]] for r in seen], len(languages))
+    number = {lang: k for k, lang in enumerate(languages)}
+    logits, offset = train([s for _, _, s in seen], [number[lang] for lang, _, _ in seen], len(languages))
     model = Classifier(languages, logits.astype(np.float32), offset, 1.0, 0.0)
-    held = [r for r in sample if r["held"] and r["lang"] in number]
-    calibrate(model, [r["text"] for r in held], [number[r["lang"]] for r in held])
+    shared = _shared(spark, model)
+
+    def logit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _model(shared)
+        for batch in batches:
+            z = own.means(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z.tolist(), pa.list_(pa.float64()))], ["lang", "z"])
+
+    rest = sample.where("calibrates").select("lang", "text").mapInArrow(logit_rows, "lang string, z array<double>").collect()
+    rest = sorted((number[r["lang"]], tuple(r["z"])) for r in rest if r["lang"] in number)
+    calibrate(model, np.array([z for _, z in rest]), np.array([k for k, _ in rest], int))
+    scratch.drop("sample")
     return model
 
 
+def _shared(spark: SparkSession, model: Classifier):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, (model.languages, model.logits, model.offset, model.temperature, model.threshold)))
+
+
 def _model(shared) -> Classifier:
     key, parts = shared.value
     return held(key, lambda: Classifier(*parts))
 
 
-def find_languages(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
+def find_languages(docs: DataFrame, model: Classifier | None = None, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document."""
     spark = ship(docs.sparkSession)
-    model = model or learn(docs)
-    parts = (model.languages, model.logits, model.offset, model.temperature, model.threshold)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, parts))
+    shared = _shared(spark, model or learn(docs, scratch))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(shared)
         for batch in batches:
-            found = [own.predict(text.as_py()) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    pa.array([f[0] for f in found], pa.string()),
-                    pa.array([f[1] for f in found], pa.float64()),
-                    pa.array([f[2] for f in found], pa.bool_()),
-                ],
-                ["doc_id", "held_out", "lang_pred", "score", "rejected"],
-            )
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                found = own.predict(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(2),
+                        pa.array([f[0] for f in found], pa.string()),
+                        pa.array([f[1] for f in found], pa.float64()),
+                        pa.array([f[2] for f in found], pa.bool_()),
+                    ],
+                    ["doc_id", "held_out", "lang_pred", "score", "rejected"],
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold_of() == 2).alias("held_out")).mapInArrow(
         rows, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
