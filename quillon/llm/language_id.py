@@ -27,9 +27,7 @@ Memory of a task follows the longest text, not the number of its features.
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import batched
 
@@ -41,6 +39,7 @@ from pyspark.sql import functions as F
 from quillon.llm.memory import held
 from quillon.llm.shared import Scratch, fold_of, ship, table
 from quillon.llm.shingles import mixed
+from quillon.llm.words import LONGEST, numbered, word_lists
 
 PER_LANGUAGE, LANGUAGES = 800, 256
 BUCKET_BITS, DIM = 16, 16
@@ -51,20 +50,8 @@ SEGMENT, SEGMENTS, EPOCHS, BATCH, RATE = 24, 6, 4, 64, 40.0
 STEPS = 600
 REJECT = 0.01
 UNDETERMINED = "und"
-LONGEST = 40
-#: Words that are numbered together, and numbers (rows x languages) of n-grams that are summed together.
-WORDS, SUMMED = 1 << 17, 1 << 22
-WORD = re.compile(rf"\S{{1,{LONGEST}}}")
-
-
-def word_lists(text: str) -> Iterator[list[str]]:
-    """The words of a text, in lists of bounded length."""
-    text = text.lower()
-    if len(text) <= WORDS:
-        yield WORD.findall(text)
-    else:
-        for found in batched(WORD.finditer(text), WORDS):
-            yield [m.group() for m in found]
+#: Numbers (rows x languages) of n-grams that are summed together.
+SUMMED = 1 << 22
 
 
 def windows(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -110,28 +97,9 @@ class Classifier:
     def means(self, texts: list[str]) -> np.ndarray:
         """The languages' logits of each text; 0 for a text without words."""
         total = np.zeros((len(texts), self.table.shape[1]))
-        words: list[str] = []
-        of: list[int] = []
-        sizes: list[int] = []
-
-        def add() -> None:
-            index: defaultdict[str, int] = defaultdict()
-            index.default_factory = index.__len__
-            numbers = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-            rows = self.word_rows(list(index))[numbers]
+        for words, numbers, of, sizes in numbered(texts):
+            rows = self.word_rows(words)[numbers]
             np.add.at(total, of, np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]])))
-            words.clear(), of.clear(), sizes.clear()
-
-        for k, text in enumerate(texts):
-            for found in word_lists(text):
-                if found:
-                    words.extend(found)
-                    of.append(k)
-                    sizes.append(len(found))
-                if len(words) >= WORDS:
-                    add()
-        if words:
-            add()
         return total[:, :-1] / np.maximum(total[:, -1:], 1.0) + self.offset
 
     def softmax(self, z: np.ndarray) -> np.ndarray:
