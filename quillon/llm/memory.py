@@ -1,27 +1,44 @@
-"""What a Python worker remembers: one model, and a bounded number of results."""
+"""What a Python worker remembers: one model, and results up to a number of bytes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-
-class Recent(dict):
-    """recent[key] is function(key). Of more than `most` results, those that were asked for lately stay."""
-
-    def __init__(self, function: Callable, most: int, longest: int = 64) -> None:
-        self.function, self.half, self.longest, self.older = function, max(1, most // 2), longest, {}
-
-    def __missing__(self, key: str):
-        value = self.older.get(key)
-        if value is None:
-            value = self.function(key)
-            if len(key) > self.longest:
-                return value
-        if len(self) >= self.half:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+from collections.abc import Callable, Iterable
+
+#: Bytes of an entry besides its letters: its place in the table, and two objects.
+ENTRY = 200
+
+
+class Recent:
+    """Results (bytes) of a function of lists of texts. Of those beyond `most` bytes, the ones asked for lately stay; what
+    belongs to a text of more than `longest` letters is not remembered."""
+
+    def __init__(self, function: Callable[[list[str]], list[bytes]], most: int, longest: int = 64) -> None:
+        self.function, self.half, self.longest = function, most // 2, longest
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def of(self, keys: Iterable[str]) -> dict[str, bytes]:
+        """The result of each key."""
+        found, missing = {}, []
+        for key in keys:
+            if (value := self.newer.get(key)) is None:
+                if (value := self.older.get(key)) is None:
+                    missing.append(key)
+                    continue
+                self._remember(key, value)
+            found[key] = value
+        for key, value in zip(missing, self.function(missing), strict=True):
+            found[key] = value
+            if len(key) <= self.longest:
+                self._remember(key, value)
+        return found
+
+    def _remember(self, key: str, value: bytes) -> None:
+        self.bytes += ENTRY + len(key) + len(value)
+        if self.bytes > self.half:
+            self.newer, self.older, self.bytes = {}, self.newer, 0
+        self.newer[key] = value
 
 
 _HELD: dict[object, object] = {}

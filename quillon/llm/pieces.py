@@ -1,33 +1,44 @@
 """SentencePiece encoding and decoding (operator 8) by a weighted finite-state transducer.
 
-Three machines are compiled from a model file with byte-pair pieces:
+Machines are compiled from a model file (byte-pair or unigram pieces):
 
-* the normaliser: every space becomes the mark U+2581, and one mark is put before the text;
-* the pieces: a trie that reads characters and writes a piece, with an arc of weight -score for each piece that its own
-  merges produce; a character outside the vocabulary reads as the bytes of its UTF-8 form (byte fallback);
-* the merge acceptor: its states are pieces, and it has an arc from piece a to piece b where merging the text ab gives
-  just a and b. All other arcs have infinite weight. Arcs are made when first asked for, and kept.
+* the normaliser: the model's own table of replacements (the longest match from the left), its handling of extra spaces, the
+  mark U+2581 for each space, and a mark before the text, as the model's flags say;
+* the pieces: a trie that reads characters and writes a piece, with an arc of weight -score for each piece. A character
+  outside the vocabulary reads as the bytes of its UTF-8 form (byte fallback), or as the unknown piece;
+* the acceptor of neighbours, for byte-pair models: its states are pieces, and the arc from piece a to piece b has weight
+  zero where merging the text ab gives just a and b, and infinite weight otherwise. Arcs are made when first asked for,
+  and kept. Merging is local: a sequence of pieces is what the merges make of their text if and only if each two
+  neighbours are. A unigram model accepts all neighbours, with one state.
 
-Merging is local: a sequence of pieces is what the merges make of their text if and only if each two neighbours are.
-So composing the machines with an input and taking the path of least weight (min, +) gives the model's own encoding,
-which a path over piece scores alone would not; it is the one path of finite weight. Composition runs left to right over
-states (position, last piece).
+The machines are composed with an input, and the path of least weight in the tropical semiring (weights add along a path, the
+least of all paths counts) is found in one pass over the states (position, state of the acceptor) in the order of
+positions. For byte-pair models this gives the model's own encoding, which a path over piece scores alone would not.
 
-No piece reads a mark after another character, and no piece has a character that only stands alone, so the composed
-machine has one state at these points. Texts are cut there, and a shortest path that was found for a segment is used
-again where the segment recurs (a bounded memory in each Python worker).
+Texts are cut where all paths have one state: before marks, if no piece has one after another character, beside
+characters that no piece joins to others, and in long runs between characters that no piece has side by side. The paths of
+many different segments are searched side by side in numpy, and one that was found is used again where its segment
+recurs; a worker remembers MEMORY bytes of them.
 
-Decoding reads ids back: pieces are joined, runs of byte pieces are decoded as UTF-8, marks become spaces and the first
-space goes. It gives back each text exactly, unless that has the mark itself or lone surrogates.
+Decoding reads ids back: pieces are joined, runs of byte pieces are decoded as UTF-8, marks become spaces and the space put
+before the text goes. It gives back each text exactly where the model's normaliser changes nothing but spaces, and the
+text has no mark of its own and no lone surrogates.
+
+Models with words or characters as pieces, pieces of a user, or marks behind words are refused with an error.
 
 Scale: a map over rows; no shuffle. The model file is read on the driver from `model_file` and sent to the tasks; its
-size is fixed. Defined results: a null or empty text has no pieces; rows are independent of each other.
+size is fixed. Defined results: a null or empty text has no pieces; rows are independent of each other, so rows that
+repeat get equal results and a null doc_id stays null; an empty table gives an empty result; columns other than doc_id
+and text are ignored. Memory follows the longest text, and the longest run of characters without a cut.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,40 +51,226 @@ from quillon.llm.shared import ship, table
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 FAR = float("inf")
-#: Segments, and half the pairs of pieces, that a worker remembers.
-MEMORY = 400_000
+#: Bytes of paths that a worker remembers; neighbours whose arcs, and pieces whose merges it remembers.
+MEMORY, ARCS, TRACES = 40 << 20, 300_000, 10_000
+#: Rows that are encoded together; characters whose paths are searched together; the least length of a segment that is cut.
+ROWS, TOGETHER, LONG = 512, 1 << 17, 48
+#: Numbers of the model format: kinds of models and of pieces.
+UNIGRAM, BPE = 1, 2
+PLAIN, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
+#: What an unknown piece is read back as.
+READ_UNKNOWN = " \u2047 "
+#: What a unigram model adds to its least score for an unknown character.
+UNKNOWN_PENALTY = 10.0
+
+
+@dataclass(frozen=True)
+class Model:
+    """What a model file says. pieces: (text, score, kind) by id; charsmap: the packed table of replacements."""
+
+    pieces: list[tuple[str, float, int]]
+    kind: int = BPE
+    charsmap: bytes = b""
+    prefix: bool = True
+    trim: bool = False
+    escape: bool = True
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a message in the wire format of protocol buffers."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return value
+
+    while at < len(data):
+        number, wire = divmod(varint(), 8)
+        if wire == 0:
+            yield number, varint()
+            continue
+        size = varint() if wire == 2 else {1: 8, 5: 4}[wire]
+        yield number, data[at : at + size]
+        at += size
+
+
+def read_model(model_file: str = MODEL_FILE) -> Model:
+    """Reads a model file; one that the machines cannot express is an error."""
+    with open(model_file, "rb") as f:
+        return parse_model(f.read())
+
+
+def parse_model(data: bytes) -> Model:
+    pieces, kind, flags = [], UNIGRAM, {3: True, 4: True, 5: True}
+    charsmap, suffix = b"", False
+    for number, value in _fields(data):
+        if number == 1:
+            of = dict(_fields(value))
+            pieces.append((of[1].decode(), struct.unpack("<f", of.get(2, b"\0\0\0\0"))[0], of.get(3, PLAIN)))
+        elif number == 2:
+            of = dict(_fields(value))
+            kind, suffix = of.get(3, UNIGRAM), bool(of.get(24, 0))
+        elif number == 3:
+            of = dict(_fields(value))
+            charsmap = of.get(2, b"")
+            flags |= {k: bool(of[k]) for k in flags if k in of}
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError("only unigram and byte-pair models can be compiled")
+    if suffix or any(k == USER_DEFINED for _, _, k in pieces):
+        raise ValueError("models with marks behind words or with pieces of a user cannot be compiled")
+    return Model(pieces, kind, charsmap, flags[3], flags[4], flags[5])
+
+
+def replacements(charsmap: bytes) -> dict[str, str]:
+    """The table of replacements: a double-array trie over UTF-8 bytes, and texts that end in a zero byte."""
+    if not charsmap:
+        return {}
+    (size,) = struct.unpack("<I", charsmap[:4])
+    units = np.frombuffer(charsmap[4 : 4 + size], np.uint32).astype(np.int64)
+    texts, found = charsmap[4 + size :], {}
+    offset = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+    labels, letters = units & 0x800000FF, np.arange(1, 256)
+    todo = [(b"", int(offset(units[0])))]
+    while todo:
+        key, base = todo.pop()
+        places = base ^ letters
+        for at in places[(places < len(units)) & (labels[np.minimum(places, len(units) - 1)] == letters)].tolist():
+            unit, longer = int(units[at]), key + bytes([base ^ at])
+            below = at ^ offset(unit)
+            if unit >> 8 & 1:
+                begin = int(units[below]) & 0x7FFFFFFF
+                found[longer.decode()] = texts[begin : texts.index(b"\0", begin)].decode()
+            todo.append((longer, below))
+    return found
+
+
+class Normaliser:
+    """The machine that a text passes first."""
+
+    def __init__(self, model: Model) -> None:
+        self.prefix, self.trim = model.prefix, model.trim
+        self.mark = MARK if model.escape else " "
+        self.rules = replacements(model.charsmap)
+        firsts: dict[str, set[int]] = {}
+        for source in self.rules:
+            firsts.setdefault(source[0], set()).add(len(source))
+        self.lengths = {char: sorted(sizes, reverse=True) for char, sizes in firsts.items()}
+        self.may = re.compile("[" + "".join(map(re.escape, sorted(firsts))) + "]") if firsts else None
+
+    def replaced(self, text: str) -> str:
+        out, done, at = [], 0, 0
+        while (m := self.may.search(text, at)) is not None:
+            at = m.start()
+            for size in self.lengths[text[at]]:
+                if (to := self.rules.get(text[at : at + size])) is not None:
+                    out += (text[done:at], to)
+                    done = at = at + size
+                    break
+            else:
+                at += 1
+        return "".join(out) + text[done:] if out else text
+
+    def __call__(self, text: str) -> str:
+        if self.may is not None:
+            text = self.replaced(text)
+        if self.trim:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return text
+        return (self.mark if self.prefix else "") + text.replace(" ", self.mark)
+
+
+class Numbers:
+    """A fixed map from numbers to numbers from 1 on, 0 for all others: tables of slots, each for what collides before."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]] = []
+        factor = 0x9E3779B97F4A7C15
+        while len(keys):
+            bits = len(keys).bit_length() + 3
+            factor = factor * 0xBF58476D1CE4E5B9 % (1 << 64) | 1
+            slot = keys.astype(np.uint64) * np.uint64(factor) >> np.uint64(64 - bits)
+            _, first = np.unique(slot, return_index=True)
+            own, to = np.full(1 << bits, -1), np.zeros(1 << bits, np.int32)
+            own[slot[first]], to[slot[first]] = keys[first], values[first]
+            self.tables.append((np.uint64(factor), np.uint64(64 - bits), own, to))
+            keys, values = np.delete(keys, first), np.delete(values, first)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        for factor, shift, own, to in self.tables:
+            slot = keys[todo].astype(np.uint64) * factor >> shift
+            there = own[slot]
+            hit = there == keys[todo]
+            out[todo[hit]] = to[slot[hit]]
+            todo = todo[~hit & (there >= 0)]
+            if not len(todo):
+                break
+        return out
 
 
 class Transducer:
-    """The composed machines. pieces: (text, score, is_plain) by id; byte pieces are written <0xNN>."""
+    """The composed machines of a model."""
 
-    def __init__(self, pieces: list[tuple[str, float, bool]], unknown: int) -> None:
+    def __init__(self, model: Model) -> None:
+        pieces = model.pieces
+        self.normalise, self.merges, self.prefix = Normaliser(model), model.kind == BPE, model.prefix
         self.texts = [text for text, _, _ in pieces]
-        self.unknown = unknown
-        self.ids = {text: i for i, (text, _, plain) in enumerate(pieces) if plain}
-        self.cost = {i: -score for i, (_, score, plain) in enumerate(pieces) if plain}
-        self.bytes = {int(text[3:5], 16): i for i, (text, _, _) in enumerate(pieces) if re.fullmatch(r"<0x[0-9A-F]{2}>", text)}
+        self.unknown = next((i for i, (_, _, kind) in enumerate(pieces) if kind == UNKNOWN), 0)
+        self.ids = {text: i for i, (text, _, kind) in enumerate(pieces) if kind == PLAIN}
+        self.bytes = {int(text[3:5], 16): i for i, (text, _, kind) in enumerate(pieces) if kind == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         #: What an id is read back as, and whether it is a byte that only means something beside others.
-        self.read_as = [chr(self.byte_of[i]) if i in self.byte_of else text for i, text in enumerate(self.texts)]
+        plain = {CONTROL: "", UNKNOWN: READ_UNKNOWN}
+        self.read_as = [chr(self.byte_of[i]) if i in self.byte_of else plain.get(kind, text) for i, (text, _, kind) in enumerate(pieces)]
         self.partial = np.array([self.byte_of.get(i, 0) >= 0x80 for i in range(len(pieces))])
+        #: Weights of the pieces, and last that of a character aside from the vocabulary.
+        self.other = len(pieces)
+        least = [-score for text, score, kind in pieces if kind == PLAIN]
+        self.cost = np.array([*(-score for _, score, _ in pieces), max(least, default=0.0) + UNKNOWN_PENALTY])
         self.traces: dict[int, tuple] = {}
-        self.trie: dict = {}
+        self.arcs: dict[int, bool] = {}
+        self._compile_pieces()
+        self._compile_cuts()
+        self.paths = Recent(self.paths_of, MEMORY)
+
+    def _compile_pieces(self) -> None:
+        """The trie: nodes are numbered from 0 on, edges.of(node * letters + letter) is the next node."""
+        letters = sorted({c for text in self.ids for c in text} - {"\0"})
+        self.letters = len(letters) + 1
+        self.number = np.zeros(0x110000, np.uint16 if self.letters < 1 << 16 else np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, self.letters)
+        nodes, keys = {"": 0}, []
+        piece_of = [-1]
         for text, piece in self.ids.items():
-            if len(text) > 1 and not self.reachable(piece):
-                continue
-            node = self.trie
-            for char in text:
-                node = node.setdefault(char, {})
-            node[""] = piece
+            if self.merges and len(text) > 1 and not self.trace(piece)[3]:
+                continue  # no merges make it
+            for k in range(1, len(text) + 1):
+                if text[:k] not in nodes:
+                    nodes[text[:k]] = len(nodes)
+                    keys.append(nodes[text[: k - 1]] * self.letters + int(self.number[ord(text[k - 1])]))
+                    piece_of.append(-1)
+            piece_of[nodes[text]] = piece
+        self.edges, self.piece_of = Numbers(np.array(keys, np.int64), np.arange(1, len(nodes))), np.array(piece_of)
+        self.traces.clear()
+
+    def _compile_cuts(self) -> None:
+        mark = self.normalise.mark
         joined = {c for text in self.ids if len(text) > 1 for c in text}
-        inside = "".join(sorted(re.escape(c) for c in joined - {MARK}))
+        inside = "".join(sorted(re.escape(c) for c in joined - {mark}))
         # marks and what follows them, or a run without marks, or one character that joins no other
-        self.segment = re.compile(f"{MARK}+[{inside}]*|[{inside}]+|.", re.DOTALL) if inside else re.compile(f"{MARK}+|.", re.DOTALL)
-        self.arcs: dict[int, bool] = {}
+        alone = any(mark in text.lstrip(mark) for text in self.ids)
+        runs = f"[{inside}{mark}]+|." if alone else f"{mark}+[{inside}]*|[{inside}]+|."
+        self.segment = re.compile(runs if inside else f"{mark}+|.", re.DOTALL)
         #: Neighbours that some piece has.
         self.beside = {text[k : k + 2] for text in self.ids for k in range(len(text) - 1)}
-        self.paths, self.parts = Recent(self.split_path, MEMORY), Recent(self.path, MEMORY)
 
     def trace(self, piece: int) -> tuple[list[float], list[str], list[str], bool]:
         """How the merges build a piece's text alone: the weight of each merge, the last and the first part before each
@@ -95,102 +292,142 @@ class Transducer:
             weights.append(best)
             lasts.append(parts[-1])
             firsts.append(parts[0])
+        if len(self.traces) > TRACES:
+            self.traces.clear()
         known = self.traces[piece] = ([*weights, FAR], lasts, firsts, len(parts) == 1)
         return known
 
-    def reachable(self, piece: int) -> bool:
-        return self.trace(piece)[3]
-
     def arc(self, a: int, b: int) -> bool:
         """Whether the text of a and b merges to a and b: both are built side by side, in the order of their weights,
         and at no time the parts that meet make a piece that would be merged first."""
-        key = a * len(self.texts) + b
-        if (known := self.arcs.get(key)) is not None:
-            return known
-        if len(self.arcs) > 2 * MEMORY:
+        if len(self.arcs) > ARCS:
             self.arcs.clear()
-        left, lasts, _, _ = self.trace(a)
-        right, _, firsts, _ = self.trace(b)
-        i = j = 0
-        last, first, apart = "", "", True
-        while True:
-            if lasts[i] is not last or firsts[j] is not first:
-                last, first = lasts[i], firsts[j]
-                piece = self.ids.get(last + first)
-                across = FAR if piece is None else self.cost[piece]
-            if across < left[i] and across <= right[j]:
-                apart = False
-                break
-            if left[i] <= right[j]:
-                if left[i] == FAR:
+        apart, i, j = True, 0, 0
+        if a != self.other and b != self.other:
+            left, lasts, _, _ = self.trace(a)
+            right, _, firsts, _ = self.trace(b)
+            last = first = ""
+            while True:
+                if lasts[i] is not last or firsts[j] is not first:
+                    last, first = lasts[i], firsts[j]
+                    piece = self.ids.get(last + first)
+                    across = FAR if piece is None else self.cost[piece]
+                if across < left[i] and across <= right[j]:
+                    apart = False
                     break
-                i += 1
-            else:
-                j += 1
-        self.arcs[key] = apart
+                if left[i] <= right[j]:
+                    if left[i] == FAR:
+                        break
+                    i += 1
+                else:
+                    j += 1
+        self.arcs[a * (self.other + 1) + b] = apart
         return apart
 
+    def follows(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Which pieces may stand behind those before them."""
+        keys = (before * (self.other + 1) + pieces).tolist()
+        found = np.fromiter(map(self.arcs.get, keys, repeat(2)), np.int8, len(keys))
+        for k in np.flatnonzero(found == 2).tolist():
+            found[k] = self.arc(int(before[k]), int(pieces[k]))
+        return found > 0
+
     def fallback(self, char: str) -> tuple[int, ...]:
         raw = char.encode("utf-8", "replace")
         return tuple(self.bytes[b] for b in raw) if len(self.bytes) == 256 else (self.unknown,)
 
-    def steps(self, text: str, at: int) -> list[tuple[int, int]]:
-        """The arcs of the pieces machine from a position of a text: end and piece, the longest first; -1: bytes."""
-        node, end, n, out = self.trie, at, len(text), []
-        while end < n and (node := node.get(text[end])) is not None:
-            end += 1
-            if (piece := node.get("")) is not None:
-                out.append((end, piece))
-        if not out or out[0][0] > at + 1:
-            out.insert(0, (at + 1, -1))
-        out.reverse()
-        return out
-
-    def path(self, segment: str) -> bytes:
-        """The ids (as int32 in bytes) on the path of least weight through a segment.
-
-        Only one path through the composed machine has a finite weight, so the first that a search from the left
-        completes is the least; states from which none goes on are left for good.
+    def pieces_at(self, codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The arcs of the pieces machine over numbered characters (0: none of the vocabulary): start, end and piece."""
+        at, node, depth, found = np.flatnonzero(inside), 0, 0, []
+        ahead = np.concatenate([codes, [0]])
+        while len(at):
+            letter = ahead[np.minimum(at + depth, len(codes))]
+            node = np.where(letter > 0, self.edges.of(node * self.letters + letter), 0)
+            at, node, depth = at[node > 0], node[node > 0], depth + 1
+            hit = self.piece_of[node] >= 0
+            found.append((at[hit], at[hit] + depth, self.piece_of[node[hit]]))
+        aside = inside.copy()
+        if found:
+            aside[found[0][0]] = False  # what a piece of one character reads
+        aside = np.flatnonzero(aside)
+        found.append((aside, aside + 1, np.full(len(aside), self.other)))
+        return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+    def shortest(self, segments: list[str]) -> list[bytes]:
+        """For each segment the ids (as int32 in bytes) on the path of least weight.
+
+        Segments stand one behind another, each with an end mark, and are gone through side by side: in turn k come the
+        arcs that begin at the k-th position of each. A position has one state of the acceptor: a unigram acceptor has no
+        other, and what merges make of a text up to there is one sequence. `weight` is the least of the paths to a
+        position, `last` its acceptor's state, `back` where its last arc begins.
         """
-        n, arcs, size = len(segment), self.arcs, len(self.texts)
-        stack, dead = [(0, -1, iter(self.steps(segment, 0)))], set()
-        while stack:
-            at, last, ahead = stack[-1]
-            if at == n:
-                break
-            for end, piece in ahead:
-                if last >= 0 and piece >= 0:
-                    known = arcs.get(last * size + piece)
-                    if not (self.arc(last, piece) if known is None else known):
-                        continue
-                if dead and (end, piece) in dead:
-                    continue
-                stack.append((end, piece, iter(self.steps(segment, end)) if end < n else None))
-                break
-            else:
-                dead.add((at, last))
-                stack.pop()
-        ids: list[int] = []
-        for (at, _, _), (_, piece, _) in zip(stack, stack[1:], strict=False):
-            ids += (piece,) if piece >= 0 else self.fallback(segment[at])
-        return np.array(ids, dtype=np.int32).tobytes()
-
-    def split_path(self, segment: str) -> bytes:
-        """The path through a segment, cut where no piece has the two neighbours side by side."""
-        beside, cuts = self.beside, [0]
-        for k in range(1, len(segment)):
-            if segment[k - 1 : k + 1] not in beside:
-                cuts.append(k)
-        if len(cuts) == 1:
-            return self.path(segment)
-        cuts.append(len(segment))
-        return b"".join([self.parts[segment[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)])
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments)) + 1
+        begins = np.cumsum(sizes) - sizes
+        text = np.frombuffer(("\0".join(segments) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.ones(len(text), bool)
+        inside[begins + sizes - 1] = False
+        codes = np.where(inside, self.number[text], 0).astype(np.int64)
+        start, end, piece = self.pieces_at(codes, inside)
+        turn = start - np.repeat(begins, sizes)[start]
+        order = np.argsort(turn, kind="stable")
+        start, end, piece, turn = start[order], end[order], piece[order], turn[order]
+        turns = np.searchsorted(turn, np.arange(sizes.max())).tolist()
+        weight, last, back = np.full(len(text), FAR), np.full(len(text), self.other), np.full(len(text), -1)
+        weight[begins] = 0.0
+        for a, b in zip(turns, turns[1:], strict=False):
+            s, e, p = start[a:b], end[a:b], piece[a:b]
+            if self.merges:
+                fits = self.follows(last[s], p)
+                s, e, p = s[fits], e[fits], p[fits]
+            w = weight[s] + self.cost[p]
+            less = w < weight[e]  # of equal paths the one whose last piece begins first
+            np.minimum.at(weight, e, w)
+            least = less & (w == weight[e])
+            last[e[least]], back[e[least]] = p[least], s[least]
+        steps, at, of = [], begins + sizes - 1, np.arange(len(segments))
+        while len(at):
+            at, of, ids = back[at], of, last[at]
+            steps.append((of, ids, text[at]))
+            more = at > begins[of]
+            at, of = at[more], of[more]
+        of, ids, chars = (np.concatenate([x[k] for x in reversed(steps)]) for k in range(3))
+        order = np.argsort(of, kind="stable")
+        of, ids, chars = of[order], ids[order], chars[order]
+        if (ids == self.other).any():
+            raw = [self.fallback(chr(c)) if i == self.other else (i,) for i, c in zip(ids.tolist(), chars.tolist(), strict=True)]
+            of, ids = np.repeat(of, list(map(len, raw))), np.array([i for r in raw for i in r])
+        data, ends = ids.astype(np.int32).tobytes(), (4 * np.cumsum(np.bincount(of, minlength=len(segments)))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def cut(self, segment: str) -> list[str]:
+        """A segment in parts: cut where no piece has the two neighbours side by side."""
+        cuts = [0, *(k for k in range(1, len(segment)) if segment[k - 1 : k + 1] not in self.beside), len(segment)]
+        return [segment[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def paths_of(self, segments: list[str]) -> list[bytes]:
+        """The shortest path of each segment; long ones are cut first."""
+        parts = {s: self.cut(s) for s in segments if len(s) > LONG}
+        todo = list({*(s for s in segments if s not in parts), *chain(*parts.values())})
+        found: dict[str, bytes] = {}
+        at = size = 0
+        for k, s in enumerate(todo):
+            size += len(s) + 1
+            if size >= TOGETHER or k + 1 == len(todo):
+                found |= zip(todo[at : k + 1], self.shortest(todo[at : k + 1]), strict=True)
+                at, size = k + 1, 0
+        return [b"".join(map(found.__getitem__, parts[s])) if s in parts else found[s] for s in segments]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts = [self.segment.findall(self.normalise(text or "")) for text in texts]
+        paths = self.paths.of(set(chain(*parts)))
+        out = [np.frombuffer(b"".join(map(paths.__getitem__, of)), dtype=np.int32) for of in parts]
+        if len(self.bytes) < 256:  # neighbouring unknown characters are one unknown piece
+            out = [ids[np.concatenate([[True], (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)])] if len(ids) else ids for ids in out]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        segments = self.segment.findall(MARK + text.replace(" ", MARK))
-        return np.frombuffer(b"".join(map(self.paths.__getitem__, segments)), dtype=np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         if not self.partial[ids].any():
@@ -199,42 +436,40 @@ class Transducer:
             raw = bytearray()
             for i in ids.tolist():
                 if (b := self.byte_of.get(i)) is None:
-                    raw += self.texts[i].encode("utf-8", "replace")
+                    raw += self.read_as[i].encode("utf-8", "replace")
                 else:
                     raw.append(b)
             out = raw.decode("utf-8", "replace")
-        return out.replace(MARK, " ").removeprefix(" ")
+        out = out.replace(MARK, " ")
+        return out.removeprefix(" ") if self.prefix else out
 
 
 def _machine(model) -> Transducer:
-    pieces, unknown = model.value
-    return held(hash((tuple(pieces), unknown)), lambda: Transducer(pieces, unknown))
-
+    key, data = model.value
+    return held(key, lambda: Transducer(parse_model(data)))
 
-def read_model(model_file: str = MODEL_FILE) -> tuple[list[tuple[str, float, bool]], int]:
-    """The pieces of a model file, and the id for unknown characters."""
-    import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
-    return [(model.id_to_piece(i), model.get_score(i), not special(i)) for i in range(model.get_piece_size())], model.unk_id()
+def _sent(spark: SparkSession, model_file: str):
+    """The bytes of a model file, for all tasks; a model that cannot be compiled is an error here."""
+    with open(model_file, "rb") as f:
+        data = f.read()
+    parse_model(data)
+    return spark.sparkContext.broadcast((("pieces", hash(data)), data))
 
 
 def encode_documents(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """doc_id, piece_ids, n_pieces and round_trip (decoding gives the text back) of every document."""
-    model = ship(docs.sparkSession).sparkContext.broadcast(read_model(model_file))
+    model = _sent(ship(docs.sparkSession), model_file)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts, same, ids = [], [], []
-                for text in part.column(1):
-                    found = machine.encode(text := text.as_py())
-                    counts.append(len(found))
-                    same.append(machine.decode(found) == (text or ""))
-                    ids.append(found)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column(1).to_pylist()
+                ids = machine.encode_all(texts)
+                counts = list(map(len, ids))
+                same = [machine.decode(found) == (text or "") for found, text in zip(ids, texts, strict=True)]
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays(
@@ -248,7 +483,7 @@ def encode_documents(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame
 
 def decode_documents(encoded: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     """doc_id and text of rows with doc_id and piece_ids; null ids give an empty text."""
-    model = ship(encoded.sparkSession).sparkContext.broadcast(read_model(model_file))
+    model = _sent(ship(encoded.sparkSession), model_file)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(model)
