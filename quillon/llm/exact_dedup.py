@@ -1,37 +1,41 @@
 """Exact dedup (operator 4): an extendible-hash index on shared files.
 
-How it works, in DataFrame operations only:
-
-1. Insertion. Every document gives the 64-bit hash of its normalised text (A-Z lower-cased) and that text. One
-   aggregate groups by (hash, text): texts are compared byte by byte, and texts that collide on the hash stay apart as
-   links of a chain. Each map task first folds its own copies, so a group that holds a third of all rows reaches the
-   shuffle as one row for each task. Every distinct text gives one index entry, without the text itself; the entries
-   are files in the shared folder.
-2. Directory. Entries are counted by the leading bits of the hash. A bucket with more than `capacity` entries is
-   split, which doubles the directory where it is deepest, until each bucket fits; the directory maps each slot of the
-   global depth to its bucket.
-3. Owners. A bucket is a range of hashes; the entries are written again by ranges of buckets, so that each file has one
-   owner task and a known key range.
-4. Probe. Documents bring (hash, digest, length), find their bucket in the directory, and join the index by bucket and
-   key. The directory is small (a few rows for every `capacity` distinct texts), so Spark decides by its size whether
-   to broadcast it. A hot key is one index row, and Spark splits the large side of such a join.
+A text's key is the 64-bit hash of its normalised form (A-Z lower-cased), and its slot the leading bits of the key. All in
+DataFrame operations:
+
+1. Directory. Rows are counted by slot. A bucket of more than `capacity` rows is split in two by the next bit of its keys,
+   which doubles the directory where it is deepest, until each fits or has the finest prefix; the directory maps each
+   slot of the global depth, that of the deepest bucket, to its bucket. `capacity` is CAPACITY or, on more than 2^28 rows,
+   what leaves 2^16 buckets, so the directory has 2^20 slots at most and can be sent to all tasks.
+2. Owners. Rows go to the owner task of their bucket, which is a range of keys, and texts are shuffled this once. The
+   owner sorts a bucket by key and text. Rows of one key are a chain: its links are the different texts, told apart by
+   comparing bytes, and each link knows its rows and the largest doc_id. Owners write their buckets to the shared folder.
+3. Hot buckets. Prefixes beyond the capacity at the finest depth (four bits more than buckets need on average) hold a
+   group of copies that no split divides. Their rows are not sent to one owner: map tasks fold equal texts first, so
+   a group with a third of all rows is one link for each task, and rows then find their link in the chain of their key by
+   comparing bytes. Links are sent to all tasks if they are small, as measured; else Spark splits the rows' side.
 
 Defined results. A null text counts as empty. A null doc_id loses against any other; where a group has null ids only,
-keep_id is null and its rows are kept. Rows that repeat a doc_id are the same document and get the same verdict. An
-empty table gives an empty result. Columns other than doc_id and text are ignored, whatever their names.
+keep_id is null and its rows are kept. Rows that repeat a doc_id and a text get the same verdict; a doc_id with two texts is
+two documents. An empty table gives an empty result. Texts may be of any length; columns other than doc_id and text are
+ignored, or carried along unchanged by drop_exact_copies, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import Scratch, ascii_lower, table, text_or_empty, without_ids
+from quillon.llm.shared import Scratch, ascii_lower, table
 
-#: Index entries that a bucket holds before it is split.
-CAPACITY = 250_000
+#: Rows that a bucket holds before it is split, and the most buckets that are aimed at.
+CAPACITY, BUCKETS = 4096, 1 << 16
+#: Bits that a prefix may have beyond those that buckets need on average.
+BEYOND = 4
+#: Bytes of texts up to which the links of hot buckets are sent to all tasks.
+SENT_BYTES = 8 << 20
 
 
 def _slot(key: Column, depth: int) -> Column:
@@ -39,88 +43,88 @@ def _slot(key: Column, depth: int) -> Column:
     return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned(key, 64 - depth)
 
 
-def directory(entries: DataFrame, n_entries: int, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
-    """(slot, bucket, local_depth) for every slot, and the global depth.
+def directory(keys: DataFrame, n_rows: int, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """(slot, bucket, local_depth, hot) for every slot, and the depth of slots before the directory is cut to its global depth.
 
-    Counts at the finest depth are summed to all coarser ones at once; a bucket is the shallowest prefix that fits.
-    Three levels below the mean depth are enough for hashes; a bucket at the finest depth may exceed the capacity, and
-    then its keys still are told apart, only its owner has more of them.
+    keys has a column key. Counts at the finest depth are summed to all coarser ones at once; a bucket is the shallowest
+    prefix that fits. Hot ones do not fit at the finest depth.
     """
-    finest = min(40, max(0, math.ceil(math.log2(max(1, n_entries / capacity)))) + 3)
-    counts = entries.groupBy(_slot(F.col("key"), finest).alias("fine")).agg(F.count("*").alias("n"))
-    depths = F.sequence(F.lit(0), F.lit(finest))
+    finest = 0 if n_rows <= capacity else math.ceil(math.log2(n_rows / capacity)) + BEYOND
+    counts = keys.groupBy(_slot(F.col("key"), finest).alias("fine")).agg(F.count("*").alias("n"))
     sized = (
-        counts.select("n", "fine", F.explode(depths).alias("depth"))
+        counts.select("n", "fine", F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("depth"))
         .groupBy("depth", F.expr(f"shiftright(fine, {finest} - depth)").alias("prefix"))
         .agg(F.sum("n").alias("n"))
     )
-    fits = (F.col("n") <= capacity) | (F.col("depth") == finest)
+    fits = F.col("n") <= capacity
     parents = sized.where(~fits).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
-    split = sized.where(fits).withColumn("parent", F.when(F.col("depth") > 0, F.shiftright("prefix", 1)))
+    split = sized.where(fits | (F.col("depth") == finest)).withColumn("parent", F.when(F.col("depth") > 0, F.shiftright("prefix", 1)))
     leaves = split.join(parents, ["depth", "parent"], "left_semi").unionByName(split.where(F.col("depth") == 0))
     width = F.expr(f"shiftleft(1L, {finest} - depth)")
     slots = leaves.select(
         F.explode(F.sequence(F.col("prefix") * width, (F.col("prefix") + 1) * width - 1)).alias("slot"),
         F.expr(f"shiftleft(prefix, {finest} - depth)").alias("bucket"),
         F.col("depth").alias("local_depth"),
+        (~fits).alias("hot"),
     )
     return slots, finest
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, the normalised text, and its key, digest and length."""
-    norm = ascii_lower(text_or_empty())
-    return docs.select(
-        F.col("doc_id"),
-        norm.alias("norm"),
-        F.xxhash64(norm).alias("key"),
-        F.sha2(norm.cast("binary"), 256).alias("text_sha256"),
-        F.octet_length(norm).alias("n_bytes"),
-    )
+def global_depth(slots: DataFrame, finest: int) -> tuple[DataFrame, int]:
+    """The directory cut to the depth of its deepest bucket; that depth."""
+    depth = slots.agg(F.max("local_depth")).first()[0] or 0
+    return slots.where(F.col("slot") % (1 << finest - depth) == 0).withColumn("slot", F.shiftright("slot", finest - depth)), depth
 
 
-def build_index(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
-    """The index, by ranges of buckets, on shared files; its directory; the directory's depth."""
-    entries = scratch.keep(
-        keyed(docs)
-        .groupBy("key", "norm", "text_sha256", "n_bytes")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .drop("norm"),
-        "entries",
-    )
-    slots, depth = directory(entries, entries.count(), capacity)
+def normalised(row: str = "row") -> Column:
+    return ascii_lower(F.coalesce(F.col(f"{row}.text"), F.lit("")))
+
+
+def exact_links(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY) -> DataFrame:
+    """For each row of docs its place in the index: row, bucket, key, chain (the link's place at its key), keep_id, group_size
+    and text_sha256."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    keyed = rows.select("row", F.xxhash64(normalised()).alias("key"))
+    n_rows = docs.count()
+    slots, finest = directory(keyed.select("key"), n_rows, max(capacity, n_rows // BUCKETS))
+    slots, depth = global_depth(scratch.keep(slots, "counted"), finest)
     slots = scratch.keep(slots, "directory")
-    index = (
-        entries.withColumn("slot", _slot(F.col("key"), depth))
-        .join(slots, "slot")
-        .drop("slot")
-        .repartitionByRange("bucket", "key")
-        .sortWithinPartitions("bucket", "key", "text_sha256")
+    placed = keyed.withColumn("slot", _slot(F.col("key"), depth)).join(F.broadcast(slots), "slot").select("row", "key", "bucket", "hot")
+
+    link = Window.partitionBy("bucket", "key", "norm")
+    chain = Window.partitionBy("bucket", "key").orderBy("norm")
+    owned = placed.where(~F.col("hot")).repartition("bucket").withColumn("norm", normalised())
+    owned = owned.select(
+        "row",
+        "bucket",
+        "key",
+        F.dense_rank().over(chain).alias("chain"),
+        F.max("row.doc_id").over(link).alias("keep_id"),
+        F.count("*").over(link).alias("group_size"),
+        F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
     )
-    index = scratch.keep(index, "index")
-    scratch.drop("entries")
-    return index, slots, depth
+    if slots.where("hot").isEmpty():
+        return owned
+    hot = placed.where("hot").withColumn("norm", normalised())
+    links = hot.groupBy("bucket", "key", "norm").agg(F.max("row.doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    links = scratch.keep(links.withColumn("chain", F.dense_rank().over(chain)).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)), "links")
+    size = links.agg(F.sum(F.octet_length("norm") + 100)).first()[0]
+    found = hot.join(F.broadcast(links) if size <= SENT_BYTES else links, ["bucket", "key", "norm"])
+    return owned.unionByName(found.select(*owned.columns))
 
 
 def exact_groups(docs: DataFrame, scratch: Scratch | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
     scratch = scratch or Scratch(docs.sparkSession)
-    index, slots, depth = build_index(docs, scratch, capacity)
-    probes = (
-        keyed(docs)
-        .select("doc_id", "key", "text_sha256", "n_bytes", _slot(F.col("key"), depth).alias("slot"))
-        .join(slots.select("slot", "bucket"), "slot")
-    )
-    on = ["bucket", "key", "text_sha256", "n_bytes"]
-    return probes.join(index.select(*on, "keep_id", "group_size"), on).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    links = exact_links(docs.select("doc_id", "text"), scratch, capacity)
+    index = scratch.keep(links.select(F.col("row.doc_id").alias("doc_id"), "bucket", "key", "chain", "keep_id", "group_size", "text_sha256"), "index")
+    return index.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, scratch: Scratch | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts, those with the largest doc_id."""
-    scratch = scratch or Scratch(docs.sparkSession)
-    return without_ids(docs, exact_groups(docs, scratch).where(~F.col("kept")), scratch)
+    links = exact_links(docs, scratch or Scratch(docs.sparkSession), capacity)
+    return links.where(F.col("row.doc_id").eqNullSafe(F.col("keep_id"))).select("row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
