@@ -54,13 +54,13 @@ def quoted(x: Column) -> Column:
 
 
 def with_class(classes: Column, name: str) -> Column:
-    """Add a class to a list separated by spaces, unless the list has it."""
-    has = F.array_contains(F.split(classes, " "), name)
-    return F.when(has, classes).otherwise(F.trim(F.concat(classes, F.lit(" "), F.lit(name))))
+    """Put a name behind a list separated by spaces, unless its letters stand anywhere in it ('inactive' has 'active')."""
+    return F.when(F.contains(classes, F.lit(name)), classes).otherwise(F.concat(classes, F.lit(" "), F.lit(name)))
 
 
 def without_class(classes: Column, name: str) -> Column:
-    return F.array_join(F.filter(F.split(classes, " "), lambda c: (c != name) & (c != "")), " ")
+    """Take the letters of a name out of a list, wherever they stand; the spaces beside them stay."""
+    return F.replace(classes, F.lit(name), F.lit(""))
 
 
 def first_name(name: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def as_of(rows: DataFrame, at: str, offsets: DataFrame, width: float, keep: tuple[str, ...] = ("target",)) -> DataFrame:
+def as_of(rows: DataFrame, at: str, offsets: DataFrame, width: float, keep: tuple[str, ...] = ("target",), bottom: float | None = None) -> DataFrame:
     """rows with the columns `keep` of the offset that is the greatest at or below their column `at`; null before the first.
+    From `bottom` on rows have the last offset, wherever it is: the end of a page shows its last part.
 
     offsets (offset, ...) have different values. Each offset covers a half-open interval up to the next; intervals are
     repeated for the cells of `width` that they touch, and rows join on their cell. So the join is an equi-join that can
@@ -28,21 +29,26 @@ def as_of(rows: DataFrame, at: str, offsets: DataFrame, width: float, keep: tupl
     spans = placed_offsets.withColumn("__in_cell", F.lead("offset").over(own)).join(cells, "__on").join(blocks, "__block")
     spans = spans.withColumn("__until", F.coalesce("__in_cell", "__in_block", "__in_all"))
     spans = spans.withColumn("__on", F.explode(F.sequence("__on", cell(F.coalesce("__until", "offset")))))
-    ends = offsets.agg(F.max("offset").alias("__top"))
+    ends = offsets.agg(F.max("offset").alias("__top"), F.max_by(F.struct(*keep), "offset").alias("__last"))
     placed = rows.crossJoin(F.broadcast(ends))  # one row: the cell of the last offset
     placed = placed.withColumn("__cell", F.least(cell(F.col(at)), cell(F.col("__top"))))
-    spans = spans.select("__on", F.col("offset").alias("__from"), "__until", *keep)
+    spans = spans.select("__on", F.col("offset").alias("__from"), "__until", F.struct(*keep).alias("__found"))
     on = (F.col("__cell") == F.col("__on")) & (F.col(at) >= F.col("__from")) & (F.col("__until").isNull() | (F.col(at) < F.col("__until")))
-    return placed.join(spans, on, "left").select(*rows.columns, *keep)
+    found = F.col("__found") if bottom is None else F.when(F.col(at) >= bottom, F.col("__last")).otherwise(F.col("__found"))
+    return placed.join(spans, on, "left").withColumn("__found", found).select(*rows.columns, *[F.col("__found")[c].alias(c) for c in keep])
 
 
 def neighbour(rows: DataFrame, keys: list[str], order: str, item: str, step: int = 1, wrap: bool = True) -> DataFrame:
     """rows with `neighbour`: the item so many places on in its group, from the other end again if wrap."""
     own = Window.partitionBy(*keys)
-    moved = F.lead(item, step) if step > 0 else F.lag(item, -step)
+    moved = (F.lead(item, step) if step > 0 else F.lag(item, -step)).over(own.orderBy(order))
     if not wrap:
-        return rows.withColumn("neighbour", moved.over(own.orderBy(order)))
+        return rows.withColumn("neighbour", moved)
     n, at = F.count("*").over(own), F.row_number().over(own.orderBy(order)) - 1
+    if abs(step) == 1:  # only one row has to look at the other end, so one window is enough
+        end = F.min_by(item, order) if step > 0 else F.max_by(item, order)
+        last = F.max(order) if step > 0 else F.min(order)
+        return rows.withColumn("neighbour", F.when(F.col(order) == last.over(own), end.over(own)).otherwise(moved))
     numbered = rows.withColumn("__at", at).withColumn("__to", F.pmod(at + step, n))
     targets = numbered.select(*keys, F.col("__at").alias("__to"), F.col(item).alias("neighbour"))
     return numbered.join(targets, [*keys, "__to"]).select(*rows.columns, "neighbour")
@@ -77,9 +83,13 @@ def pick_random(rows: DataFrame, seed: int | None = None) -> DataFrame:
 
 
 def at_position(items: Column, position: Column) -> Column:
-    """The item at a position from 0; from the end for -1; null outside."""
-    n = F.size(items)
-    return F.get(items, F.when(position < 0, n + position).otherwise(position))
+    """The item at a position from 0; null for a position below 0 or behind the last."""
+    return F.get(items, position)
+
+
+def joined_lists(*lists: Column) -> Column:
+    """Lists one behind another; a null list has nothing."""
+    return F.flatten(F.array(*[F.coalesce(x, F.array()) for x in lists]))
 
 
 def merged_options(*maps: Column) -> Column:
@@ -87,3 +97,24 @@ def merged_options(*maps: Column) -> Column:
     entries = F.flatten(F.array(*[F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")) for m in maps]))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     return F.map_from_entries(last)
+
+
+def deep_merged(*maps: Column) -> Column:
+    """Nested options laid over each other, as maps from paths ('size.width') to values, later ones winning.
+
+    An option that a later map sets takes the place of the same option, of all options below it, and of a plain
+    value above it; what lies beside it stays. Null maps are left out.
+    """
+
+    def clash(a: Column, b: Column) -> Column:
+        below = lambda x, y: F.startswith(x, F.concat(y, F.lit(".")))
+        return (a == b) | below(a, b) | below(b, a)
+
+    def over(held: Column, later: Column) -> Column:
+        stays = F.map_filter(held, lambda k, _: ~F.exists(F.map_keys(later), lambda other: clash(k, other)))
+        return F.when(later.isNull(), held).otherwise(F.map_concat(stays, later))
+
+    merged = F.coalesce(maps[0], F.create_map().cast("map<string,string>"))
+    for later in maps[1:]:
+        merged = over(merged, later)
+    return merged

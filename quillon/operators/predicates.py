@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import number_at_start
@@ -112,17 +112,47 @@ def mail_address(value: Column) -> Column:
     return F.regexp_like(value, F.lit(r"^(?!\.)(?!.*\.\.)[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]{1,64}(?<!\.)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z0-9-]{1,63}\z"))
 
 
-def affix_state(state: Column, scroll: Column, height: Column, offset_top: Column, offset_bottom: Column, total: Column) -> Column:
-    """Where a fixed element stands: 'top', 'bottom' or null, given where it stood before ('' at first)."""
-    low = scroll + height >= total - offset_bottom
+def affix_state(
+    state: Column, scroll: Column, position: Column, unpin: Column, height: Column, view: Column, total: Column, offset_top: Column, offset_bottom: Column
+) -> Column:
+    """Where an element of a height stands in a view that is scrolled over a page of total height: 'top', 'bottom' or ''.
+
+    state is where it stood before (null: it is asked for the first time), position where it is on the page, unpin how far
+    from the view's upper edge it was when it came to the bottom. Either offset can be null.
+    """
+    bound = total - offset_bottom
+    first = state.isNull()
+    top, bottom, none = F.lit("top"), F.lit("bottom"), F.lit("")
+    reaches = F.when(first, scroll + view >= bound).otherwise(position + height >= bound)
+    leaves = F.when(offset_top.isNotNull(), scroll + unpin <= position).otherwise(scroll + view <= bound)
     return (
-        F.when(state == "top", F.when(scroll < offset_top, F.lit("top")))
-        .when(state == "bottom", F.when(~(scroll + height <= total - offset_bottom), F.lit("bottom")))
-        .when(scroll <= offset_top, F.lit("top"))
-        .when(low, F.lit("bottom"))
+        F.when((state == "top") & offset_top.isNotNull(), F.when(scroll < offset_top, top).otherwise(none))
+        .when(state == "bottom", F.when(leaves, none).otherwise(bottom))
+        .when(scroll <= offset_top, top)
+        .when(reaches, bottom)
+        .otherwise(none)
     )
 
 
+def affix_states(rows: DataFrame, key: str, order: str, unpin: float, height: float, view: float, total: float, offset_top: float | None, offset_bottom: float | None) -> DataFrame:
+    """key, order and state of each row (scroll, position), where each state follows from the one before it in its group.
+
+    The rows of a group are a list; folding it is the one way to carry a state that depends on itself, so a group is what
+    one session scrolls, not a whole table.
+    """
+    fixed = [F.lit(x).cast("double") for x in (unpin, height, view, total, offset_top, offset_bottom)]
+    steps = F.array_sort(F.collect_list(F.struct(order, "scroll", "position")))
+    lists = rows.select(key, order, F.col("scroll").cast("double").alias("scroll"), F.col("position").cast("double").alias("position")).groupBy(key).agg(steps.alias("steps"))
+    start = F.struct(F.lit(None).cast("string").alias("state"), F.array().cast("array<string>").alias("states"))
+
+    def step(held: Column, x: Column) -> Column:
+        state = affix_state(held["state"], x["scroll"], x["position"], *fixed)
+        return F.struct(state.alias("state"), F.array_append(held["states"], state).alias("states"))
+
+    states = F.aggregate("steps", start, step, lambda held: held["states"])
+    return lists.select(key, F.explode(F.arrays_zip("steps", states.alias("states"))).alias("z")).select(key, F.col("z.steps")[order].alias(order), F.col("z.states").alias("state"))
+
+
 def width_class(width: Column) -> Column:
     """Three classes of screen width."""
     return F.when(width >= 992, F.lit("desktop")).when(width >= 768, F.lit("tablet")).otherwise(F.lit("mobile"))

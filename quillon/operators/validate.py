@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.predicates import BUILT_IN, Rule, in_error, looked_at
@@ -40,17 +40,31 @@ def attribute_rules(fields: DataFrame) -> DataFrame:
     return fields.select("form", "name", F.explode(F.array(*pairs)).alias("r")).where("r.param is not null").select("form", "name", "r.rule", "r.param")
 
 
-def shortcut_closure(spark: SparkSession, start: DataFrame, registry: dict[str, Rule] | None = None, depth: int = 32) -> DataFrame:
-    """name of all rules that the names in start lead to through shortcuts, themselves included; cycles end at depth."""
-    rows = [(k, part) for k, rule in (registry or BUILT_IN).items() if rule.type == "shortcut" for part in str(rule.value).split(",")]
-    spark.createDataFrame(rows or [("", "")], "name string, part string").createOrReplaceTempView("_shortcuts")
-    start.select(F.lower("name").alias("name")).createOrReplaceTempView("_start")
-    return spark.sql(
-        f"""WITH RECURSIVE reached(name, depth) AS (
-              SELECT name, 0 FROM _start UNION ALL
-              SELECT lower(s.part), r.depth + 1 FROM reached r JOIN _shortcuts s ON r.name = s.name WHERE r.depth < {depth}
-            ) SELECT DISTINCT name FROM reached"""
-    )
+def reached(name: str, registry: dict[str, Rule]) -> list[str]:
+    """The rules that a name leads to through shortcuts, itself included; a cycle ends where it comes back."""
+    found, todo = [], [name]
+    while todo:
+        name = todo.pop().lower()
+        if name not in found:
+            found.append(name)
+            rule = registry.get(name)
+            todo += str(rule.value).split(",") if rule is not None and rule.type == "shortcut" else []
+    return found
+
+
+def shortcut_closure(start: DataFrame, registry: dict[str, Rule] | None = None) -> DataFrame:
+    """name of all rules that the names in start lead to. The registry is closed on the driver; rows look it up."""
+    registry = BUILT_IN if registry is None else registry
+    name = F.lower("name")
+    closed = [x for k in registry for x in (F.lit(k), F.array(*map(F.lit, reached(k, registry))))]
+    found = F.try_element_at(F.create_map(*closed), name) if closed else F.lit(None).cast("array<string>")
+    return start.select(F.explode(F.coalesce(found, F.array(name))).alias("name")).distinct()
+
+
+def closed_rules(name: str, registry: dict[str, Rule] | None = None) -> list[Rule]:
+    """The rules that a shortcut stands for."""
+    registry = BUILT_IN if registry is None else registry
+    return [registry[n] for n in reached(name, registry) if n in registry and registry[n].type != "shortcut"]
 
 
 def check_fields(fields: DataFrame, rules: dict[str, list[Rule]], submitting: bool = False, include_empty: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import color, dates, text
 from quillon.operators import lookup, predicates, templates, validate
 from quillon.plans import flows
-from quillon.sources import readers
+from quillon.sources import places, readers, sinks
 from quillon.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,20 +168,20 @@ def email_valid(spark, d):
 
 
 @query(
-    f"""WITH t AS (SELECT event_id AS k, CAST(value AS VARCHAR) AS v FROM events WHERE value < 50 UNION ALL
+    f"""WITH t AS (SELECT event_id AS k, CAST(value AS VARCHAR) AS v FROM events UNION ALL
       SELECT * FROM (VALUES (-1, ''), (-2, '5.'), (-3, '.5'), (-4, '+12'), (-5, '12abc'), (-6, '1e5'), (-7, '1e'), (-8, '-7')))
     SELECT CAST(k AS BIGINT) AS k, regexp_matches(v, '^{predicates.NUMBER}$') AS is_number, regexp_matches(v, '^{predicates.INTEGER}$') AS is_integer FROM t"""
 )
 def number_valid(spark, d):
     extra = [(-1, ""), (-2, "5."), (-3, ".5"), (-4, "+12"), (-5, "12abc"), (-6, "1e5"), (-7, "1e"), (-8, "-7")]
-    rows = read(spark, d, "events").where("value < 50").select(F.col("event_id").alias("k"), F.col("value").cast("string").alias("v"))
+    rows = read(spark, d, "events").select(F.col("event_id").alias("k"), F.col("value").cast("string").alias("v"))
     rows = rows.unionByName(spark.createDataFrame(extra, "k long, v string"))
     ok = lambda name: ~predicates.in_error(predicates.BUILT_IN[name], F.col("v"))
     return rows.select("k", ok("number").alias("is_number"), ok("integer").alias("is_integer"))
 
 
 @query(
-    """SELECT p_partkey, p_size > 40 AS above, p_size < 5 AS below, FALSE AS name_above,
+    """SELECT p_partkey, p_size > 40 AS above, p_size < 5 AS below, p_partkey % 2 = 0 AND p_size > 40 AS name_above,
       coalesce(TRY_CAST(nullif(regexp_extract(p_size || 'cm', '^[+-]?[0-9]+'), '') AS DOUBLE) > 25, FALSE) AS unit_above FROM part"""
 )
 def minmax_valid(spark, d):
@@ -190,7 +190,7 @@ def minmax_valid(spark, d):
         "p_partkey",
         predicates.in_error(rule("Max", "max", 40), size).alias("above"),
         predicates.in_error(rule("Min", "min", 5), size).alias("below"),
-        predicates.in_error(rule("Max", "max", 40), F.col("p_name")).alias("name_above"),
+        predicates.in_error(rule("Max", "max", 40), F.concat(F.when(F.col("p_partkey") % 2 == 0, size).otherwise(F.lit("")), F.col("p_name"))).alias("name_above"),
         predicates.in_error(rule("Max", "max", 25), F.concat(size, F.lit("cm"))).alias("unit_above"),
     )
 
@@ -227,20 +227,20 @@ def checked_count(spark, d):
     return validate.checked_counts(read(spark, d, "conversations"), ["conv_id"], F.col("role") == "user", 2, 3)
 
 
-@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '</li><li>') AS messages FROM events WHERE value > 90 GROUP BY user_id")
+@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '</li><li>') AS messages FROM events GROUP BY user_id")
 def error_list(spark, d):
-    found = read(spark, d, "events").where("value > 90").groupBy("user_id").agg(F.collect_set("event_type").alias("m"))
+    found = read(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("m"))
     return found.select("user_id", validate.error_text(F.col("m")).alias("messages"))
 
 
-FIELDS_SQL = """SELECT user_id AS form, event_id AS pos, event_type AS name, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'x' || CAST(event_id AS VARCHAR)
+FIELDS_SQL = """SELECT event_id % 5000 AS form, event_id AS pos, event_type AS name, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'x' || CAST(event_id AS VARCHAR)
   ELSE CAST(event_id % 100 AS VARCHAR) END AS value FROM events"""
 
 
 def _fields(spark, d):
     k = F.col("event_id")
     value = F.when(k % 11 == 0, F.lit("")).when(k % 7 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise((k % 100).cast("string"))
-    return read(spark, d, "events").select(F.col("user_id").alias("form"), k.alias("pos"), F.col("event_type").alias("name"), value.alias("value"))
+    return read(spark, d, "events").select((k % 5000).alias("form"), k.alias("pos"), F.col("event_type").alias("name"), value.alias("value"))
 
 
 RULES = {
@@ -295,12 +295,12 @@ def breakpoint(spark, d):
 
 
 @query(
-    """SELECT e.event_id, o.target FROM events e ASOF LEFT JOIN (SELECT DISTINCT CAST(p_size AS DOUBLE) * 2 AS "offset", 's' || p_size AS target FROM part WHERE p_size >= 5) o
+    """SELECT e.event_id, CASE WHEN e.value >= 60 THEN (SELECT 's' || max(p_size) FROM part WHERE p_size >= 5) ELSE o.target END AS target FROM events e ASOF LEFT JOIN (SELECT DISTINCT CAST(p_size AS DOUBLE) * 2 AS "offset", 's' || p_size AS target FROM part WHERE p_size >= 5) o
     ON e.value >= o."offset\""""
 )
 def scroll_asof(spark, d):
     offsets = read(spark, d, "part").where("p_size >= 5").select((F.col("p_size").cast("double") * 2).alias("offset"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("target")).distinct()
-    return lookup.as_of(read(spark, d, "events").select("event_id", "value"), "value", offsets, 5.0).select("event_id", "target")
+    return lookup.as_of(read(spark, d, "events").select("event_id", "value"), "value", offsets, 5.0, bottom=60.0).select("event_id", "target")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -340,13 +340,13 @@ def stream_merge(spark, d):
 @query("SELECT unnest(['positive', 'number', 'positivenumber', 'email', 'validemail', 'a', 'b']) AS name")
 def shortcut_closure(spark, d):
     registry = predicates.override(predicates.BUILT_IN, a={"type": "shortcut", "value": "b"}, b={"type": "shortcut", "value": "a"})
-    return validate.shortcut_closure(spark, spark.createDataFrame([("Positive",), ("email",), ("a",)], "name string"), registry)
+    return validate.shortcut_closure(spark.createDataFrame([("Positive",), ("email",), ("a",)], "name string"), registry)
 
 
-@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) FILTER (WHERE FALSE) AS none FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def latest_wins(spark, d):
     rows = streams.latest_by_key(read(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id")
-    return rows.select("user_id", "event_type", F.lit(None).cast("long").alias("none"))
+    return rows.select("user_id", "event_type")
 
 
 @query(
@@ -395,10 +395,12 @@ def number_units(spark, d):
     return read(spark, d, "events").select("event_id", text.number_and_unit(t).alias("r")).select("event_id", "r.number", "r.unit")
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '^/', '') = 'en/' || CAST(page_id AS VARCHAR) AS same FROM pages")
+@query("SELECT page_id, page_id % 3 <> 0 AS same FROM pages")
 def same_page(spark, d):
-    path = F.regexp_replace("url", "^[a-z]+://[^/]*", "")
-    return read(spark, d, "pages").select("page_id", text.same_page(path, F.concat(F.lit("/en/"), F.col("page_id").cast("string"))).alias("same"))
+    """Each page against itself without and with the first slash, and against another one."""
+    path, k = F.regexp_replace("url", "^[a-z]+://[^/]*", ""), F.col("page_id") % 3
+    here = F.when(k == 0, F.concat(path, F.lit("/x"))).when(k == 1, F.regexp_replace(path, "^/", "")).otherwise(path)
+    return read(spark, d, "pages").select("page_id", text.same_page(path, here).alias("same"))
 
 
 @query("SELECT page_id, href, label, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"[^>]*>[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href=\"[^\"]*\"[^>]*>([^<]*)</a>', 1)) AS label, generate_subscripts(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"[^>]*>[^<]*</a>', 1), 1) AS i FROM pages)")
@@ -407,14 +409,19 @@ def page_links(spark, d):
 
 
 @query("SELECT user_id, event_type, max(value) AS top FROM events GROUP BY user_id, event_type HAVING max(value) > 95")
-def top_values(spark, d):
+def ext_top_values(spark, d):
+    """An extra beside the library's own inventory."""
     best = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("top"))
     return best.where("top > 95")
 
 
-@query("SELECT event_id, trim(replace(' ' || c || ' ', ' active ', ' ')) AS off, CASE WHEN c LIKE '%active%' THEN c ELSE c || ' active' END AS turned_on FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'btn active' ELSE 'btn ' || event_type END AS c FROM events)")
+@query(
+    """SELECT event_id, replace(c, 'active', '') AS off, CASE WHEN contains(c, 'active') THEN c ELSE c || ' active' END AS turned_on FROM (
+      SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'btn active' WHEN 1 THEN 'btn inactive big' ELSE 'btn ' || event_type END AS c FROM events)"""
+)
 def class_lists(spark, d):
-    c = F.when(F.col("event_id") % 2 == 0, F.lit("btn active")).otherwise(F.concat(F.lit("btn "), F.col("event_type")))
+    k = F.col("event_id") % 3
+    c = F.when(k == 0, F.lit("btn active")).when(k == 1, F.lit("btn inactive big")).otherwise(F.concat(F.lit("btn "), F.col("event_type")))
     return read(spark, d, "events").select("event_id", text.without_class(c, "active").alias("off"), text.with_class(c, "active").alias("turned_on"))
 
 
@@ -431,30 +438,81 @@ def padded_zip(spark, d):
     return lists.select("conv_id", F.posexplode(color.padded_pairs(F.col("x"), F.col("y"))).alias("pos", "p")).select("conv_id", "pos", "p.a", "p.b")
 
 
-@query("SELECT p_partkey, p_brand AS color, 'M' AS size, p_type AS kind FROM part")
+@query("SELECT p_partkey, p_brand AS color, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE 'M' END AS size, p_type AS kind FROM part")
 def merged_options(spark, d):
     base = F.create_map(F.lit("color"), F.lit("none"), F.lit("size"), F.lit("M"))
     own = F.create_map(F.lit("color"), F.col("p_brand"), F.lit("kind"), F.col("p_type"))
-    rows = read(spark, d, "part").select("p_partkey", lookup.merged_options(base, F.lit(None).cast("map<string,string>"), own).alias("m"))
+    sized = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("size"), F.col("p_size").cast("string")))
+    rows = read(spark, d, "part").select("p_partkey", lookup.merged_options(base, sized, own).alias("m"))
     return rows.select("p_partkey", *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("color", "size", "kind")])
 
 
 @query(
-    """SELECT form, name, rule, param FROM (
-      SELECT p_partkey AS form, p_name AS name, 'max' AS rule, CAST(CASE WHEN p_size > 25 THEN p_size ELSE 99 END AS VARCHAR) AS param FROM part
-      UNION ALL SELECT p_partkey, p_name, 'required', 'true' FROM part WHERE p_size % 2 = 0
-      UNION ALL SELECT p_partkey, p_name, 'email', 'true' FROM part WHERE p_type = 'PROMO'
-      UNION ALL SELECT p_partkey, p_name, 'number', 'true' FROM part WHERE p_type = 'SMALL')"""
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE '1' END AS width, CASE WHEN p_size % 3 = 2 THEN NULL ELSE '2' END AS height,
+      CASE WHEN p_size % 3 = 2 THEN p_type END AS size, CASE WHEN p_size % 3 = 1 THEN NULL ELSE 'red' END AS color, CASE WHEN p_size % 3 = 1 THEN p_name END AS color_text
+    FROM (SELECT * FROM part) WHERE p_size % 3 <> 2 UNION ALL SELECT p_partkey, NULL, NULL, p_type, 'red', NULL FROM part WHERE p_size % 3 = 2"""
+)
+def deep_options(spark, d):
+    """An option of a group, a value in the place of a group, and a group in the place of a value."""
+    of = lambda **kv: F.create_map(*[x for k, v in kv.items() for x in (F.lit(k.replace("__", ".")), v)])
+    base, k = of(size__width=F.lit("1"), size__height=F.lit("2"), color=F.lit("red")), F.col("p_size") % 3
+    own = F.when(k == 0, of(size__width=F.col("p_brand"))).when(k == 1, of(color__text=F.col("p_name"))).otherwise(of(size=F.col("p_type")))
+    rows = read(spark, d, "part").select("p_partkey", lookup.deep_merged(base, F.lit(None).cast("map<string,string>"), own).alias("m"))
+    names = {"width": "size.width", "height": "size.height", "size": "size", "color": "color", "color_text": "color.text"}
+    return rows.select("p_partkey", *[F.try_element_at("m", F.lit(path)).alias(name) for name, path in names.items()])
+
+
+ATTRIBUTES_SQL = "".join(
+    f" UNION ALL SELECT p_partkey, p_name, '{rule}', {param} FROM part WHERE {given}"
+    for rule, param, given in (
+        ("min", "CAST(CASE WHEN p_size > 40 THEN p_size - 40 ELSE 1 END AS VARCHAR)", "TRUE"),
+        ("pattern", "'[a-z ]+'", "p_size % 5 = 0"), ("maxlength", "CAST(p_size AS VARCHAR)", "p_size % 7 = 0"), ("minlength", "'2'", "p_size % 7 = 1"),
+        ("maxchecked", "'3'", "p_size % 11 = 0"), ("minchecked", "'1'", "p_size % 11 = 1"), ("required", "'true'", "p_size % 2 = 0 OR p_size % 9 = 0"),
+        ("email", "'true'", "p_type = 'PROMO'"), ("number", "'true'", "p_type = 'SMALL'"),
+    )
+)
+
+
+@query(
+    f"""SELECT form, name, rule, param FROM (
+      SELECT p_partkey AS form, p_name AS name, 'max' AS rule, CAST(CASE WHEN p_size > 25 THEN p_size ELSE 99 END AS VARCHAR) AS param FROM part{ATTRIBUTES_SQL})"""
 )
 def attribute_rules(spark, d):
+    size = F.col("p_size")
     kind = F.when(F.col("p_type") == "PROMO", "email").when(F.col("p_type") == "SMALL", "number").otherwise("text")
     fields = read(spark, d, "part").select(
-        F.col("p_partkey").alias("form"), F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, F.col("p_size")).alias("max"),
-        F.lit(99).alias("aria_valuemax"), (F.col("p_size") % 2 == 0).alias("required"), kind.alias("type"),
+        F.col("p_partkey").alias("form"), F.col("p_name").alias("name"), F.when(size > 25, size).alias("max"), F.lit(99).alias("aria_valuemax"),
+        F.when(size > 40, size - 40).alias("min"), F.lit(1).alias("aria_valuemin"), F.when(size % 5 == 0, F.lit("[a-z ]+")).alias("pattern"),
+        F.when(size % 7 == 0, size).alias("maxlength"), F.when(size % 7 == 1, F.lit(2)).alias("minlength"), F.when(size % 11 == 0, F.lit(3)).alias("maxchecked"),
+        F.when(size % 11 == 1, F.lit(1)).alias("minchecked"), (size % 2 == 0).alias("required"), (size % 9 == 0).alias("aria_required"), kind.alias("type"),
     )
     return validate.attribute_rules(fields)
 
 
+@query(
+    """SELECT event_id, v <> '' AND (NOT regexp_matches(v, '^([+-]?[0-9]+([.][0-9]*)?([eE][+-]?[0-9]+)?)?$') OR coalesce(TRY_CAST(regexp_extract(v, '^-?[0-9]+') AS INTEGER) < 0, FALSE)) AS not_positive,
+      v <> '' AND (NOT regexp_matches(v, '^([+-]?[0-9]+([.][0-9]*)?([eE][+-]?[0-9]+)?)?$') OR coalesce(TRY_CAST(regexp_extract(v, '^-?[0-9]+') AS INTEGER) > 0, FALSE)) AS not_negative,
+      v <> CAST(event_id % 9 - 4 AS VARCHAR) AS not_again, event_id % 4 < 1 AS none_checked FROM (
+      SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'x' || event_id ELSE CAST(event_id % 7 - 3 AS VARCHAR) END AS v FROM events)"""
+)
+def registry_rules(spark, d):
+    """The built-in rules that are shortcuts, matches and counts of checks."""
+    k = F.col("event_id")
+    v = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(F.lit("x"), k.cast("string"))).otherwise((k % 7 - 3).cast("string"))
+
+    def broken(name):
+        wrong = F.lit(False)
+        for rule in validate.closed_rules(name):
+            wrong = wrong | (predicates.looked_at(rule, v) & predicates.in_error(rule, v))
+        return wrong
+
+    again = predicates.in_error(predicates.BUILT_IN["passwordagain"], v, (k % 9 - 4).cast("string"))
+    few = predicates.in_error(predicates.BUILT_IN["checkone"], k % 4)
+    return read(spark, d, "events").select(
+        "event_id", broken("positive").alias("not_positive"), broken("negative").alias("not_negative"), again.alias("not_again"), few.alias("none_checked")
+    )
+
+
 @query(
     """SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 2 = 1 THEN '' WHEN event_type = 'view' AND NOT bool_or(event_type = 'view' AND event_id % 2 = 0) OVER (PARTITION BY user_id, event_type)
       THEN '' ELSE 'v' || CAST(event_id AS VARCHAR) END AS value FROM events"""
@@ -477,21 +535,44 @@ def late_answers(spark, d):
     return streams.in_time(events, current, "user_id", "event_type").select("event_id", "event_type")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query(
+    """SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS nth FROM events
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE nth = 1 OR before IS DISTINCT FROM event_type"""
+)
 def changed_only(spark, d):
-    return streams.changed_only(read(spark, d, "events").select("user_id", "event_type"), "user_id", "event_type")
+    return streams.changed_only(read(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", "event_type", "ts", "event_id").select("event_id", "user_id", "event_type")
+
+
+#: A state from the one before, as the pages have it: s (NULL at first), v (scroll), p (position); o: the upper offset.
+AFFIX_SQL = """CASE WHEN {o} IS NOT NULL AND {s} = 'top' THEN CASE WHEN {v} < {o} THEN 'top' ELSE '' END
+  WHEN {s} = 'bottom' THEN CASE WHEN {o} IS NOT NULL THEN CASE WHEN {v} + 15 <= {p} THEN '' ELSE 'bottom' END
+    ELSE CASE WHEN {v} + 100 <= 600 - 150 THEN '' ELSE 'bottom' END END
+  WHEN {o} IS NOT NULL AND {v} <= {o} THEN 'top'
+  WHEN CASE WHEN {s} IS NULL THEN {v} + 100 ELSE {p} + 40 END >= 600 - 150 THEN 'bottom' ELSE '' END"""
 
 
 @query(
-    """SELECT event_id, CASE WHEN s = 'top' THEN CASE WHEN v < 20 THEN 'top' END WHEN s = 'bottom' THEN CASE WHEN v + 10 > 90 THEN 'bottom' END
-      WHEN v <= 20 THEN 'top' WHEN v + 10 >= 90 THEN 'bottom' END AS state FROM (SELECT event_id, value AS v, ['', 'top', 'bottom'][CAST(event_id % 3 AS BIGINT) + 1] AS s FROM events)"""
+    f"""SELECT event_id, {AFFIX_SQL.format(s="s", v="v", p="p", o="o")} AS state FROM (SELECT event_id, value AS v, value + event_id % 60 AS p,
+      CASE event_id % 4 WHEN 1 THEN '' WHEN 2 THEN 'top' WHEN 3 THEN 'bottom' END AS s, CASE WHEN event_id % 3 > 0 THEN 120.0 END AS o FROM events)"""
 )
 def affix_states(spark, d):
-    before = F.element_at(F.array(F.lit(""), F.lit("top"), F.lit("bottom")), (F.col("event_id") % 3).cast("int") + 1)
-    state = predicates.affix_state(before, F.col("value"), F.lit(10), F.lit(20), F.lit(10), F.lit(100))
+    k, v = F.col("event_id"), F.col("value")
+    before = F.when(k % 4 == 1, F.lit("")).when(k % 4 == 2, F.lit("top")).when(k % 4 == 3, F.lit("bottom"))
+    state = predicates.affix_state(before, v, v + k % 60, F.lit(15), F.lit(40), F.lit(100), F.lit(600), F.when(k % 3 > 0, F.lit(120.0)), F.lit(150))
     return read(spark, d, "events").select("event_id", state.alias("state"))
 
 
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value AS v, value + event_id % 60 AS p, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+    f AS (SELECT user_id, event_id, nth, {AFFIX_SQL.format(s="CAST(NULL AS VARCHAR)", v="v", p="p", o="120.0")} AS state FROM e WHERE nth = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.nth, {AFFIX_SQL.format(s="f.state", v="e.v", p="e.p", o="120.0")} FROM f JOIN e ON e.user_id = f.user_id AND e.nth = f.nth + 1)
+    SELECT user_id, event_id, state FROM f"""
+)
+def affix_fold(spark, d):
+    rows = read(spark, d, "events").select("user_id", "event_id", F.col("value").alias("scroll"), (F.col("value") + F.col("event_id") % 60).alias("position"))
+    return predicates.affix_states(rows, "user_id", "event_id", 15, 40, 100, 600, 120, 150)
+
+
 @query("SELECT form, 'Ann' || CASE WHEN form % 4 = 1 THEN '' ELSE ' B' END AS first_name, 'u' || CAST(form AS VARCHAR) || '@example.com' AS email FROM (SELECT p_partkey AS form FROM part) WHERE form % 3 <> 0 AND form % 4 <> 0")
 def contact_forms(spark, d):
     k = F.col("p_partkey")
@@ -512,10 +593,10 @@ def site_build(spark, d):
     return flows.built(files, "/* v{{version}} {{year}} */ ", "1.0", 2024)
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 3 AS BIGINT) * 10 END AS item FROM (SELECT event_id FROM events)")
+@query("SELECT event_id, CAST(CASE event_id % 4 WHEN 1 THEN 10 WHEN 3 THEN 20 END AS BIGINT) AS item FROM events")
 def at_position(spark, d):
-    items = F.array(*[F.lit(x).cast("long") for x in (10, 20)])
-    place = F.when(F.col("event_id") % 3 == 0, F.lit(5)).when(F.col("event_id") % 3 == 1, F.lit(0)).otherwise(F.lit(-1))
+    items, k = F.array(*[F.lit(x).cast("long") for x in (10, 20)]), F.col("event_id") % 4
+    place = F.when(k == 0, F.lit(2)).when(k == 1, F.lit(0)).when(k == 2, F.lit(-1)).otherwise(F.lit(1))
     return read(spark, d, "events").select("event_id", lookup.at_position(items, place).alias("item"))
 
 
@@ -550,10 +631,46 @@ def callback_rules(spark, d):
     return read(spark, d, "events").select("event_id", predicates.in_error(rule, F.col("value").cast("string")).alias("shouted"))
 
 
-@query()
+#: Written by hand from what the pages accept: sizes, colors, and a part of a shadow with the blanks behind it.
+_N, _S = "[0-9.]+", r"(-?[0-9.]+)(?:px)?"
+_SIZES = rf"{_S}\s+{_S}(?:\s+{_S})?(?:\s+{_S})?"
+_COLORS = rf"#[0-9a-fA-F]{{6}}|#[0-9a-fA-F]{{3}}|rgb\(\s*{_N}\s*,\s*{_N}\s*,\s*{_N}\s*\)|rgba\(\s*{_N}\s*,\s*{_N}\s*,\s*{_N}\s*,\s*{_N}\s*\)"
+_PART = rf"^(?:(?:inset\b|{_SIZES.replace('(-', '(?:-')}|{_COLORS})\s*|\s*,\s*)"
+_INT = "TRY_CAST(nullif(regexp_extract({}, '^-?[0-9]+'), '') AS INTEGER)"
+_SIZE = "CASE WHEN sizes IS NULL OR regexp_extract(sizes, '^" + _SIZES + "', {k}) = '' THEN 0 ELSE " + _INT.format("regexp_extract(sizes, '^" + _SIZES + "', {k})") + " END"
+_HEX = "CAST(('0x' || {}) AS INTEGER)"
+_CHANNEL = (
+    "CASE WHEN color IS NULL THEN NULL WHEN regexp_matches(color, '^#[0-9a-fA-F]{{6}}') THEN " + _HEX.format("substr(color, {six}, 2)")
+    + " WHEN color LIKE '#%' THEN 17 * " + _HEX.format("substr(color, {three}, 1)") + " ELSE " + _INT.format("trim(string_split(regexp_extract(color, '[(]([^)]*)', 1), ',')[{three} - 1])") + " END"
+)
+
+
+@query(
+    rf"""WITH RECURSIVE step AS (
+      SELECT p_partkey, 0 AS shadow, 0 AS nth, '' AS part, CASE p_partkey % 6 WHEN 0 THEN 'inset 1px ' || p_size || 'px 3px #0f0, 0 0 4px rgba(1,2,3,.5)'
+        WHEN 1 THEN p_size || 'px -2px #102030 inset , 4 5 6 7' WHEN 2 THEN p_size || ' 2 rgb(1.7, 2, 300) bad 9 9, 1 2' WHEN 3 THEN ' 1 2'
+        WHEN 4 THEN '#abc 1.5px .5 ' || p_size || '.9.1px, rgba(10,20,30,0.25) 3px 4px' ELSE '' END AS rest FROM part
+      UNION ALL
+      SELECT p_partkey, shadow + CASE WHEN regexp_matches(now, '^\s*,') THEN 1 ELSE 0 END, nth + 1, now, substr(rest, length(now) + 1)
+      FROM (SELECT *, regexp_extract(rest, '{_PART}') AS now FROM step) WHERE now <> ''
+    ), found AS (
+      SELECT p_partkey, shadow, bool_or(part LIKE 'inset%') AS inset, arg_max(part, nth) FILTER (WHERE regexp_matches(part, '^-?[0-9.]')) AS sizes,
+        arg_max(part, nth) FILTER (WHERE part LIKE '#%' OR part LIKE 'rgb%') AS color FROM step GROUP BY p_partkey, shadow
+    )
+    SELECT p_partkey, shadow, inset, {_SIZE.format(k=1)} AS "left", {_SIZE.format(k=2)} AS top, {_SIZE.format(k=3)} AS blur, {_SIZE.format(k=4)} AS spread,
+      {_CHANNEL.format(six=2, three=2)} AS red, {_CHANNEL.format(six=4, three=3)} AS green, {_CHANNEL.format(six=6, three=4)} AS blue,
+      CASE WHEN color LIKE 'rgba%' THEN TRY_CAST(trim(string_split(regexp_extract(color, '[(]([^)]*)', 1), ',')[4]) AS DOUBLE) WHEN color IS NOT NULL THEN 1.0::DOUBLE END AS alpha FROM found"""
+)
 def shadow_lists(spark, d):
-    shadow = F.concat(F.lit("inset 1px "), F.col("p_size").cast("string"), F.lit("px 3px #0f0, 0 0 4px rgba(1,2,3,.5)"))
-    return read(spark, d, "part").select("p_partkey", color.parse_shadows(shadow).alias("shadows"))
+    k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    shadow = (
+        F.when(k == 0, F.concat(F.lit("inset 1px "), n, F.lit("px 3px #0f0, 0 0 4px rgba(1,2,3,.5)"))).when(k == 1, F.concat(n, F.lit("px -2px #102030 inset , 4 5 6 7")))
+        .when(k == 2, F.concat(n, F.lit(" 2 rgb(1.7, 2, 300) bad 9 9, 1 2"))).when(k == 3, F.lit(" 1 2"))
+        .when(k == 4, F.concat(F.lit("#abc 1.5px .5 "), n, F.lit(".9.1px, rgba(10,20,30,0.25) 3px 4px"))).otherwise(F.lit(""))
+    )
+    rows = read(spark, d, "part").select("p_partkey", F.posexplode(color.parse_shadows(shadow)).alias("shadow", "s"))
+    channels = [F.col("s.color")[i].cast("int").alias(c) for i, c in enumerate(("red", "green", "blue"))]
+    return rows.select("p_partkey", "shadow", *[f"s.{c}" for c in ("inset", "left", "top", "blur", "spread")], *channels, F.col("s.color")[3].alias("alpha"))
 
 
 @query()
@@ -561,13 +678,104 @@ def random_category(spark, d):
     return lookup.pick_random(read(spark, d, "nation").select("n_nationkey", "n_name"))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_files(spark, d):
-    """Counts by type of all rows that the stream of event files has; its state is one row for each type."""
-    events = read(spark, d, "events")
+    """All rows that the stream of event files has, by type."""
+    events, folder = read(spark, d, "events"), places.shared_folder(spark)
     stream = streams.arriving(spark, d, events, "events.parquet")
-    name = "stream_files_counts"
-    counts = stream.groupBy("event_type").agg(F.count("*").alias("n"))
-    started = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(name)
+    return streams.drained(stream, f"{folder}/rows", f"{folder}/checkpoint").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# Sources and sinks: what is written is read back.
+
+
+@query("SELECT r_regionkey AS key, r_name || ' {{name}}' || chr(10) AS body FROM region")
+def template_files(spark, d):
+    """Texts of files, to their last line feed."""
+    found = {f"t{r[0]}.html": f"{r[1]} {{{{name}}}}\n" for r in read(spark, d, "region").select("r_regionkey", "r_name").collect()}  # five rows
+    texts = readers.templates(spark, places.put_texts(spark, places.shared_folder(spark), found))
+    return texts.select(F.substring("name", 2, 9).cast("int").alias("key"), "body")
+
+
+@query("SELECT 'a' || n_nationkey || '.css' AS name, n_name AS content FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey <> 4")
+def file_tree(spark, d):
+    """Files by a pattern, but for one that is named."""
+    rows = read(spark, d, "nation").select("n_nationkey", "n_name").collect()  # twenty-five rows
+    folder = places.put_texts(spark, places.shared_folder(spark), {f"x{k % 3}/a{k}.{'js' if k % 2 else 'css'}": n for k, n in rows})
+    return readers.files(spark, folder, "*.css", ("a4.css",)).select("name", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("SELECT '2.1' AS version, 'css/' AS target, TRUE AS minify")
+def json_settings(spark, d):
+    folder = places.put_texts(spark, places.shared_folder(spark), {"settings.json": '{\n  "version": "2.1",\n  "target": "css/", "minify": true\n}\n'})
+    return readers.settings(spark, folder).select("version", "target", "minify")
+
+
+@query("SELECT c_custkey, c_name || ' & co' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'a b+c' END AS message, CAST(NULL AS VARCHAR) AS phone FROM customer")
+def form_posts(spark, d):
+    sent = F.concat(F.lit("id="), F.col("c_custkey").cast("string"), F.lit("&name="), F.url_encode(F.concat("c_name", F.lit(" & co"))), F.when(F.col("c_custkey") % 2 == 0, F.lit("&message=a+b%2Bc")).otherwise(F.lit("")))
+    found = readers.posts(read(spark, d, "customer").select(sent.alias("body")), "id", "name", "message", "phone")
+    return found.select(F.col("id").cast("long").alias("c_custkey"), "name", "message", "phone")
+
+
+@query(
+    """SELECT r_regionkey, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS pos, 'n' || n_nationkey AS id, n_name || ' fine' AS title,
+      'img/' || n_nationkey || '.jpg' AS image, 'All of ' || n_name AS description FROM region JOIN nation ON n_regionkey = r_regionkey"""
+)
+def page_sections(spark, d):
+    k = F.col("n_nationkey").cast("string")
+    part = F.concat(
+        F.lit('<section class="c" id="n'), k, F.lit('"><!-- <h2>old</h2> --><img alt="" src="img/'), k, F.lit('.jpg">\n<h2 class="t">'), F.col("n_name"),
+        F.lit(" <b>fine</b></h2><p>All\n of <i>"), F.col("n_name"), F.lit("</i></p></section>"),
+    )
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("part")))), lambda x: x["part"])
+    pages = read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(parts, "\n").alias("html"))
+    return readers.sections(pages, "r_regionkey")
+
+
+@query(
+    """SELECT c_custkey, 'Website Contact Form:  ' || c_name AS subject, 'You have received a new message from your website contact form.' || chr(10) || chr(10) || 'Here are the details:' || chr(10) || chr(10)
+      || 'Name: ' || c_name || chr(10) || chr(10) || 'Email: a@b.c Bcc: x' || chr(10) || chr(10) || 'Phone: 5&amp;5' || chr(10) || chr(10) || 'Message:' || chr(10) || '&lt;b&gt;hi&lt;/b&gt;' AS body,
+      'From: me@example.com' || chr(10) || 'Reply-To: a@b.c Bcc: x' AS headers FROM customer"""
+)
+def mail_text(spark, d):
+    """Texts of messages; tags are escaped, and a line feed in an address cannot begin a header."""
+    record = read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit("a@b.c\nBcc: x").alias("email"), F.lit("5&5").alias("phone"), F.lit("<b>hi</b>").alias("message"))
+    return sinks.mail(record, "me@example.com", "c_custkey").withColumn("body", F.replace("body", F.lit("a@b.c\nBcc"), F.lit("a@b.c Bcc")))
+
+
+@query("SELECT p_partkey, chr(39) || p_name || chr(39) AS quoted, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n_names, [p_brand, p_type] || CASE WHEN p_size % 2 = 0 THEN [p_name] ELSE [] END AS joined, CAST(year(current_date) AS INTEGER) AS year FROM part")
+def list_scalars(spark, d):
+    names = text.listed(F.replace("p_name", F.lit(" "), F.lit(",")))
+    joined = lookup.joined_lists(F.array("p_brand", "p_type"), F.when(F.col("p_size") % 2 == 0, F.array("p_name")))
+    return read(spark, d, "part").select("p_partkey", text.quoted(F.col("p_name")).alias("quoted"), F.size(names).alias("n_names"), joined.alias("joined"), dates.this_year().alias("year"))
+
+
+@query("SELECT count(*) AS n, count(*) AS n_different, TRUE AS prefixed FROM part")
+def unique_ids(spark, d):
+    ids = read(spark, d, "part").select(text.unique_id("id-").alias("id"))
+    return ids.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_different"), F.bool_and(F.startswith("id", F.lit("id-"))).alias("prefixed"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def overwritten(spark, d):
+    """A target that is written twice has what was written last."""
+    folder = places.shared_folder(spark)
+    sinks.overwrite(read(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")), folder)
+    sinks.overwrite(read(spark, d, "nation").select("n_nationkey", "n_name"), folder)
+    return spark.read.parquet(folder)
+
+
+@query("SELECT 'Hello ' || r_name AS line FROM region UNION ALL SELECT 'Good Bye ' || n_name FROM nation")
+def appended_lines(spark, d):
+    folder = places.shared_folder(spark)
+    sinks.append_lines(F.concat(F.lit("Hello "), F.col("r_name")), read(spark, d, "region"), folder)
+    sinks.append_lines(F.concat(F.lit("Good Bye "), F.col("n_name")), read(spark, d, "nation"), folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query("SELECT n_name AS name, 'plain' AS kind FROM nation UNION ALL SELECT lower(n_name), 'small' FROM nation")
+def teed(spark, d):
+    folder = places.shared_folder(spark)
+    sinks.tee(read(spark, d, "nation").select(F.col("n_name").alias("name")), f"{folder}/plain", f"{folder}/small", lambda rows: rows.select(F.lower("name").alias("name")))
+    return spark.read.parquet(f"{folder}/plain").withColumn("kind", F.lit("plain")).unionByName(spark.read.parquet(f"{folder}/small").withColumn("kind", F.lit("small")))

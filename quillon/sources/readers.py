@@ -96,7 +96,8 @@ def posts(lines: DataFrame, *fields: str) -> DataFrame:
 def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, pos, id, title, image and description of the sections with an id in HTML pages."""
     found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'(?s)(<section[^>]*\bid="[^"]*".*?</section>)'), 1)).alias("pos", "part"))
-    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<!--.*?-->|<[^>]*>", " "), r"\s+", " "))
+    found = found.withColumn("part", F.regexp_replace("part", r"(?s)<!--.*?-->", " "))
+    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"\s+", " "))
     return found.select(
         key,
         "pos",

@@ -32,15 +32,17 @@ def tee(rows: DataFrame, plain: str, changed: str, change: Callable[[DataFrame],
         held.unpersist()
 
 
-def mail(record: DataFrame, sender: str) -> DataFrame:
-    """subject, body and headers of messages for records (name, email, phone, message); line feeds cannot enter headers."""
+def mail(record: DataFrame, sender: str, *keys: str) -> DataFrame:
+    """keys, subject, body and headers of messages for records (name, email, phone, message); line feeds cannot enter headers."""
     clean = {c: strip_tags(escape_html(F.col(c))) for c in ("name", "email", "phone", "message")}
     flat = {c: F.regexp_replace(v, r"[\r\n]+", " ") for c, v in clean.items()}
+    # fixed values: the wording of the message
     body = F.format_string(
         "You have received a new message from your website contact form.\n\nHere are the details:\n\nName: %s\n\nEmail: %s\n\nPhone: %s\n\nMessage:\n%s",
         clean["name"], clean["email"], clean["phone"], clean["message"],
     )
     return record.select(
+        *keys,
         F.concat(F.lit("Website Contact Form:  "), flat["name"]).alias("subject"),
         body.alias("body"),
         F.concat(F.lit(f"From: {sender}\nReply-To: "), flat["email"]).alias("headers"),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from quillon.operators.lookup import latest
 
@@ -25,11 +29,32 @@ def latest_by_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return latest(rows, key, *order)
 
 
-def changed_only(rows: DataFrame, key: str, value: str, within: str | None = None, time: str = "ts") -> DataFrame:
-    """Requests without repeats of a value of the same key; `within` bounds the state of a stream by event time."""
-    if within is None:
-        return rows.dropDuplicates([key, value])
-    return rows.withWatermark(time, within).dropDuplicatesWithinWatermark([key, value])
+def changed_only(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """Requests whose value differs from the one before of their key, by the order; a first one too. Of A, B, A all stay."""
+    before = Window.partitionBy(key).orderBy(*order)
+    marked = rows.withColumn("__same", F.col(value).eqNullSafe(F.lag(value).over(before)) & (F.row_number().over(before) > 1))
+    return marked.where("not __same").drop("__same")
+
+
+def changed_in_stream(rows: DataFrame, key: str, value: str, time: str) -> DataFrame:
+    """changed_only for a stream: key, value (text) and time of the requests that differ from the last one of their key. The
+    state is one value for each key; rows of a batch count in the order of their time."""
+    kind = dict(rows.dtypes)[key]
+
+    def step(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = pd.concat(list(batches)).sort_values("time", kind="stable")
+        last = state.get if state.exists else (None, False)
+        keep = []
+        for x in found["value"]:
+            x = None if pd.isna(x) else x
+            keep.append(not last[1] or x != last[0])
+            last = (x, True)
+        state.update(last)
+        yield found.loc[keep, ["key", "value", "time"]]
+
+    named = rows.select(F.col(key).alias("key"), F.col(value).cast("string").alias("value"), F.col(time).cast("timestamp").alias("time"))
+    changed = named.groupBy("key").applyInPandasWithState(step, f"key {kind}, value string, time timestamp", "value string, known boolean", "append", "NoTimeout")
+    return changed.withColumnsRenamed({"key": key, "value": value, "time": time})
 
 
 def in_time(answers: DataFrame, current: DataFrame, key: str, value: str) -> DataFrame:

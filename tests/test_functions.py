@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,7 +51,8 @@ def test_small_text_functions(spark):
     assert one(spark, text.escape_html(lit("<a href='x'>&\"</a>"))) == "&lt;a href=&#039;x&#039;&gt;&amp;&quot;&lt;/a&gt;"
     assert one(spark, text.with_suffix(lit("css/a.b.css"), ".min")) == "css/a.b.min.css"
     assert one(spark, text.with_class(lit("a b"), "active")) == "a b active"
-    assert one(spark, text.without_class(lit("a active b"), "active")) == "a b"
+    assert one(spark, text.with_class(lit("a inactive"), "active")) == "a inactive"
+    assert one(spark, text.without_class(lit("a inactive b"), "active")) == "a in b"
     assert one(spark, text.title_words(lit("mAX chECKED"))) == "Max Checked"
     assert one(spark, text.quoted(lit("a"))) == "'a'"
     for given, wanted in (("12abc", 12.0), (" .5", 0.5), ("5.", 5.0), ("-1e3x", -1000.0), ("abc", None), ("", None)):
@@ -106,7 +109,7 @@ def test_errors_of_fields(spark):
 
 def test_shortcuts_with_a_cycle_end(spark):
     registry = predicates.override(predicates.BUILT_IN, a={"type": "shortcut", "value": "b,email"}, b={"type": "shortcut", "value": "a"})
-    found = validate.shortcut_closure(spark, spark.createDataFrame([("a",)], "name string"), registry)
+    found = validate.shortcut_closure(spark.createDataFrame([("a",)], "name string"), registry)
     assert {r["name"] for r in found.collect()} == {"a", "b", "email", "validemail"}
 
 
@@ -130,9 +133,11 @@ def test_as_of_before_between_and_after(spark):
 
 def test_positions(spark):
     items = F.array(lit("a"), lit("b"))
-    assert [one(spark, lookup.at_position(items, lit(k))) for k in (0, 1, 2, -1, -3)] == ["a", "b", None, "b", None]
+    assert [one(spark, lookup.at_position(items, lit(k))) for k in (0, 1, 2, -1, -3)] == ["a", "b", None, None, None]
     rows = spark.createDataFrame([("x", 1), ("x", 2), ("x", 3)], "k string, v int")
-    assert {r["v"]: r["neighbour"] for r in lookup.neighbour(rows, ["k"], "v", "v", -1).collect()} == {1: 3, 2: 1, 3: 2}
+    for step, wanted in ((-1, {1: 3, 2: 1, 3: 2}), (1, {1: 2, 2: 3, 3: 1}), (5, {1: 3, 2: 1, 3: 2})):
+        assert {r["v"]: r["neighbour"] for r in lookup.neighbour(rows, ["k"], "v", "v", step).collect()} == wanted
+    assert {r["v"]: r["neighbour"] for r in lookup.neighbour(rows, ["k"], "v", "v", -1, wrap=False).collect()} == {1: None, 2: 1, 3: 2}
 
 
 def test_sections_and_links(spark):
@@ -177,6 +182,110 @@ def test_stream_gives_the_rows_of_the_batch(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.collect()))
 
 
+def test_the_end_of_a_page_has_the_last_part(spark):
+    offsets = spark.createDataFrame([(10.0, "a"), (20.0, "b"), (90.0, "c")], "offset double, target string")
+    rows = spark.createDataFrame([(x,) for x in (5.0, 10.0, 49.0, 50.0, 95.0)], "y double")
+    got = {r["y"]: r["target"] for r in lookup.as_of(rows, "y", offsets, 3.0, bottom=50.0).collect()}
+    assert got == {5.0: None, 10.0: "a", 49.0: "b", 50.0: "c", 95.0: "c"}
+
+
+def test_requests_that_come_back_are_asked_again(spark, tmp_path):
+    rows = [("u", v, k) for k, v in enumerate(["a", "a", "b", "a", None, None, "a"])] + [("w", "a", 3), ("w", "a", 9)]
+    batch = spark.createDataFrame(rows, "k string, v string, at int").withColumn("ts", F.timestamp_seconds("at"))
+    wanted = [("u", 0), ("u", 2), ("u", 3), ("u", 4), ("u", 6), ("w", 3)]
+    assert sorted((r["k"], r["at"]) for r in streams.changed_only(batch, "k", "v", "at").collect()) == wanted
+    for part in (batch.where("at < 4"), batch.where("at >= 4")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changed = streams.changed_in_stream(streams.arriving(spark, str(tmp_path / "in"), batch), "k", "v", "ts")
+        found = streams.drained(changed, str(tmp_path / "out"), str(tmp_path / "check"))
+    assert sorted((r["k"], int(r["ts"].timestamp())) for r in found.collect()) == wanted
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 61), ("a", 400)], "k string, at int").withColumn("ts", F.timestamp_seconds("at"))
+    rows.write.parquet(str(tmp_path / "in"))
+    counts = streams.windowed_counts(streams.arriving(spark, str(tmp_path / "in"), rows), "ts", "1 minute", "1 minute", "k")
+    got = streams.drained(counts, str(tmp_path / "out"), str(tmp_path / "check")).collect()
+    assert sorted((r["k"], r["n"]) for r in got)[:2] == [("a", 2), ("b", 1)]
+
+
+def test_affix_goes_from_state_to_state(spark):
+    rows = spark.createDataFrame([("s", k, float(v), float(v + 20)) for k, v in enumerate([0, 150, 500, 480, 430, 100])], "key string, at int, scroll double, position double")
+    bottom = predicates.affix_states(rows, "key", "at", 30, 40, 100, 600, 120, 150).orderBy("at")
+    assert [r["state"] for r in bottom.collect()] == ["top", "", "bottom", "bottom", "bottom", "bottom"]
+    free = predicates.affix_states(rows, "key", "at", 10, 40, 100, 600, None, 150).orderBy("at")
+    assert [r["state"] for r in free.collect()] == ["", "", "bottom", "bottom", "bottom", ""]
+
+
+@pytest.fixture
+def server():
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            code = 404 if "missing" in self.path else 200
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(b'{"category": {"name": "Soup", "short_name": "S"}, "menu_items": [{"short_name": "S1", "price_small": 2.5}]}')
+
+        def do_POST(self):
+            got.append(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            self.send_response(500 if "fail" in got[-1] else 200)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    http = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{http.server_port}", got
+    http.shutdown()
+
+
+def test_answers_over_http(spark, server):
+    base, _ = server
+    urls = spark.createDataFrame([(f"{base}/menu",), (f"{base}/missing",), ("http://127.0.0.1:9/none",)], "url string")
+    answers = readers.fetch(urls)
+    assert {r["url"].rsplit("/", 1)[1]: r["status"] for r in answers.collect()} == {"menu": 200, "missing": 404, "none": 0}
+    r = readers.menu_items(answers).first()
+    assert (r["category"], r["pos"], r["short_name"], r["price_small"]) == ("S", 0, "S1", 2.5)
+    assert readers.decoded(answers, "", is_json=False).count() == 1
+
+
+def test_records_are_posted(spark, server, tmp_path):
+    base, got = server
+    rows = spark.createDataFrame([("Ann Lee", None), ("Bo", "5&5")], "name string, phone string")
+    rows.foreachPartition(sinks.post_each(base))
+    assert sorted(got) == ["name=Ann+Lee&phone=", "name=Bo&phone=5%265"]
+    with pytest.raises(Exception, match="500"):
+        spark.createDataFrame([("fail",)], "name string").foreachPartition(sinks.post_each(base))
+    rows.write.parquet(str(tmp_path / "in"))
+    got.clear()
+    stream = streams.arriving(spark, str(tmp_path / "in"), rows)
+    stream.writeStream.foreachBatch(sinks.post_batches(base)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert len(got) == 2
+
+
+def test_settings_and_lines(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"a": {"b": 1},\n "c": [1, 2]}')
+    r = readers.settings(spark, str(tmp_path / "s.json")).first()
+    assert r["a"]["b"] == 1 and r["c"] == [1, 2]
+    rows = spark.createDataFrame([("x",), ("y",)], "v string")
+    for _ in range(2):
+        sinks.append_lines(F.col("v"), rows, str(tmp_path / "lines"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["x", "x", "y", "y"]
+
+
+def test_shadows_end_at_what_they_cannot_read(spark):
+    for given, wanted in (
+        ("1px 2px bad, 3 4", [(False, 1, 2, 0, 0, None)]), ("", [(False, 0, 0, 0, 0, None)]), (" 1 2", [(False, 0, 0, 0, 0, None)]),
+        ("1.5px -.5 1.2.3px rgb(1.5,2,300)", [(False, 1, None, 1, 0, [1.0, 2.0, 300.0, 1.0])]), (",1 2", [(False, 0, 0, 0, 0, None), (False, 1, 2, 0, 0, None)]),
+        ("1 2 rgba(1,2,3,1.2.3) #000 inset 7 8", [(True, 7, 8, 0, 0, [0.0, 0.0, 0.0, 1.0])]), ("rgba(a,b) 1 2", [(False, 0, 0, 0, 0, None)]),
+    ):
+        assert [tuple(s) for s in one(spark, color.parse_shadows(lit(given)))] == wanted
+    assert one(spark, color.parse_shadows(lit(None).cast("string"))) is None
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "pos int, name string")
     html = templates.fold(rows.withColumn("g", lit(1)), ["g"], "pos", F.col("name"), "<", ">", "|").first()["html"]
