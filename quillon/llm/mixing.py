@@ -1,20 +1,27 @@
 """Mixing sources to target weights (operator 5): hash-threshold histograms.
 
-Each source gets a target number of words. A document has one hash of its id, the same in every run; the documents of
-a source whose hash is below the source's threshold are taken once more than the others. A larger budget gives a
-larger threshold, so the documents of a small mix are nested in those of a large one.
+Each source gets a target number of words. A document has one hash, the same in every run; the documents of a source
+whose hash is below the source's threshold are taken once more than the others. A larger budget gives a larger threshold,
+so the documents of a small mix are nested in those of a large one.
 
 The threshold comes from histograms, never from sorted documents: words are summed by source and the leading bits of
 the hash, sums run over the buckets of a source until the budget is met, and only the bucket at the boundary is counted
 again by its next bits. After LEVELS rounds a bucket holds about one document among 2^36 hashes for each source; it
 goes in if that comes nearer to the target.
 
+The hash is taken of doc_id, text and a number among the rows of a source that have both in common. Only such rows are
+numbered: map tasks fold (doc_id, source, digest of the text) before the shuffle that finds them, and a group's rows are
+numbered by the partitions that they stand in, with an offset for each partition, so a group with a third of all rows is
+not in one task. Which of its rows gets which number does not matter, as they have the same words.
+
 Scale: one pass over the texts leaves (source, size, hash) in the shared folder; the histograms read that. Map tasks
 add up buckets before the shuffle, so a source that holds a third of all rows sends 2^BITS rows for each task. The
 window over sources sees one row for each source, and the windows over buckets 2^BITS rows for each source.
 
-Defined results. A null text has no words. Null is a source of its own, last in the order. Rows that repeat a doc_id
-have the same hash and are taken together. Sources without words get the target 0. An empty table gives an empty result.
+Defined results. A null text has no words. Null is a source of its own, last in the order; sources tie in nothing, as each
+has one name. A null doc_id is like any other. Rows that repeat are taken or left one by one. Sources without words get
+the target 0. An empty table gives an empty result. Texts may be of any length; columns other than doc_id, text and source
+are ignored, or carried along by apply_mix, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import WORD, Scratch, table, text_or_empty
+from quillon.llm.shared import WORD, Scratch, sent_if_small, table, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -31,9 +38,34 @@ LIMIT = 2.0
 HASH_BITS, BITS, LEVELS = 60, 12, 3
 
 
-def document_hash(doc_id: str = "doc_id") -> Column:
-    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+def document_hash(number: Column) -> Column:
+    """Of doc_id, digest (of the text) and the row's number among those that have both."""
+    of = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", number.cast("string"))
+    return F.conv(F.substring(F.md5(of), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def hashed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """row (all of docs), doc_id, source and hash of every document."""
+    keys = ["doc_id", "source", "digest"]
+    rows = docs.select(F.struct(*docs.columns).alias("row")).select("row", "row.doc_id", "row.source", F.md5(text_or_empty("row.text")).alias("digest"))
+    folded = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    repeats = scratch.keep(folded.select(F.struct(*keys).alias("of")), "repeats")
+    if repeats.isEmpty():
+        return rows.select("row", "doc_id", "source", document_hash(F.lit(1)).alias("hash"))
+    same = F.col("digest") == F.col("of.digest")
+    for k in ("doc_id", "source"):
+        same = same & F.col(k).eqNullSafe(F.col(f"of.{k}"))
+    repeats = sent_if_small(repeats)
+    again = scratch.keep(rows.join(repeats, same, "left_semi").withColumn("part", F.spark_partition_id()), "repeated")
+    parts = again.groupBy(*keys, "part").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.partitionBy(*keys).orderBy("part")) - F.col("rows")
+    parts = parts.select(F.struct(*keys, "part").alias("of"), before.alias("before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(F.lit(0)))
+    numbered = again.withColumn("within", within).join(parts, same & (F.col("part") == F.col("of.part")))
+    alone = rows.join(repeats, same, "left_anti")
+    return alone.select("row", "doc_id", "source", document_hash(F.lit(1)).alias("hash")).unionByName(
+        numbered.select("row", "doc_id", "source", document_hash(F.col("before") + F.col("within")).alias("hash"))
+    )
 
 
 def source_targets(
@@ -84,11 +116,11 @@ def _thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("s", F.shiftleft(nearer, shift).alias("threshold"))
 
 
-def plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """The documents as doc_id, source, size and hash; and for each source s its source_size, target, passes (how often
+def plan(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> tuple[DataFrame, DataFrame]:
+    """Of hashed() rows doc_id, source, size and hash; and for each source s its source_size, target, passes (how often
     all its documents are taken) and threshold (documents with a smaller hash are taken once more)."""
-    words = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    sized = scratch.keep(docs.select("doc_id", "source", words.alias("size"), document_hash().alias("hash")), "sized")
+    words = F.regexp_count(text_or_empty("row.text"), F.lit(WORD)).cast("long")
+    sized = scratch.keep(rows.select("doc_id", "source", words.alias("size"), "hash"), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budgets = source_targets(totals, weights, budget).withColumn("passes", passes)
@@ -100,25 +132,29 @@ def plan(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS,
     return sized, scratch.keep(found, "plan")
 
 
+def copies() -> Column:
+    return F.col("passes") + (F.col("hash") < F.col("threshold")).cast("long")
+
+
 def mix(docs: DataFrame, scratch: Scratch | None = None, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every document."""
-    sized, sources = plan(docs, scratch or Scratch(docs.sparkSession), weights, budget)
-    copies = F.col("passes") + (F.col("hash") < F.col("threshold")).cast("long")
+    scratch = scratch or Scratch(docs.sparkSession)
+    sized, sources = plan(hashed(docs.select("doc_id", "source", "text"), scratch), scratch, weights, budget)
     return (
         sized.join(sources, F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", copies)
+        .withColumn("copies", copies())
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )
 
 
 def apply_mix(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with all their columns. No shuffle of texts: the plan has one row
-    for each source, and a document's hash says how often it is taken."""
-    _, sources = plan(docs, scratch or Scratch(docs.sparkSession))
-    copies = F.col("__passes") + (document_hash() < F.col("__threshold")).cast("long")
-    sources = sources.select(F.col("s").alias("__source"), F.col("passes").alias("__passes"), F.col("threshold").alias("__threshold"))
-    taken = docs.join(sources, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__copies", copies).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)"))).select(*docs.columns)
+    """The rows of docs as often as the mix takes them, with all their columns. No shuffle of texts that do not repeat: the
+    plan has one row for each source, and a document's hash says how often it is taken."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = hashed(docs, scratch)
+    _, sources = plan(rows, scratch)
+    taken = rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies()).where("copies > 0")
+    return taken.select("row", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).select("row.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,10 +162,13 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+WITH numbered AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) AS number
   FROM documents
+), sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(text) || ':' || number), 1, 15) AS BIGINT) AS hash
+  FROM numbered
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
