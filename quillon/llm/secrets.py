@@ -6,9 +6,9 @@ and, in the bytes of any of these, gzip, zlib, bzip2, xz or zstd data at any pla
 Percent codes and escapes give the whole text with its codes decoded, so key and value of a secret can lie
 on two sides of a quote or space; bytes that are not UTF-8 become U+FFFD. The worklist starts with the text; each layer
 joins it, is scanned in turn and searched for further layers, until no new layer appears; `layers` counts those that are
-printable text. Base64 over line breaks is read from the first line of each alignment, and each line also by itself. A layer with the text and the original ranges of an earlier one is not taken up again, so encodings that
-give themselves back end; the same encoded run at another place is another layer, for which only the matches of its text
-are remembered.
+printable text. Base64 over line breaks is read from the first line of each alignment, and each line also by itself. A
+layer with the text and the original ranges of an earlier one is not taken up again, so encodings that give themselves
+back end; the same encoded run at another place is another layer, for which only the matches of its text are remembered.
 
 A layer keeps, for each of its characters, the range of the original text that it came from; a match inside a layer
 is reported as the span of the original text that covers it. Compressed data has no such ranges: all of its matches
@@ -17,7 +17,10 @@ cover the encoded run. Spans are in code points, end exclusive.
 Scale: a map over rows, no shuffle; memory follows the longest text. Content of compressed data longer than WINDOW bytes
 is scanned in overlapping windows and counted in `oversized`; a window grows with an unbroken run of characters of
 encodings at its end, so memory also follows the longest such run. Data that is cut or broken is scanned as far as it
-goes. Defined results: a null or empty text has no spans; rows that repeat are scanned by themselves.
+goes. Defined results: a null or empty text has no spans; rows that repeat are scanned by themselves and come out once each;
+a null doc_id stays null. Spans that begin together are ordered by kind, then end. An empty table gives an empty result;
+columns other than doc_id and text are ignored, whatever their names. Base64 runs under 16 characters are not decoded: the
+shortest secret has twelve characters.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.memory import release
 from quillon.llm.shared import ship, table
 
 KINDS = ("assign", "access", "hex")
@@ -190,8 +194,7 @@ def _base64(layer: Layer) -> Iterator[Layer]:
     for lines, close in runs:
         run = "".join(text[a:b] for a, b in lines).rstrip("=")
         run = run[: len(run) - (len(run) % 4 == 1)]
-        # an ordinary word: base64 of text or compressed data in one case only does not occur
-        if len(run) < 16 or run.isalpha() and run[1:].islower():
+        if len(run) < 16:
             continue
         raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
         if layer.single:
@@ -368,6 +371,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     record = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [scan(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
