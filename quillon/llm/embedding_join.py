@@ -24,6 +24,8 @@ number of different vectors.
 Defined results. Vectors that are null, zero, or hold nulls or values that are not finite link with nothing. A shorter
 vector counts as filled up with zeros. Rows that repeat a vec_id are linked like any equal vectors. A row with a null
 vec_id (ids are below 2^62) counts in others' n_links; its own component is that of its equal vectors, null if they have no id.
+Ties at the threshold are decided in double precision. An empty table gives an empty result; columns other than vec_id
+and embedding, labels among them, are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
+from quillon.llm.memory import release
 from quillon.llm.shared import Scratch, ship, table
 
 COSINE = 0.9
@@ -75,6 +78,7 @@ def place(vectors: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         p = shared.value
         apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-24))
         for batch in batches:
@@ -160,6 +164,7 @@ def join_cells(jobs: DataFrame, dim: int, cosine: float) -> DataFrame:
             some = block.links > 0
             return out(block.ids[some], block.links[some], block.ids[roots[some]])
 
+        release()
         key, held, block = None, [], None
 
         def settle() -> Block | None:

@@ -13,7 +13,9 @@ Nothing is broadcast unless Spark measures that it is small. The html column is
 Defined results. A null or unparsable url has no host: verdict 'none', no entry. A null capture date matches no entry.
 Hosts are compared in lower case, without port and user. Entries with a null domain or date are ignored; entries of the
 same domain, list and date apply in the order of their action (the later in code point order stays). Rows that repeat a
-page_id are evaluated by themselves and come out once each.
+page_id are evaluated by themselves and come out once each. Host names have LABELS labels at most, so of a longer one (a url
+may be of any length) only the last so many are asked for. Tables without captures give no rows; without entries each
+verdict is 'none'. Columns of pages other than page_id and url are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from quillon.llm.shared import table
 
 #: Days after EPOCH over which the captures of the pages table are dated, by their id.
 EPOCH, DAYS = "2024-01-01", 360
-#: Later months share one join key, so that an interval without an end is not repeated for ever.
-HORIZON = "2026-01-01"
+#: Labels that a host name has at most.
+LABELS = 127
 #: Entries that hold for whole networks: domain, day, action.
 FIXED_ENTRIES = (
     ("spam-farm.example.org", "2023-06-01", "block"),
@@ -81,14 +83,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, host, fetched) with verdict ('block', 'allow' or 'none'), matched domain, list and start."""
-    horizon = F.lit(HORIZON).cast("date")
-    key = lambda day: F.least(F.trunc(day, "month"), horizon)
-    last = F.coalesce(F.date_sub("valid_to", 1), horizon)
-    months = F.sequence(key(F.col("valid_from")), F.greatest(key(F.col("valid_from")), key(last)), F.expr("interval 1 month"))
-    spans = intervals(entries).withColumn("month", F.explode(months))
+    key = lambda day: F.trunc(day, "month")
+    # intervals are repeated for the months up to the last capture, so one without an end is not repeated for ever
+    horizon = F.lit(captures.agg(F.max(key(F.col("fetched")))).first()[0]).cast("date")
+    months = F.sequence(key(F.col("valid_from")), F.least(key(F.coalesce(F.date_sub("valid_to", 1), horizon)), horizon), F.expr("interval 1 month"))
+    spans = intervals(entries).where(key(F.col("valid_from")) <= horizon).withColumn("month", F.explode(months))
     labels = F.split("host", r"\.")
     domains = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
+        F.sequence(F.greatest(F.size(labels) - LABELS + 1, F.lit(1)), F.greatest(F.size(labels), F.lit(1))),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
     asked = captures.select("capture", "fetched", key(F.col("fetched")).alias("month"), F.explode(domains).alias("domain"))
