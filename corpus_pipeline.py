@@ -10,6 +10,15 @@ stage's docs. All but the last return the columns of documents.
 * source_mixing: documents are taken so often that the words of the sources meet their targets; a document that is
   taken twice is two rows.
 * sentence_pieces: the ids of each row's text.
+
+Odd rows. Null and empty texts pass the first stage (no model finds them toxic), are exact copies of one another, so that
+the one with the largest doc_id stays, are near copies of none, have no words that a mix could take, and so end there.
+Rows without a doc_id are documents like others: of exact copies one with an id stays, else all of them do; each is taken
+or left by itself in the mix, and has a null doc_id at the end. A doc_id with several texts is several documents, each judged
+by its own text, and no text is lost with another of its id. Rows that repeat both are kept or dropped together, but for the
+mix, which counts each. Ties are broken by doc_id. Empty tables give an empty result; without labels of both classes
+nothing is toxic. Further columns are carried along to the mix, whatever their names; tables with the columns of
+documents are expected.
 """
 
 from __future__ import annotations
@@ -55,5 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with Scratch.of_a_stage():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs

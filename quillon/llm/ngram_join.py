@@ -21,9 +21,12 @@ of n shingles then occurs on at least T = ceil(n * percent / 100) of the set's n
 
 Exact copies of a set are one member throughout. Output is one row for each document.
 
-Defined results. Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id are the same
-document: each gets a row with the component of its own text. A null doc_id has a null component. An empty table gives
-an empty result; columns other than doc_id and text are ignored.
+Defined results. Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id each get a row with
+the set of their own text; they share a component if links reach from one to the other or, as they have one id, to a third.
+A null doc_id gets the component of its set where a row with an id has the same set, and goes for that one; a set that only
+rows without an id have links with nothing, its component is null and its rows stay. Of ties nothing has to be chosen: equal sets are one. An empty table
+gives an empty result; columns other than doc_id and text are ignored, or carried along by drop_near_copies, whatever
+their names. Memory of a task follows the longest text and BLOCK.
 """
 
 from __future__ import annotations
@@ -39,14 +42,14 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
 from quillon.llm.memory import release
-from quillon.llm.shared import Scratch, sent_if_small, ship, table, without_ids
+from quillon.llm.shared import Scratch, most_frequent, sent_if_small, ship, table, text_mark, without_rows
 from quillon.llm.shingles import Frequencies, shingle_sets, signature
 
 WORDS, PERCENT = 4, 85
 #: Lists whose length is known to all tasks, at most: 16 bytes each.
 MOST_FREQUENT = 1 << 19
-#: Shingles that a task counts together, and that a block of the search holds.
-COUNTED, BLOCK = 1 << 21, 1 << 20
+#: Shingles that a task counts together, and that a block of the search holds; sets that a task remembers, to list each once.
+COUNTED, BLOCK, SEEN = 1 << 20, 1 << 20, 200_000
 #: Entries before it on a list that an entry is paired with.
 NEAR = 32
 #: Entries of short lists up to which they are merged by a heap; beyond, by counting.
@@ -58,7 +61,7 @@ def need(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     return -(-n * percent // 100)
 
 
-def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, words: int, scratch: Scratch, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles in ascending order, and their counts."""
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -83,7 +86,7 @@ def frequent_shingles(docs: DataFrame, words: int, most: int = MOST_FREQUENT) ->
             yield counted(parts)
 
     counts = docs.select("text").mapInArrow(rows, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = counts.orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    found = most_frequent(counts, "shingle", most, scratch)
     values = found["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(values)
     return values[order], found["n"].to_numpy()[order]
@@ -95,7 +98,8 @@ def shared_need(n: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 
 def describe_sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_shingles, sig (128 bits of the set), node (64 bits of it) and prefix: its lists that are not set aside.
+    """doc_id, mark (of the text), n_shingles, sig (128 bits of the set), node (64 bits of it) and prefix: its lists that are
+    not set aside.
 
     A set that a task met before has no prefix again.
     """
@@ -123,17 +127,17 @@ def describe_sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.
                 if not len(s) or sig in seen:
                     prefixes.append(None)
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < SEEN:
                     seen.add(sig)
                 prefixes.append(prefix(s, lists.of(s)))
             nodes = np.frombuffer(b"".join(sig[:8] for sig in sigs), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(nodes), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "sig", "node", "prefix"],
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(nodes), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "mark", "n_shingles", "sig", "node", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        rows, "doc_id long, n_shingles long, sig binary, node long, prefix array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark().alias("mark")).mapInArrow(
+        rows, "doc_id long, mark long, n_shingles long, sig binary, node long, prefix array<long>"
     )
 
 
@@ -250,6 +254,7 @@ def search(gathered: DataFrame, percent: int) -> DataFrame:
                 yield ids[root], ids[k]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         job, held = None, []
         for batch in batches:
             links: list[tuple[int, int]] = []
@@ -271,6 +276,7 @@ def fetch_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     wanted = sent_if_small(members.select(F.col("id").alias("doc_id"), "node", "job", "part"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, text, node, job, part = (batch.column(k) for k in range(5))
             sets = list(shingle_sets((t.as_py() for t in text), words))
@@ -310,11 +316,10 @@ def _rounds(hot: DataFrame, links: DataFrame, percent: int, scratch: Scratch, bl
         done = scratch.keep(done.unionByName(asked.select("id")), f"done-{r}")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch: Scratch | None = None, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
-    spark = ship(docs.sparkSession)
-    scratch = scratch or Scratch(spark)
-    sets = scratch.keep(describe_sets(docs, words, percent, frequent_shingles(docs, words)), "sets")
+def labelled(docs: DataFrame, words: int, percent: int, scratch: Scratch, block: int = BLOCK) -> DataFrame:
+    """doc_id, mark (of the text), n_shingles and component_id of every row."""
+    ship(docs.sparkSession)
+    sets = scratch.keep(describe_sets(docs, words, percent, frequent_shingles(docs, words, scratch)), "sets")
     groups = connected_components(candidates(sets.where("prefix is not null"), percent), scratch, "candidates")
     groups = groups.select(F.col("id").alias("node"), F.col("component").alias("job"))
     firsts = sets.where("doc_id is not null and n_shingles > 0").groupBy("sig", "node", "n_shingles").agg(F.min("doc_id").alias("id"))
@@ -333,14 +338,21 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scr
         links = _rounds(hot, links, percent, scratch, block)
     labels = connected_components(links, scratch, "linked").select("id", "component")
     classes = firsts.join(labels, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return sets.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return sets.select("doc_id", "mark", "n_shingles", "sig").join(classes, "sig", "left").select(
+        "doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, scratch: Scratch | None = None, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links reach) of every document."""
+    return labelled(docs, words, percent, scratch or Scratch(docs.sparkSession), block).drop("mark")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group of near copies, the one with the least doc_id."""
     scratch = scratch or Scratch(docs.sparkSession)
-    return without_ids(docs, near_groups(docs, words, percent, scratch).where("doc_id <> component_id"), scratch)
+    groups = labelled(docs, words, percent, scratch)
+    return without_rows(docs, groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))), scratch)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,33 @@ def test_pipeline_gives_the_rows_of_the_plain_version(spark, sf_dir, tmp_path):
     assert got == +wanted
 
 
+def test_pipeline_of_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls, repeats, ids with two texts and rows without ids: no text is lost but by a stage's own rule."""
+    long = " ".join(f"word{k}" for k in range(120))
+    rows = [
+        (1, "first text of one", "en", "a", 1), (1, "another text of one", "en", "a", 1), (2, "first text of one", "en", "a", 1), (None, "no id at all", "en", None, 1),
+        (None, "first text of one", None, "b", 1), (3, None, "en", "a", 1), (4, "", "en", "b", 1), (5, long, "en", "b", 1), (6, long + " x", "en", "b", 1), (6, "six again", "en", "b", 1),
+        (7, "twice", "en", "a", 1), (7, "twice", "en", "a", 1), (8, "one two " * 9000, "en", "a", 1),
+    ]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame(rows, docs.schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    held = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        held = stage(spark, held, str(tmp_path))
+    texts = Counter((r["doc_id"], r["text"] and r["text"][:20]) for r in held.collect())
+    assert texts == {(1, "another text of one"): 1, (2, "first text of one"): 1, (None, "no id at all"): 1, (4, ""): 1, (5, long[:20]): 1, (6, "six again"): 1, (7, "twice"): 2, (8, "one two " * 2 + "one "): 1}
+    machine = pieces.Transducer(pieces.read_model())
+    taken = {tuple(r["piece_ids"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert taken <= {tuple(machine.encode(t).tolist()) for _, t, *_ in rows}
+
+
+def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_keep_the_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
     for _, stage in corpus_pipeline.STAGES[:-1]:
