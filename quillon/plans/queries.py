@@ -227,10 +227,10 @@ def checked_count(spark, d):
     return validate.checked_counts(read(spark, d, "conversations"), ["conv_id"], F.col("role") == "user", 2, 3)
 
 
-@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '</li><li>') AS messages FROM events GROUP BY user_id")
+@query("SELECT event_id % 4000 AS field, array_to_string(list_sort(list_distinct(list(event_type))), '</li><li>') AS messages FROM events GROUP BY event_id % 4000")
 def error_list(spark, d):
-    found = read(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("m"))
-    return found.select("user_id", validate.error_text(F.col("m")).alias("messages"))
+    found = read(spark, d, "events").groupBy((F.col("event_id") % 4000).alias("field")).agg(F.collect_list("event_type").alias("m"))
+    return found.select("field", validate.error_text(F.col("m")).alias("messages"))
 
 
 FIELDS_SQL = """SELECT event_id % 5000 AS form, event_id AS pos, event_type AS name, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'x' || CAST(event_id AS VARCHAR)
