@@ -1,7 +1,8 @@
 """Words and word shingles of many texts at once, as 64-bit hashes.
 
 Words are runs of anything but ASCII white space, after lower-casing A-Z. A word's hash is a polynomial over random
-64-bit values of its bytes, taken from running sums, so that numpy handles a whole chunk of texts in a few passes.
+64-bit values of its bytes, taken from running sums, so that numpy handles a whole chunk of texts in a few passes; words
+beyond LONG bytes, among which texts can be built that share a polynomial modulo 2^64, are hashed by xxhash one by one.
 Two different words or shingles share a hash with a probability of about 2^-64.
 """
 
@@ -18,6 +19,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes of a word up to which its hash is a polynomial.
+LONG = 128
 #: Bytes of texts that are handled at once (a longer text by itself).
 CHUNK = 1 << 18
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -55,7 +58,10 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(b))
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_VALUES[b] * up, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts]), starts
+    hashes = mixed((sums[ends] - sums[starts]) * down[starts])
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])
+    return hashes, starts
 
 
 def chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
