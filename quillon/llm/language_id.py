@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.memory import held
+from quillon.llm.memory import held, release
 from quillon.llm.shared import Scratch, fold_of, ship, table
 from quillon.llm.shingles import mixed
 from quillon.llm.words import LONGEST, numbered, word_lists
@@ -208,6 +208,7 @@ def learn(docs: DataFrame, scratch: Scratch | None = None) -> Classifier:
     sample = scratch.keep(take_sample(docs), "sample")
 
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             cut = [segments(t.as_py(), np.random.default_rng(h.as_py() & (1 << 62) - 1)) for t, h in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.string())), batch.column(2)], ["lang", "cut", "hash"])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
+
 #: Bytes of an entry besides its letters: its place in the table, and two objects.
 ENTRY = 200
 
@@ -35,13 +39,31 @@ class Recent:
         return found
 
     def _remember(self, key: str, value: bytes) -> None:
-        self.bytes += ENTRY + len(key) + len(value)
-        if self.bytes > self.half:
+        size = ENTRY + len(key) + len(value)
+        if self.bytes + size > self.half:
             self.newer, self.older, self.bytes = {}, self.newer, 0
+        self.bytes += size
         self.newer[key] = value
 
 
 _HELD: dict[object, object] = {}
+_SETTLED: list[bool] = []
+#: Numbers of the C library's options: bytes from which a block is mapped by itself, and free bytes that are given back.
+MAPPED, TRIMMED = (-3, 1 << 18), (-1, 1 << 20)
+
+
+def settle() -> None:
+    """Let the worker give freed arrays and Arrow batches back to the system at once, where the C library can do so; by
+    itself it keeps them, and a worker that goes from stage to stage only grows."""
+    if _SETTLED:
+        return
+    _SETTLED.append(True)
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        for option in (MAPPED, TRIMMED):
+            ctypes.CDLL(None).mallopt(*option)
+    except (AttributeError, OSError):
+        pass
 
 
 def held(key: object, make: Callable[[], object]) -> object:
@@ -53,5 +75,12 @@ def held(key: object, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Let go of the model of an earlier stage, at the start of tasks that need none."""
-    _HELD.clear()
+    """At the start of tasks that need no model: let go of that of an earlier stage."""
+    settle()
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass

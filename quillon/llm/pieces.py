@@ -52,9 +52,9 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 FAR = float("inf")
 #: Bytes of paths that a worker remembers; neighbours whose arcs, and pieces whose merges it remembers.
-MEMORY, ARCS, TRACES = 40 << 20, 300_000, 10_000
+MEMORY, ARCS, TRACES = 24 << 20, 200_000, 5_000
 #: Rows that are encoded together; characters whose paths are searched together; the least length of a segment that is cut.
-ROWS, TOGETHER, LONG = 512, 1 << 17, 48
+ROWS, TOGETHER, LONG = 256, 1 << 15, 48
 #: Numbers of the model format: kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
 PLAIN, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6

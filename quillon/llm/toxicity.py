@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.memory import held
+from quillon.llm.memory import held, release
 from quillon.llm.shared import Scratch, fold_of, ship, table, text_or_empty
 from quillon.llm.shingles import mixed
 from quillon.llm.words import WORDS, numbered, word_lists
@@ -56,7 +56,7 @@ FEATURES = 2 + len(WINDOWS)
 #: What stands before and behind a word; no word has white space.
 START, END = "\n", " "
 #: Letters whose n-grams are looked up together.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 
 
 def sample_ids(labels: DataFrame) -> DataFrame:
@@ -91,6 +91,7 @@ def word_counts(sample: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), t, o], ["word", "t", "o"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -137,6 +138,7 @@ def keyed_ngrams(counts: DataFrame) -> DataFrame:
     """n, key, context (its key), suffix, begins (a word) and t, o of each n-gram."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             names = batch.column(0).to_pylist()
             sizes = np.fromiter(map(len, names), np.int64, len(names))

@@ -12,7 +12,7 @@ import numpy as np
 #: Letters of a word at most: of a longer run each so many are a word.
 LONGEST = 40
 #: Words that are numbered together.
-WORDS = 1 << 17
+WORDS = 1 << 16
 WORD = re.compile(rf"\S{{1,{LONGEST}}}")
 
 

@@ -7,12 +7,15 @@ import pytest
 from compare import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
-from quillon.llm import components, embedding_join, exact_dedup, line_dedup, mixing, ngram_join, registry, url_filters
+from quillon.llm import components, embedding_join, exact_dedup, line_dedup, mixing, ngram_join, registry, shingles, url_filters
 from quillon.llm.shared import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, size int, kept boolean"
 
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", 7, None) for i, t in rows], SCHEMA)
 
@@ -44,21 +47,39 @@ def test_components(spark):
 # --- exact dedup
 
 
-def test_exact_groups_of_odd_rows(spark):
-    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs_of(spark, ODD), capacity=2).collect()}
-    assert {(1, 2, 2, False), (2, 2, 2, True), (5, 6, 3, False), (6, 6, 3, True), (None, 6, 3, False), (7, 7, 2, True), (9, 9, 1, True)} <= got
-    kept = exact_dedup.drop_exact_copies(docs_of(spark, ODD))
-    assert kept.columns == docs_of(spark, ODD).columns
-    assert {r["doc_id"] for r in kept.collect()} == {2, 3, 4, 6, 7, 8, 9, None}
-    assert exact_dedup.exact_groups(docs_of(spark, [])).count() == 0
+@pytest.mark.parametrize("capacity", [2, 4, 1000])
+def test_exact_groups_of_odd_rows(spark, capacity):
+    """With small capacities buckets split, and copies fill hot ones."""
+    odd = [*ODD, *[(100 + k, "Copy of a text") for k in range(30)], (7, "another text of the same id")]
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(docs_of(spark, odd), capacity=capacity).collect()), key=repr)
+    groups = {}
+    for i, t in odd:
+        groups.setdefault((t or "").translate(LOWER), []).append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    assert got == sorted(((i, best[t], len(ids), i == best[t]) for t, ids in groups.items() for i in ids), key=repr)
+    kept = exact_dedup.drop_exact_copies(docs_of(spark, odd), capacity=capacity)
+    assert kept.columns == docs_of(spark, odd).columns
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((i, t or "") for i, t in odd if i == best[(t or "").translate(LOWER)])
+    assert exact_dedup.exact_groups(docs_of(spark, []), capacity=capacity).count() == 0
+
+
+def test_texts_that_share_a_key_are_links_of_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    got = {(r["row"]["doc_id"], r["chain"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_links(docs_of(spark, [(1, "a"), (2, "b"), (3, "A"), (4, "c")]), Scratch(spark)).collect()}
+    assert got == {(1, 1, 3, 2), (3, 1, 3, 2), (2, 2, 2, 1), (4, 3, 4, 1)}
 
 
 def test_directory_covers_all_slots_once(spark):
-    entries = spark.range(5000).select(F.xxhash64("id").alias("key"))
-    slots, depth = exact_dedup.directory(entries, 5000, 300)
-    got = sorted((r["slot"], r["bucket"], r["local_depth"]) for r in slots.collect())
-    assert [s for s, _, _ in got] == list(range(2**depth))
-    assert all(b <= s < b + 2 ** (depth - k) for s, b, k in got)
+    entries = spark.range(5000).select(F.xxhash64("id").alias("key")).unionByName(spark.range(900).select(F.xxhash64(F.lit(7)).alias("key")))
+    slots, finest = exact_dedup.directory(entries, 5900, 300)
+    slots, depth = exact_dedup.global_depth(slots, finest)
+    got = sorted((r["slot"], r["bucket"] >> finest - depth, r["local_depth"], r["hot"]) for r in slots.collect())
+    assert [s for s, *_ in got] == list(range(2**depth)) and max(k for _, _, k, _ in got) == depth
+    assert all(b <= s < b + 2 ** (depth - k) for s, b, k, _ in got) and sum(hot for *_, hot in got) == 1
+    rows = entries.collect()
+    for bucket, local, hot in {(b, k, h) for _, b, k, h in got}:
+        n = sum((r["key"] & (1 << 64) - 1) >> 64 - local == bucket >> depth - local for r in rows)
+        assert n <= 300 or hot
 
 
 # --- mixing
@@ -102,6 +123,21 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_and_repeats_meet_targets(spark):
+    rows = [(None if i % 2 else i, f"w{i} " * (1 + i % 5), f"s{i % 3}") for i in range(600)]
+    rows += [(7, "a b c", "s1")] * 150 + [(None, "d e", "s2")] * 150 + [(None, None, None)] * 20
+    docs = spark.createDataFrame([(i, t, "en", s, 1, True) for i, t, s in rows], SCHEMA)
+    first, again = (sorted(map(tuple, mixing.mix(docs.repartition(n)).collect()), key=repr) for n in (3, 5))
+    assert first == again and len(first) == len(rows)
+    for source in {r[1] for r in first}:
+        own = [r for r in first if r[1] == source]
+        assert abs(sum(r[6] for r in own) - own[0][4]) <= 5
+    mixed = mixing.apply_mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r[5] for r in first)
+    clashing = docs.withColumnRenamed("kept", "hash").withColumnRenamed("size", "copies")
+    assert mixing.apply_mix(clashing).columns == clashing.columns
+
+
 # --- URL filters
 
 
@@ -125,6 +161,18 @@ def test_entries_of_a_last_label(spark):
     assert got == [("block", "zip"), ("block", "zip"), ("block", "localhost"), ("allow", "b.zip"), *[("none", None)] * 3]
 
 
+def test_odd_captures(spark):
+    day = dt.date
+    entries = spark.createDataFrame([("a.com", day(2024, 1, 1), "block", "l"), ("a.com", day(2050, 1, 1), "unlist", "l")], "domain string, at date, action string, list string")
+    asked = [(1, "http://a.com/x", day(2024, 2, 1)), (1, "http://a.com/x", day(2024, 2, 1)), (2, None, day(2024, 2, 1)), (None, "http://b.a.com", day(2049, 12, 31)), (3, "http://" + "a." * 50_000 + "a.com/" + "p" * 100_000, day(2050, 1, 1)), (4, "not a url", None)]
+    captures = spark.createDataFrame(asked, "page_id long, url string, fetched date").withColumn("host", url_filters.host_of(F.col("url"))).drop("url")
+    captures = captures.withColumn("capture", F.struct("page_id", "host"))
+    got = sorted(((r["page_id"], r["verdict"]) for r in url_filters.evaluate(captures, entries).collect()), key=repr)
+    assert got == sorted([(1, "block"), (1, "block"), (2, "none"), (None, "block"), (3, "none"), (4, "none")], key=repr)
+    assert {r["verdict"] for r in url_filters.evaluate(captures, entries.limit(0)).collect()} == {"none"}
+    assert url_filters.evaluate(captures.limit(0), entries).count() == 0
+
+
 # --- near copies
 
 
@@ -179,12 +227,21 @@ def test_near_groups_of_a_large_family_in_small_blocks(spark):
 
 def test_near_groups_of_odd_rows(spark):
     got = {tuple(r) for r in ngram_join.near_groups(docs_of(spark, ODD)).collect()}
-    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (6, 1, 5), (7, 1, 7), (8, 19997, 8), (None, 1, None), (9, 1, 9)} == got
-    kept = ngram_join.drop_near_copies(docs_of(spark, ODD))
-    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 7, 8, 9, None} and kept.columns == docs_of(spark, ODD).columns
+    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (6, 1, 5), (7, 1, 7), (8, 19997, 8), (None, 1, 5), (9, 1, 9)} == got
     assert ngram_join.near_groups(docs_of(spark, [])).count() == 0
 
 
+def test_no_text_is_lost_with_near_copies(spark):
+    long = " ".join(map(str, range(200)))
+    rows = [*ODD, (1, "same text"), (1, "unique text"), (2, "same text"), (None, "no id here"), (None, "no id here"), (None, long), (50, long + " x"), (40, long + " y")]
+    want = [r for r in rows if r not in [(6, "ONE two"), (None, "one two"), (2, "same text"), (50, long + " x")]]
+    for order in (rows, rows[::-1]):
+        docs = docs_of(spark, order)
+        kept = ngram_join.drop_near_copies(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 # --- lines
 
 
@@ -203,9 +260,9 @@ def brute_lines(rows, percent):
     return {(i, tuple(v)) for i, v in out.items()}
 
 
-@pytest.mark.parametrize("lags", [1, 96])
-def test_removed_lines_of_the_documents(spark, rows, lags):
-    got = {(r["doc_id"], tuple(r["removed"])) for r in line_dedup.removed_lines(docs_of(spark, rows), lags=lags).collect()}
+@pytest.mark.parametrize(("lags", "nearest", "block"), [(1, 1, 4096), (96, 2, 4096), (4, 0, 3)])
+def test_removed_lines_of_the_documents(spark, rows, lags, nearest, block):
+    got = {(r["doc_id"], tuple(r["removed"])) for r in line_dedup.removed_lines(docs_of(spark, rows), lags=lags, nearest=nearest, block=block).collect()}
     assert got == brute_lines(rows, 80)
 
 
@@ -218,6 +275,26 @@ def test_removed_lines_of_families_and_odd_rows(spark):
     assert line_dedup.removed_lines(docs_of(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_an_id_lose_the_same_lines_in_any_order(spark):
+    words = "a b c d e f g h i j"
+    rows = [(1, words), (1, "z y x w v"), (2, words[:-1] + "k"), (2, words[:-1] + "k"), (3, "z y x w v\n" + words)]
+    want = sorted([(1, ()), (1, ()), (2, (0,)), (2, (0,)), (3, (0, 1))])
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = docs_of(spark, order).withColumnRenamed("kept", "removed").withColumnRenamed("size", "mark")
+        assert sorted((r["doc_id"], tuple(r["removed"])) for r in line_dedup.removed_lines(docs, percent=80).collect()) == want
+        cut = line_dedup.drop_similar_lines(docs)
+        assert cut.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in cut.collect()) == sorted([(1, words), (1, "z y x w v"), (2, ""), (2, ""), (3, "")])
+
+
+def test_long_words_that_share_a_polynomial_differ():
+    a = "a"
+    for _ in range(12):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    hashes, _ = shingles.words_of(f"{a} {b} {a}".encode())
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
 # --- vectors
 
 
@@ -246,3 +323,5 @@ def test_equal_and_missing_vectors(spark):
     got = sorted(map(tuple, embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=repr)
     assert got == sorted([(3, 3, 2, False), (3, 3, 2, False), (2, 3, 2, True), (None, 3, 2, False), (None, 0, None, True)], key=repr)
     assert embedding_join.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    clashing = spark.createDataFrame([(i, v, 7, "x") for i, v in rows], "vec_id long, embedding array<float>, cell int, component string")
+    assert sorted(map(tuple, embedding_join.near_vectors(clashing).collect()), key=repr) == got

@@ -6,15 +6,19 @@ import gzip
 import json
 import lzma
 import re
+import struct
+import time
 import zlib
 from urllib.parse import quote
 
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from quillon.llm import language_id, pieces, secrets, toxicity
-from quillon.llm.memory import Recent
+from quillon.llm import words as words_module
+from quillon.llm.memory import ENTRY, Recent
 
 SCHEMA = "doc_id long, text string, lang string, source string, extra int"
 
@@ -163,6 +167,19 @@ def test_long_content_is_scanned_in_windows(monkeypatch):
             assert ("assign", 2, len(text) - 2) in spans and oversized >= 1
 
 
+def test_odd_rows_of_secrets(spark):
+    long = "漢字 no spaces %".replace(" ", "") * 60_000
+    rows = [(1, long), (1, long), (None, SECRET), (2, SECRET + " " + SECRET)]
+    docs = docs_of(spark, rows).withColumnRenamed("lang", "spans").withColumnRenamed("source", "base")
+    began = time.time()
+    got = sorted((r["doc_id"] or 0, len(r["spans"])) for r in secrets.find_secrets(docs).collect())
+    assert got == [(0, 1), (1, 0), (1, 0), (2, 2)] and time.time() - began < 60
+    assert secrets.find_secrets(docs.limit(0)).count() == 0
+    began = time.time()
+    secrets.scan("a" * 1_000_000 + "%41")
+    assert time.time() - began < 10
+
+
 def test_secret_query_columns(spark, sf_dir):
     rows = secrets.find_secrets(docs_of(spark, [(1, None), (2, ""), (3, f"x {SECRET}"), (3, f"x {SECRET}")])).collect()
     assert [len(r["spans"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == [0, 0, 1, 1]
@@ -178,7 +195,7 @@ def test_secret_query_columns(spark, sf_dir):
 
 @pytest.fixture(scope="module")
 def machine():
-    return pieces.Transducer(*pieces.read_model())
+    return pieces.Transducer(pieces.read_model())
 
 
 def test_encoding_is_the_model_s_own(machine, texts):
@@ -202,12 +219,62 @@ def test_pieces_round_trip_in_spark(spark):
 
 
 def test_memory_is_bounded_and_right():
-    calls = []
-    recent = Recent(lambda k: calls.append(k) or k.upper(), 10)
+    asked = []
+    recent = Recent(lambda keys: asked.extend(keys) or [k.upper().encode() for k in keys], 20 * (ENTRY + 2))
     for k in "abcdefghijklmnop" * 3:
-        assert recent[k] == k.upper()
-    assert len(recent) + len(recent.older) <= 10
-    assert len(recent["z" * 100]) == 100 and "z" * 100 not in recent
+        assert recent.of([k]) == {k: k.upper().encode()}
+        assert len(recent.newer) + len(recent.older) <= 20
+    assert recent.of(["a", "z" * 100, "a"]).keys() == {"a", "z" * 100} and "z" * 100 not in recent.newer
+
+
+def field(number, value):
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model(words, charsmap=b""):
+    """A model file with these pieces (text: score)."""
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((w, s, 1) for w, s in words.items())]
+    out = b"".join(field(1, field(1, t.encode()) + field(2, float(s)) + field(3, k)) for t, s, k in pieces_)
+    return out + field(2, field(3, 1)) + field(3, field(2, charsmap) + field(3, 1) + field(4, 1) + field(5, 1))
+
+
+def test_shortest_paths_of_unigram_models():
+    """The weight of each path is that of the library's, whatever path it takes of equal ones."""
+    import sentencepiece
+
+    rng = np.random.default_rng(0)
+    rules = pieces.parse_model(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).charsmap
+    for trial in range(6):
+        words = sorted(set("abcd▁é") | {"".join(rng.choice(list("▁abcd"), int(rng.integers(2, 5)))) for _ in range(30)})
+        data = unigram_model({w: -float(rng.integers(1, 4000)) / 100 for w in words}, rules if trial == 0 else b"")
+        library, own = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Transducer(pieces.parse_model(data))
+        texts = ["".join(rng.choice(list("abcd  xéﬁ"), int(rng.integers(0, 40)))) for _ in range(100)] + ["", " ", "a  b ", "x" * 70]
+        weight = lambda ids: sum(library.get_score(int(i)) for i in ids)  # noqa: B023, E731
+        for text, ids in zip(texts, own.encode_all(texts), strict=True):
+            theirs = library.encode(text)
+            assert weight(ids) == pytest.approx(weight(theirs), abs=1e-3) and own.decode(ids) == library.decode(ids.tolist())
+            assert own.normalise(text).replace("▁", " ").strip() == library.normalize(text).replace("▁", " ").strip()
+
+
+def test_models_that_cannot_be_compiled_are_refused():
+    data = unigram_model({"a": -1.0})
+    for bad in (data + field(2, field(3, 3)), data + field(2, field(3, 1) + field(24, 1)), data + field(1, field(1, b"own") + field(3, 4))):
+        with pytest.raises(ValueError, match="cannot be compiled|can be compiled"):
+            pieces.parse_model(bad)
+
+
+def test_texts_without_a_cut(machine):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    rng = np.random.default_rng(1)
+    for text in ("a" * 3000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 2000)), "漢字" * 500, "\x00a\x00"):
+        assert machine.encode(text).tolist() == model.encode(text)
 
 
 # --- toxicity and language
@@ -222,22 +289,70 @@ def test_logistic_fit_separates():
     assert ((score > 0.5) == (y > 0)).mean() > 0.95
 
 
-def test_ratios_of_words(monkeypatch):
-    monkeypatch.setattr(toxicity, "NEGLIGIBLE", 0.0)
-    words = {"aa": (5, 1), "ab": (2, 6), "ba": (0, 4)}
-    counts = {}
-    for word, (t, o) in words.items():
-        padded = f" {word} "
-        for end in range(2, len(padded) + 1):
+def plain_kneser_ney(words, column):
+    """log P(letter | letters before) of one class by the formula, over dicts; words: (toxic, ordinary) counts."""
+    grams = {}
+    for word, counts in words.items():
+        marked = toxicity.START + word + toxicity.END
+        for end in range(2, len(marked) + 1):
             for n in range(1, min(toxicity.ORDER, end) + 1):
-                of = counts.setdefault(n, {}).setdefault(padded[end - n : end], [0, 0])
-                of[0] += t
-                of[1] += o
-    table = toxicity.ratio_table({n: (list(g), np.array([v[0] for v in g.values()]), np.array([v[1] for v in g.values()])) for n, g in counts.items()})
-    ratios = toxicity.Ratios(*table)
-    assert ratios.word("aa") > 0 > ratios.word("ba") and ratios.words["ab"] == ratios.word("ab")
-    assert np.isfinite(ratios.word("zzz")) and abs(ratios.word("zzz")) < 3
-    assert ratios.features("") == [0.0] * (2 + len(toxicity.WINDOWS))
+                of = grams.setdefault(marked[end - n : end], [0, 0])
+                of[0] += counts[0]
+                of[1] += counts[1]
+    before = {}
+    for g, counts in grams.items():
+        of = before.setdefault(g[1:], [0, 0])
+        of[0] += counts[0] > 0
+        of[1] += counts[1] > 0
+
+    def use(g):
+        counts = grams[g] if len(g) == toxicity.ORDER or g[0] == toxicity.START else before.get(g, [0, 0])
+        return sum(counts) if len(g) <= toxicity.SHARED else counts[column]
+
+    followers = {}
+    for g in grams:
+        followers.setdefault((len(g), g[:-1]), []).append(use(g))
+    letters = sum(len(g) == 1 for g in grams)
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / letters
+        uses = followers.get((len(g), g[:-1]), [0])
+        total = sum(uses)
+        if not total:
+            return lower
+        own = use(g) if g in grams else 0
+        return max(own - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * sum(u > 0 for u in uses) / total * lower
+
+    def log_likelihood(word):
+        marked = toxicity.START + word + toxicity.END
+        return sum(np.log(p(marked[max(0, end - toxicity.ORDER) : end])) for end in range(2, len(marked) + 1))
+
+    return log_likelihood
+
+
+def test_ratios_are_those_of_plain_kneser_ney_models(spark):
+    rng = np.random.default_rng(2)
+    words = {"".join(rng.choice(list("abcd"), int(rng.integers(1, 9)))): (int(rng.integers(0, 4)), int(rng.integers(0, 4))) for _ in range(60)}
+    words = {w: c for w, c in words.items() if sum(c)}
+    counts = spark.createDataFrame([(w, *c) for w, c in words.items()], "word string, t long, o long")
+    grams = toxicity.keyed_ngrams(toxicity.ngram_counts(counts)).cache()
+    ratios = toxicity.Ratios(*toxicity.ratio_tables(lambda k: toxicity.Order(grams.where(F.col("n") == k).toArrow())))
+    asked = [*words, "abcdabcd", "dd", "a", "xyz", "abxcd"]
+    toxic, ordinary = plain_kneser_ney(words, 0), plain_kneser_ney(words, 1)
+    wanted = [toxic(w) - ordinary(w) for w in asked if set(w) <= set("abcd")]
+    assert ratios.words([w for w in asked if set(w) <= set("abcd")]) == pytest.approx(wanted, abs=1e-4)
+    assert np.isfinite(ratios.words(asked)).all()
+    one = ratios.words(["ab", "cd"])
+    assert ratios.features(["", None, " \n", "ab cd"])[:3].tolist() == [[0.0] * toxicity.FEATURES] * 3
+    assert ratios.features(["ab cd"])[0][0] == pytest.approx(one.mean())
+
+
+def test_words_are_counted_whole(spark):
+    long = " ".join(f"w{k % 50}" for k in range(3 * toxicity.MAX_WORDS))
+    rows = spark.createDataFrame([("B b a", 1), ("a", 0), (long, 0), ("x" * 100, 1)], "text string, toxic int")
+    got = {r["word"]: (r["t"], r["o"]) for r in toxicity.word_counts(rows).collect()}
+    assert got["b"] == (2, 0) and got["a"] == (1, 1) and got["x" * 40] == (2, 0) and got["x" * 20] == (1, 0)
+    assert sum(o for w, (_, o) in got.items() if w[0] == "w") == toxicity.MAX_WORDS
 
 
 def test_toxicity_finds_held_out_insults(spark):
@@ -261,6 +376,25 @@ def test_toxicity_finds_held_out_insults(spark):
     assert kept.columns == docs.columns and kept.where("doc_id < 400").count() == 301
     nothing = toxicity.score_toxicity(docs, label_rows.limit(0)).collect()
     assert {r["score"] for r in nothing} == {0.0}
+    assert toxicity.score_toxicity(docs.limit(0), label_rows).count() == 0
+    again = {(r["doc_id"], r["score"]) for r in got}
+    odd = docs.withColumnRenamed("lang", "score").withColumnRenamed("source", "toxic").withColumnRenamed("extra", "id").repartition(3)
+    assert {(r["doc_id"], r["score"]) for r in toxicity.score_toxicity(odd, label_rows.unionByName(label_rows)).collect()} == again
+    assert toxicity.drop_toxic(odd, label_rows).columns == odd.columns
+
+
+def test_language_features_are_those_of_single_words():
+    words = ["a", "né", "word", "x" * 40]
+    together = [np.split(buckets, starts[1:]) for buckets, starts in language_id.windows(words)]
+    for k, word in enumerate(words):
+        alone = [buckets for buckets, _ in language_id.windows([word])]
+        assert all(np.array_equal(a, t[k]) for a, t in zip(alone, together, strict=True))
+        marked = len(word) + 2
+        assert sum((b < language_id.BUCKETS).sum() for b in alone) == 1 + sum(max(0, marked - n + 1) for n in language_id.NGRAMS)
+    model = language_id.Classifier(["x", "y"], np.random.default_rng(0).normal(0, 1, (language_id.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+    texts = ["one two one", "two", "z" * 300_000, "w " * 200_000]
+    rows = {t: model.word_rows([w for part in words_module.word_lists(t) for w in part]).sum(0) for t in texts}
+    assert model.means(texts) == pytest.approx(np.array([r[:-1] / r[-1] for r in rows.values()]), rel=1e-5)
 
 
 def test_languages_of_held_out_rows(spark, sf_dir):
@@ -268,13 +402,20 @@ def test_languages_of_held_out_rows(spark, sf_dir):
     model = language_id.learn(docs)
     got = language_id.find_languages(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.95
-    odd = docs_of(spark, [(1, None), (2, ""), (3, "123 !!"), (4, "the of and " * 3000), (None, "und die der")])
-    found = {r["doc_id"]: r for r in language_id.find_languages(odd, model).collect()}
-    assert [found[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and found[4]["lang_pred"] == "en"
+    odd = docs_of(spark, [(1, None), (2, ""), (3, "123 !!"), (4, "the of and " * 3000), (4, "the of and " * 3000), (None, "und die der"), (5, "漢" * 100_000)])
+    found = {r["doc_id"]: r for r in language_id.find_languages(odd.withColumnRenamed("source", "score").withColumnRenamed("extra", "held_out"), model).collect()}
+    assert [found[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and found[4]["lang_pred"] == "en" and len(found) == 6
     empty = language_id.find_languages(docs.limit(0))
     assert empty.count() == 0
 
 
+def test_language_sample_is_bounded_for_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 50)
+    rows = [(None, f"text number w{k}", "en" if k % 2 else "de", "s", 0) for k in range(1000)] + [(None, "the same", "en", "s", 0)] * 500 + [(None, "123", "fr", "s", 0)]
+    sample = language_id.take_sample(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert 20 < len(sample) < 200 and sum(r["text"] == "the same" for r in sample) <= 1 and {r["lang"] for r in sample} == {"de", "en"}
+
+
 def test_spans_are_json_like(spark):
     r = secrets.find_secrets(docs_of(spark, [(1, f"x {SECRET}")])).first()
     assert json.dumps([s.asDict() for s in r["spans"]])
