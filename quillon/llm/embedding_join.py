@@ -5,8 +5,9 @@ join in a metric space.
 
 1. Equal vectors are folded into one with its number of rows, by map tasks first: a vector with a third of all rows is
    one row from there on.
-2. Pivots are PIVOTS vectors or one for each CELL vectors, whichever is less, taken by a hash; that bounds what is sent
-   to all tasks. Each vector belongs to the cell of its nearest pivot.
+2. Pivots are vectors taken by a hash, PIVOTS at most and one for each CELL vectors at most; that bounds what is sent to
+   all tasks. How many pay off is measured on SAMPLE other vectors: more pivots leave less to compare where vectors have
+   clusters, and only copy them where they have none. Each vector belongs to the cell of its nearest pivot.
 3. Boundary replication. A vector x of cell i can only be in range of a vector of cell j if its distance from the plane
    midway between the pivots, (d(x, j)^2 - d(x, i)^2) / (2 d(i, j)), is at most the radius; this is the triangle
    inequality in its form for Euclidean spaces. x is sent to these cells, and only to those with a higher number, so
@@ -43,7 +44,9 @@ from quillon.llm.memory import release
 from quillon.llm.shared import Scratch, ship, table
 
 COSINE = 0.9
-PIVOTS, CELL, BLOCK, TILE = 2048, 8192, 4096, 1024
+PIVOTS, CELL, BLOCK, TILE, SAMPLE = 2048, 64, 4096, 1024, 512
+#: How many comparisons cost as much as sending a vector to one more block.
+SENT = 500
 #: Ids from here on are those of vectors without one.
 UNNAMED = 1 << 62
 #: What single precision may be off by, generously.
@@ -72,6 +75,29 @@ def usable(column: str = "embedding"):
     return F.coalesce(F.forall(column, fits) & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
+def in_range(x: np.ndarray, p: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each vector, and which cells the bound does not exclude for it."""
+    apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-24))
+    d2 = 2 - 2 * (x @ p.T)
+    cell = d2.argmin(axis=1)
+    own = d2[np.arange(len(cell)), cell]
+    return cell, (d2 - own[:, None]) / (2 * apart[cell]) <= radius + 1e-9
+
+
+def pivots_that_pay(pivots: np.ndarray, sample: np.ndarray, rows: int, radius: float, block: int) -> int:
+    """How many of the pivots make the least work, as measured on a sample."""
+    best, least = 1, math.inf
+    count = 1
+    while count <= len(pivots):
+        cells = in_range(sample, pivots[:count], radius)[1].sum(axis=1).mean() if len(sample) else 1.0
+        size = rows / count
+        work = cells * (size + SENT * math.ceil(size / block))
+        if work < least:
+            best, least = count, work
+        count *= 4
+    return best
+
+
 def place(vectors: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     """id, n, embedding, cell (of the nearest pivot) and others (higher cells that the bound does not exclude)."""
     dim = pivots.shape[1]
@@ -80,12 +106,8 @@ def place(vectors: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         p = shared.value
-        apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-24))
         for batch in batches:
-            d2 = 2 - 2 * (_unit(_matrix(batch.column(2), dim)) @ p.T)
-            cell = d2.argmin(axis=1)
-            own = d2[np.arange(len(cell)), cell]
-            beyond = (d2 - own[:, None]) / (2 * apart[cell]) <= radius + 1e-9
+            cell, beyond = in_range(_unit(_matrix(batch.column(2), dim)), p, radius)
             beyond &= np.arange(len(p))[None, :] > cell[:, None]
             at = np.concatenate([[0], np.cumsum(beyond.sum(axis=1))]).astype(np.int32)
             others = pa.ListArray.from_arrays(pa.array(at), pa.array(np.nonzero(beyond)[1].astype(np.int32)))
@@ -204,8 +226,8 @@ def join_cells(jobs: DataFrame, dim: int, cosine: float) -> DataFrame:
     return jobs.mapInArrow(rows, "id long, links long, other long")
 
 
-def near_vectors(embeddings: DataFrame, cosine: float = COSINE, scratch: Scratch | None = None, cell: int = CELL, block: int = BLOCK) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
+def near_vectors(embeddings: DataFrame, cosine: float = COSINE, scratch: Scratch | None = None, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row; pivots: so many instead of those that pay off."""
     spark = ship(embeddings.sparkSession)
     scratch = scratch or Scratch(spark)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -217,10 +239,15 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, scratch: Scratch
     size = classes.agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dim")).first()
     found = None
     if size["rows"]:
-        dim, wanted = int(size["dim"]), max(1, min(PIVOTS, math.ceil(size["rows"] / cell)))
-        picked = classes.orderBy(F.xxhash64("id"), "id").limit(wanted).select("embedding").collect()
-        pivots = _unit(np.array([np.pad(np.array(r[0], float), (0, dim - len(r[0]))) for r in picked]))
-        placed = scratch.keep(place(classes, pivots, math.sqrt(max(0.0, 2 - 2 * cosine))), "placed")
+        dim, radius, most = int(size["dim"]), math.sqrt(max(0.0, 2 - 2 * cosine)), pivots or max(1, min(PIVOTS, size["rows"] // CELL))
+        # about so many vectors, by a hash: no partition sends more than its share
+        share = int(1_000_000_000 * min(1.0, 1.25 * (most + SAMPLE) / size["rows"]))
+        draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000_000))
+        picked = sorted(classes.where(draw < share).select(draw.alias("draw"), "id", "embedding").collect())
+        picked = picked or classes.select(F.lit(0), "id", "embedding").limit(1).collect()
+        drawn = _unit(np.array([np.pad(np.array(r[2], float), (0, dim - len(r[2]))) for r in picked]))
+        chosen = drawn[: pivots or pivots_that_pay(drawn[:most], drawn[most:], size["rows"], radius, block)]
+        placed = scratch.keep(place(classes, chosen, radius), "placed")
         sizes = placed.groupBy("cell").agg(F.count("*").alias("size")).collect()  # one row for each pivot
         blocks = F.lit(1).cast("long")
         if split := {r["cell"]: math.ceil(r["size"] / block) for r in sizes if r["size"] > block}:

@@ -305,7 +305,7 @@ def test_vectors_in_many_cells_and_blocks(spark):
     x[5] = x[6] = x[7]
     data = [(int(k) * 3, v.tolist()) for k, v in enumerate(x)]
     odd = [(9001, None), (9002, [0.0] * 8), (9003, [1.0, None] * 4), (9004, [float("nan")] * 8), (9005, [float("inf")] + [0.0] * 7), (9006, [1e-30] + [0.0] * 7), (9007, [5.0]), (9008, [])]
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_join.near_vectors(spark.createDataFrame(data + odd, "vec_id long, embedding array<float>"), cell=40, block=16).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_join.near_vectors(spark.createDataFrame(data + odd, "vec_id long, embedding array<float>"), pivots=10, block=16).collect()}
     ids = np.array([k for k, _ in data] + [9006, 9007])
     u = np.concatenate([x.astype(float), [[1.0] + [0.0] * 7] * 2])
     u /= np.linalg.norm(u, axis=1)[:, None]
@@ -318,6 +318,15 @@ def test_vectors_in_many_cells_and_blocks(spark):
     assert got == wanted
 
 
+def test_pivots_pay_off_where_vectors_have_clusters():
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    clusters = unit(rng.normal(0, 1, (300, 64)))[rng.integers(0, 300, 3000)] + rng.normal(0, 0.02, (3000, 64))
+    for x, few in ((unit(clusters), False), (unit(rng.normal(0, 1, (3000, 64))), True)):
+        count = embedding_join.pivots_that_pay(x[:1024], x[1024:1536], 100_000, 0.447, 4096)
+        assert (count <= 16) == few
+
+
 def test_equal_and_missing_vectors(spark):
     rows = [(3, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [0.0, 1.0])]
     got = sorted(map(tuple, embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()), key=repr)
