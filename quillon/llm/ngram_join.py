@@ -22,7 +22,7 @@ of n shingles then occurs on at least T = ceil(n * percent / 100) of the set's n
 Exact copies of a set are one member throughout. Output is one row for each document.
 
 Defined results. Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id each get a row with
-the set of their own text; they share a component if links reach from one to the other or, as they have one id, to a third.
+the set of their own text, and are linked only as other documents are.
 A null doc_id gets the component of its set where a row with an id has the same set, and goes for that one; a set that only
 rows without an id have links with nothing, its component is null and its rows stay. Of ties nothing has to be chosen: equal sets are one. An empty table
 gives an empty result; columns other than doc_id and text are ignored, or carried along by drop_near_copies, whatever
@@ -272,22 +272,21 @@ def search(gathered: DataFrame, percent: int) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """members (id, node, job, part) with the shingles of the document of that id."""
-    wanted = sent_if_small(members.select(F.col("id").alias("doc_id"), "node", "job", "part"))
+    """job, part and shingles of members (doc_id, node, job, part), with the node as id; of a doc_id's texts the one counts
+    whose set is that node."""
+    wanted = sent_if_small(members.select("doc_id", "node", "job", "part"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            ids, text, node, job, part = (batch.column(k) for k in range(5))
+            text, node, job, part = (batch.column(k) for k in range(4))
             sets = list(shingle_sets((t.as_py() for t in text), words))
             same = pa.array([int.from_bytes(signature(s)[:8], "little", signed=True) == k for s, k in zip(sets, node.to_pylist(), strict=True)], pa.bool_())
-            found = pa.RecordBatch.from_arrays([ids, node, job, part, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "node", "job", "part", "shingles"])
+            found = pa.RecordBatch.from_arrays([node, job, part, pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "job", "part", "shingles"])
             yield found.filter(same)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(wanted, "doc_id").select("doc_id", "text", "node", "job", "part").mapInArrow(
-        rows, "id long, node long, job long, part long, shingles binary"
-    )
+    return texts.join(wanted, "doc_id").select("text", "node", "job", "part").mapInArrow(rows, "id long, job long, part long, shingles binary")
 
 
 def _rounds(hot: DataFrame, links: DataFrame, percent: int, scratch: Scratch, block: int) -> DataFrame:
@@ -324,20 +323,22 @@ def labelled(docs: DataFrame, words: int, percent: int, scratch: Scratch, block:
     groups = groups.select(F.col("id").alias("node"), F.col("component").alias("job"))
     firsts = sets.where("doc_id is not null and n_shingles > 0").groupBy("sig", "node", "n_shingles").agg(F.min("doc_id").alias("id"))
     firsts = scratch.keep(firsts, "firsts")
-    members = scratch.keep(firsts.select("id", "node", F.col("n_shingles").alias("n")).join(groups, "node"), "members")
+    members = scratch.keep(firsts.select(F.col("id").alias("doc_id"), "node", F.col("n_shingles").alias("n")).join(groups, "node"), "members")
     sizes = members.groupBy("job").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
-    placed = members.join(sizes, "job").withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = members.join(sizes, "job").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = scratch.keep(placed, "placed")
-    gathered = fetch_sets(docs, placed.select("id", "node", "job", "part"), words)
+    gathered = fetch_sets(docs, placed.select("doc_id", "node", "job", "part"), words)
     large = not placed.where("blocks > 1").isEmpty()
     if large:
         gathered = scratch.keep(gathered, "gathered")
     links = scratch.keep(search(gathered.withColumn("query", F.lit(False)), percent), "links")
     if large:
-        hot = gathered.join(placed.where("blocks > 1").select("id", "n"), "id")
+        hot = gathered.join(placed.where("blocks > 1").select(F.col("node").alias("id"), "n"), "id")
         links = _rounds(hot, links, percent, scratch, block)
-    labels = connected_components(links, scratch, "linked").select("id", "component")
-    classes = firsts.join(labels, "id", "left").select("sig", F.coalesce("component", "id").alias("component_id"))
+    labels = connected_components(links, scratch, "linked").select(F.col("id").alias("node"), "component")
+    classes = scratch.keep(firsts.join(labels, "node", "left").select("sig", "id", "component"), "classes")
+    least = classes.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    classes = classes.join(least, "component", "left").select("sig", F.coalesce("least", "id").alias("component_id"))
     return sets.select("doc_id", "mark", "n_shingles", "sig").join(classes, "sig", "left").select(
         "doc_id", "mark", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
