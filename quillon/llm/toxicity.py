@@ -56,7 +56,7 @@ FEATURES = 2 + len(WINDOWS)
 #: What stands before and behind a word; no word has white space.
 START, END = "\n", " "
 #: Letters whose n-grams are looked up together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 16
 
 
 def sample_ids(labels: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ class Order:
 
 def ratio_tables(order_of: Callable[[int], Order]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Both models as one table: the keys of n-grams with the log-ratio of their probabilities (toxic to ordinary), and of
-    contexts with the log-ratio of their weights for going back."""
+    contexts with the log-ratio of their weights for going back; keys ascend."""
     keys, ratios, contexts, backs = [], [], [], []
     now, lower, lower_p = order_of(1), None, np.full((1, 2), 1.0)
     for k in range(1, ORDER + 1):
@@ -197,15 +197,18 @@ def ratio_tables(order_of: Callable[[int], Order]) -> tuple[np.ndarray, np.ndarr
         contexts.append(names)
         backs.append(np.log(weight[:, 0] / weight[:, 1]).astype(np.float32))
         now, lower, lower_p = longer, now, p
-    return tuple(np.concatenate(x) for x in (keys, ratios, contexts, backs))
+    out: list[np.ndarray] = []
+    for names, values in ((keys, ratios), (contexts, backs)):
+        order = np.argsort(names := np.concatenate(names))
+        out += names[order], np.concatenate(values)[order]
+    return tuple(out)
 
 
 class Lookup:
-    """Values of 64-bit keys. Keys are hashes, so their leading bits say nearly where in the sorted array one is."""
+    """Values of ascending 64-bit keys. Keys are hashes, so their leading bits say nearly where one is."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.keys, self.values = keys, values
         bits = max(4, len(keys).bit_length())
         self.shift = np.uint64(64 - bits)
         self.begins = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
