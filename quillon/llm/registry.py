@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillon.llm import embedding_join, exact_dedup, language_id, line_dedup, mixing, ngram_join, pieces, secrets, toxicity, url_filters
+from quillon.llm import embedding_join, exact_dedup, language_id, line_dedup, mixing, ngram_join, periodic_runs, pieces, secrets
+from quillon.llm import substring_dedup, toxicity, url_filters, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,9 @@ def queries() -> dict[str, Query]:
         "op8_sentence_pieces": pieces.op8_sentence_pieces,
         "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
         "op10_embedding_near_dedup": embedding_join.op10_embedding_near_dedup,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -35,4 +39,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.OP5_SQL,
         "op7_url_filters": url_filters.OP7_SQL,
         "op10_embedding_near_dedup": embedding_join.OP10_SQL,
+        "op11_periodic_runs": periodic_runs.OP11_SQL,
+        "op12_substring_dedup": substring_dedup.OP12_SQL,
+        "op13_vector_codes": vector_codes.OP13_SQL,
     }

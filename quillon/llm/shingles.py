@@ -77,7 +77,8 @@ def chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _combined(h: np.ndarray, width: int) -> np.ndarray:
+def sequence_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each so many successive words."""
     n = len(h) - width + 1
     out = h[:n].copy()
     for k in range(1, width):
@@ -91,14 +92,14 @@ def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray
     for held in chunks(texts):
         hashes, starts = words_of(b"\n".join(held))
         ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in held]))
-        whole = _combined(hashes, words) if len(hashes) >= words else np.zeros(0, np.uint64)
+        whole = sequence_hashes(hashes, words) if len(hashes) >= words else np.zeros(0, np.uint64)
         first = 0
         for end in ends.tolist():
             n = end - first
             if n >= words:
                 yield np.unique(whole[first : end - words + 1])
             elif n:
-                yield _combined(hashes[first:end], n)
+                yield sequence_hashes(hashes[first:end], n)
             else:
                 yield np.zeros(0, np.uint64)
             first = end
