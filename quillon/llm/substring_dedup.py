@@ -14,8 +14,7 @@ A window is WINDOW consecutive words of one document; words of windows that also
    own) is marked in a second bitmap and sends no strings: its windows are counted as digests of 128 bits in an
    aggregate that map tasks begin, so no bucket holds more than HOT strings. Windows that repeat there are sent to all
    tasks if they are SENT at most, as counted; else they are joined by their digests, where Spark splits a hot side.
-5. Texts. The stretches of a document are joined to its text, which is shuffled once unless they are small, and its last map
-   leaves their words out.
+5. Texts. The stretches of a document are joined to its text, which is shuffled once, and a last map leaves their words out.
 
 Defined results. A null or empty text has no words. A row without a doc_id counts as later than all rows with one: it loses
 windows that they have, and takes none from others. Rows that repeat a doc_id are documents of the same rank, so they take
@@ -37,15 +36,15 @@ from pyspark.sql import functions as F
 
 from quillon.llm.memory import release
 from quillon.llm.shared import Scratch, ship, table, text_mark
-from quillon.llm.shingles import CHUNK, mixed, sequence_hashes, words_of
+from quillon.llm.shingles import CHUNK, mixed, words_of
 
 WINDOW, MINIMISER = 50, 16
 #: Windows of a super-k-mer at most, and super-k-mers of a bucket at most.
 LONGEST, HOT = 256, 512
 #: Each bitmap has 2^BITS bits.
 BITS = 26
-#: Repeated windows of hot buckets that are sent to all tasks at most, of 24 bytes each; bytes of stretches that are.
-SENT, SENT_BYTES = 1 << 20, 8 << 20
+#: Repeated windows of hot buckets that are sent to all tasks at most, of 24 bytes each.
+SENT = 1 << 20
 #: The rank of rows without a doc_id.
 LAST = (1 << 63) - 1
 
@@ -71,7 +70,7 @@ class Chunk:
         if n <= 0:
             return
         text = np.repeat(np.arange(len(texts)), self.ends - self.begins)[:n]
-        least = sliding_least(sequence_hashes(self.words, short), window - short + 1)
+        least = sliding_least(rolled(self.words, short), window - short + 1)
         fit = np.arange(n) + window <= self.ends[text]
         new = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (fit[1:] != fit[:-1])])
         at = np.flatnonzero(new)
@@ -114,13 +113,23 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return values if reach == width else np.minimum(values[: -(width - reach)], values[width - reach :])
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if len(_POWERS.get(base, ())) < n:
+        steps = np.full(max(n, CHUNK), base, np.uint64)
+        steps[0] = 1
+        _POWERS[base] = np.multiply.accumulate(steps)
+    return _POWERS[base][:n]
+
+
 def rolled(words: np.ndarray, window: int, base: int = 0xD1342543DE82EF95) -> np.ndarray:
     """A polynomial modulo 2^64 of each so many successive hashes."""
     n = len(words) - window + 1
-    up, down = np.full(len(words), base, np.uint64), np.full(len(words), pow(base, -1, 1 << 64), np.uint64)
-    up[:1] = down[:1] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * np.multiply.accumulate(up))])
-    return mixed((sums[window:] - sums[:n]) * np.multiply.accumulate(down)[:n])
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(base, len(words)), out=sums[1:])
+    return mixed((sums[window:] - sums[:n]) * _powers(pow(base, -1, 1 << 64), n))
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Chunk]:
@@ -387,8 +396,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, window: int
     spark = ship(docs.sparkSession)
     rows = ranked(docs)
     spans = repeated_spans(rows, scratch or Scratch(spark), window, hot, bits, sent)
-    size = spans.agg(F.sum(F.size("spans") * 8 + 40)).first()[0] or 0
-    return without_spans(rows.join(F.broadcast(spans) if size <= SENT_BYTES else spans, ["doc", "mark"], "left"))
+    return without_spans(rows.join(spans.hint("merge"), ["doc", "mark"], "left"))
 
 
 def sha256_of(text: str) -> Column:
