@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,33 +21,46 @@ NAMED = {
     "silver": (192, 192, 192, 1), "white": (255, 255, 255, 1), "yellow": (255, 255, 0, 1), "transparent": (255, 255, 255, 0),
 }
 
-DIGITS, NUMBER, GAP = "([0-9]{1,3})", "([0-9.]+)", r"\s*"
+HEX = "0123456789abcdefABCDEF"
+SHADOW = "struct<inset:boolean,left:int,top:int,blur:int,spread:int,color:array<double>>"
+
 
+def _made_of(text: Column, letters: str) -> Column:
+    """Whether a text has some letters, all of them from a list."""
+    return (text != "") & (F.translate(text, letters, "") == "")
 
-def _call(name: str, *arguments: str) -> str:
-    """The pattern of a name with arguments in parentheses."""
-    return name + r"\(" + GAP + f"{GAP},{GAP}".join(arguments) + GAP + r"\)"
 
+def _hex_color(code: Column) -> Column:
+    """'#' and three or six hexadecimal digits; of three, each stands for two."""
+    digits = F.substring(code, 2, 7)
+    pair = lambda k: F.when(F.length(digits) == 3, F.repeat(F.substring(digits, k + 1, 1), 2)).otherwise(F.substring(digits, 2 * k + 1, 2))
+    color = F.array(*[F.conv(pair(k), 16, 10).try_cast("double") for k in range(3)], F.lit(1.0))
+    return F.when(F.startswith(code, F.lit("#")) & _made_of(digits, HEX) & F.length(digits).isin(3, 6), color)
 
-def _hex(digits: int) -> str:
-    return "#" + f"([0-9a-fA-F]{{{digits}}})" * 3
 
+def _start(number: Column) -> Column:
+    """The whole number that a text starts with; null if it starts with none."""
+    return F.regexp_extract(number, "^-?[0-9]+", 0).try_cast("int")
 
-#: The ways to write a color: pattern, base of its numbers, and what a number is multiplied by.
-WAYS = ((_hex(2), 16, 1), (_hex(1), 16, 17), (_call("rgb", *[DIGITS] * 3), 10, 1), (_call("rgba", *[DIGITS] * 3, "([0-9.]*)"), 10, 1))
+
+def _called_color(name: Column, arguments: Column) -> Column:
+    """'rgb' with three numbers or 'rgba' with four. Numbers are read as far as they go."""
+    given = F.transform(arguments, lambda x: F.trim(x))
+    wanted = F.when(name == "rgb", 3).when(name == "rgba", 4)
+    fits = (F.size(given) == wanted) & F.forall(given, lambda x: _made_of(x, "0123456789."))
+    alpha = F.regexp_extract(F.get(given, F.lit(3)), r"^[0-9]*\.?[0-9]*", 0).try_cast("double")
+    color = F.array(*[_start(F.get(given, F.lit(k))).cast("double") for k in range(3)], F.when(name == "rgba", alpha).otherwise(F.lit(1.0)))
+    return F.when(fits, color)
 
 
 def parse_color(text: Column) -> Column:
-    """array(red, green, blue, alpha) as doubles; null for what is no color."""
-    found, named = None, F.create_map(*[x for k, v in NAMED.items() for x in (F.lit(k), F.array(*[F.lit(float(c)) for c in v]))])
-    for pattern, base, factor in WAYS:
-        parts = [F.regexp_extract(text, pattern, k + 1) for k in range(pattern.count("(["))]
-        numbers = [(F.conv(x, 16, 10) if base == 16 else x).try_cast("double") * factor for x in parts[:3]]
-        alpha = parts[3].try_cast("double") if len(parts) > 3 else F.lit(1.0)
-        color = F.array(*numbers, alpha)
-        fits = F.regexp_like(text, F.lit(pattern))
-        found = F.when(fits, color) if found is None else found.when(fits, color)
-    return found.otherwise(F.try_element_at(named, text))
+    """array(red, green, blue, alpha) as doubles, of a text that is one color: '#' with digits, a call of rgb or rgba, or a name;
+    null for anything else. Blanks around it, and around the numbers of a call, do not count."""
+    named = F.create_map(*[x for k, v in NAMED.items() for x in (F.lit(k), F.array(*[F.lit(float(c)) for c in v]))])
+    word = F.trim(text)
+    call = F.split(F.substring(word, F.lit(1), F.length(word) - 1), r"\(")
+    called = F.when(F.endswith(word, F.lit(")")) & (F.size(call) == 2), _called_color(F.get(call, F.lit(0)), F.split(F.get(call, F.lit(1)), ",")))
+    return F.coalesce(_hex_color(word), called, F.try_element_at(named, word))
 
 
 def mix_colors(a: Column, b: Column, at: Column) -> Column:
@@ -64,51 +75,64 @@ def color_text(color: Column) -> Column:
     return F.concat(F.lit("rgba("), F.array_join(F.array(*whole), ","), F.lit(","), F.get(color, F.lit(3)).cast("string"), F.lit(")"))
 
 
-SIZE = f"(-?{NUMBER[1:-1]})(?:px)?"
-#: Two to four sizes; the colors that a shadow can have.
-SIZES = SIZE + r"\s+" + SIZE + rf"(?:\s+{SIZE})?" * 2
-SHADOW_COLORS = ((_hex(2), 16, 1), (_hex(1), 16, 17), (_call("rgb", *[NUMBER] * 3), 10, 1), (_call("rgba", *[NUMBER] * 4), 10, 1))
-SHADOW = "struct<inset:boolean,left:int,top:int,blur:int,spread:int,color:array<double>>"
+#: Tokens of a shadow list: blanks, marks, and words, which are whatever stands between them.
+TOKEN = r"\s+|[(),]|[^\s(),]+"
+HELD = f"struct<done:array<{SHADOW}>,now:{SHADOW},sizes:array<string>,call:string,reading:boolean>"
 
 
 def parse_shadows(text: Column) -> Column:
-    """The shadows of a list like 'inset 1px 2px 3px #000, 0 0 4px rgba(0,0,0,.5)', read from the left to the first place
-    that is no part of a shadow; null for null.
+    """The shadows of a list like 'inset 1px 2px 3px #000, 0 0 4px rgba(0,0,0,.5)', read from the left to the first word
+    that is no part of a shadow; null for null. A blank at the start is no part of one.
 
-    A part is 'inset', two to four sizes or a color; the last of each kind counts. A comma begins the next shadow. Sizes
-    that are not given are 0, and a color is null; numbers are read as far as they go, and null where they cannot be.
+    A part is 'inset', two to four sizes (numbers, with px or without) or a color; the last of each kind counts. A comma begins
+    the next shadow. Sizes that are not given are 0, and a color is null; numbers are read as far as they go, and null where
+    they cannot be. The text is cut into tokens once, and one pass over them keeps the shadows that are done, the one at hand, the sizes
+    in a row and the call that is open.
     """
-    bare = lambda pattern: re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern)
-    part = "|".join([r"inset\b", bare(SIZES), *(bare(p) for p, _, _ in SHADOW_COLORS)])
-    parts = F.regexp_extract_all(text, F.lit(rf"(\G(?:(?:{part})\s*|\s*,\s*))"), 1)
-    whole = lambda x: F.regexp_extract(x, r"^-?[0-9]+", 0).try_cast("int")
-    alpha = lambda x: F.regexp_extract(x, r"^([0-9]+\.?[0-9]*|\.[0-9]+)", 0).try_cast("double")
     empty = F.struct(F.lit(False), *[F.lit(0)] * 4, F.lit(None)).cast(SHADOW)
-
-    def step(held: Column, x: Column) -> Column:
-        now = held["now"]
-        sizes = [F.regexp_extract(x, f"^{SIZES}", k) for k in range(1, 5)]
-        given = [F.when(s == "", F.lit(0)).otherwise(whole(s)) for s in sizes]
-        color = None
-        for pattern, base, factor in SHADOW_COLORS:
-            found = [F.regexp_extract(x, f"^{pattern}", k + 1) for k in range(pattern.count("(["))]
-            numbers = [(F.conv(f, 16, 10).try_cast("double") if base == 16 else whole(f).cast("double")) * factor for f in found[:3]]
-            made, fits = F.array(*numbers, alpha(found[3]) if len(found) > 3 else F.lit(1.0)), F.regexp_like(x, F.lit(f"^{pattern}"))
-            color = F.when(fits, made) if color is None else color.when(fits, made)
-        is_size, is_inset = F.regexp_like(x, F.lit(f"^{SIZES}")), F.startswith(x, F.lit("inset"))
-        names = ("left", "top", "blur", "spread")
-        changed = F.struct(
-            (now["inset"] | is_inset).alias("inset"),
-            *[F.when(is_size, g).otherwise(now[n]).alias(n) for n, g in zip(names, given, strict=True)],
-            F.when(is_size | is_inset, now["color"]).otherwise(color).alias("color"),
-        ).cast(SHADOW)
-        comma = F.contains(x, F.lit(",")) & ~F.contains(x, F.lit("("))
-        return F.struct(
-            F.when(comma, F.array_append(held["done"], now)).otherwise(held["done"]).alias("done"), F.when(comma, empty).otherwise(changed).alias("now")
-        ).cast(f"struct<done:array<{SHADOW}>,now:{SHADOW}>")
-
-    start = F.struct(F.array().alias("done"), empty.alias("now")).cast(f"struct<done:array<{SHADOW}>,now:{SHADOW}>")
-    found = F.aggregate(parts, start, step, lambda held: F.array_append(held["done"], held["now"]))
+    names = ("left", "top", "blur", "spread")
+
+    def held_as(held: Column, **changes: Column) -> Column:
+        return F.struct(*[changes.get(c, held[c]).alias(c) for c in ("done", "now", "sizes", "call", "reading")]).cast(HELD)
+
+    def changed(now: Column, **changes: Column) -> Column:
+        return F.struct(*[changes.get(c, now[c]).alias(c) for c in ("inset", *names, "color")]).cast(SHADOW)
+
+    def with_sizes(held: Column) -> Column:
+        """The shadow at hand with the sizes in a row, if they are enough."""
+        given = lambda k: F.when(F.size(held["sizes"]) > k, _start(F.get(held["sizes"], F.lit(k)))).otherwise(F.lit(0))
+        return F.when(F.size(held["sizes"]) >= 2, changed(held["now"], **{c: given(k) for k, c in enumerate(names)})).otherwise(held["now"])
+
+    def in_call(held: Column, token: Column) -> Column:
+        parts = F.split(held["call"], r"\(")
+        color = F.when(F.size(parts) == 2, _called_color(F.trim(F.get(parts, F.lit(0))), F.split(F.get(parts, F.lit(1)), ",")))
+        closed = held_as(held, now=changed(held["now"], color=F.coalesce(color, held["now"]["color"])), call=F.lit(""), reading=color.isNotNull())
+        return F.when(token == ")", closed).otherwise(held_as(held, call=F.concat(held["call"], F.lit(" "), token)))
+
+    def at_word(held: Column, token: Column) -> Column:
+        now, none = with_sizes(held), F.array().cast("array<string>")
+        color = _hex_color(token)
+        return (
+            F.when(F.size(held["sizes"]) == 1, held_as(held, sizes=none, reading=F.lit(False)))
+            .when(token == "inset", held_as(held, now=changed(now, inset=F.lit(True)), sizes=none))
+            .when(token == ",", held_as(held, done=F.array_append(held["done"], now), now=empty, sizes=none))
+            .when(token.isin("rgb", "rgba"), held_as(held, now=now, sizes=none, call=token))
+            .when(color.isNotNull(), held_as(held, now=changed(now, color=color), sizes=none))
+            .otherwise(held_as(held, now=now, sizes=none, reading=F.lit(False)))
+        )
+
+    def step(held: Column, token: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(token, "px$", ""), "^-", "")
+        full = F.size(held["sizes"]) == 4
+        size = held_as(held, now=F.when(full, with_sizes(held)).otherwise(held["now"]), sizes=F.when(full, F.array(token)).otherwise(F.array_append(held["sizes"], token)))
+        return (
+            F.when(~held["reading"], held).when(held["call"] != "", in_call(held, token))
+            .when(_made_of(bare, "0123456789."), size).otherwise(at_word(held, token))
+        )
+
+    tokens = F.filter(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), 1), lambda x: F.trim(F.regexp_replace(x, r"\s", "")) != "")
+    start = F.struct(F.array().alias("done"), empty.alias("now"), F.array().alias("sizes"), F.lit("").alias("call"), ~F.regexp_like(text, F.lit(r"^\s"))).cast(HELD)
+    found = F.aggregate(tokens, start, step, lambda held: F.array_append(held["done"], with_sizes(held)))
     return F.when(text.isNotNull(), found)
 
 

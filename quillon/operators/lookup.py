@@ -1,43 +1,10 @@
-"""Lookups by key, by position and by the greatest value that is not above."""
+"""Lookups by key and by position."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells of an axis in a block, for as_of.
-BLOCK = 1024
-
-
-def as_of(rows: DataFrame, at: str, offsets: DataFrame, width: float, keep: tuple[str, ...] = ("target",), bottom: float | None = None) -> DataFrame:
-    """rows with the columns `keep` of the offset that is the greatest at or below their column `at`; null before the first.
-    From `bottom` on rows have the last offset, wherever it is: the end of a page shows its last part.
-
-    offsets (offset, ...) have different values. Each offset covers a half-open interval up to the next; intervals are
-    repeated for the cells of `width` that they touch, and rows join on their cell. So the join is an equi-join that can
-    be shuffled or broadcast as sizes are, and no row meets more than the offsets of one cell. Cells after the last
-    offset are one, as the last interval has no end. The next offset is found within the cell, else within the block of
-    BLOCK cells, else from the blocks: only one row for each block that has offsets goes through a single task.
-    """
-    cell = lambda x: F.floor(x / F.lit(float(width)))
-    placed_offsets = offsets.where("offset IS NOT NULL").withColumn("__on", cell(F.col("offset"))).withColumn("__block", F.floor(F.col("__on") / BLOCK))
-    cells = placed_offsets.groupBy("__block", "__on").agg(F.min("offset").alias("__first"))
-    blocks = cells.groupBy("__block").agg(F.min("__first").alias("__first"))
-    own, following = Window.partitionBy("__on").orderBy("offset"), Window.partitionBy("__block").orderBy("__on")
-    cells = cells.select("__on", F.lead("__first").over(following).alias("__in_block"))
-    blocks = blocks.select("__block", F.lead("__first").over(Window.orderBy("__block")).alias("__in_all"))
-    spans = placed_offsets.withColumn("__in_cell", F.lead("offset").over(own)).join(cells, "__on").join(blocks, "__block")
-    spans = spans.withColumn("__until", F.coalesce("__in_cell", "__in_block", "__in_all"))
-    spans = spans.withColumn("__on", F.explode(F.sequence("__on", cell(F.coalesce("__until", "offset")))))
-    ends = offsets.agg(F.max("offset").alias("__top"), F.max_by(F.struct(*keep), "offset").alias("__last"))
-    placed = rows.crossJoin(F.broadcast(ends))  # one row: the cell of the last offset
-    placed = placed.withColumn("__cell", F.least(cell(F.col(at)), cell(F.col("__top"))))
-    spans = spans.select("__on", F.col("offset").alias("__from"), "__until", F.struct(*keep).alias("__found"))
-    on = (F.col("__cell") == F.col("__on")) & (F.col(at) >= F.col("__from")) & (F.col("__until").isNull() | (F.col(at) < F.col("__until")))
-    found = F.col("__found") if bottom is None else F.when(F.col(at) >= bottom, F.col("__last")).otherwise(F.col("__found"))
-    return placed.join(spans, on, "left").withColumn("__found", found).select(*rows.columns, *[F.col("__found")[c].alias(c) for c in keep])
-
-
 def neighbour(rows: DataFrame, keys: list[str], order: str, item: str, step: int = 1, wrap: bool = True) -> DataFrame:
     """rows with `neighbour`: the item so many places on in its group, from the other end again if wrap."""
     own = Window.partitionBy(*keys)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import number_at_start
+from quillon.operators.ordered import states_in_order
 
 # Patterns, names and messages of the built-in rules.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,4}"
@@ -135,22 +136,12 @@ def affix_state(
 
 
 def affix_states(rows: DataFrame, key: str, order: str, unpin: float, height: float, view: float, total: float, offset_top: float | None, offset_bottom: float | None) -> DataFrame:
-    """key, order and state of each row (scroll, position), where each state follows from the one before it in its group.
-
-    The rows of a group are a list; folding it is the one way to carry a state that depends on itself, so a group is what
-    one session scrolls, not a whole table.
-    """
+    """key, order and state of each row (scroll, position), where each state follows from the one before it in its group, however
+    long the group is."""
     fixed = [F.lit(x).cast("double") for x in (unpin, height, view, total, offset_top, offset_bottom)]
-    steps = F.array_sort(F.collect_list(F.struct(order, "scroll", "position")))
-    lists = rows.select(key, order, F.col("scroll").cast("double").alias("scroll"), F.col("position").cast("double").alias("position")).groupBy(key).agg(steps.alias("steps"))
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.array().cast("array<string>").alias("states"))
-
-    def step(held: Column, x: Column) -> Column:
-        state = affix_state(held["state"], x["scroll"], x["position"], *fixed)
-        return F.struct(state.alias("state"), F.array_append(held["states"], state).alias("states"))
-
-    states = F.aggregate("steps", start, step, lambda held: held["states"])
-    return lists.select(key, F.explode(F.arrays_zip("steps", states.alias("states"))).alias("z")).select(key, F.col("z.steps")[order].alias(order), F.col("z.states").alias("state"))
+    scroll, position = F.col("scroll").cast("double"), F.col("position").cast("double")
+    found = states_in_order(rows, key, order, lambda state: affix_state(state, scroll, position, *fixed), (None, "", "top", "bottom"))
+    return found.select(key, order, "state")
 
 
 def width_class(width: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import color, dates, text
-from quillon.operators import lookup, predicates, templates, validate
+from quillon.operators import lookup, ordered, predicates, templates, validate
 from quillon.plans import flows
 from quillon.sources import places, readers, sinks
 from quillon.streaming import streams
@@ -300,7 +300,17 @@ def breakpoint(spark, d):
 )
 def scroll_asof(spark, d):
     offsets = read(spark, d, "part").where("p_size >= 5").select((F.col("p_size").cast("double") * 2).alias("offset"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("target")).distinct()
-    return lookup.as_of(read(spark, d, "events").select("event_id", "value"), "value", offsets, 5.0, bottom=60.0).select("event_id", "target")
+    return ordered.as_of(read(spark, d, "events").select("event_id", "value"), "value", offsets, bottom=60.0).select("event_id", "target")
+
+
+@query(
+    """SELECT o_orderkey, o.customer FROM orders ASOF LEFT JOIN (
+      SELECT c_acctbal * 50 AS "offset", min(c_custkey) AS customer FROM customer GROUP BY c_acctbal) o ON o_totalprice >= o."offset\""""
+)
+def merged_asof(spark, d):
+    """As many offsets as there are customers, merged with the orders in one sorted stream."""
+    offsets = read(spark, d, "customer").groupBy((F.col("c_acctbal") * 50).alias("offset")).agg(F.min("c_custkey").alias("customer"))
+    return ordered.as_of(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", offsets, ("customer",), sent=0).select("o_orderkey", "customer")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -631,35 +641,19 @@ def callback_rules(spark, d):
     return read(spark, d, "events").select("event_id", predicates.in_error(rule, F.col("value").cast("string")).alias("shouted"))
 
 
-#: Written by hand from what the pages accept: sizes, colors, and a part of a shadow with the blanks behind it.
-_N, _S = "[0-9.]+", r"(-?[0-9.]+)(?:px)?"
-_SIZES = rf"{_S}\s+{_S}(?:\s+{_S})?(?:\s+{_S})?"
-_COLORS = rf"#[0-9a-fA-F]{{6}}|#[0-9a-fA-F]{{3}}|rgb\(\s*{_N}\s*,\s*{_N}\s*,\s*{_N}\s*\)|rgba\(\s*{_N}\s*,\s*{_N}\s*,\s*{_N}\s*,\s*{_N}\s*\)"
-_PART = rf"^(?:(?:inset\b|{_SIZES.replace('(-', '(?:-')}|{_COLORS})\s*|\s*,\s*)"
-_INT = "TRY_CAST(nullif(regexp_extract({}, '^-?[0-9]+'), '') AS INTEGER)"
-_SIZE = "CASE WHEN sizes IS NULL OR regexp_extract(sizes, '^" + _SIZES + "', {k}) = '' THEN 0 ELSE " + _INT.format("regexp_extract(sizes, '^" + _SIZES + "', {k})") + " END"
-_HEX = "CAST(('0x' || {}) AS INTEGER)"
-_CHANNEL = (
-    "CASE WHEN color IS NULL THEN NULL WHEN regexp_matches(color, '^#[0-9a-fA-F]{{6}}') THEN " + _HEX.format("substr(color, {six}, 2)")
-    + " WHEN color LIKE '#%' THEN 17 * " + _HEX.format("substr(color, {three}, 1)") + " ELSE " + _INT.format("trim(string_split(regexp_extract(color, '[(]([^)]*)', 1), ',')[{three} - 1])") + " END"
-)
+#: What the six texts of shadow_lists say, read by hand; -1000 stands for the number that a row puts in.
+SHADOWS_SQL = """(VALUES
+  (0, 0, TRUE, 1, -1000, 3, 0, 0, 255, 0, 1.0), (0, 1, FALSE, 0, 0, 4, 0, 1, 2, 3, 0.5),
+  (1, 0, TRUE, -1000, -2, 0, 0, 16, 32, 48, 1.0), (1, 1, FALSE, 4, 5, 6, 7, NULL, NULL, NULL, NULL),
+  (2, 0, FALSE, -1000, 2, 0, 0, 1, 2, 300, 1.0), (3, 0, FALSE, 0, 0, 0, 0, NULL, NULL, NULL, NULL),
+  (4, 0, FALSE, 1, NULL, -1000, 0, 170, 187, 204, 1.0), (4, 1, FALSE, 3, 4, 0, 0, 10, 20, 30, 0.25),
+  (5, 0, FALSE, 0, 0, 0, 0, NULL, NULL, NULL, NULL)) AS s(k, shadow, inset, "left", top, blur, spread, red, green, blue, alpha)"""
+PUT_IN = "CAST(CASE WHEN {c} = -1000 THEN p_size ELSE {c} END AS INTEGER) AS {c}"
 
 
 @query(
-    rf"""WITH RECURSIVE step AS (
-      SELECT p_partkey, 0 AS shadow, 0 AS nth, '' AS part, CASE p_partkey % 6 WHEN 0 THEN 'inset 1px ' || p_size || 'px 3px #0f0, 0 0 4px rgba(1,2,3,.5)'
-        WHEN 1 THEN p_size || 'px -2px #102030 inset , 4 5 6 7' WHEN 2 THEN p_size || ' 2 rgb(1.7, 2, 300) bad 9 9, 1 2' WHEN 3 THEN ' 1 2'
-        WHEN 4 THEN '#abc 1.5px .5 ' || p_size || '.9.1px, rgba(10,20,30,0.25) 3px 4px' ELSE '' END AS rest FROM part
-      UNION ALL
-      SELECT p_partkey, shadow + CASE WHEN regexp_matches(now, '^\s*,') THEN 1 ELSE 0 END, nth + 1, now, substr(rest, length(now) + 1)
-      FROM (SELECT *, regexp_extract(rest, '{_PART}') AS now FROM step) WHERE now <> ''
-    ), found AS (
-      SELECT p_partkey, shadow, bool_or(part LIKE 'inset%') AS inset, arg_max(part, nth) FILTER (WHERE regexp_matches(part, '^-?[0-9.]')) AS sizes,
-        arg_max(part, nth) FILTER (WHERE part LIKE '#%' OR part LIKE 'rgb%') AS color FROM step GROUP BY p_partkey, shadow
-    )
-    SELECT p_partkey, shadow, inset, {_SIZE.format(k=1)} AS "left", {_SIZE.format(k=2)} AS top, {_SIZE.format(k=3)} AS blur, {_SIZE.format(k=4)} AS spread,
-      {_CHANNEL.format(six=2, three=2)} AS red, {_CHANNEL.format(six=4, three=3)} AS green, {_CHANNEL.format(six=6, three=4)} AS blue,
-      CASE WHEN color LIKE 'rgba%' THEN TRY_CAST(trim(string_split(regexp_extract(color, '[(]([^)]*)', 1), ',')[4]) AS DOUBLE) WHEN color IS NOT NULL THEN 1.0::DOUBLE END AS alpha FROM found"""
+    f"""SELECT p_partkey, shadow, inset, {PUT_IN.format(c='"left"')}, {PUT_IN.format(c="top")}, {PUT_IN.format(c="blur")}, spread, red, green, blue,
+      CAST(alpha AS DOUBLE) AS alpha FROM part JOIN {SHADOWS_SQL} ON p_partkey % 6 = k"""
 )
 def shadow_lists(spark, d):
     k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")

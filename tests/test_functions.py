@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import color, dates, text
-from quillon.operators import lookup, predicates, templates, validate
+from quillon.operators import lookup, ordered, predicates, templates, validate
 from quillon.plans import flows
 from quillon.sources import readers, sinks
 from quillon.streaming import streams
@@ -113,21 +113,10 @@ def test_shortcuts_with_a_cycle_end(spark):
     assert {r["name"] for r in found.collect()} == {"a", "b", "email", "validemail"}
 
 
-def test_as_of_orders_offsets_by_cell(spark):
-    values = [-9000.5, -8999.0, -3.0, -2.5, 0.0, 0.5, 1.0, 7.0, 1023.0, 1024.0, 2500.0, 9000.0]
-    offsets = spark.createDataFrame([(v, f"t{v}") for v in values], "offset double, target string")
-    asked = [float(y) for v in values for y in (v - 0.25, v, v + 0.25)] + [5000.0, -5000.0, 99999.0]
-    found = lookup.as_of(spark.createDataFrame([(y,) for y in asked], "y double"), "y", offsets, 1.0)
-    wanted = [(y, max((v for v in values if v <= y), default=None)) for y in asked]
-    assert sorted((r["y"], r["target"]) for r in found.collect()) == sorted((y, None if v is None else f"t{v}") for y, v in wanted)
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(offset" not in plan and "windowspecdefinition(0" not in plan
-
-
 def test_as_of_before_between_and_after(spark):
     offsets = spark.createDataFrame([(10.0, "a"), (20.0, "b"), (20.5, "c")], "offset double, target string")
     rows = spark.createDataFrame([(x,) for x in (-5.0, 9.99, 10.0, 19.0, 20.0, 20.4, 20.5, 1e6)], "y double")
-    got = {r["y"]: r["target"] for r in lookup.as_of(rows, "y", offsets, 3.0).collect()}
+    got = {r["y"]: r["target"] for r in ordered.as_of(rows, "y", offsets).collect()}
     assert got == {-5.0: None, 9.99: None, 10.0: "a", 19.0: "a", 20.0: "b", 20.4: "b", 20.5: "c", 1e6: "c"}
 
 
@@ -185,7 +174,7 @@ def test_stream_gives_the_rows_of_the_batch(spark, tmp_path):
 def test_the_end_of_a_page_has_the_last_part(spark):
     offsets = spark.createDataFrame([(10.0, "a"), (20.0, "b"), (90.0, "c")], "offset double, target string")
     rows = spark.createDataFrame([(x,) for x in (5.0, 10.0, 49.0, 50.0, 95.0)], "y double")
-    got = {r["y"]: r["target"] for r in lookup.as_of(rows, "y", offsets, 3.0, bottom=50.0).collect()}
+    got = {r["y"]: r["target"] for r in ordered.as_of(rows, "y", offsets, bottom=50.0).collect()}
     assert got == {5.0: None, 10.0: "a", 49.0: "b", 50.0: "c", 95.0: "c"}
 
 
@@ -292,3 +281,93 @@ def test_folds(spark):
     assert html == "<ab|c>"
     page = flows.categories_page(rows.withColumn("short_name", F.upper("name"))).first()["html"]
     assert page.startswith("<section>") and page.count("tile") == 3
+
+
+# --- ordered work
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_as_of_sparse_and_hot_values(spark, sent):
+    """Offsets far apart, a third of the rows at one value, nulls and values that are no numbers, many ranges."""
+    values = [-9000.5, -3.0, 0.0, 0.5, 1e6, 3e9, 1e18]
+    offsets = spark.createDataFrame([(v, f"t{v}") for v in values] + [(None, "none")], "offset double, target string")
+    asked = [y for v in values for y in (v - 0.25, v, v + 0.25)] + [0.5] * 200 + [None, float("nan"), float("inf"), -1e300]
+    rows = spark.createDataFrame([(k, y, "x") for k, y in enumerate(asked)], "offset long, found double, part string")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = {r["offset"]: (r["target"], r["part"]) for r in ordered.as_of(rows.repartition(5), "found", offsets, sent=sent).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    def wanted(y):
+        if y is None:
+            return None
+        least = values if y != y else [v for v in values if v <= y]
+        return f"t{max(least)}" if least else None
+    assert got == {k: (wanted(y), "x") for k, y in enumerate(asked)}
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_as_of_of_other_kinds_and_empty_tables(spark, sent):
+    days = [dt.date(2024, 1, d) for d in (3, 9)]
+    offsets = spark.createDataFrame([(d, d.day, "a") for d in days], "offset date, target int, other string")
+    rows = spark.createDataFrame([(dt.date(2024, 1, d),) for d in (1, 3, 8, 30)], "day date")
+    got = {r["day"].day: (r["target"], r["other"]) for r in ordered.as_of(rows, "day", offsets, ("target", "other"), bottom=dt.date(2024, 1, 20), sent=sent).collect()}
+    assert got == {1: (None, None), 3: (3, "a"), 8: (3, "a"), 30: (9, "a")}
+    assert [r["target"] for r in ordered.as_of(rows, "day", offsets.limit(0), sent=sent, bottom=dt.date(2024, 1, 20)).collect()] == [None] * 4
+    assert ordered.as_of(rows.limit(0), "day", offsets, sent=sent).count() == 0
+    longs = spark.createDataFrame([(2**60,), (2**60 + 1,)], "y long")
+    exact = spark.createDataFrame([(2**60 + 1, "b")], "offset long, target string")
+    assert {r["y"]: r["target"] for r in ordered.as_of(longs, "y", exact, sent=sent).collect()} == {2**60: None, 2**60 + 1: "b"}
+
+
+def test_states_of_a_hot_group_are_folded_by_ranges(spark):
+    """One group has most rows and lies in many ranges; others are short; the plan gathers no group."""
+    rows = [("hot", k, (k * 37) % 11) for k in range(3000)] + [(f"k{k % 40}", k, (k * 13) % 11) for k in range(400)] + [(None, k, k % 11) for k in range(50)]
+    names = (None, "a", "b", "c")
+
+    def after(state, x):
+        if x < 3:
+            return state or "a"
+        return {None: "b", "a": "b", "b": "c", "c": "a"}[state] if x < 8 else "c" if state == "a" else "a"
+
+    def step(state):
+        turned = F.when(state.isNull() | (state == "a"), "b").when(state == "b", "c").otherwise("a")
+        return F.when(F.col("x") < 3, F.coalesce(state, lit("a"))).when(F.col("x") < 8, turned).otherwise(F.when(state == "a", "c").otherwise("a"))
+
+    table = spark.createDataFrame(rows, "part string, nth int, x int")
+    wanted, last = {}, {}
+    for key, k, x in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        wanted[key, k] = last[key] = after(last.get(key), x)
+    for n in (1, 17):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+        try:
+            found = ordered.states_in_order(table.repartition(3), "part", "nth", step, names)
+            got = {(r["part"], r["nth"]): r["state"] for r in found.collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == wanted
+    assert ordered.states_in_order(table.limit(0), "part", "nth", step, names).count() == 0
+
+
+def test_tables_compose_in_order():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    tables, begins = rng.integers(0, 4, (300, 4)).astype(np.int8), rng.random(300) < 0.02
+    begins[0] = True
+    out, held = [], None
+    for t, first in zip(tables, begins, strict=True):
+        held = t if first else t[held]
+        out.append(held)
+    assert (ordered.composed(tables, begins) == np.array(out)).all()
+
+
+def test_colors_are_whole_texts(spark):
+    for given, wanted in ((" #0f0 ", [0, 255, 0, 1]), ("#0f0f", None), ("#12345g", None), ("rgb(1,2)", None), ("rgba(1,2,3)", None), ("rgb(1,2,3", None), ("hsl(1,2,3)", None), ("rgb(1,x,3)", None), ("", None), (None, None)):
+        assert one(spark, color.parse_color(lit(given).cast("string"))) == wanted
+    for given, wanted in (("1px 2px 3px 4px 5px 6px", [(False, 5, 6, 0, 0, None)]), ("1 inset", [(False, 0, 0, 0, 0, None)]), ("1 2 rgb(1,2", [(False, 1, 2, 0, 0, None)]), ("#fff,#000 1 2,", [(False, 0, 0, 0, 0, [255.0, 255.0, 255.0, 1.0]), (False, 1, 2, 0, 0, [0.0, 0.0, 0.0, 1.0]), (False, 0, 0, 0, 0, None)])):
+        assert [tuple(s) for s in one(spark, color.parse_shadows(lit(given)))] == wanted
