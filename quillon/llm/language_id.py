@@ -10,10 +10,11 @@ Calibrated rejection: on part of the sample that was not trained on, a temperatu
 threshold is the score below which at most REJECT of the right answers lie. find_languages() marks texts below it
 (`rejected`) and leaves what follows from that to its caller; lang_pred stays the likeliest language.
 
-Learning uses rows with a language outside fold 2: of each of the LANGUAGES most frequent languages about PER_LANGUAGE
-different texts, by a hash of the text, so that copies and rows without an id add nothing. Tasks cut SEGMENTS segments
-from all over each text, and score those that calibrate; this is what reaches the driver, so its amount has a bound
-that no length of text changes. The model has a fixed size (BUCKETS x languages) and is broadcast.
+Learning uses rows with a language outside fold 2: of each language about PER_LANGUAGE different texts, by a hash of the
+text, so that copies and rows without an id add nothing. Every language that labels name is learned, however rare. Tasks cut
+SEGMENTS segments from all over each text, and score those that calibrate; this is what reaches the driver, so its amount
+follows the number of languages alone, and no length of text changes it. The model is broadcast: it has BUCKETS rows of DIM
+numbers and as many for each language, or of one number for each language where these are fewer.
 
 Scoring is a map over rows without a shuffle. Words are numbered over many texts at once, each distinct word's features
 are hashed and summed in numpy, and texts add up the rows of their words. Language, source and doc_id are never inputs of
@@ -37,17 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.memory import held, release
-from quillon.llm.shared import Scratch, fold_of, ship, table
+from quillon.llm.shared import Scratch, fold_of, sent_if_small, ship, table
 from quillon.llm.shingles import mixed
 from quillon.llm.words import LONGEST, numbered, word_lists
 
-PER_LANGUAGE, LANGUAGES = 800, 256
+PER_LANGUAGE = 800
 BUCKET_BITS, DIM = 16, 16
 BUCKETS = 1 << BUCKET_BITS
 NGRAMS = (2, 3, 4, 5)
 SEGMENT, SEGMENTS, EPOCHS, BATCH, RATE = 24, 6, 4, 64, 40.0
-#: Steps of training at least, for small samples.
-STEPS = 600
+#: Steps of training at least, for small samples, and for each language.
+STEPS, STEPS_EACH = 600, 10
 REJECT = 0.01
 UNDETERMINED = "und"
 #: Numbers (rows x languages) of n-grams that are summed together.
@@ -74,15 +75,16 @@ def windows(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Classifier:
-    """Trained rows: mean over features of rows @ layer is linear, so both are kept as one table of languages' logits."""
+    """Trained rows: mean over features of rows @ layer is linear, so up to DIM languages both are kept as one table of languages'
+    logits, and the layer is None."""
 
-    def __init__(self, languages: list[str], logits: np.ndarray, offset: np.ndarray, temperature: float, threshold: float) -> None:
-        self.languages, self.logits, self.offset = languages, logits, offset
+    def __init__(self, languages: list[str], rows: np.ndarray, offset: np.ndarray, temperature: float, threshold: float, layer: np.ndarray | None = None) -> None:
+        self.languages, self.rows, self.offset, self.layer = languages, rows, offset, layer
         self.temperature, self.threshold = temperature, threshold
         #: One more column counts features; the last row is that of no feature.
-        self.table = np.zeros((BUCKETS + 1, len(languages) + 1), np.float32)
+        self.table = np.zeros((BUCKETS + 1, rows.shape[1] + 1), np.float32)
         if languages:
-            self.table[:-1, :-1] = logits
+            self.table[:-1, :-1] = rows
             self.table[:-1, -1] = 1.0
 
     def word_rows(self, words: list[str]) -> np.ndarray:
@@ -100,7 +102,8 @@ class Classifier:
         for words, numbers, of, sizes in numbered(texts):
             rows = self.word_rows(words)[numbers]
             np.add.at(total, of, np.add.reduceat(rows, np.concatenate([[0], np.cumsum(sizes)[:-1]])))
-        return total[:, :-1] / np.maximum(total[:, -1:], 1.0) + self.offset
+        means = total[:, :-1] / np.maximum(total[:, -1:], 1.0)
+        return (means if self.layer is None else means @ self.layer) + self.offset
 
     def softmax(self, z: np.ndarray) -> np.ndarray:
         e = np.exp((z - z.max(1, keepdims=True)) / self.temperature)
@@ -140,14 +143,14 @@ def features(cut: list[str]) -> list[np.ndarray]:
     return [np.concatenate([rows[index[w]] for w in s.split(" ")]) for s in cut]
 
 
-def train(cut: list[str], labels: list[int], n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The table of logits and the offsets, from segments and their languages' numbers."""
+def train(cut: list[str], labels: list[int], n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The embeddings, the layer and the offsets, from segments and their languages' numbers."""
     xs, y = features(cut), np.array(labels)
     rng = np.random.default_rng(seed)
     rows, layer, offset = rng.normal(0, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 1 / DIM, (DIM, n)), np.zeros(n)
     weight = len(y) / (n * np.maximum(np.bincount(y, minlength=n), 1))  # rare languages count as much as others
     a_pass = len(xs) // BATCH + 1
-    epochs = max(EPOCHS, -(-STEPS // a_pass))
+    epochs = max(EPOCHS, -(-max(STEPS, STEPS_EACH * n) // a_pass))
     steps, step = epochs * a_pass, 0
     for _ in range(epochs):
         order = rng.permutation(len(xs))
@@ -167,7 +170,7 @@ def train(cut: list[str], labels: list[int], n: int, seed: int = 7) -> tuple[np.
             offset -= 0.02 * rate * p.sum(0)
             np.add.at(rows.reshape(-1), (flat[:, None] * DIM + np.arange(DIM)).reshape(-1), np.repeat(-rate * down, sizes, axis=0).reshape(-1))
             step += 1
-    return rows @ layer, offset
+    return rows, layer, offset
 
 
 def calibrate(model: Classifier, z: np.ndarray, y: np.ndarray) -> None:
@@ -190,22 +193,21 @@ def calibrate(model: Classifier, z: np.ndarray, y: np.ndarray) -> None:
     model.threshold = float(np.quantile(right, REJECT)) if len(right) else 0.0
 
 
-def take_sample(docs: DataFrame) -> DataFrame:
+def take_sample(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """lang, text, hash and calibrates of the rows to learn from: different texts, about PER_LANGUAGE for each language."""
     rows = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & (fold_of() != 2)).select("lang", "text", F.xxhash64("text").alias("hash"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return rows.select("*", F.lit(False).alias("calibrates")).limit(0)
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], max(1, int(1_000_000 * PER_LANGUAGE / r["n"])))])
-    draw = F.pmod("hash", F.lit(1_000_000))
-    sample = rows.where(draw < F.try_element_at(shares, F.col("lang"))).groupBy("lang", "hash").agg(F.first("text").alias("text"))
+    share = F.greatest(F.lit(1), (1_000_000_000 * PER_LANGUAGE / F.col("n")).cast("long"))
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", share.alias("share"))
+    shares = sent_if_small(scratch.keep(shares, "shares"))
+    draw = F.pmod("hash", F.lit(1_000_000_000))
+    sample = rows.join(shares, "lang").where(draw < F.col("share")).groupBy("lang", "hash").agg(F.first("text").alias("text"))
     return sample.select("lang", "text", "hash", (F.pmod(F.shiftright("hash", 24), F.lit(5)) == 0).alias("calibrates"))
 
 
 def learn(docs: DataFrame, scratch: Scratch | None = None) -> Classifier:
     spark = ship(docs.sparkSession)
     scratch = scratch or Scratch(spark)
-    sample = scratch.keep(take_sample(docs), "sample")
+    sample = scratch.keep(take_sample(docs, scratch), "sample")
 
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -219,8 +221,10 @@ def learn(docs: DataFrame, scratch: Scratch | None = None) -> Classifier:
     if not languages:
         return Classifier([], np.zeros((1, 1)), np.zeros(1), 1.0, 0.0)
     number = {lang: k for k, lang in enumerate(languages)}
-    logits, offset = train([s for _, _, s in seen], [number[lang] for lang, _, _ in seen], len(languages))
-    model = Classifier(languages, logits.astype(np.float32), offset, 1.0, 0.0)
+    rows, layer, offset = train([s for _, _, s in seen], [number[lang] for lang, _, _ in seen], len(languages))
+    if len(languages) <= DIM:
+        rows, layer = rows @ layer, None
+    model = Classifier(languages, rows.astype(np.float32), offset, 1.0, 0.0, layer)
     shared = _shared(spark, model)
 
     def logit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +241,7 @@ def learn(docs: DataFrame, scratch: Scratch | None = None) -> Classifier:
 
 
 def _shared(spark: SparkSession, model: Classifier):
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, (model.languages, model.logits, model.offset, model.temperature, model.threshold)))
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, (model.languages, model.rows, model.offset, model.temperature, model.threshold, model.layer)))
 
 
 def _model(shared) -> Classifier:

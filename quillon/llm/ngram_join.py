@@ -23,8 +23,8 @@ Exact copies of a set are one member throughout. Output is one row for each docu
 
 Defined results. Null and empty texts have no shingles and link with nothing. Rows that repeat a doc_id each get a row with
 the set of their own text, and are linked only as other documents are.
-A null doc_id gets the component of its set where a row with an id has the same set, and goes for that one; a set that only
-rows without an id have links with nothing, its component is null and its rows stay. Of ties nothing has to be chosen: equal sets are one. An empty table
+A row without a doc_id links like others, and others link through it; it gets the least id that its links reach and goes for
+that one, or null, and stays, where they reach no id. Of ties nothing has to be chosen: equal sets are one. An empty table
 gives an empty result; columns other than doc_id and text are ignored, or carried along by drop_near_copies, whatever
 their names. Memory of a task follows the longest text and BLOCK.
 """
@@ -289,6 +289,21 @@ def fetch_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return texts.join(wanted, "doc_id").select("text", "node", "job", "part").mapInArrow(rows, "id long, job long, part long, shingles binary")
 
 
+def fetch_nameless(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """The same for sets that only rows without a doc_id have, by the mark of a text; of equal rows one is read."""
+    wanted = sent_if_small(members.select("mark", "node", "job", "part"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            sets = [s.tobytes() for s in shingle_sets((t.as_py() for t in batch.column(3)), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["id", "job", "part", "shingles"])
+
+    texts = docs.where("doc_id is null").select(text_mark().alias("mark"), "text")
+    once = texts.join(wanted, "mark").groupBy("node", "job", "part").agg(F.min("text").alias("text"))
+    return once.mapInArrow(rows, "id long, job long, part long, shingles binary")
+
+
 def _rounds(hot: DataFrame, links: DataFrame, percent: int, scratch: Scratch, block: int) -> DataFrame:
     """The links between blocks of groups with several blocks. hot: id, job, part, n, shingles; links: those known."""
     ids = hot.select("id", "job", "n")
@@ -321,13 +336,16 @@ def labelled(docs: DataFrame, words: int, percent: int, scratch: Scratch, block:
     sets = scratch.keep(describe_sets(docs, words, percent, frequent_shingles(docs, words, scratch)), "sets")
     groups = connected_components(candidates(sets.where("prefix is not null"), percent), scratch, "candidates")
     groups = groups.select(F.col("id").alias("node"), F.col("component").alias("job"))
-    firsts = sets.where("doc_id is not null and n_shingles > 0").groupBy("sig", "node", "n_shingles").agg(F.min("doc_id").alias("id"))
+    firsts = sets.where("n_shingles > 0").groupBy("sig", "node", "n_shingles").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("doc_id").isNull(), F.col("mark"))).alias("mark"))
     firsts = scratch.keep(firsts, "firsts")
-    members = scratch.keep(firsts.select(F.col("id").alias("doc_id"), "node", F.col("n_shingles").alias("n")).join(groups, "node"), "members")
+    members = scratch.keep(firsts.select(F.col("id").alias("doc_id"), "mark", "node", F.col("n_shingles").alias("n")).join(groups, "node"), "members")
     sizes = members.groupBy("job").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
     placed = members.join(sizes, "job").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")))
     placed = scratch.keep(placed, "placed")
-    gathered = fetch_sets(docs, placed.select("doc_id", "node", "job", "part"), words)
+    gathered = fetch_sets(docs, placed.where("doc_id is not null"), words)
+    nameless = placed.where("doc_id is null")
+    if not nameless.isEmpty():
+        gathered = gathered.unionByName(fetch_nameless(docs, nameless, words))
     large = not placed.where("blocks > 1").isEmpty()
     if large:
         gathered = scratch.keep(gathered, "gathered")

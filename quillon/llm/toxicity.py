@@ -13,9 +13,10 @@ that comes from many such words says more than an equal one from a single rare w
 fitted on labelled rows that gave no counts, makes the score.
 
 Learning. Only labelled rows outside fold 2 are used: folds 0 and 1 for counts, 3 for the fit. Both are bounded samples by
-a hash of the id, of about MAX_TOXIC and MAX_ORDINARY documents for counts and a quarter of each for the fit, and of a text
-about MAX_WORDS words at most, in runs spread over it. Words and n-grams are counted by Spark; what reaches the driver is
-the table of distinct n-grams of the sample as numbers, one order at a time, which its bound limits, and that is broadcast.
+a hash of the id, of about MAX_TOXIC and MAX_ORDINARY documents for counts and a quarter of each for the fit. Texts are
+learned from as a whole; where the sample has more than MAX_LETTERS letters, as measured, fewer rows are taken, again by a hash.
+Words and n-grams are counted by Spark; what reaches the driver is the table of distinct n-grams of the sample as numbers,
+one order at a time, which MAX_LETTERS limits, and that is broadcast.
 
 Scoring is a map over whole texts, without a shuffle. Words are numbered over many texts at once, and the n-grams of the
 distinct ones looked up in sorted arrays. Labels, language, source and doc_id are never inputs of a score.
@@ -43,8 +44,8 @@ from quillon.llm.shared import Scratch, fold_of, ship, table, text_or_empty
 from quillon.llm.shingles import mixed
 from quillon.llm.words import WORDS, numbered, word_lists
 
-#: Documents of each class that counts are taken from (about: the sample is by hash), and words of each, at most.
-MAX_TOXIC, MAX_ORDINARY, MAX_WORDS = 4000, 8000, 20_000
+#: Documents of each class that counts are taken from (about: the sample is by hash), and letters of all of them, at most.
+MAX_TOXIC, MAX_ORDINARY, MAX_LETTERS = 4000, 8000, 1 << 27
 ORDER, SHARED = 6, 2
 DISCOUNT = 0.9
 WINDOWS = (4, 16)
@@ -74,13 +75,13 @@ def sample_ids(labels: DataFrame) -> DataFrame:
     return rows.where(keep)
 
 
-def sampled_words(text: str) -> list[str]:
-    """The words of a text; of a long one, ten runs spread over it with MAX_WORDS words in all."""
-    words = [w for part in word_lists(text) for w in part]
-    if len(words) <= MAX_WORDS:
-        return words
-    size = MAX_WORDS // 10
-    return [w for at in np.linspace(0, len(words) - size, 10).astype(int) for w in words[at : at + size]]
+def thinned(sample: DataFrame, most: int = MAX_LETTERS) -> DataFrame:
+    """Of a stored sample (id, text, toxic, fits) so many rows, whole, that they have about `most` letters; all if they are fewer."""
+    letters = sample.where("not fits").agg(F.sum(F.length("text"))).first()[0] or 0
+    if letters <= most:
+        return sample
+    draw = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000_000))
+    return sample.where(F.col("fits") | (draw < int(1_000_000_000 * most / letters)))
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
@@ -95,11 +96,12 @@ def word_counts(sample: DataFrame) -> DataFrame:
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                for word in sampled_words(text.as_py()):
-                    counts.setdefault(word, [0, 0])[toxic] += 1
-                if len(counts) >= WORDS:
-                    yield counted(counts)
-                    counts = {}
+                for words in word_lists(text.as_py()):
+                    for word in words:
+                        counts.setdefault(word, [0, 0])[toxic] += 1
+                    if len(counts) >= WORDS:
+                        yield counted(counts)
+                        counts = {}
         yield counted(counts)
 
     found = sample.select("text", "toxic").mapInArrow(rows, "word string, t long, o long")
@@ -302,7 +304,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> dict | None:
     # the ids of the sample are bounded, so they go to all tasks and no text is shuffled
     ids = scratch.keep(sample_ids(labels), "ids")
     texts = docs.select(F.col("doc_id").alias("__id"), text_or_empty().alias("text"))
-    sample = scratch.keep(texts.join(F.broadcast(ids), F.col("__id") == F.col("id")).select("text", "toxic", "fits"), "sample")
+    sample = scratch.keep(texts.join(F.broadcast(ids), F.col("__id") == F.col("id")).select("id", "text", "toxic", "fits"), "sample")
+    sample = thinned(sample)
     grams = scratch.keep(keyed_ngrams(ngram_counts(word_counts(sample.where("not fits")))), "grams")
     seen = grams.where("n = 1").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
     if not seen["t"] or not seen["o"]:

@@ -11,10 +11,10 @@ join key is as hot as the hottest domain; the capture side is the large one, and
 Nothing is broadcast unless Spark measures that it is small. The html column is never read.
 
 Defined results. A null or unparsable url has no host: verdict 'none', no entry. A null capture date matches no entry.
-Hosts are compared in lower case, without port and user. Entries with a null domain or date are ignored; entries of the
-same domain, list and date apply in the order of their action (the later in code point order stays). Rows that repeat a
-page_id are evaluated by themselves and come out once each. Host names have LABELS labels at most, so of a longer one (a url
-may be of any length) only the last so many are asked for. Tables without captures give no rows; without entries each
+Hosts are compared in lower case, without port and user. What is longer than a host name can be (HOST characters) is no host,
+however it is made up, so a url of any length asks for a bounded number of domains. Entries with a null domain or date are
+ignored; entries of the same domain, list and date apply in the order of their action (the later in code point order stays).
+Rows that repeat a page_id are evaluated by themselves and come out once each. Tables without captures give no rows; without entries each
 verdict is 'none'. Columns of pages other than page_id and url are ignored, whatever their names.
 """
 
@@ -27,8 +27,8 @@ from quillon.llm.shared import table
 
 #: Days after EPOCH over which the captures of the pages table are dated, by their id.
 EPOCH, DAYS = "2024-01-01", 360
-#: Labels that a host name has at most.
-LABELS = 127
+#: Characters that a host name has at most.
+HOST = 253
 #: Entries that hold for whole networks: domain, day, action.
 FIXED_ENTRIES = (
     ("spam-farm.example.org", "2023-06-01", "block"),
@@ -43,7 +43,7 @@ FIXED_ENTRIES = (
 def host_of(url: Column) -> Column:
     """The host in lower case, '' where there is none."""
     found = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
-    return F.lower(found)
+    return F.when(F.length(found) <= HOST, F.lower(found)).otherwise(F.lit(""))
 
 
 def fetched_on(page_id: Column) -> Column:
@@ -89,10 +89,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     months = F.sequence(key(F.col("valid_from")), F.least(key(F.coalesce(F.date_sub("valid_to", 1), horizon)), horizon), F.expr("interval 1 month"))
     spans = intervals(entries).where(key(F.col("valid_from")) <= horizon).withColumn("month", F.explode(months))
     labels = F.split("host", r"\.")
-    domains = F.transform(
-        F.sequence(F.greatest(F.size(labels) - LABELS + 1, F.lit(1)), F.greatest(F.size(labels), F.lit(1))),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = captures.select("capture", "fetched", key(F.col("fetched")).alias("month"), F.explode(domains).alias("domain"))
     rank = F.struct(F.length("domain").alias("size"), (F.col("action") == "allow").alias("allowed"), "domain", "action", "list", "valid_from")
     hits = (
@@ -119,9 +116,9 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH p AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+  SELECT page_id, CASE WHEN length(name) <= 253 THEN lower(name) ELSE '' END AS host,
          DATE '2024-01-01' + CAST(((page_id % 360) + 360) % 360 AS INTEGER) AS fetched
-  FROM pages
+  FROM (SELECT page_id, regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS name FROM pages)
 ), h AS (
   SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) AS draw FROM p WHERE host <> ''
 ), f AS (

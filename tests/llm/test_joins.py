@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from compare import spark_rows, sql_rows
@@ -173,6 +174,21 @@ def test_odd_captures(spark):
     assert url_filters.evaluate(captures.limit(0), entries).count() == 0
 
 
+def test_long_hosts_with_entries_of_their_own(spark, tmp_path):
+    """Hosts up to the longest that there can be are asked for label by label; longer ones are no hosts, in Spark and in SQL."""
+    hosts = [".".join(["a"] * n + [f"h{k}.org"]) for k in range(30) for n in (1, 60, 100 + k % 30, 200)] + ["x" * 253, "x" * 254, "ads-track.example.com", "b.EXAMPLE.net"]
+    rows = [(k, f"http://{h}/p", None, "clash") for k, h in enumerate(hosts)] + [(k + 500, f"https://u@{h}:80", None, "clash") for k, h in enumerate(hosts)] + [(2000, None, None, None), (2001, "no url", None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, verdict string").write.parquet(str(tmp_path / "pages.parquet"))
+    df = url_filters.op7_url_filters(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        found = con.execute(url_filters.OP7_SQL)
+        names = [c[0] for c in found.description]
+        wanted = sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in found.fetchall()), key=repr)
+    assert spark_rows(df) == wanted and len({r["verdict"] for r in df.collect()}) >= 2
+    assert {r["host"] for r in df.where("page_id = 121 or page_id = 3").collect()} == {""}
+
+
 # --- near copies
 
 
@@ -231,10 +247,27 @@ def test_near_groups_of_odd_rows(spark):
     assert ngram_join.near_groups(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block", [400, ngram_join.BLOCK])
+def test_links_through_rows_without_ids(spark, block):
+    """Two texts that only a third one links, which has no id, are one component; copies of it are many rows."""
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = words[:], words[4:] + ["x1", "x2", "x3", "x4"], words[8:] + [f"x{k}" for k in range(1, 9)]
+    few = [f"y{k}" for k in range(50)]
+    texts = [" ".join(w) for w in (a, b, c, few, [*few[:-1], "z"])]
+    rows = [(1, texts[0]), (3, texts[2]), *[(None, texts[1])] * 9, (None, texts[3]), (None, texts[3] + "  "), (None, texts[4]), (7, "other words stand here")]
+    named = [(i if i is not None else 1000 + texts.index(t.strip()), t) for i, t in rows]
+    want = {(t, n, None if root >= 1000 else root) for (_, t), (n, root) in zip(named, [next((n, r) for i, n, r in brute_groups(named, 4, 85) if i == k) for k, _ in named], strict=True)}
+    got = ngram_join.labelled(docs_of(spark, rows).repartition(3), 4, 85, Scratch(spark), block)
+    marks = {r["mark"]: r["text"] for r in docs_of(spark, rows).select("text", ngram_join.text_mark().alias("mark")).collect()}
+    found = got.collect()
+    assert {(marks[r["mark"]], r["n_shingles"], r["component_id"]) for r in found} == want and len(found) == len(rows)
+    assert {r["component_id"] for r in found if r["doc_id"] in (1, 3)} == {1} and sum(r["component_id"] is None for r in found) == 3
+
+
 def test_no_text_is_lost_with_near_copies(spark):
     long = " ".join(map(str, range(200)))
     rows = [*ODD, (1, "same text"), (1, "unique text"), (2, "same text"), (None, "no id here"), (None, "no id here"), (None, long), (50, long + " x"), (40, long + " y")]
-    want = [r for r in rows if r not in [(6, "ONE two"), (None, "one two"), (2, "same text"), (50, long + " x")]]
+    want = [r for r in rows if r not in [(6, "ONE two"), (None, "one two"), (2, "same text"), (50, long + " x"), (None, long)]]
     for order in (rows, rows[::-1]):
         docs = docs_of(spark, order)
         kept = ngram_join.drop_near_copies(docs)

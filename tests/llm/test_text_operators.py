@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quillon.llm import language_id, pieces, secrets, toxicity
 from quillon.llm import words as words_module
 from quillon.llm.memory import ENTRY, Recent
+from quillon.llm.shared import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, extra int"
 
@@ -348,11 +349,29 @@ def test_ratios_are_those_of_plain_kneser_ney_models(spark):
 
 
 def test_words_are_counted_whole(spark):
-    long = " ".join(f"w{k % 50}" for k in range(3 * toxicity.MAX_WORDS))
+    long = " ".join(f"w{k % 50}" for k in range(60_000)) + " w" + "v" * 50
     rows = spark.createDataFrame([("B b a", 1), ("a", 0), (long, 0), ("x" * 100, 1)], "text string, toxic int")
     got = {r["word"]: (r["t"], r["o"]) for r in toxicity.word_counts(rows).collect()}
     assert got["b"] == (2, 0) and got["a"] == (1, 1) and got["x" * 40] == (2, 0) and got["x" * 20] == (1, 0)
-    assert sum(o for w, (_, o) in got.items() if w[0] == "w") == toxicity.MAX_WORDS
+    assert sum(o for w, (_, o) in got.items() if w[0] == "w") == 60_001 and all(got[f"w{k}"] == (0, 1200) for k in range(50))
+
+
+def test_a_sample_with_too_many_letters_loses_whole_rows(spark):
+    rows = spark.createDataFrame([(k, f"t{k} " + "x" * 96, k % 2, k % 5 == 0) for k in range(2000)], "id long, text string, toxic int, fits boolean")
+    assert toxicity.thinned(rows).count() == 2000
+    few = toxicity.thinned(rows, 40_000).collect()
+    assert 300 < sum(not r["fits"] for r in few) < 500 and sum(r["fits"] for r in few) == 400 and all(len(r["text"]) > 96 for r in few)
+
+
+def test_long_texts_are_scored_as_a_whole(spark):
+    """What decides a text may stand anywhere in it: the ratios of a long one follow from those of its words."""
+    model = toxicity.Ratios(*(np.zeros(0, t) for t in (np.uint64, np.float32, np.uint64, np.float32)))
+    model.words = lambda words: np.array([9.0 if w == "bad" else -1.0 for w in words])
+    for at in (0, 70_000, 199_999):
+        words = ["ok"] * 200_000
+        words[at] = "bad"
+        x = model.features([" ".join(words)])[0]
+        assert x[0] == pytest.approx((9.0 - 199_999) / 200_000) and x[1] == pytest.approx((9.0 - 3) / 4)
 
 
 def test_toxicity_finds_held_out_insults(spark):
@@ -412,10 +431,32 @@ def test_languages_of_held_out_rows(spark, sf_dir):
 def test_language_sample_is_bounded_for_rows_without_ids(spark, monkeypatch):
     monkeypatch.setattr(language_id, "PER_LANGUAGE", 50)
     rows = [(None, f"text number w{k}", "en" if k % 2 else "de", "s", 0) for k in range(1000)] + [(None, "the same", "en", "s", 0)] * 500 + [(None, "123", "fr", "s", 0)]
-    sample = language_id.take_sample(spark.createDataFrame(rows, SCHEMA)).collect()
+    sample = language_id.take_sample(spark.createDataFrame(rows, SCHEMA), Scratch(spark)).collect()
     assert 20 < len(sample) < 200 and sum(r["text"] == "the same" for r in sample) <= 1 and {r["lang"] for r in sample} == {"de", "en"}
 
 
+def test_any_number_of_languages_is_learned(spark):
+    """More languages than the former bound of 256, one of them with a single text; a plain version of the scoring."""
+    rng = np.random.default_rng(3)
+    letters = [chr(0x4E00 + k) for k in range(900)]
+    rows = [(1000 * k + n, " ".join("".join(rng.choice(letters[3 * k : 3 * k + 3], 3)) for _ in range(30)), f"l{k:03d}", "s", 0) for k in range(299) for n in range(8)]
+    rows.append((4, "zzz qqq " * 20, "rare", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.learn(docs)
+    assert len(model.languages) == 300 and "rare" in model.languages and model.layer is not None
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in language_id.find_languages(docs, model).collect()}
+    wanted = {r[0]: r[2] for r in rows}
+    assert np.mean([got[k][0] == v for k, v in wanted.items() if got[k][2]]) >= 0.9 and got[4][0] == "rare"
+    for doc_id, text, *_ in rows[:6]:
+        z, n = np.zeros(model.rows.shape[1]), 0
+        for word in text.split():
+            for buckets, _ in language_id.windows([word]):
+                for b in buckets[buckets < language_id.BUCKETS]:
+                    z, n = z + model.rows[b], n + 1
+        p = model.softmax((z / n @ model.layer + model.offset)[None])[0]
+        assert model.languages[int(p.argmax())] == got[doc_id][0] and p.max() == pytest.approx(got[doc_id][1], rel=1e-4)
+
+
 def test_spans_are_json_like(spark):
     r = secrets.find_secrets(docs_of(spark, [(1, f"x {SECRET}")])).first()
     assert json.dumps([s.asDict() for s in r["spans"]])
