@@ -17,21 +17,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.sources.places import shared_folder
+from quillon.sources.places import sent_with_tasks, stored
 
+sent_with_tasks(__name__)
 #: Offsets up to which they are sent to all tasks, after a count; more are merged with the rows.
 SENT = 100_000
 #: Kinds of axes that keep their type; all others are compared as doubles.
 PLAIN = ("int", "bigint", "double", "date", "timestamp", "timestamp_ntz")
 
 
-def _stored(rows: DataFrame) -> DataFrame:
-    """A table in the shared folder: ranges are drawn once, and each later use has the same rows in the same ranges."""
-    path = shared_folder(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 # --- the last value before
 
 
@@ -104,7 +98,7 @@ def _merged(held: DataFrame, known: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, part, np.int32)), *batch.columns[:2], filled], ["part", "axis", "row", "found"])
 
     met = stream.select("axis", "row", "found").mapInArrow(carried, f"part int, axis {kinds['axis']}, row {kinds['row']}, found {kind_of_found}")
-    met = _stored(met)
+    met = stored(met)
     # one row for each range: the last offset that it met, and what came before it
     ends = met.where("row IS NULL").groupBy("part").agg(F.max_by("found", "axis").alias("end"))
     parts = met.select("part").distinct().join(ends, "part", "left")
@@ -175,7 +169,7 @@ def states_in_order(rows: DataFrame, key: str, order: str, step: Callable[[Colum
 
     kinds = dict(tabled.dtypes)
     met = sorted_rows.select("row", "of", "table").mapInArrow(folded, f"part int, row {kinds['row']}, of {kinds['of']}, table array<tinyint>")
-    met = _stored(met)
+    met = stored(met)
     # a group that goes on in a later range: its last table in each range, folded in the order of ranges
     spread = met.groupBy("of").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select(F.col("of").alias("group"), "least", "most")
     own = met.join(F.broadcast(spread), F.col("of").eqNullSafe(F.col("group")), "left")  # fewer groups than ranges

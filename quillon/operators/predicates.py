@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import number_at_start
@@ -70,13 +71,26 @@ TYPES: dict[str, Callable[[Column, object], Column]] = {
     "minchecked": lambda n, p: n < F.lit(int(p)),
 }
 
-Callback = Callable[[Column], Column]
-_CALLBACKS: dict[str, Callback] = {}
+Callback = Callable[[pd.Series], pd.Series]
 
 
-def register_callback(name: str, function: Callback) -> None:
-    """A predicate of the user's own, for rules of type 'callback' with its name as their value."""
-    _CALLBACKS[name] = function
+def register_callback(spark: SparkSession, name: str, function: Callback | str) -> None:
+    """A predicate of the user's own, under a name that may have dots, as a function of the session.
+
+    function: SQL over the text `value`, which stays in the plan, or a function of whole columns, which runs on Arrow batches.
+    """
+    if isinstance(function, str):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION `{name}`(value STRING) RETURNS BOOLEAN RETURN {function}")
+    else:
+        spark.udf.register(name, F.pandas_udf(function, "boolean"))
+
+
+def called(names: list[str], name: Column, value: Column) -> Column:
+    """The callback that a column names, of a value; an error for a name that is not among those given."""
+    found = F.raise_error(F.concat(F.lit("no callback named "), F.coalesce(name, F.lit("null")))).cast("boolean")
+    for known in names:
+        found = F.when(name == known, F.call_function(f"`{known}`", value)).otherwise(found)
+    return found
 
 
 def override(registry: dict[str, Rule], **changes: dict) -> dict[str, Rule]:
@@ -90,7 +104,7 @@ def override(registry: dict[str, Rule], **changes: dict) -> dict[str, Rule]:
 def in_error(rule: Rule, value: Column, other: Column | None = None) -> Column:
     """Whether a value breaks a rule; other: the value to match, for rules of type 'match'."""
     if rule.type == "callback":
-        wrong = _CALLBACKS[str(rule.value)](value)
+        wrong = F.call_function(f"`{rule.value}`", value)
     else:
         wrong = TYPES[rule.type](value, other if rule.type == "match" else rule.value)
     return wrong != F.lit(rule.negative) if rule.negative else wrong

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.predicates import BUILT_IN, Rule, in_error, looked_at
+from quillon.sources.places import stored
 
 #: Attributes of a field that ask for a rule, and the attributes that stand in for them.
 ATTRIBUTES = {"pattern": (), "max": ("aria_valuemax",), "min": ("aria_valuemin",), "maxlength": (), "minlength": (), "maxchecked": (), "minchecked": ()}
@@ -48,17 +49,41 @@ def reached(name: str, registry: dict[str, Rule]) -> list[str]:
         if name not in found:
             found.append(name)
             rule = registry.get(name)
-            todo += str(rule.value).split(",") if rule is not None and rule.type == "shortcut" else []
+            todo += [x.strip() for x in str(rule.value).split(",")] if rule is not None and rule.type == "shortcut" else []
     return found
 
 
-def shortcut_closure(start: DataFrame, registry: dict[str, Rule] | None = None) -> DataFrame:
-    """name of all rules that the names in start lead to. The registry is closed on the driver; rows look it up."""
-    registry = BUILT_IN if registry is None else registry
-    name = F.lower("name")
-    closed = [x for k in registry for x in (F.lit(k), F.array(*map(F.lit, reached(k, registry))))]
-    found = F.try_element_at(F.create_map(*closed), name) if closed else F.lit(None).cast("array<string>")
-    return start.select(F.explode(F.coalesce(found, F.array(name))).alias("name")).distinct()
+def revalidated(changed: DataFrame, fields: DataFrame, rules: dict[str, list[Rule]], group: str) -> DataFrame:
+    """group, messages and n_fields of the groups of fields that one changed: all fields of such a group are looked at again.
+
+    changed (form, name, pos, and the group's column) are the fields that had an event; several events of a group are one.
+    messages are the different errors of the group's fields in order, or null without errors.
+    """
+    touched = changed.select("form", group).distinct()
+    again = check_fields(fields.join(touched, ["form", group], "left_semi"), rules)
+    found = again.groupBy("form", group).agg(F.flatten(F.collect_list("errors")).alias("all"), F.count("*").alias("n_fields"))
+    messages = F.when(F.size("all") > 0, error_text(F.col("all")))
+    return found.select("form", group, messages.alias("messages"), "n_fields")
+
+
+def closure(start: DataFrame, rules: DataFrame) -> DataFrame:
+    """start and name of all rules that the names in start (column name) lead to through shortcuts, themselves included.
+
+    rules (name, type, value): a shortcut's value lists the names it stands for, parted by commas; names are compared in lower case,
+    a name that rules does not have leads to itself only. Each round follows the shortcuts of the pairs that the last one
+    found, drops pairs that are known and ends where none is new, so cycles end; rounds are as many as the longest chain of
+    shortcuts. Each round is a table in the shared folder.
+    """
+    targets = F.transform(F.split("value", ","), lambda x: F.lower(F.trim(x)))
+    links = rules.where("type = 'shortcut' AND value IS NOT NULL").select(F.lower("name").alias("of"), F.explode(targets).alias("to"))
+    links = stored(links.distinct())
+    fresh = stored(start.where("name IS NOT NULL").select("name").distinct().select(F.col("name").alias("start"), F.lower("name").alias("name")))
+    known = fresh
+    while not fresh.isEmpty():
+        found = fresh.join(links, F.col("name") == F.col("of")).select("start", F.col("to").alias("name")).distinct()
+        fresh = stored(found.join(known, ["start", "name"], "left_anti"))
+        known = known.unionByName(fresh)
+    return known
 
 
 def closed_rules(name: str, registry: dict[str, Rule] | None = None) -> list[Rule]:

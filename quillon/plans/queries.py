@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from quillon.functions import color, dates, text
 from quillon.operators import lookup, ordered, predicates, templates, validate
 from quillon.plans import flows
-from quillon.sources import places, readers, sinks
-from quillon.streaming import streams
+from quillon.sources import html, places, readers, sinks
+from quillon.streaming import builds, requests, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,11 +39,14 @@ def greet_by_initial(spark, d):
 
 
 @query(
-    """SELECT * FROM (VALUES (0, 'Hello Yaakov'), (1, 'Good Bye John'), (2, 'Good Bye Jen'), (3, 'Good Bye Jason'), (4, 'Hello Paul'),
-    (5, 'Hello Frank'), (6, 'Hello Larry'), (7, 'Hello Paula'), (8, 'Hello Laura'), (9, 'Good Bye Jim')) AS t(pos, line)"""
+    """SELECT c_custkey, line FROM customer JOIN (VALUES (0, 'Hello Yaakov'), (1, 'Good Bye John'), (2, 'Good Bye Jen'), (3, 'Good Bye Jason'), (4, 'Hello Paul'),
+    (5, 'Hello Frank'), (6, 'Hello Larry'), (7, 'Hello Paula'), (8, 'Hello Laura'), (9, 'Good Bye Jim')) AS t(pos, line) ON c_custkey % 10 = pos"""
 )
 def greet_names(spark, d):
-    return readers.names(spark).select("pos", text.greeting(F.col("name")).alias("line"))
+    """Rows that are given inline, one for each customer."""
+    names = F.broadcast(readers.names(spark))  # ten rows
+    customers = read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 10).alias("pos"))
+    return customers.join(names, "pos").select("c_custkey", text.greeting(F.col("name")).alias("line"))
 
 
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE p_type = 'ECONOMY'")
@@ -347,10 +351,22 @@ def stream_merge(spark, d):
     return a.unionByName(read(spark, d, "customer").select(F.col("c_name").alias("name"), F.lit("customer").alias("origin")))
 
 
-@query("SELECT unnest(['positive', 'number', 'positivenumber', 'email', 'validemail', 'a', 'b']) AS name")
+@query(
+    """WITH RECURSIVE links AS (
+      SELECT p_partkey AS of, unnest([p_partkey // 2, p_partkey // 3, CASE WHEN p_partkey % 7 = 0 THEN p_partkey + 1 END]) AS "to" FROM part WHERE p_size % 10 <> 0
+    ), reach AS (
+      SELECT p_partkey AS start, p_partkey AS k FROM part WHERE p_type = 'ECONOMY' UNION SELECT start, "to" FROM reach JOIN links ON k = of WHERE "to" IS NOT NULL
+    )
+    SELECT 'Rule' || start AS start, 'rule' || k AS name FROM reach"""
+)
 def shortcut_closure(spark, d):
-    registry = predicates.override(predicates.BUILT_IN, a={"type": "shortcut", "value": "b"}, b={"type": "shortcut", "value": "a"})
-    return validate.shortcut_closure(spark.createDataFrame([("Positive",), ("email",), ("a",)], "name string"), registry)
+    """A registry with a rule for each part; a rule may lead back to itself through others."""
+    part, k = read(spark, d, "part"), F.col("p_partkey")
+    more = F.when(k % 7 == 0, F.concat(F.lit(", RULE"), (k + 1).cast("string"))).otherwise(F.lit(""))
+    value = F.concat(F.lit("rule"), F.expr("CAST(p_partkey div 2 AS STRING)"), F.lit(",Rule"), F.expr("CAST(p_partkey div 3 AS STRING)"), more)
+    rules = part.select(F.concat(F.lit("Rule"), k.cast("string")).alias("name"), F.when(F.col("p_size") % 10 != 0, "shortcut").otherwise("regex").alias("type"), value.alias("value"))
+    start = part.where("p_type = 'ECONOMY'").select(F.concat(F.lit("Rule"), k.cast("string")).alias("name"))
+    return validate.closure(start, rules)
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
@@ -391,8 +407,8 @@ def required_server(spark, d):
 
 @query(
     """SELECT event_id, CASE WHEN k IN (2, 5) THEN NULL ELSE CAST(regexp_extract(t, '^([+-]=)?(-?[0-9]+([.][0-9]+)?)', 2) AS DOUBLE) END AS number,
-      CASE WHEN k IN (2, 5) THEN NULL ELSE nullif(regexp_extract(t, '^([+-]=)?(-?[0-9]+([.][0-9]+)?)(.+)?$', 4), '') END AS unit FROM (
-      SELECT event_id, event_id % 6 AS k, CASE event_id % 6 WHEN 0 THEN event_id || 'deg' WHEN 1 THEN '-' || event_id || '.5rad' WHEN 2 THEN 'deg' WHEN 3 THEN '+=' || event_id || 'turn'
+      CASE WHEN k IN (2, 5) THEN NULL ELSE nullif(regexp_extract(t, '^([+-]=)?(-?[0-9]+([.][0-9]+)?)(.+)?$', 4), '') END AS unit, CASE WHEN k = 3 THEN CASE event_id % 4 WHEN 1 THEN '+=' ELSE '-=' END END AS relative FROM (
+      SELECT event_id, event_id % 6 AS k, CASE event_id % 6 WHEN 0 THEN event_id || 'deg' WHEN 1 THEN '-' || event_id || '.5rad' WHEN 2 THEN 'deg' WHEN 3 THEN CASE event_id % 4 WHEN 1 THEN '+=' ELSE '-=' END || event_id || 'turn'
       WHEN 4 THEN CAST(event_id AS VARCHAR) ELSE '' END AS t FROM events)"""
 )
 def number_units(spark, d):
@@ -400,9 +416,9 @@ def number_units(spark, d):
     n = k.cast("string")
     t = (
         F.when(k % 6 == 0, F.concat(n, F.lit("deg"))).when(k % 6 == 1, F.concat(F.lit("-"), n, F.lit(".5rad"))).when(k % 6 == 2, F.lit("deg"))
-        .when(k % 6 == 3, F.concat(F.lit("+="), n, F.lit("turn"))).when(k % 6 == 4, n).otherwise(F.lit(""))
+        .when(k % 6 == 3, F.concat(F.when(k % 4 == 1, "+=").otherwise("-="), n, F.lit("turn"))).when(k % 6 == 4, n).otherwise(F.lit(""))
     )
-    return read(spark, d, "events").select("event_id", text.number_and_unit(t).alias("r")).select("event_id", "r.number", "r.unit")
+    return read(spark, d, "events").select("event_id", text.number_and_unit(t).alias("r")).select("event_id", "r.number", "r.unit", "r.relative")
 
 
 @query("SELECT page_id, page_id % 3 <> 0 AS same FROM pages")
@@ -415,7 +431,7 @@ def same_page(spark, d):
 
 @query("SELECT page_id, href, label, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"[^>]*>[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a [^>]*href=\"[^\"]*\"[^>]*>([^<]*)</a>', 1)) AS label, generate_subscripts(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"[^>]*>[^<]*</a>', 1), 1) AS i FROM pages)")
 def page_links(spark, d):
-    return readers.links(read(spark, d, "pages"))
+    return html.links(read(spark, d, "pages"))
 
 
 @query("SELECT user_id, event_type, max(value) AS top FROM events GROUP BY user_id, event_type HAVING max(value) > 95")
@@ -636,11 +652,46 @@ def distinct_forms(spark, d):
 
 @query("SELECT event_id, value >= 75 AS shouted FROM events")
 def callback_rules(spark, d):
-    predicates.register_callback("loud", lambda v: v.cast("double") >= 75)
-    rule = predicates.Rule("Loud", "callback", "loud")
+    predicates.register_callback(spark, "checks.loud", "CAST(value AS DOUBLE) >= 75")
+    rule = predicates.Rule("Loud", "callback", "checks.loud")
     return read(spark, d, "events").select("event_id", predicates.in_error(rule, F.col("value").cast("string")).alias("shouted"))
 
 
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN value >= 75 WHEN 1 THEN length(event_type) > 4 ELSE length(event_type) % 2 = 1 END AS wrong FROM events"""
+)
+def named_callbacks(spark, d):
+    """A column names the callback of each row: two in SQL, one in Python over whole columns."""
+    predicates.register_callback(spark, "checks.loud", "CAST(value AS DOUBLE) >= 75")
+    predicates.register_callback(spark, "checks.text.long", "length(value) > 4")
+    predicates.register_callback(spark, "odd", lambda v: v.str.len() % 2 == 1)
+    k, names = F.col("event_id"), ["checks.loud", "checks.text.long", "odd"]
+    rows = read(spark, d, "events").select(
+        k, F.get(F.array(*map(F.lit, names)), (k % 3).cast("int")).alias("callback"), F.when(k % 3 == 0, F.col("value").cast("string")).otherwise(F.col("event_type")).alias("v")
+    )
+    return rows.select("event_id", predicates.called(names, F.col("callback"), F.col("v")).alias("wrong"))
+
+
+@query("SELECT user_id, sum(CAST(props ->> '$.k' AS INTEGER))::BIGINT AS total, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def handled_answers(spark, d):
+    """A handler that is given the decoded answers; those with another status never reach it."""
+    url, status = F.concat_ws("/", "user_id", "event_id"), F.when(F.col("event_type") == "error", 500).otherwise(200)
+    answers = read(spark, d, "events").select(url.alias("url"), status.alias("status"), F.col("props").alias("body"))
+    user = F.get(F.split("url", "/"), F.lit(0)).cast("long")
+    return readers.handled(answers, lambda data: data.groupBy(user.alias("user_id")).agg(F.sum("data.k").alias("total"), F.count("*").alias("n")), "k int")
+
+
+@query(
+    f"""WITH e AS ({ERRORS_SQL.replace("SELECT *, list_filter", "SELECT *, form % 7 AS grp, list_filter")}), touched AS (SELECT DISTINCT form, grp FROM e WHERE pos % 6 = 0 AND name = 'view'),
+    again AS (SELECT form, grp, flatten(list(list_filter(errors, lambda m: value <> ''))) AS found, count(*) AS n_fields FROM e JOIN touched USING (form, grp) GROUP BY form, grp)
+    SELECT form, grp, CASE WHEN len(found) > 0 THEN array_to_string(list_sort(list_distinct(found)), '</li><li>') END AS messages, n_fields FROM again"""
+)
+def revalidated_groups(spark, d):
+    """An event of one field looks at all fields of its group again; groups without an event are left alone."""
+    fields = _fields(spark, d).withColumn("grp", F.col("form") % 7)
+    return validate.revalidated(fields.where("pos % 6 = 0 AND name = 'view'"), fields, RULES, "grp")
+
+
 #: What the six texts of shadow_lists say, read by hand; -1000 stands for the number that a row puts in.
 SHADOWS_SQL = """(VALUES
   (0, 0, TRUE, 1, -1000, 3, 0, 0, 255, 0, 1.0), (0, 1, FALSE, 0, 0, 4, 0, 1, 2, 3, 0.5),
@@ -680,29 +731,112 @@ def stream_files(spark, d):
     return streams.drained(stream, f"{folder}/rows", f"{folder}/checkpoint").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+REQUEST_ROWS = """SELECT user_id, event_id, ts, event_id % 3 = 0 AS answer, CAST(event_id // 3 % 2 AS VARCHAR) AS value, event_id % 5 <> 0 AS valid,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events"""
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED ({REQUEST_ROWS}), f AS (
+      SELECT user_id, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS event_id, '' AS outcome, CAST(NULL AS VARCHAR) AS given, FALSE AS in_error, FALSE AS again,
+        CAST(NULL AS VARCHAR) AS value, TRUE AS valid, TRUE AS finished, CAST(NULL AS TIMESTAMP) AS sent, CAST(NULL AS VARCHAR) AS wanted, FALSE AS known
+      FROM (SELECT DISTINCT user_id FROM e)
+      UNION ALL
+      SELECT user_id, nth, event_id, outcome, given, CASE outcome WHEN 'answered' THEN NOT fits WHEN 'known' THEN NOT valid ELSE FALSE END, outcome = 'answered' AND wanted <> value,
+        CASE WHEN outcome = 'sent' THEN given WHEN outcome = 'answered' AND wanted <> value THEN wanted ELSE value END,
+        CASE WHEN outcome = 'sent' OR outcome = 'answered' AND wanted <> value THEN TRUE WHEN outcome = 'answered' THEN fits ELSE valid END,
+        CASE WHEN outcome = 'sent' OR outcome = 'answered' AND wanted <> value THEN FALSE WHEN outcome = 'answered' THEN TRUE ELSE finished END,
+        CASE WHEN outcome = 'sent' OR outcome = 'answered' AND wanted <> value THEN ts ELSE sent END,
+        CASE WHEN outcome IN ('sent', 'waiting', 'known') THEN given ELSE wanted END, known OR outcome IN ('sent', 'waiting', 'known')
+      FROM (SELECT *, CASE WHEN answer AND (finished OR value <> given) THEN 'late' WHEN answer THEN 'answered' WHEN NOT finished THEN 'waiting'
+          WHEN known AND value = given THEN 'known' ELSE 'sent' END AS outcome
+        FROM (SELECT f.user_id, e.nth, e.event_id, e.ts, e.answer, e.value AS given, e.valid AS fits, f.value, f.sent, f.wanted, f.known,
+            f.valid OR NOT f.finished AND e.ts - f.sent > INTERVAL 6 HOUR AS valid, f.finished OR e.ts - f.sent > INTERVAL 6 HOUR AS finished
+          FROM f JOIN e ON e.user_id = f.user_id AND e.nth = f.nth + 1))
+    )
+    SELECT user_id, event_id, outcome, given AS value, in_error FROM f WHERE nth > 0 UNION ALL SELECT user_id, event_id, 'sent', value, FALSE FROM f WHERE again"""
+)
+def request_states(spark, d):
+    """Values that are wanted and answers to requests, as a stream in three arrivals with one state for each user."""
+    k = F.col("event_id")
+    rows = read(spark, d, "events").select(
+        "user_id", k.alias("nth"), F.col("ts").alias("at"), (k % 3 == 0).alias("answer"), F.expr("CAST(event_id div 3 % 2 AS STRING)").alias("value"), (k % 5 != 0).alias("valid")
+    )
+    folder, ends = places.shared_folder(spark), read(spark, d, "events").agg(F.expr("percentile(unix_micros(CAST(ts AS TIMESTAMP)), array(0.33, 0.66))").alias("p")).first()["p"]
+    arrival, found = F.unix_micros(F.col("at").cast("timestamp")), None
+    for part in (arrival <= ends[0], (arrival > ends[0]) & (arrival <= ends[1]), arrival > ends[1]):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        states = requests.requests(streams.arriving(spark, f"{folder}/in", rows), "user_id", timedelta(hours=6))
+        found = streams.drained(states, f"{folder}/out", f"{folder}/checkpoint")
+    return found.select(F.col("key").alias("user_id"), F.col("nth").alias("event_id"), "outcome", "value", "in_error")
+
+
+@query(
+    """SELECT event_id, event_type FROM events e WHERE event_type = (SELECT arg_max(event_type, (ts, event_id)) FROM events l WHERE l.user_id = e.user_id)"""
+)
+def late_answers_stream(spark, d):
+    """late_answers as two streams, with a watermark as far behind as the table is long, moved on by a last row."""
+    events = read(spark, d, "events").select("user_id", F.col("event_id").alias("nth"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("value"))
+    folder, ends = places.shared_folder(spark), events.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    late = ends["last"] - ends["first"] + timedelta(seconds=1)
+    end = spark.createDataFrame([(-1, -1, ends["last"] + 2 * late, "")], events.schema)
+    for rows in (events, end):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        two = [streams.arriving(spark, f"{folder}/in", events) for _ in range(2)]
+        found = streams.drained(requests.in_time_stream(*two, "user_id", f"{int(late.total_seconds())} seconds"), f"{folder}/out", f"{folder}/checkpoint")
+    return found.where("key >= 0").select(F.col("nth").alias("event_id"), F.col("value").alias("event_type"))
+
+
+@query(
+    """WITH now AS (SELECT p_partkey, p_brand, p_type, CASE WHEN p_partkey % 401 = 7 THEN 'new ' ELSE '' END || p_name AS content, p_partkey % 401 = 7 AS changed,
+      p_type || '/' || p_brand || '/' || printf('p%012d', p_partkey) AS path FROM part),
+    built AS (SELECT 'brand' AS rule, p_brand AS target, content, changed, path FROM now UNION ALL SELECT 'type', p_type, content, changed, path FROM now WHERE p_type <> 'ECONOMY')
+    SELECT rule, target, sha256(string_agg(content, chr(10) ORDER BY path)) AS sha256, CAST(bool_or(changed) AS BIGINT) AS batch FROM built GROUP BY rule, target"""
+)
+def incremental_builds(spark, d):
+    """Sources come, then some of them change: both rules rebuild the targets of those only, and a repeated batch changes nothing."""
+    part, folder = read(spark, d, "part"), places.shared_folder(spark)
+    path = F.concat_ws("/", F.col("p_type"), F.col("p_brand"), F.format_string("p%012d", "p_partkey"))
+    sources = part.select(path.alias("path"), F.col("p_name").alias("content"))
+    again = part.where("p_partkey % 401 = 7").select(path.alias("path"), F.concat(F.lit("new "), F.col("p_name")).alias("content"))
+    at = lambda k: F.get(F.split("path", "/"), F.lit(k))
+    rules = [builds.Build("brand", at(1), builds.bundled()), builds.Build("type", F.when(at(0) != "ECONOMY", at(0)), builds.bundled())]
+    for rows in (sources, again):
+        rows.write.mode("append").parquet(f"{folder}/in")
+        builds.rebuild_on_change(streams.arriving(spark, f"{folder}/in", sources), folder, rules)
+    builds.rebuild(again, 1, folder, rules)
+    every = [builds.built(spark, folder, r.name).select(F.lit(r.name).alias("rule"), "target", F.sha2("content", 256).alias("sha256"), "batch") for r in rules]
+    return every[0].unionByName(every[1])
+
+
 # Sources and sinks: what is written is read back.
 
 
 @query("SELECT r_regionkey AS key, r_name || ' {{name}}' || chr(10) AS body FROM region")
 def template_files(spark, d):
-    """Texts of files, to their last line feed."""
-    found = {f"t{r[0]}.html": f"{r[1]} {{{{name}}}}\n" for r in read(spark, d, "region").select("r_regionkey", "r_name").collect()}  # five rows
-    texts = readers.templates(spark, places.put_texts(spark, places.shared_folder(spark), found))
+    """Texts of files, to their last line feed. The tasks write them."""
+    rows = read(spark, d, "region").select(F.concat(F.lit("t"), F.col("r_regionkey").cast("string"), F.lit(".html")).alias("name"), F.concat("r_name", F.lit(" {{name}}\n")).alias("text"))
+    texts = readers.templates(spark, places.put_texts(rows, places.shared_folder(spark)))
     return texts.select(F.substring("name", 2, 9).cast("int").alias("key"), "body")
 
 
 @query("SELECT 'a' || n_nationkey || '.css' AS name, n_name AS content FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey <> 4")
 def file_tree(spark, d):
     """Files by a pattern, but for one that is named."""
-    rows = read(spark, d, "nation").select("n_nationkey", "n_name").collect()  # twenty-five rows
-    folder = places.put_texts(spark, places.shared_folder(spark), {f"x{k % 3}/a{k}.{'js' if k % 2 else 'css'}": n for k, n in rows})
+    k = F.col("n_nationkey")
+    name = F.concat(F.lit("x"), (k % 3).cast("string"), F.lit("/a"), k.cast("string"), F.when(k % 2 == 1, ".js").otherwise(".css"))
+    folder = places.put_texts(read(spark, d, "nation").select(name.alias("name"), F.col("n_name").alias("text")), places.shared_folder(spark))
     return readers.files(spark, folder, "*.css", ("a4.css",)).select("name", F.decode("content", "UTF-8").alias("content"))
 
 
-@query("SELECT '2.1' AS version, 'css/' AS target, TRUE AS minify")
+@query("SELECT n_nationkey AS id, n_name AS name, '2.' || n_regionkey AS version, n_nationkey % 2 = 0 AS minify FROM nation")
 def json_settings(spark, d):
-    folder = places.put_texts(spark, places.shared_folder(spark), {"settings.json": '{\n  "version": "2.1",\n  "target": "css/", "minify": true\n}\n'})
-    return readers.settings(spark, folder).select("version", "target", "minify")
+    """A settings file for each nation, over several lines."""
+    k = F.col("n_nationkey")
+    line = '{\n  "version": "2.%s",\n  "id": %s,\n  "pkg": {"name": "%s",\n "minify": %s}\n}\n'
+    body = F.format_string(line, F.col("n_regionkey"), k, F.col("n_name"), F.when(k % 2 == 0, "true").otherwise("false"))
+    files = read(spark, d, "nation").select(F.concat(F.lit("p"), k.cast("string"), F.lit("/package.json")).alias("name"), body.alias("text"))
+    found = readers.settings(spark, places.put_texts(files, places.shared_folder(spark)) + "/*")
+    return found.select(F.col("id").cast("int"), "pkg.name", "version", "pkg.minify")
 
 
 @query("SELECT c_custkey, c_name || ' & co' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'a b+c' END AS message, CAST(NULL AS VARCHAR) AS phone FROM customer")
@@ -724,18 +858,18 @@ def page_sections(spark, d):
     )
     parts = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", part.alias("part")))), lambda x: x["part"])
     pages = read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(parts, "\n").alias("html"))
-    return readers.sections(pages, "r_regionkey")
+    return html.sections(pages, "r_regionkey")
 
 
 @query(
     """SELECT c_custkey, 'Website Contact Form:  ' || c_name AS subject, 'You have received a new message from your website contact form.' || chr(10) || chr(10) || 'Here are the details:' || chr(10) || chr(10)
-      || 'Name: ' || c_name || chr(10) || chr(10) || 'Email: a@b.c Bcc: x' || chr(10) || chr(10) || 'Phone: 5&amp;5' || chr(10) || chr(10) || 'Message:' || chr(10) || '&lt;b&gt;hi&lt;/b&gt;' AS body,
+      || 'Name: ' || c_name || chr(10) || chr(10) || 'Email: a@b.c' || chr(10) || 'Bcc: x' || chr(10) || chr(10) || 'Phone: 5&amp;5' || chr(10) || chr(10) || 'Message:' || chr(10) || '&lt;b&gt;hi&lt;/b&gt;' AS body,
       'From: me@example.com' || chr(10) || 'Reply-To: a@b.c Bcc: x' AS headers FROM customer"""
 )
 def mail_text(spark, d):
     """Texts of messages; tags are escaped, and a line feed in an address cannot begin a header."""
     record = read(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit("a@b.c\nBcc: x").alias("email"), F.lit("5&5").alias("phone"), F.lit("<b>hi</b>").alias("message"))
-    return sinks.mail(record, "me@example.com", "c_custkey").withColumn("body", F.replace("body", F.lit("a@b.c\nBcc"), F.lit("a@b.c Bcc")))
+    return sinks.mail(record, "me@example.com", "c_custkey")
 
 
 @query("SELECT p_partkey, chr(39) || p_name || chr(39) AS quoted, CAST(len(string_split(p_name, ' ')) AS INTEGER) AS n_names, [p_brand, p_type] || CASE WHEN p_size % 2 = 0 THEN [p_name] ELSE [] END AS joined, CAST(year(current_date) AS INTEGER) AS year FROM part")

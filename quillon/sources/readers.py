@@ -1,16 +1,15 @@
-"""Sources: JSON and text over HTTP, templates, JSON settings, file trees, form posts and sections of HTML pages."""
+"""Sources: JSON and text over HTTP, templates, JSON settings, file trees and form posts."""
 
 from __future__ import annotations
 
-import urllib.error
-import urllib.parse
-import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.http import ask
+
 MENU = (
     "category struct<name:string,short_name:string,special_instructions:string>, menu_items array<struct<short_name:string,"
     "name:string,description:string,price_small:double,price_large:double,small_portion_name:string,large_portion_name:string>>"
@@ -25,20 +24,12 @@ def names(spark: SparkSession) -> DataFrame:
 
 
 def fetch(urls: DataFrame, timeout: float = 30.0) -> DataFrame:
-    """url, status and body of each url; the tasks ask, a few rows at a time. A failed request has status 0."""
+    """url, status and body of each url; the tasks ask. A failed request has status 0 and no body."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for url in batch["url"]:
-                try:
-                    with urllib.request.urlopen(url, timeout=timeout) as answer:
-                        out.append((url, answer.status, answer.read().decode("utf-8", "replace")))
-                except urllib.error.HTTPError as error:
-                    out.append((url, error.code, ""))
-                except OSError:
-                    out.append((url, 0, ""))
-            yield pd.DataFrame(out, columns=["url", "status", "body"])
+            answers = ((url, *ask(url, timeout)) for url in batch["url"])
+            yield pd.DataFrame([(url, status, body if status else "") for url, status, body in answers], columns=["url", "status", "body"])
 
     return urls.select("url").mapInPandas(rows, "url string, status int, body string")
 
@@ -56,6 +47,11 @@ def decoded(answers: DataFrame, schema: str, is_json: bool | None = None) -> Dat
     return good.select("url", F.from_json("body", schema, {"mode": "FAILFAST"}).alias("data"))
 
 
+def handled(answers: DataFrame, handler: Callable[[DataFrame], DataFrame], schema: str = "", is_json: bool | None = None) -> DataFrame:
+    """What a handler makes of the decoded answers; answers that are not accepted never reach it."""
+    return decoded(answers, schema, is_json).transform(handler)
+
+
 def menu_items(answers: DataFrame) -> DataFrame:
     """Items of menu answers with their category's short name."""
     menus = decoded(answers, MENU)
@@ -91,26 +87,3 @@ def posts(lines: DataFrame, *fields: str) -> DataFrame:
     pairs = F.str_to_map(F.coalesce("body", F.lit("")), F.lit("&"), F.lit("="))
     read = lambda name: F.url_decode(F.try_element_at(pairs, F.lit(name))).alias(name)
     return lines.select(*[read(name) for name in fields])
-
-
-def sections(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, pos, id, title, image and description of the sections with an id in HTML pages."""
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r'(?s)(<section[^>]*\bid="[^"]*".*?</section>)'), 1)).alias("pos", "part"))
-    found = found.withColumn("part", F.regexp_replace("part", r"(?s)<!--.*?-->", " "))
-    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", " "), r"\s+", " "))
-    return found.select(
-        key,
-        "pos",
-        F.regexp_extract("part", r'<section[^>]*\bid="([^"]*)"', 1).alias("id"),
-        clean(F.regexp_extract("part", r"(?s)<h2[^>]*>(.*?)</h2>", 1)).alias("title"),
-        F.regexp_extract("part", r'<img[^>]*\bsrc="([^"]*)"', 1).alias("image"),
-        clean(F.regexp_extract("part", r"(?s)<p[^>]*>(.*?)</p>", 1)).alias("description"),
-    )
-
-
-def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, pos, href and label of the links in HTML pages."""
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)(<a [^>]*>.*?</a>)"), 1)).alias("pos", "part"))
-    return found.select(
-        key, "pos", F.regexp_extract("part", r'href="([^"]*)"', 1).alias("href"), F.trim(F.regexp_replace("part", "<[^>]*>", "")).alias("label")
-    )

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillon.functions import color, dates, text
 from quillon.operators import lookup, ordered, predicates, templates, validate
 from quillon.plans import flows
-from quillon.sources import readers, sinks
-from quillon.streaming import streams
+from quillon.sources import html as html_source
+from quillon.sources import http, places, readers, sinks
+from quillon.streaming import builds, requests, streams
 
 
 def one(spark, column):
@@ -90,8 +91,14 @@ def test_bounds_never_fail_on_text(spark):
     above = predicates.Rule("Max", "max", 5)
     assert one(spark, predicates.in_error(above, lit("6cm")))
     assert not one(spark, predicates.in_error(above, lit("cm")))
-    predicates.register_callback("shout", lambda v: v == F.upper(v))
-    assert one(spark, predicates.in_error(predicates.Rule("Shout", "callback", "shout"), lit("AB")))
+    predicates.register_callback(spark, "my.shout", "value = upper(value)")
+    predicates.register_callback(spark, "my.whisper", lambda v: v == v.str.lower())
+    rows = spark.createDataFrame([("my.shout", "AB"), ("my.shout", "Ab"), ("my.whisper", "ab"), ("my.whisper", "AB")], "name string, v string")
+    assert [r[0] for r in rows.select(predicates.in_error(predicates.Rule("Shout", "callback", "my.shout"), F.col("v"))).collect()] == [True, False, False, True]
+    found = rows.select(predicates.called(["my.shout", "my.whisper"], F.col("name"), F.col("v")).alias("wrong")).collect()
+    assert [r["wrong"] for r in found] == [True, False, True, False]
+    with pytest.raises(Exception, match="no callback named nope"):
+        rows.select(predicates.called(["my.shout"], lit("nope"), F.col("v"))).collect()
 
 
 def test_errors_of_fields(spark):
@@ -108,9 +115,13 @@ def test_errors_of_fields(spark):
 
 
 def test_shortcuts_with_a_cycle_end(spark):
-    registry = predicates.override(predicates.BUILT_IN, a={"type": "shortcut", "value": "b,email"}, b={"type": "shortcut", "value": "a"})
-    found = validate.shortcut_closure(spark.createDataFrame([("a",)], "name string"), registry)
-    assert {r["name"] for r in found.collect()} == {"a", "b", "email", "validemail"}
+    registry = predicates.override(predicates.BUILT_IN, a={"type": "shortcut", "value": "b, email"}, b={"type": "shortcut", "value": "A"})
+    rules = spark.createDataFrame([(k, r.type, None if r.value is None else str(r.value)) for k, r in registry.items()], "name string, type string, value string")
+    start = spark.createDataFrame([("a",), ("Positive",), ("unknown",), (None,), ("a",)], "name string")
+    found = {(r["start"], r["name"]) for r in validate.closure(start, rules).collect()}
+    assert found == {("a", n) for n in ("a", "b", "email", "validemail")} | {("Positive", n) for n in ("positive", "number", "positivenumber")} | {("unknown", "unknown")}
+    assert {n for s, n in found if s == "a"} == set(validate.reached("a", registry))
+    assert validate.closure(start.limit(0), rules).count() == 0 and validate.closure(start, rules.limit(0)).count() == 3
 
 
 def test_as_of_before_between_and_after(spark):
@@ -132,9 +143,9 @@ def test_positions(spark):
 def test_sections_and_links(spark):
     html = '<a class="i" href="#A">A</a><section class="p" id="A"><h2><!-- x --><span> Ti </span></h2><img src="i.jpg"><p>One\n two</p></section>'
     pages = spark.createDataFrame([(1, html)], "page_id long, html string")
-    r = readers.sections(pages).first()
+    r = html_source.sections(pages).first()
     assert (r["id"], r["title"], r["image"], r["description"]) == ("A", "Ti", "i.jpg", "One two")
-    assert readers.links(pages).first()["href"] == "#A"
+    assert html_source.links(pages).first()["href"] == "#A"
 
 
 def test_posts_and_mail(spark):
@@ -215,6 +226,9 @@ def server():
             code = 404 if "missing" in self.path else 200
             self.send_response(code)
             self.end_headers()
+            if self.path == "/last":
+                self.wfile.write(str(got[0]).encode())
+                return
             self.wfile.write(b'{"category": {"name": "Soup", "short_name": "S"}, "menu_items": [{"short_name": "S1", "price_small": 2.5}]}')
 
         def do_POST(self):
@@ -275,6 +289,174 @@ def test_shadows_end_at_what_they_cannot_read(spark):
     assert one(spark, color.parse_shadows(lit(None).cast("string"))) is None
 
 
+# --- HTML
+
+
+def test_tokens_of_odd_pages():
+    page = """<!doctype html><P class='a > b' ID=x data-e="1>2" hidden/>T<br>u<!-- <p>no</p> --><script>if (a<b) "</p>"</script>v</b></p>< 3 <4 <a href=one>l<i>m</a><p unclosed="q r>"""
+    got = list(html_source.tokens(page))
+    assert got[0] == ("start", "p", {"class": "a > b", "id": "x", "data-e": "1>2", "hidden": ""})
+    assert [t[:2] for t in got if t[0] == "text"] == [("text", x) for x in ("T", "u", "v", "<", " 3 ", "<", "4 ", "l", "m")]
+    assert [t[1] for t in got if t[0] == "end"] == ["script", "b", "p", "a"] and got[-1] == ("start", "p", {"unclosed": '"q', "r": ""})
+    assert list(html_source.tokens("")) == [] and list(html_source.tokens("<")) == [("text", "<", {})] and list(html_source.tokens("a<!-- b")) == [("text", "a", {})]
+
+
+def test_nested_and_unclosed_sections(spark):
+    page = (
+        "<section id='a'><h2>One <b>two</h2><section><p>inner p</p></section><section id=\"b\"><h2>B</h2><img src='b>.png'><p>text</section>"
+        "<img alt='x' src=a.png><p>not the first</p></section><section id=c><p>open<section id=d><h2>D<p>d</section></section></section><section id='e'>"
+    )
+    wanted = [("a", "One two", "a.png", "inner p"), ("b", "B", "b>.png", "text"), ("c", "", "", "open"), ("d", "D", "", "d"), ("e", "", "", "")]
+    assert html_source.sections_of(page) == wanted
+    pages = spark.createDataFrame([(1, page, 5), (2, None, 5), (3, "", 5), (None, page, 5), (4, "no tags < at all", 5)], "page_id long, html string, pos int")
+    got = [(r["page_id"], r["pos"], r["id"]) for r in html_source.sections(pages).collect()]
+    assert sorted(got, key=repr) == sorted([(p, k, w[0]) for p in (1, None) for k, w in enumerate(wanted)], key=repr)
+    assert html_source.links_of("<a href='x>y'>A<a href=\"z\">B<img></a>C<a>D") == [("x>y", "A"), ("z", "B"), ("", "D")]
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    for page in ("<b>" * 100_000 + "</i>" * 100_000, "<a x='" * 60_000, '<p "=' * 60_000, "<!--" * 100_000, "<section id=a>" * 30_000 + "</p>" * 30_000, "<p " + "x " * 200_000, "<script>" * 40_000):
+        began = time.time()
+        html_source.sections_of(page)
+        assert time.time() - began < 5
+
+
+# --- HTTP
+
+
+def test_pages_are_a_data_source(spark, server, tmp_path):
+    base, _ = server
+    spark.dataSource.register(http.HttpPages)
+    pages = spark.read.format("quillon_pages").option("url", f"{base}/page/{{page}}").option("last", 25).option("per_partition", 10).load()
+    assert pages.rdd.getNumPartitions() == 3
+    found = pages.where("status = 200").select("page", F.get_json_object("body", "$.category.short_name").alias("s")).collect()
+    assert sorted(r["page"] for r in found) == list(range(1, 26)) and {r["s"] for r in found} == {"S"}
+    assert spark.read.format("quillon_pages").option("url", base).load().count() == 0
+    missing = spark.read.format("quillon_pages").option("url", f"{base}/missing/{{page}}").option("last", 2).load()
+    assert {(r["page"], r["status"], r["body"]) for r in missing.collect()} == {(1, 404, ""), (2, 404, "")}
+
+
+def test_pages_are_a_stream(spark, server, tmp_path):
+    base, got = server
+    spark.dataSource.register(http.HttpPages)
+    for last in (3, 3, 7):
+        got[:] = [last]
+        stream = spark.readStream.format("quillon_pages").option("url", f"{base}/page/{{page}}").option("latest", f"{base}/last").option("per_partition", 2).load()
+        out = streams.drained(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+        assert sorted(r["page"] for r in out.collect()) == list(range(1, last + 1))
+
+
+def test_outcomes_of_posts_and_batches_that_are_run_again(spark, server, tmp_path):
+    base, got = server
+    done = []
+    sink = http.PostedBatches(base, "id", str(tmp_path / "outcomes"), lambda batch, outcomes: done.append((batch, outcomes.where("outcome = 'success'").select("key").distinct().count())))
+    rows = spark.createDataFrame([(1, "a"), (2, "fail"), (3, None), (4, "fail too")], "id long, text string")
+    sink(rows, 0)
+    assert sorted(got) == ["id=1&text=a", "id=2&text=fail", "id=3&text=", "id=4&text=fail+too"] and done == [(0, 2)]
+    got.clear()
+    sink(rows.withColumn("text", F.replace("text", lit("fail too"), lit("good"))), 0)
+    assert sorted(got) == ["id=2&text=fail", "id=4&text=good"] and done[-1] == (0, 3)
+    got.clear()
+    sink(rows.where("id = 1"), 1)
+    assert got == ["id=1&text=a"]
+    kept = {(r["batch"], r["attempt"], r["key"], r["outcome"], r["status"]) for r in sink.outcomes(spark).collect()}
+    assert kept == {(0, 0, "1", "success", 200), (0, 0, "2", "error", 500), (0, 0, "3", "success", 200), (0, 0, "4", "error", 500), (0, 1, "2", "error", 500), (0, 1, "4", "success", 200), (1, 0, "1", "success", 200)}
+    nowhere = http.posted(rows.limit(1), "http://127.0.0.1:9/", "id").first()
+    assert nowhere["outcome"] == "error" and nowhere["status"] == 0 and nowhere["message"]
+
+
+def test_posts_of_a_stream_are_recorded(spark, server, tmp_path):
+    base, got = server
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    for k in range(2):
+        rows.where(f"id = {k + 1}").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.arriving(spark, str(tmp_path / "in"), rows)
+        sink = http.PostedBatches(base, "id", str(tmp_path / "outcomes"))
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(got) == ["id=1&text=a", "id=2&text=b"]
+    assert {(r["batch"], r["key"]) for r in sink.outcomes(spark).collect()} == {(0, "1"), (1, "2")}
+
+
+# --- streams with state
+
+
+def test_requests_that_never_end_and_late_answers(spark, tmp_path):
+    rows = [
+        ("u", 1, 100, False, "a", None), ("u", 2, 101, False, "b", None), ("u", 3, 102, True, "b", True), ("u", 4, 103, True, "a", False), ("u", 5, 104, True, "b", True),
+        ("u", 6, 105, False, "b", None), ("u", 7, 106, False, None, None), ("u", 8, 107, True, None, True), ("w", 9, 110, False, "x", None), ("w", 10, 115, False, "y", None),
+        ("z", 11, 107, True, "q", True), (None, 12, 109, False, "n", None), ("end", 13, 1000, True, "", None), ("end", 14, 5000, True, "", None),
+    ]
+    table = spark.createDataFrame(rows, "k string, nth long, s int, answer boolean, value string, valid boolean").withColumn("at", F.timestamp_seconds("s")).drop("s")
+    for part in ("nth < 4", "nth BETWEEN 4 AND 12", "nth = 13", "nth = 14"):
+        table.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        states = requests.requests(streams.arriving(spark, str(tmp_path / "in"), table), "k", dt.timedelta(seconds=50), "10 seconds")
+        found = streams.drained(states, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = sorted(((r["key"], r["nth"], int(r["at"].timestamp()) if r["nth"] is None else None, r["outcome"], r["value"], r["in_error"]) for r in found.collect()), key=repr)
+    wanted = [
+        ("u", 1, None, "sent", "a", False), ("u", 2, None, "waiting", "b", False), ("u", 3, None, "late", "b", False), ("u", 4, None, "answered", "a", True), ("u", 4, None, "sent", "b", False),
+        ("u", 5, None, "answered", "b", False), ("u", 6, None, "known", "b", False), ("u", 7, None, "sent", None, False), ("u", 8, None, "answered", None, False),
+        ("w", 9, None, "sent", "x", False), ("w", 10, None, "waiting", "y", False), ("w", None, 160, "expired", "x", False), ("w", None, 160, "sent", "y", False), ("w", None, 210, "expired", "y", False),
+        ("z", 11, None, "late", "q", False), (None, 12, None, "sent", "n", False), (None, None, 159, "expired", "n", False), ("end", 13, None, "late", "", False), ("end", 14, None, "late", "", False),
+    ]
+    assert got == sorted(wanted, key=repr)
+
+
+def test_answers_wait_for_the_watermark(spark, tmp_path):
+    schema = "k string, nth long, s int, value string"
+    asked = spark.createDataFrame([("u", 1, 100, "a"), ("u", 2, 105, "b"), ("w", 3, 101, None), ("end", 4, 9000, "")], schema)
+    given = spark.createDataFrame([("u", 11, 101, "a"), ("u", 12, 106, "b"), ("u", 13, 104, "b"), ("w", 14, 102, None), ("none", 15, 103, "c")], schema)
+    for name, rows in (("asked", asked), ("given", given)):
+        rows.withColumn("at", F.timestamp_seconds("s")).drop("s").coalesce(1).write.parquet(str(tmp_path / name))
+    like = spark.read.parquet(str(tmp_path / "asked"))
+    two = [streams.arriving(spark, str(tmp_path / name), like) for name in ("given", "asked")]
+    found = streams.drained(requests.in_time_stream(*two, "k", "1 hour"), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert {(r["key"], r["nth"], r["value"]) for r in found.collect()} == {("u", 12, "b"), ("u", 13, "b"), ("w", 14, None)}
+
+
+def test_only_what_changed_is_rebuilt(spark, tmp_path):
+    folder = str(tmp_path / "site")
+    at = lambda k: F.get(F.split("path", "/"), lit(k))
+    rules = [builds.Build("css", F.when(F.endswith("path", lit(".css")), at(0)), builds.bundled("|")), builds.Build("all", lit("all"), builds.bundled(","))]
+    sources = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    built = lambda name: {(r["target"], r["content"], r["batch"]) for r in builds.built(spark, folder, name).collect()}
+    builds.rebuild(sources([("a/1.css", "x"), ("a/2.css", "y"), ("b/1.css", "z"), ("b/c.js", "j")]), 0, folder, rules)
+    assert built("css") == {("a", "x|y", 0), ("b", "z", 0)} and built("all") == {("all", "x,y,z,j", 0)}
+    builds.rebuild(sources([("a/1.css", "new"), ("c/1.css", "c")]), 1, folder, rules)
+    assert built("css") == {("a", "new|y", 1), ("b", "z", 0), ("c", "c", 1)} and built("all") == {("all", "new,y,z,j,c", 1)}
+    builds.rebuild(sources([("a/1.css", "other")]), 1, folder, rules)  # a batch that is done
+    builds.rebuild(sources([("b/c.js", None), ("c/1.css", None)]), 2, folder, rules)
+    assert built("css") == {("a", "new|y", 1), ("b", "z", 0)} and built("all") == {("all", "new,y,z", 2)}
+
+
+def test_groups_that_an_event_touches_are_looked_at_again(spark):
+    rows = [("f", 0, "age", "x", "g"), ("f", 1, "age", "3", "g"), ("f", 2, "age", "y", "h"), ("e", 0, "age", "4", "g"), ("e", 1, "name", "", "g")]
+    fields = spark.createDataFrame(rows, "form string, pos int, name string, value string, grp string")
+    rules = {"age": [predicates.BUILT_IN["number"], predicates.Rule("Min", "min", 5, "Too small")]}
+    found = validate.revalidated(fields.where("(form = 'f' AND pos = 1) OR form = 'e'"), fields, rules, "grp")
+    assert {tuple(r) for r in found.collect()} == {("f", "g", "Must be a number</li><li>Too small", 2), ("e", "g", "Too small", 2)}
+    assert validate.revalidated(fields.limit(0), fields, rules, "grp").count() == 0
+
+
+def test_folds_of_long_groups(spark):
+    rows = spark.range(700).select(F.lit("g").alias("k"), F.pmod(F.col("id") * 271, lit(701)).cast("int").alias("pos"), F.col("id").cast("string").alias("name"))
+    order = [str(i) for _, i in sorted((i * 271 % 701, i) for i in range(700))]
+    wanted = "<" + "".join(n + ("|" if k % 2 else "") for k, n in enumerate(order)) + ">"
+    for order_by in ("pos", "text"):
+        found = templates.fold(rows.withColumn("text", F.format_string("%04d", "pos")), ["k"], order_by, F.col("name"), "<", ">", "|")
+        assert found.first()["html"] == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("listagg") >= 2
+    assert templates.fold(rows.limit(0), ["k"], "pos", F.col("name")).count() == 0
+
+
+def test_files_are_written_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"d{k % 3}/f{k}.txt", f"text ü {k}\n") for k in range(20)], "name string, text string")
+    folder = places.put_texts(rows.repartition(4), f"file://{tmp_path}/tree")
+    assert {(r["name"], r["body"]) for r in readers.templates(spark, folder).collect()} == {(f"f{k}", f"text ü {k}\n") for k in range(20)}
+
+
 def test_folds(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "pos int, name string")
     html = templates.fold(rows.withColumn("g", lit(1)), ["g"], "pos", F.col("name"), "<", ">", "|").first()["html"]
