@@ -1,8 +1,11 @@
 """Secret scans (operator 2): a recursive decoding worklist.
 
 Three kinds of secret are matched in a text: assignments (assign), access keys (access) and long hexadecimal runs
-(hex). A text can also hold layers: percent codes, \\\\u and \\\\x escapes, base64 (a run, or runs joined over line breaks)
-and, in the bytes of any of these, gzip, zlib, bzip2, xz or zstd data at any place, one in another and member after member.
+(hex). A text can also hold layers: percent codes (plus signs read as they are, and as spaces), %u codes, \\\\u, \\\\U and \\\\x
+escapes, base64 (a run, or runs joined over line breaks) and, in the bytes of any of these, UTF-16 text of twelve letters or more, gzip,
+zlib, bzip2, xz or zstd data at any place, one in another and member after member, and raw deflate data where base64 begins or
+goes on behind one of the characters /, -, _ and +. A base64 run is read from its first character and, as paths and names are
+made of characters of base64, also from behind these four where text or compressed data begins there.
 Percent codes and escapes give the whole text with its codes decoded, so key and value of a secret can lie
 on two sides of a quote or space; bytes that are not UTF-8 become U+FFFD. The worklist starts with the text; each layer
 joins it, is scanned in turn and searched for further layers, until no new layer appears; `layers` counts those that are
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -50,8 +54,16 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+FORM = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\+")
+ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})|%u([0-9A-Fa-f]{4})")
+#: Bytes that texts are made of mostly, in UTF-16 too.
+TEXT = bytes([0, 9, 10, 13, *range(0x20, 0x7F)])
+#: Twelve letters or more of UTF-16 text, with the lower byte first and last.
+ZEROS = re.compile(rb"\x00[\t\n\r\x20-\x7e]\x00[\t\n\r\x20-\x7e]\x00")
+UTF16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}"), re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){12,}")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Characters of base64 that part the words of paths and names too; how many behind one tell whether data begins there.
+PARTING, TOLD = re.compile(r"[+/_-]"), 24
 LINE = re.compile(r"[A-Za-z0-9+/_-]++")
 LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|\x78[\x01\x5e\x9c\xda]|\A[\x08\x18\x28\x38\x48\x58\x68][\x00-\xff]")
@@ -78,6 +90,8 @@ def matches(text: str) -> list[Span]:
 def _printable(text: str) -> bool:
     if len(text) >= 4 and text.isascii() and text.isprintable():
         return True
+    if text.count("\ufffd") > 0.05 * len(text):
+        return False
     return len(text) >= 4 and sum(c.isprintable() and c != "\ufffd" or c in "\t\r\n" for c in text) >= 0.95 * len(text)
 
 
@@ -90,6 +104,7 @@ class Layer:
 
     def __init__(self, data: str | bytes, starts: Offsets | None = None, ends: Offsets | None = None, close: int | None = None) -> None:
         self.data, self.starts, self.ends, self.close = data, starts, ends, close
+        self.raw_at: list[int] = []  # where raw deflate data may begin
         self.more: Callable[[], Iterator[bytes]] = lambda: iter(())
 
     @property
@@ -141,48 +156,91 @@ def _text(layer: Layer, start: int, end: int) -> Layer:
 
 def _whole(layer: Layer, runs: Iterable[tuple[int, int, bytes, int]]) -> Iterator[Layer]:
     """The bytes of the layer's whole text with its runs of codes (from, to, bytes, length of the code of a byte or 0 for all) decoded, if it has any."""
-    out, starts, ends, k = [], [], [], 0
-
-    def plain(a: int, b: int) -> None:
-        text = layer.data[a:b]
-        out.append(text.encode("utf-8", "replace"))
-        if not layer.single:
-            at = np.arange(a, b)
-            at = at if len(out[-1]) == len(text) else np.repeat(at, [len(c.encode("utf-8", "replace")) for c in text])
-            starts.append(at)
-            ends.append(at + 1)
-
+    text, runs = layer.data, list(runs)
+    if not runs:
+        return
+    plain = text.encode("utf-8", "replace")
+    char_of, byte_of = None, None
+    if len(plain) != len(text):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        width[(codes >= 0xD800) & (codes <= 0xDFFF)] = 1
+        char_of, byte_of = np.repeat(np.arange(len(text)), width), np.append(0, np.cumsum(width)).tolist()
+    # codes are ASCII, so all places are those of bytes until the end: pieces of bytes, the first place of each and its steps
+    out, first, step, size, k = [], [], [], [], 0
+
+    def add(piece: bytes, at: int, by: int) -> None:
+        out.append(piece)
+        first.append(at)
+        step.append(by)
+        size.append(len(piece))
+
+    until: list[int] = []
     for a, b, raw, width in runs:
-        plain(k, a)
-        out.append(raw)
-        if not layer.single:
-            starts.append(a + width * np.arange(len(raw)))
-            ends.append(starts[-1] + width if width else np.full(len(raw), b))
+        a, b = (a, b) if byte_of is None else (byte_of[a], byte_of[b])
+        if k < a:
+            add(plain[k:a], k, 1)
+            until.append(0)
+        add(raw, a, width)
+        until.append(b)
         k = b
-    if out:
-        plain(k, len(layer.data))
-        yield layer.part(b"".join(out), *((np.concatenate(starts), np.concatenate(ends)) if starts else (None, None)))
+    if k < len(plain):
+        add(plain[k:], k, 1)
+        until.append(0)
+    if layer.single:
+        yield layer.part(b"".join(out), None, None)
+        return
+    n, by = np.array(size), np.repeat(step, size)
+    starts = np.repeat(first, n) + by * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    ends = np.where(by > 0, starts + by, np.repeat(until, n))
+    if char_of is not None:
+        starts, ends = char_of[starts], char_of[ends - 1] + 1
+    yield layer.part(b"".join(out), starts, ends)
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
-    if "%" in layer.data:
-        yield from _whole(layer, ((*m.span(), unquote_to_bytes(m.group()), 3) for m in PERCENT.finditer(layer.data)))
+    if "%" not in layer.data:
+        return
+    yield from _whole(layer, ((*m.span(), unquote_to_bytes(m.group()), 3) for m in PERCENT.finditer(layer.data)))
+    if "+" in layer.data and PERCENT.search(layer.data):  # sent from a form: a plus sign is a space
+        runs = ((*m.span(), m.group()) for m in FORM.finditer(layer.data))
+        yield from _whole(layer, ((a, b, b" " if code == "+" else unquote_to_bytes(code), 1 if code == "+" else 3) for a, b, code in runs))
 
 
 def _escapes(layer: Layer) -> Iterator[Layer]:
     """Codes as characters, and if some are those of upper bytes also as bytes."""
-    if "\\" not in layer.data:
+    if "\\" not in layer.data and "%u" not in layer.data:
         return
-    codes = [(*m.span(), int(m.group(1) or m.group(2) or m.group(3), 16)) for m in ESCAPE.finditer(layer.data)]
+    codes = [(*m.span(), int(m.group(m.lastindex), 16)) for m in ESCAPE.finditer(layer.data)]
     char = lambda code: (chr(code) if code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else "\ufffd").encode()
     yield from _whole(layer, ((a, b, char(code), 0) for a, b, code in codes))
     if any(0x80 <= code < 0x100 for _, _, code in codes):
         yield from _whole(layer, ((a, b, bytes([code]) if code < 0x100 else char(code), 0) for a, b, code in codes))
 
 
+def _decoded(run: str) -> bytes:
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    return base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+
+
+def _starts(text: str, start: int, end: int) -> Iterator[int]:
+    """Where encoded data may begin within a run, behind characters that part words: for each step of four the first place at which
+    text, compressed data or UTF-16 begins. What begins later in the same step is part of what is read from there."""
+    known: set[int] = set()
+    for m in PARTING.finditer(text, start, end):
+        at = m.end()
+        if at % 4 in known or end - at < 16:
+            continue
+        head = _decoded(text[at : min(end, at + TOLD)].rstrip("="))
+        kind = _kind(head)
+        if _is_text(head) or kind not in (None, "zlib") or _may_inflate(_decoded(text[at : min(end, at + 4 * STEP // 3)].rstrip("="))[2 if kind else 0 :]):
+            known.add(at % 4)
+            yield at
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
     text = layer.data
-    runs = [([m.span()], m.end()) for m in BASE64.finditer(text)]
+    runs = [([(start, m.end())], m.end()) for m in BASE64.finditer(text) for start in (m.start(), *_starts(text, *m.span()))]
     for m in LINES.finditer(text) if "\n" in text else ():
         lines = [line.span() for line in LINE.finditer(text, *m.span())]
         before, aligned = 0, set()
@@ -196,13 +254,16 @@ def _base64(layer: Layer) -> Iterator[Layer]:
         run = run[: len(run) - (len(run) % 4 == 1)]
         if len(run) < 16:
             continue
-        raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
+        raw = _decoded(run)
+        begins = [0, *(m.end() for m in PARTING.finditer(run) if not m.end() % 4)]
         if layer.single:
-            yield Layer(raw, layer.starts, layer.ends)
-            continue
-        place = np.concatenate([np.arange(a, b) for a, b in lines])
-        at = np.arange(len(raw), dtype=np.int64)
-        yield layer.part(raw, place[at * 8 // 6], place[(at * 8 + 7) // 6] + 1, close)
+            below = Layer(raw, layer.starts, layer.ends)
+        else:
+            place = np.concatenate([np.arange(a, b) for a, b in lines])
+            at = np.arange(len(raw), dtype=np.int64)
+            below = layer.part(raw, place[at * 8 // 6], place[(at * 8 + 7) // 6] + 1, close)
+        below.raw_at = [k // 4 * 3 for k in begins]
+        yield below
 
 
 def _kind(head: bytes) -> str | None:
@@ -214,7 +275,7 @@ def _kind(head: bytes) -> str | None:
     return "zlib" if len(head) > 1 and head[0] & 15 == 8 and head[0] < 0x80 and (head[0] * 256 + head[1]) % 31 == 0 else None
 
 
-MACHINES = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}
+MACHINES = {"deflate": lambda: zlib.decompressobj(-15), "gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor, "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}
 
 
 def _taken(kind: str, machine, piece: bytes) -> Iterator[bytes]:
@@ -225,7 +286,7 @@ def _taken(kind: str, machine, piece: bytes) -> Iterator[bytes]:
     while True:
         got = machine.decompress(piece, TAKEN)
         yield got
-        if kind in ("gzip", "zlib"):
+        if kind in ("deflate", "gzip", "zlib"):
             piece = machine.unconsumed_tail
             if machine.eof or not piece and len(got) < TAKEN:
                 return
@@ -235,8 +296,29 @@ def _taken(kind: str, machine, piece: bytes) -> Iterator[bytes]:
                 return
 
 
-def _inflated(chunks: Iterator[bytes], used: list[int | bool]) -> Iterator[bytes]:
-    """The content of the compressed members of one kind that chunks begin with; used becomes the bytes of the members and whether they end in an error."""
+def _may_inflate(piece: bytes) -> bool:
+    """Whether raw deflate data can begin like this: it gives text, or something that is compressed again."""
+    try:
+        found = zlib.decompressobj(-15).decompress(piece, 64)
+    except zlib.error:
+        return False
+    return len(found) >= 12 and (_is_text(found) or _kind(found) not in (None, "zlib"))
+
+
+def _is_text(head: bytes) -> bool:
+    """Whether bytes, which may end within a letter, look like text: nearly all ASCII, UTF-16 too, or UTF-8."""
+    body = head[2:] if head[:2] in (b"\xff\xfe", b"\xfe\xff") else head
+    if 16 * len(body.translate(None, TEXT)) <= len(body):
+        return True
+    try:
+        return codecs.getincrementaldecoder("utf-8")().decode(head).isprintable()
+    except UnicodeDecodeError:
+        return False
+
+
+def _inflated(chunks: Iterator[bytes], used: list[int | bool], forced: str | None = None) -> Iterator[bytes]:
+    """The content of the compressed members of one kind that chunks begin with, or of one member of a kind without a mark; used
+    becomes the bytes of the members and whether they end in an error."""
     left, first = b"", None
     used[:] = 0, False
     while True:
@@ -246,7 +328,7 @@ def _inflated(chunks: Iterator[bytes], used: list[int | bool]) -> Iterator[bytes
             if len(left) >= 6 or (more := next(chunks, None)) is None:
                 break
             left += more
-        kind = _kind(left)
+        kind = forced if forced and first is None else _kind(left)
         if kind is None or first not in (None, kind):
             return
         first = kind
@@ -256,7 +338,7 @@ def _inflated(chunks: Iterator[bytes], used: list[int | bool]) -> Iterator[bytes
                 if at == len(view):
                     if (more := next(chunks, None)) is None:
                         used[0] += gap + read
-                        if kind in ("gzip", "zlib"):
+                        if kind in ("deflate", "gzip", "zlib"):
                             yield machine.flush()
                         return
                     view, at = memoryview(more), 0
@@ -297,23 +379,32 @@ def _windows(chunks: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
 def _packed(layer: Layer, oversized: set[tuple]) -> Iterator[Layer]:
     """The contents of compressed data in bytes, and the text of what is between them."""
     raw, at, done = layer.data, 0, 0
-    while m := MAGIC.search(raw, at):
-        begin, used = m.start(), [0, False]
-        at = begin + 1
+    if ZEROS.search(raw):
+        read = 0
+        for a, b, step in sorted((*m.span(), step) for step, pattern in enumerate(UTF16) for m in pattern.finditer(raw)):
+            if a >= read:  # what begins first is in step; the other order of bytes fits it too, but for its ends
+                read, text = b, raw[a + step : b : 2].decode("ascii")
+                yield Layer(text, layer.starts, layer.ends) if layer.single else Layer(text, layer.starts[a:b:2], layer.ends[a + 1 : b : 2])
+    bare = iter(layer.raw_at)
+    while (m := MAGIC.search(raw, at)) or (unmarked := next(bare, None)) is not None:
+        begin, used, forced = (m.start(), [0, False], None) if m else (unmarked, [0, False], "deflate")
+        at = begin + 1 if m else len(raw)
+        if not m and not _may_inflate(raw[begin : begin + STEP]):
+            continue
 
-        def content(used: list[int | bool], begin: int = begin) -> Iterator[bytes]:
+        def content(used: list[int | bool], begin: int = begin, forced: str | None = forced) -> Iterator[bytes]:
             here = (raw[k : k + TAKEN] for k in range(begin, len(raw), TAKEN))
-            return _inflated(chain(here, (chunk for get in (layer.more,) for chunk in get())), used)
+            return _inflated(chain(here, (chunk for get in (layer.more,) for chunk in get())), used, forced)
 
         size, kept = 0, []
         for chunk in content(used):
             size += len(chunk)
             if size <= WINDOW:
                 kept.append(chunk)
-        if not size:
+        if not size or forced and (size < 12 or used[1] and not _printable(b"".join(kept).decode("utf-8", "replace"))):
             continue
         last = min(begin + used[0], len(raw))
-        if not used[1]:
+        if not used[1] and not forced:
             if done < begin:
                 yield _text(layer, done, begin)
             at = done = max(at, last)

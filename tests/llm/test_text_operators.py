@@ -159,7 +159,6 @@ def test_base64_over_line_breaks_is_joined():
 def test_long_content_is_scanned_in_windows(monkeypatch):
     monkeypatch.setattr(secrets, "WINDOW", 5000, raising=False)
     monkeypatch.setattr(secrets, "OVERLAP", 500, raising=False)
-    monkeypatch.setattr(secrets, "MAX_LAYER", 5000, raising=False)
     noise, words = NOISE * 5, b"one, two. " * 800
     for inner in (SECRET.encode(), b64(gzip.compress(noise + SECRET.encode())).encode(), gzip.compress(noise + SECRET.encode()), b64(noise + SECRET.encode()).encode()):
         for at in (0, 4980, 7990):
@@ -168,6 +167,87 @@ def test_long_content_is_scanned_in_windows(monkeypatch):
             assert ("assign", 2, len(text) - 2) in spans and oversized >= 1
 
 
+def raw_deflate(data):
+    packer = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return packer.compress(data) + packer.flush()
+
+
+@pytest.mark.parametrize(
+    ("before", "run"),
+    [
+        ("http://h.com/a/", b64(SECRET.encode())), ("k-", b64(SECRET.encode())), ("a_bc_", b64(SECRET.encode())), ("p/q/", b64(b64(SECRET.encode()).encode())),
+        ("x/yz-", b64(gzip.compress(SECRET.encode()))), ("http://u/", b64(zlib.compress(SECRET.encode() * 3))), ("run ", b64(SECRET.encode("utf-16-le"))),
+        ("run ", b64(SECRET.encode("utf-16-be"))), ("-EncodedCommand/", b64(SECRET.encode("utf-16"))), ("", b64(raw_deflate(SECRET.encode() * 2))), ("a/b/", b64(raw_deflate(b64(SECRET.encode()).encode()))),
+        ("", "\\U00000070" + SECRET[1:]), ("", "%u0070" + SECRET[1:]), ("q=a%20b&", "password+%3D+hunter22"), ("", quote(SECRET.encode("utf-16-le"))), ("é/", b64(("é " + SECRET).encode())),
+    ],
+)
+def test_layers_behind_paths_and_of_other_codes(before, run):
+    text = f"né {before}{run}, end"
+    spans = [s for s in secrets.scan(text)[1] if s[0] == "assign"]
+    start, end = 3 + len(before), 3 + len(before) + len(run.rstrip("="))
+    assert spans and all(start <= a < b <= end + 2 for _, a, b in spans), (spans, start, end)
+    assert max(b - a for _, a, b in spans) >= 0.6 * (end - start) - 8
+
+
+def plainly_found(text):
+    """Secrets in a text and its layers, by trying every decoder at every place of every run."""
+    from urllib.parse import unquote_plus, unquote_to_bytes
+
+    found, todo, seen = set(), [text], set()
+    inflate = [gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, lambda b: zlib.decompress(b, -15), lambda b: zstandard.ZstdDecompressor().decompressobj().decompress(b)]
+    while todo:
+        layer = todo.pop()
+        if layer in seen:
+            continue
+        seen.add(layer)
+        if isinstance(layer, bytes):
+            todo.append(layer.decode("utf-8", "replace"))
+            for code in ("utf-16-le", "utf-16-be"):
+                if layer.count(0) * 3 > len(layer):
+                    todo.append(layer.decode(code, "replace"))
+            for unpack in inflate:
+                try:
+                    todo.append(unpack(layer))
+                except Exception:
+                    pass
+            continue
+        found.update((kind, layer[a:b]) for kind, a, b in plain_matches(layer))
+        todo += [unquote_to_bytes(layer.encode()), unquote_plus(layer)] if "%" in layer else []
+        if "\\" in layer:
+            todo.append(re.sub(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|U([0-9a-fA-F]{8}))", lambda m: chr(min(int(m.group(m.lastindex), 16), 0x10FFFF)), layer))
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", layer):
+            for k in {0, *(p.end() for p in re.finditer(r"[+/_-]", m.group()))}:
+                run = m.group()[k:]
+                if len(run) >= 16 and len(run) % 4 != 1:
+                    todo.append(base64.urlsafe_b64decode((run + "=" * (-len(run) % 4)).replace("+", "-").replace("/", "_")))
+    return found
+
+
+def test_random_nestings_are_found_like_by_a_plain_unwrapper():
+    rng = np.random.default_rng(11)
+    wraps = [
+        lambda t: quote(t, safe=""), lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"\\x{ord(c):02x}" for c in t), lambda t: "".join(f"\\U{ord(c):08x}" for c in t),
+        lambda t: b64(t.encode()), lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), lambda t: b64(t.encode("utf-16-le")), lambda t: b64(raw_deflate(t.encode())),
+        *[lambda t, z=z: b64(z(t.encode())) for z in ZIPS], lambda t: "path/to-" + t, lambda t: "say " + t + " now",
+    ]
+    for _ in range(120):
+        key = "".join(rng.choice(list("abcdefgh23456"), 14))
+        text = f"token = {key}" if rng.random() < 0.8 else "nothing to see here at all"
+        for k in rng.integers(0, len(wraps), int(rng.integers(1, 5))):
+            text = wraps[k](text)
+        text = f"x {text} y"
+        _, spans, *_ = secrets.scan(text)
+        wanted = {found for kind, found in plainly_found(text) if kind == "assign" and key in found}
+        assert bool(wanted) == any(kind == "assign" for kind, _, _ in spans), text
+
+
+@pytest.mark.parametrize("text", ["z" * 1_000_000, b64(np.random.default_rng(1).bytes(750_000)), "ab/" * 333_333, "%41+" * 250_000, b64(("x" * 400_000).encode("utf-16-le"))], ids=["one", "noise", "path", "form", "wide"])
+def test_a_million_letters_take_seconds(text):
+    began = time.process_time()
+    assert secrets.scan(text)[0] == []
+    assert time.process_time() - began < 20
+
+
 def test_odd_rows_of_secrets(spark):
     long = "漢字 no spaces %".replace(" ", "") * 60_000
     rows = [(1, long), (1, long), (None, SECRET), (2, SECRET + " " + SECRET)]
