@@ -496,6 +496,52 @@ def test_language_features_are_those_of_single_words():
     assert model.means(texts) == pytest.approx(np.array([r[:-1] / r[-1] for r in rows.values()]), rel=1e-5)
 
 
+def plain_train(cut, labels, n, epochs, seed=7):
+    """Stochastic gradient descent for averaged embeddings and a softmax, one text and one number at a time."""
+    dim, batch = language_id.DIM, language_id.BATCH
+    xs = [[b for w in s.split(" ") for buckets, _ in language_id.windows([w]) for b in buckets.tolist() if b < language_id.BUCKETS] for s in cut]
+    rng = np.random.default_rng(seed)
+    rows, layer, offset = rng.normal(0, 1 / dim, (language_id.BUCKETS, dim)), rng.normal(0, 1 / dim, (dim, n)), [0.0] * n
+    weight = [len(labels) / (n * max(1, labels.count(k))) for k in range(n)]
+    steps, step = epochs * (len(xs) // batch + 1), 0
+    for _ in range(epochs):
+        order = rng.permutation(len(xs)).tolist()
+        for start in range(0, len(order), batch):
+            at, rate = order[start : start + batch], language_id.RATE * (1 - step / steps)
+            downs, layers, offsets = [], np.zeros((dim, n)), [0.0] * n
+            for k in at:
+                mean = [sum(rows[b][j] for b in xs[k]) / len(xs[k]) for j in range(dim)]
+                z = [sum(mean[j] * layer[j][c] for j in range(dim)) + offset[c] for c in range(n)]
+                e = [np.exp(v - max(z)) for v in z]
+                error = [(v / sum(e) - (c == labels[k])) * weight[labels[k]] / len(at) for c, v in enumerate(e)]
+                downs.append((k, [sum(error[c] * layer[j][c] for c in range(n)) / len(xs[k]) for j in range(dim)]))
+                for c in range(n):
+                    offsets[c] += error[c]
+                    for j in range(dim):
+                        layers[j][c] += mean[j] * error[c]
+            for j in range(dim):
+                for c in range(n):
+                    layer[j][c] -= 0.02 * rate * layers[j][c]
+            offset = [o - 0.02 * rate * g for o, g in zip(offset, offsets, strict=True)]
+            for k, down in downs:
+                for b in xs[k]:
+                    for j in range(dim):
+                        rows[b][j] -= rate * down[j]
+            step += 1
+    return rows, layer, np.array(offset)
+
+
+def test_training_is_plain_gradient_descent(monkeypatch):
+    for name, value in (("STEPS", 1), ("STEPS_EACH", 0), ("EPOCHS", 3), ("BATCH", 4)):
+        monkeypatch.setattr(language_id, name, value)
+    cut = ["the cat sat", "the dog", "der hund saß", "die katze", "le chat", "le chien est", "the the the", "x"]
+    labels = [0, 0, 1, 1, 2, 2, 0, 2]
+    got, wanted = language_id.train(cut, labels, 3), plain_train(cut, labels, 3, 3)
+    for a, b in zip(got, wanted, strict=True):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-12)
+    assert not np.allclose(got[1], np.random.default_rng(7).normal(0, 1, got[1].shape))
+
+
 def test_languages_of_held_out_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.learn(docs)
