@@ -23,7 +23,8 @@ stays or not. The first line of each kind stays. Lines without words stay.
 
 Defined results. A null or empty text has no lines of words. Rows that repeat a doc_id and text are the same document and
 get the same result; rows that repeat a doc_id with other texts are documents of their own, in the order of a hash of
-the text. A null doc_id keeps all its lines and removes no others. An empty table gives an empty result. Columns other than
+the text. Rows without a doc_id come after all rows with one, in the order of a hash of the text; those with one text are the same
+document. An empty table gives an empty result. Columns other than
 doc_id and text are ignored, or carried along by drop_similar_lines, whatever their names. Memory of a task follows the
 longest text, and the blocks above.
 """
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.memory import release
@@ -52,6 +53,14 @@ LAGS, NEAREST = 96, 2
 BLOCK = 4096
 
 
+#: The rank of rows without a doc_id.
+LAST = (1 << 63) - 1
+
+
+def ranked(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+
+
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
@@ -159,7 +168,7 @@ def describe_lines(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np
                     yield described(ids[own], marks[own], lines[a:b] - first_line[owner[a:b]], at[w] - a, words[w], order, seen)
                 done += len(texts)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_mark().alias("mark")).mapInArrow(
+    return docs.select(ranked().alias("doc_id"), "text", text_mark().alias("mark")).mapInArrow(
         rows, "doc_id long, mark long, line int, n int, hi long, lo long, prefix array<long>, even long, odd long"
     )
 
@@ -230,7 +239,7 @@ def fetch_tokens(docs: DataFrame, wanted: DataFrame, frequent: tuple[np.ndarray,
     by_doc = wanted.groupBy("first.doc_id", "first.mark").agg(F.collect_list(F.struct("first.line", "node")).alias("lines"))
     if wanted.count() <= SENT_IDS:  # else texts are shuffled to them
         by_doc = F.broadcast(by_doc)
-    held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"), "text")
+    held = docs.select(ranked().alias("doc_id"), text_mark().alias("mark"), "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -385,14 +394,14 @@ def _gone(docs: DataFrame, percent: int, **parameters) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT, **parameters) -> DataFrame:
     """doc_id, n_removed and removed (positions of the lines, from 0) of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark().alias("mark"))
-    found = rows.join(_gone(docs, percent, **parameters), (F.col("doc_id") == F.col("of.doc_id")) & (F.col("mark") == F.col("of.mark")), "left")
+    found = rows.join(_gone(docs, percent, **parameters), (ranked() == F.col("of.doc_id")) & (F.col("mark") == F.col("of.mark")), "left")
     return found.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def drop_similar_lines(docs: DataFrame, percent: int = PERCENT, **parameters) -> DataFrame:
     """docs with the removed lines cut from text; all other columns stay."""
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    same = (F.col("row.doc_id") == F.col("of.doc_id")) & (text_mark("row.text") == F.col("of.mark"))
+    same = (ranked("row.doc_id") == F.col("of.doc_id")) & (text_mark("row.text") == F.col("of.mark"))
     kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda _, k: ~F.array_contains("removed", k)), "\n")
     text = F.when(F.col("removed").isNotNull(), kept).otherwise(F.col("row.text")).alias("text")
     found = rows.join(_gone(docs, percent, **parameters), same, "left")

@@ -301,8 +301,10 @@ def test_removed_lines_of_the_documents(spark, rows, lags, nearest, block):
 
 def test_removed_lines_of_families_and_odd_rows(spark):
     rows = [(10 + k, f"{t}\nown line {k} a{k} b{k} c{k}") for k, t in enumerate(variants(80, 30, 8))] + [r for r in ODD if r[0] not in (7, None)]
-    got = {(r["doc_id"], tuple(r["removed"])) for r in line_dedup.removed_lines(docs_of(spark, [*rows, (None, rows[0][1])]), lags=3).collect()}
-    assert got == brute_lines(rows, 80) | {(None, ())}
+    nameless = rows[0][1] + "\nno other line is like this"
+    got = {(r["doc_id"], tuple(r["removed"])) for r in line_dedup.removed_lines(docs_of(spark, [*rows, (None, nameless), (None, nameless)]), lags=3).collect()}
+    assert got == {(None if i == 10**9 else i, gone) for i, gone in brute_lines([*rows, (10**9, nameless)], 80)}
+    assert (None, (0, 1)) in got
     cut = {r["doc_id"]: r["text"] for r in line_dedup.drop_similar_lines(docs_of(spark, [(1, "a b c\nd\n\na b c"), (2, "A b c"), (3, None)])).collect()}
     assert cut == {1: "a b c\nd\n", 2: "", 3: None}
     assert line_dedup.removed_lines(docs_of(spark, [])).count() == 0
@@ -319,6 +321,17 @@ def test_rows_that_repeat_an_id_lose_the_same_lines_in_any_order(spark):
         assert cut.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in cut.collect()) == sorted([(1, words), (1, "z y x w v"), (2, ""), (2, ""), (3, "")])
 
 
+def test_lines_of_rows_without_ids(spark):
+    """They lose lines to all rows with an id, and to one another by the order of a hash; equal rows keep the same lines."""
+    texts = ["one two three four five\nleft alone", "one two three four five\nright alone", "six seven eight"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (7, texts[2]), (None, texts[2])]
+    marks = dict(tuple(r) for r in docs_of(spark, rows).select("text", line_dedup.text_mark()).collect())
+    first, later = sorted(texts[:2], key=marks.get)
+    cut = sorted(((r["doc_id"], r["text"]) for r in line_dedup.drop_similar_lines(docs_of(spark, rows).repartition(3)).collect()), key=repr)
+    want = [(i, t if t == first or i else "" if t == texts[2] else t.split("\n")[1]) for i, t in rows]
+    assert cut == sorted(want, key=repr) and later != first
+
+
 def test_long_words_that_share_a_polynomial_differ():
     a = "a"
     for _ in range(12):
