@@ -839,9 +839,11 @@ def json_settings(spark, d):
     return found.select(F.col("id").cast("int"), "pkg.name", "version", "pkg.minify")
 
 
-@query("SELECT c_custkey, c_name || ' & co' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'a b+c' END AS message, CAST(NULL AS VARCHAR) AS phone FROM customer")
+@query("SELECT c_custkey, c_name || ' & co' AS name, CASE WHEN c_custkey % 2 = 0 THEN 'a b+c' END AS message, CASE c_custkey % 3 WHEN 0 THEN '+1 (2)' WHEN 1 THEN '' END AS phone FROM customer")
 def form_posts(spark, d):
     sent = F.concat(F.lit("id="), F.col("c_custkey").cast("string"), F.lit("&name="), F.url_encode(F.concat("c_name", F.lit(" & co"))), F.when(F.col("c_custkey") % 2 == 0, F.lit("&message=a+b%2Bc")).otherwise(F.lit("")))
+    phone = F.when(F.col("c_custkey") % 3 == 0, F.lit("&phone=%2B1%20(2)")).when(F.col("c_custkey") % 3 == 1, F.lit("&phone=")).otherwise(F.lit(""))
+    sent = F.concat(sent, phone)
     found = readers.posts(read(spark, d, "customer").select(sent.alias("body")), "id", "name", "message", "phone")
     return found.select(F.col("id").cast("long").alias("c_custkey"), "name", "message", "phone")
 

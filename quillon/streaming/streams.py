@@ -65,5 +65,5 @@ def in_time(answers: DataFrame, current: DataFrame, key: str, value: str) -> Dat
 
 
 def windowed_counts(stream: DataFrame, time: str, late: str, size: str, *keys: str) -> DataFrame:
-    """Rows of each key in each window of event time; rows later than `late` go."""
+    """Rows of each key in each window of event time; rows later than `late` go. An extra beside the inventory."""
     return stream.withWatermark(time, late).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
