@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 
 from quillon.llm.memory import release
 from quillon.llm.shared import SENT_IDS, Scratch, most_frequent, sent_if_small, ship, table, text_mark
-from quillon.llm.shingles import Frequencies, chunks, lowered, mixed, words_of
+from quillon.llm.shingles import CHUNK, Frequencies, chunks, lowered, mixed, words_of
 
 PERCENT = 80
 #: Words with a place in the order, at most: 16 bytes each.
 MOST_FREQUENT = 1 << 18
 #: Words that a task counts together; lines handled at once (2^12); classes that a task remembers, to list each once.
-COUNTED, LINES, SEEN = 1 << 20, 4096, 150_000
+COUNTED, LINES, SEEN = 1 << 21, 4096, 150_000
 #: Entries of a list that each entry is compared with, and candidates of those that become pairs.
 LAGS, NEAREST = 96, 2
 #: Entries of a list that are one block of a job.
@@ -102,6 +102,21 @@ def coded(words: np.ndarray, order: Frequencies) -> np.ndarray:
     return np.where(place > 0, np.uint64(1 << 51) | place.astype(np.uint64), words >> np.uint64(13))
 
 
+def distinct(sorted_: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    return sorted_[new]
+
+
+def sets_of(words: np.ndarray, at: np.ndarray, lines: int, order: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes of each of 2^12 lines at most (at: a word's line), in ascending order: their lines and codes, and
+    each line's number of codes and its start."""
+    codes = distinct(np.sort(coded(words, order) | at.astype(np.uint64) << np.uint64(52)))
+    at, token = (codes >> np.uint64(52)).astype(np.int64), codes & np.uint64((1 << 52) - 1)
+    n = np.bincount(at, minlength=lines)
+    return at, token, n, np.cumsum(n) - n
+
+
 def packed(words: np.ndarray, order: Frequencies) -> bytes:
     """A set of word hashes: frequent words by their places, in four bytes each, and the hashes of all others."""
     place = order.of(words)
@@ -109,6 +124,18 @@ def packed(words: np.ndarray, order: Frequencies) -> bytes:
     return np.uint32(len(places)).tobytes() + places.tobytes() + np.sort(words[place == 0]).tobytes()
 
 
+def packed_lines(lines: list[bytes], order: Frequencies) -> tuple[np.ndarray, list[bytes]]:
+    """Of 2^12 lines at most: the first half of each one's class (0 for a line without words), and its packed set of words."""
+    words, places = words_of(b"\n".join(lines))
+    at = np.searchsorted(np.cumsum([len(x) + 1 for x in lines]), places, side="right")
+    _, token, n, starts = sets_of(words, at, len(lines), order)
+    node, some = np.zeros(len(lines), np.int64), n > 0
+    if some.any():
+        node[some] = class_of(token, starts[some])[0]
+    ends = np.searchsorted(at, np.arange(len(lines)), side="right").tolist()
+    return node, [packed(distinct(np.sort(words[a:b])), order) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def unpacked(data: bytes) -> np.ndarray:
     """Different numbers for different words; no hash is as small as a place."""
     n = int(np.frombuffer(data, np.uint32, 1)[0])
@@ -127,23 +154,24 @@ def describe_lines(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def described(doc: np.ndarray, mark: np.ndarray, line: np.ndarray, at: np.ndarray, words: np.ndarray, order: Frequencies, seen: set) -> pa.RecordBatch:
-        codes = np.unique(coded(words, order) | at.astype(np.uint64) << np.uint64(52))
-        at, token = (codes >> np.uint64(52)).astype(np.int64), codes & np.uint64((1 << 52) - 1)
-        n = np.bincount(at, minlength=len(doc))
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        at, token, n, starts = sets_of(words, at, len(doc), order)
         hi, lo = class_of(token, starts)
         bit = mixed(token, 3) >> np.uint64(57)  # 0 to 127
         one = np.uint64(1) << (bit & np.uint64(63))
         maps = [np.bitwise_xor.reduceat(np.where((bit >= 64) == half, one, np.uint64(0)), starts).view(np.int64) for half in (False, True)]
         keep = np.minimum(_prefix(n, percent), n)
-        lists = [token[a : a + k].view(np.int64) for a, k in zip(starts.tolist(), keep.tolist(), strict=True)]
+        met = np.zeros(len(doc), bool)
         for k, key in enumerate(zip(hi.tolist(), lo.tolist(), strict=True)):
             if key in seen:
-                lists[k] = None
+                met[k] = True
             elif len(seen) < SEEN:
                 seen.add(key)
+        keep[met] = 0
+        listed = token[np.arange(len(token)) - starts[at] < keep[at]].view(np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.array(listed), mask=pa.array(met))
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(mark), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(hi), pa.array(lo), pa.array(lists, pa.list_(pa.int64())), *map(pa.array, maps)],
+            [pa.array(doc), pa.array(mark), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(hi), pa.array(lo), lists, *map(pa.array, maps)],
             ["doc_id", "mark", "line", "n", "hi", "lo", "prefix", "even", "odd"],
         )
 
@@ -244,16 +272,25 @@ def fetch_tokens(docs: DataFrame, wanted: DataFrame, frequent: tuple[np.ndarray,
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         order = Frequencies(*shared.value)
+
+        def ready(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            found, tokens = packed_lines([line for _, line in held], order) if held else ((), ())
+            good = [(node, t) for (node, line), own, t in zip(held, found, tokens, strict=True) if node == own and line]
+            nodes, tokens = zip(*good, strict=True) if good else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
+
         for batch in batches:
-            nodes, tokens = [], []
+            held, size = [], 0
             for text, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = lowered(text).split(b"\n")
                 for x in lines:
-                    words = np.unique(words_of(found[x["line"]])[0]) if x["line"] < len(found) else ()
-                    if len(words) and class_of(np.unique(coded(words, order)), np.array([0]))[0][0] == x["node"]:
-                        nodes.append(x["node"])
-                        tokens.append(packed(words, order))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
+                    if x["line"] < len(found):
+                        held.append((x["node"], found[x["line"]]))
+                        size += len(held[-1][1])
+                    if len(held) == LINES or size >= CHUNK:
+                        yield ready(held)
+                        held, size = [], 0
+            yield ready(held)
 
     # equal rows give a node more than once
     return held.join(by_doc, ["doc_id", "mark"]).select("text", "lines").mapInArrow(rows, "node long, tokens binary").dropDuplicates(["node"])

@@ -114,18 +114,26 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 class Frequencies:
-    """Counts of the most frequent hashes; most others are told apart by one look into a table of bits."""
+    """Counts of the most frequent hashes. Hashes are spread evenly, so their leading bits find the few that one can equal."""
+
+    #: Leading bits that are looked up: two places or more for each of the 2^19 hashes that callers take at most.
+    LEADING = 20
 
     def __init__(self, values: np.ndarray, counts: np.ndarray) -> None:
         self.values, self.counts = values, counts
-        self.some = np.zeros(1 << 22, bool)
-        self.some[(values >> np.uint64(42)).astype(np.int64)] = True
+        sizes = np.bincount((values >> np.uint64(64 - self.LEADING)).astype(np.int64), minlength=1 << self.LEADING)
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
 
     def of(self, hashes: np.ndarray, absent: int = 0) -> np.ndarray:
         out = np.full(len(hashes), absent, np.int64)
-        if len(self.values):
-            maybe = np.flatnonzero(self.some[(hashes >> np.uint64(42)).astype(np.int64)])
-            asked = hashes[maybe]
-            at = np.minimum(np.searchsorted(self.values, asked), len(self.values) - 1)
-            out[maybe] = np.where(self.values[at] == asked, self.counts[at], absent)
+        leading = (hashes >> np.uint64(64 - self.LEADING)).astype(np.int64)
+        at, end = self.first[leading], self.first[leading + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            same = self.values[at] == hashes[left]
+            out[left[same]] = self.counts[at[same]]
+            at = at + 1
+            more = ~same & (at < end)
+            left, at, end = left[more], at[more], end[more]
         return out

@@ -341,6 +341,28 @@ def test_long_words_that_share_a_polynomial_differ():
     assert hashes[0] == hashes[2] != hashes[1]
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_frequencies_find_their_hashes_only(n):
+    rng = np.random.default_rng(n)
+    values = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2), np.arange(n % 7, dtype=np.uint64), ~np.arange(n % 3, dtype=np.uint64)]))
+    counts = rng.integers(1, 99, len(values))
+    asked = np.concatenate([rng.permutation(values), rng.integers(0, 1 << 63, 999, dtype=np.uint64), np.array([0, 1, 77, (1 << 64) - 1], np.uint64)])
+    want = dict(zip(values.tolist(), counts.tolist(), strict=True))
+    assert shingles.Frequencies(values, counts).of(asked, -1).tolist() == [want.get(x, -1) for x in asked.tolist()]
+
+
+def test_lines_are_packed_together_as_by_themselves():
+    often = np.sort(np.unique(shingles.words_of(b"the of and a to")[0]))
+    order = shingles.Frequencies(often, np.arange(1, 6))
+    lines = [b"the cat and the hat", b"", b" \t ", b"hat cat", b"\xc3\x9f the", b"cat hat hat"]
+    nodes, tokens = line_dedup.packed_lines(lines, order)
+    for line, node, token in zip(lines, nodes.tolist(), tokens, strict=True):
+        (alone,), (own,) = line_dedup.packed_lines([line], order)
+        assert (node, token) == (alone, own)
+        assert len(line_dedup.unpacked(token)) == len(set(line.split()))
+    assert nodes[1] == nodes[2] == 0 and nodes[3] == nodes[5] != nodes[0] and tokens[3] == tokens[5]
+
+
 # --- vectors
 
 
