@@ -3,14 +3,17 @@
 A text's key is the 64-bit hash of its normalised form (A-Z lower-cased), and its slot the leading bits of the key. All in
 DataFrame operations:
 
-1. Directory. Rows are counted by slot. A bucket of more than `capacity` rows is split in two by the next bit of its keys,
+1. Directory. Rows are counted by key, and keys by slot. A bucket of more than `capacity` rows is split in two by the next bit of its keys,
    which doubles the directory where it is deepest, until each fits or has the finest prefix; the directory maps each
    slot of the global depth, that of the deepest bucket, to its bucket. `capacity` is CAPACITY or, on more than 2^28 rows,
    what leaves 2^16 buckets, so the directory has 2^20 slots at most and can be sent to all tasks.
-2. Owners. Rows go to the owner task of their bucket, which is a range of keys, and texts are shuffled this once. The
+2. Rows alone. A map of 2^26 bits, made from the keys of several rows, goes to all tasks (2^20 rows of 64 bits at most). A
+   row whose bit is not set shares its key with none, so it is the only link of its chain and gets its place where it
+   is; its text does not travel. Where other keys share a bit, rows go to their owner without need, with the same result.
+3. Owners. All other rows go to the owner task of their bucket, which is a range of keys, and their texts are shuffled this once. The
    owner sorts a bucket by key and text. Rows of one key are a chain: its links are the different texts, told apart by
    comparing bytes, and each link knows its rows and the largest doc_id. Owners write their buckets to the shared folder.
-3. Hot buckets. Prefixes beyond the capacity at the finest depth (four bits more than buckets need on average) hold a
+4. Hot buckets. Prefixes beyond the capacity at the finest depth (four bits more than buckets need on average) hold a
    group of copies that no split divides. Their rows are not sent to one owner: map tasks fold equal texts first, so
    a group with a third of all rows is one link for each task, and rows then find their link in the chain of their key by
    comparing bytes. Links are sent to all tasks if they are small, as measured; else Spark splits the rows' side.
@@ -34,6 +37,8 @@ from quillon.llm.shared import Scratch, ascii_lower, table
 CAPACITY, BUCKETS = 4096, 1 << 16
 #: Bits that a prefix may have beyond those that buckets need on average.
 BEYOND = 4
+#: Leading bits of a key that name a cell of the map of keys in several rows; a cell has 64 bits.
+CELLS = 20
 #: Bytes of texts up to which the links of hot buckets are sent to all tasks.
 SENT_BYTES = 8 << 20
 
@@ -46,11 +51,11 @@ def _slot(key: Column, depth: int) -> Column:
 def directory(keys: DataFrame, n_rows: int, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
     """(slot, bucket, local_depth, hot) for every slot, and the depth of slots before the directory is cut to its global depth.
 
-    keys has a column key. Counts at the finest depth are summed to all coarser ones at once; a bucket is the shallowest
+    keys has a column key, and n where a row stands for n of them. Counts at the finest depth are summed to all coarser ones at once; a bucket is the shallowest
     prefix that fits. Hot ones do not fit at the finest depth.
     """
     finest = 0 if n_rows <= capacity else math.ceil(math.log2(n_rows / capacity)) + BEYOND
-    counts = keys.groupBy(_slot(F.col("key"), finest).alias("fine")).agg(F.count("*").alias("n"))
+    counts = keys.groupBy(_slot(F.col("key"), finest).alias("fine")).agg((F.sum("n") if "n" in keys.columns else F.count("*")).alias("n"))
     sized = (
         counts.select("n", "fine", F.explode(F.sequence(F.lit(0), F.lit(finest))).alias("depth"))
         .groupBy("depth", F.expr(f"shiftright(fine, {finest} - depth)").alias("prefix"))
@@ -76,6 +81,20 @@ def global_depth(slots: DataFrame, finest: int) -> tuple[DataFrame, int]:
     return slots.where(F.col("slot") % (1 << finest - depth) == 0).withColumn("slot", F.shiftright("slot", finest - depth)), depth
 
 
+def _cell(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - CELLS)
+
+
+def _bit(key: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(63).cast("int"))
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """cell and bits of the keys (key, n) that several rows have: one row for each cell with any."""
+    key = F.col("key")
+    return keys.where("n > 1").groupBy(_cell(key).alias("cell")).agg(F.bit_or(_bit(key)).alias("bits"))
+
+
 def normalised(row: str = "row") -> Column:
     return ascii_lower(F.coalesce(F.col(f"{row}.text"), F.lit("")))
 
@@ -85,11 +104,25 @@ def exact_links(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY) ->
     and text_sha256."""
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     keyed = rows.select("row", F.xxhash64(normalised()).alias("key"))
-    n_rows = docs.count()
-    slots, finest = directory(keyed.select("key"), n_rows, max(capacity, n_rows // BUCKETS))
+    keys = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    n_rows = keys.agg(F.sum("n")).first()[0] or 0
+    slots, finest = directory(keys, n_rows, max(capacity, n_rows // BUCKETS))
     slots, depth = global_depth(scratch.keep(slots, "counted"), finest)
     slots = scratch.keep(slots, "directory")
-    placed = keyed.withColumn("slot", _slot(F.col("key"), depth)).join(F.broadcast(slots), "slot").select("row", "key", "bucket", "hot")
+    shared = scratch.keep(shared_keys(keys), "shared")
+    several = F.coalesce(F.col("bits").bitwiseAND(_bit(F.col("key"))) != 0, F.lit(False))
+    placed = keyed.withColumn("slot", _slot(F.col("key"), depth)).join(F.broadcast(slots), "slot")
+    placed = placed.withColumn("cell", _cell(F.col("key"))).join(F.broadcast(shared), "cell", "left").select("row", "key", "bucket", "hot", several.alias("several"))
+    alone = placed.where(~F.col("several")).select(
+        "row",
+        "bucket",
+        "key",
+        F.lit(1).alias("chain"),
+        F.col("row.doc_id").alias("keep_id"),
+        F.lit(1).cast("long").alias("group_size"),
+        F.sha2(normalised().cast("binary"), 256).alias("text_sha256"),
+    )
+    placed = placed.where("several").drop("several")
 
     link = Window.partitionBy("bucket", "key", "norm")
     chain = Window.partitionBy("bucket", "key").orderBy("norm")
@@ -104,13 +137,13 @@ def exact_links(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY) ->
         F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
     )
     if slots.where("hot").isEmpty():
-        return owned
+        return alone.unionByName(owned)
     hot = placed.where("hot").withColumn("norm", normalised())
     links = hot.groupBy("bucket", "key", "norm").agg(F.max("row.doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     links = scratch.keep(links.withColumn("chain", F.dense_rank().over(chain)).withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)), "links")
     size = links.agg(F.sum(F.octet_length("norm") + 100)).first()[0]
     found = hot.join(F.broadcast(links) if size <= SENT_BYTES else links, ["bucket", "key", "norm"])
-    return owned.unionByName(found.select(*owned.columns))
+    return alone.unionByName(owned).unionByName(found.select(*owned.columns))
 
 
 def exact_groups(docs: DataFrame, scratch: Scratch | None = None, capacity: int = CAPACITY) -> DataFrame:

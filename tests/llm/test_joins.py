@@ -70,6 +70,21 @@ def test_texts_that_share_a_key_are_links_of_a_chain(spark, monkeypatch):
     assert got == {(1, 1, 3, 2), (3, 1, 3, 2), (2, 2, 2, 1), (4, 3, 4, 1)}
 
 
+@pytest.mark.parametrize("capacity", [2, 1000])
+def test_keys_that_share_a_bit_with_repeated_ones_change_nothing(spark, monkeypatch, capacity):
+    odd = [*ODD, *[(100 + k, "Copy of a text") for k in range(30)], *[(200 + k, f"text {k}") for k in range(40)]]
+    want = sorted(exact_dedup.exact_groups(docs_of(spark, odd), capacity=capacity).collect(), key=repr)
+    monkeypatch.setattr(exact_dedup, "_cell", lambda key: F.lit(0).cast("long"))
+    monkeypatch.setattr(exact_dedup, "_bit", lambda key: F.lit(1).cast("long"))
+    assert sorted(exact_dedup.exact_groups(docs_of(spark, odd), capacity=capacity).collect(), key=repr) == want
+
+
+def test_only_keys_of_several_rows_are_marked(spark):
+    keys = spark.createDataFrame([(5, 1), (-1, 2), (-2, 3), (7 << 44 | 63, 2), (7 << 44 | 1, 1)], "key long, n long")
+    got = {(r["cell"], r["bits"] & (1 << 64) - 1) for r in exact_dedup.shared_keys(keys).collect()}
+    assert got == {((1 << 20) - 1, 1 << 63 | 1 << 62), (7, 1 << 63)}
+
+
 def test_directory_covers_all_slots_once(spark):
     entries = spark.range(5000).select(F.xxhash64("id").alias("key")).unionByName(spark.range(900).select(F.xxhash64(F.lit(7)).alias("key")))
     slots, finest = exact_dedup.directory(entries, 5900, 300)
