@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 import threading
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quillon.functions import color, dates, text
@@ -553,3 +556,61 @@ def test_colors_are_whole_texts(spark):
         assert one(spark, color.parse_color(lit(given).cast("string"))) == wanted
     for given, wanted in (("1px 2px 3px 4px 5px 6px", [(False, 5, 6, 0, 0, None)]), ("1 inset", [(False, 0, 0, 0, 0, None)]), ("1 2 rgb(1,2", [(False, 1, 2, 0, 0, None)]), ("#fff,#000 1 2,", [(False, 0, 0, 0, 0, [255.0, 255.0, 255.0, 1.0]), (False, 1, 2, 0, 0, [0.0, 0.0, 0.0, 1.0]), (False, 0, 0, 0, 0, None)])):
         assert [tuple(s) for s in one(spark, color.parse_shadows(lit(given)))] == wanted
+
+
+def test_a_key_with_many_answers_has_one_timer(spark, tmp_path):
+    """Each answer had a timer, and each timer read all that waited for its key."""
+    handle, held, calls = SimpleNamespace(timers=set(), lists=[]), [], []
+    handle.registerTimer, handle.deleteTimer = lambda at: (calls.append(at), handle.timers.add(at)), lambda at: handle.timers.discard(at)
+    value = SimpleNamespace(exists=lambda: bool(held), get=lambda: held[-1], update=held.append)
+    waiting = SimpleNamespace(get=lambda: iter(handle.lists), appendList=lambda new: handle.lists.extend(new), put=lambda new: handle.lists.__setitem__(slice(None), new), clear=handle.lists.clear)
+    handle.getValueState, handle.getListState = lambda *_: value, lambda *_: waiting
+    state, at = requests.InTime(), lambda n: 1_000_000 * (n + 1)
+    state.init(handle)
+    now = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    lists = lambda ns, answer: Row(micros=[at(n) for n in ns], nth=list(ns), answer=[answer] * len(ns), value=["a" if n % 2 else "b" for n in ns], valid=[True] * len(ns))
+    list(state.handleInputRows((7,), iter([lists(range(5000, 9000), True), lists(range(5000), True), lists([5001], False)]), now(0)))
+    assert handle.timers == {1001} and len(handle.lists) == 3  # 9,000 answers, the first at 1 s
+    list(state.handleInputRows((7,), iter([lists(range(2), True)]), now(1500)))  # one that the watermark has passed, one with the time of another
+    assert handle.timers == {1001}
+    fired = SimpleNamespace(getExpiryTimeInMs=lambda: 1001)
+    found = [n for r in state.handleExpiredTimer((7,), now(6_000_500), fired) for n in r.nth]
+    assert sorted(found) == sorted([1, *range(1, 6000, 2)]) and len(calls) == 2 and 6_001_001 in handle.timers
+    assert sum(len(x[0]) for x in handle.lists) == 3000
+
+
+def test_states_of_rows_in_lists(spark, tmp_path, monkeypatch):
+    """Null and text keys, null numbers and values, and more rows of a key than a list or a packing holds, in two triggers."""
+    rows = [(f"k{n % 3}" if n % 4 else None, n if n % 7 else None, n, n % 3 == 0, [None, "a", "b"][n // 3 % 3], n % 5 != 0) for n in range(9000)]
+    table = spark.createDataFrame(rows, "k string, nth long, s long, answer boolean, value string, valid boolean").withColumn("at", F.timestamp_seconds("s"))
+    monkeypatch.setattr(requests, "LIST", 100)
+    monkeypatch.setattr(requests, "PACK_ROWS", 700)
+    for part in (F.col("s") < 5000, F.col("s") >= 5000):
+        table.where(part).write.mode("append").parquet(str(tmp_path / "in"))
+        states = requests.requests(streams.arriving(spark, str(tmp_path / "in"), table), "k", dt.timedelta(seconds=3))
+        found = streams.drained(states, str(tmp_path / "out"), str(tmp_path / "check"))
+    expected, held = [], {}
+    for k, nth, s, answer, of, fits in rows:
+        value, valid, finished, sent, wanted, known = held.get(k, (None, True, True, 0, None, False))
+        if not finished and s - sent > 3:
+            valid, finished = True, True
+        if answer and (finished or value != of):
+            expected.append((k, nth, s, "late", of, False))
+        elif answer:
+            valid, finished = fits, True
+            expected.append((k, nth, s, "answered", value, not valid))
+            if wanted != value:
+                value, valid, finished, sent = wanted, True, False, s
+                expected.append((k, nth, s, "sent", value, False))
+        elif not finished:
+            wanted, known = of, True
+            expected.append((k, nth, s, "waiting", of, False))
+        elif known and value == of:
+            wanted = value
+            expected.append((k, nth, s, "known", value, not valid))
+        else:
+            value, valid, finished, sent, wanted, known = of, True, False, s, of, True
+            expected.append((k, nth, s, "sent", value, False))
+        held[k] = (value, valid, finished, sent, wanted, known)
+    got = found.select("key", "nth", F.unix_seconds("at"), "outcome", "value", "in_error").collect()
+    assert Counter(map(tuple, got)) == Counter(expected)
