@@ -761,7 +761,7 @@ def request_states(spark, d):
     rows = read(spark, d, "events").select(
         "user_id", k.alias("nth"), F.col("ts").alias("at"), (k % 3 == 0).alias("answer"), F.expr("CAST(event_id div 3 % 2 AS STRING)").alias("value"), (k % 5 != 0).alias("valid")
     )
-    folder, ends = places.shared_folder(spark), read(spark, d, "events").agg(F.expr("percentile(unix_micros(CAST(ts AS TIMESTAMP)), array(0.33, 0.66))").alias("p")).first()["p"]
+    folder, ends = places.shared_folder(spark), read(spark, d, "events").agg(F.expr("percentile_approx(unix_micros(CAST(ts AS TIMESTAMP)), array(0.33, 0.66))").alias("p")).first()["p"]
     arrival, found = F.unix_micros(F.col("at").cast("timestamp")), None
     for part in (arrival <= ends[0], (arrival > ends[0]) & (arrival <= ends[1]), arrival > ends[1]):
         rows.where(part).write.mode("append").parquet(f"{folder}/in")
