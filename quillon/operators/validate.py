@@ -13,6 +13,8 @@ from quillon.sources.places import stored
 
 #: Attributes of a field that ask for a rule, and the attributes that stand in for them.
 ATTRIBUTES = {"pattern": (), "max": ("aria_valuemax",), "min": ("aria_valuemin",), "maxlength": (), "minlength": (), "maxchecked": (), "minchecked": ()}
+#: Names that a list of a start's names is bound to, about.
+BLOCK = 1 << 20
 
 
 def field_values(fields: DataFrame) -> DataFrame:
@@ -72,18 +74,29 @@ def closure(start: DataFrame, rules: DataFrame) -> DataFrame:
     rules (name, type, value): a shortcut's value lists the names it stands for, parted by commas; names are compared in lower case,
     a name that rules does not have leads to itself only. Each round follows the shortcuts of the pairs that the last one
     found, drops pairs that are known and ends where none is new, so cycles end; rounds are as many as the longest chain of
-    shortcuts. Each round is a table in the shared folder.
+    shortcuts. Names are numbers meanwhile, and what a start has reached are lists of them, parted into blocks of about BLOCK names, so
+    a list is bounded and what travels again in each round are lists. Each round is a table in the shared folder.
     """
     targets = F.transform(F.split("value", ","), lambda x: F.lower(F.trim(x)))
-    links = rules.where("type = 'shortcut' AND value IS NOT NULL").select(F.lower("name").alias("of"), F.explode(targets).alias("to"))
-    links = stored(links.distinct())
-    fresh = stored(start.where("name IS NOT NULL").select("name").distinct().select(F.col("name").alias("start"), F.lower("name").alias("name")))
+    named = rules.where("type = 'shortcut' AND value IS NOT NULL").select(F.lower("name").alias("of"), F.explode(targets).alias("to"))
+    named = stored(named.where("of IS NOT NULL").distinct())
+    starts = stored(start.where("name IS NOT NULL").select(F.col("name").alias("text")).distinct().select("text", F.monotonically_increasing_id().alias("start")))
+    names = named.select(F.explode(F.array("of", "to")).alias("name")).unionByName(starts.select(F.lower("text").alias("name"))).distinct()
+    names = stored(names.select("name", F.monotonically_increasing_id().alias("id")))
+    block = F.col("to") % (names.count() // BLOCK + 1)
+    links = named.join(names.select(F.col("name").alias("of"), F.col("id").alias("k")), "of").join(names.select(F.col("name").alias("to"), "id"), "to")
+    links = stored(links.select(F.col("k").alias("of"), F.col("id").alias("to")))
+    fresh = starts.join(names, F.lower("text") == F.col("name")).select("start", F.col("id").alias("to"))
+    fresh = stored(fresh.select("start", block.alias("block"), F.array("to").alias("names")))
     known = fresh
     while not fresh.isEmpty():
-        found = fresh.join(links, F.col("name") == F.col("of")).select("start", F.col("to").alias("name")).distinct()
-        fresh = stored(found.join(known, ["start", "name"], "left_anti"))
+        found = fresh.select("start", F.explode("names").alias("of")).join(links, "of").select("start", block.alias("block"), "to")
+        both = found.unionByName(known, allowMissingColumns=True).groupBy("start", "block")
+        new = both.agg(F.array_except(F.collect_set("to"), F.flatten(F.collect_list("names"))).alias("names"))
+        fresh = stored(new.where(F.size("names") > 0))
         known = known.unionByName(fresh)
-    return known
+    pairs = known.select("start", F.explode("names").alias("id")).join(names, "id").select("start", "name")
+    return pairs.join(starts, "start").select(F.col("text").alias("start"), "name")
 
 
 def closed_rules(name: str, registry: dict[str, Rule] | None = None) -> list[Rule]:

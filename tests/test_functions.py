@@ -614,3 +614,27 @@ def test_states_of_rows_in_lists(spark, tmp_path, monkeypatch):
         held[k] = (value, valid, finished, sent, wanted, known)
     got = found.select("key", "nth", F.unix_seconds("at"), "outcome", "value", "in_error").collect()
     assert Counter(map(tuple, got)) == Counter(expected)
+
+
+def test_closure_holds_lists_in_blocks(spark, monkeypatch):
+    """What a start has reached are lists of bounded blocks, not a row for each name, which all travelled again in each round."""
+    registry = {f"n{k}": {f"n{k * 7 % 90}", f"n{k // 2}", *(f"n{j}" for j in range(k, min(k + 12, 90)))} for k in range(90) if k % 5}
+    rules = spark.createDataFrame([(k.upper(), "shortcut", " , ".join(v)) for k, v in registry.items()] + [(None, "shortcut", "n1")], "name string, type string, value string")
+    start = spark.createDataFrame([("n3",), ("N3",), ("n88",), ("n5",), ("other",)], "name string")
+    expected = set()
+    for (name,) in start.collect():
+        todo = [name.lower()]
+        while todo:
+            if (name, k := todo.pop()) not in expected:
+                expected.add((name, k))
+                todo += registry.get(k, ())
+    tables, stored = [], validate.stored
+    monkeypatch.setattr(validate, "stored", lambda rows: tables.append(stored(rows)) or tables[-1])
+    for size in (1 << 20, 20):
+        monkeypatch.setattr(validate, "BLOCK", size, raising=False)
+        found = [tuple(r) for r in validate.closure(start, rules).collect()]
+        assert set(found) == expected and len(found) == len(expected)
+        if size > 20:
+            assert sum(t.count() for t in tables if "start" in t.columns) < len(expected) // 2
+        else:
+            assert max(r["n"] for t in tables[-3:-1] for r in t.select(F.size("names").alias("n")).collect()) <= 40
