@@ -8,12 +8,13 @@ stays or not. The first line of each kind stays. Lines without words stay.
    to all tasks, and all other words count as rarer. Any order gives the same result, and the bound makes the broadcast
    safe.
 2. Lines of equal token sets are one class, whose first line matters; this ends most repeats.
-3. Prefixes. A class lists its n - ceil(n * PERCENT / 100) + 1 rarest tokens. Entries are dealt by token, and a list is
-   sorted by n, so that the length filter leaves an entry a run of entries before it. Of those, the positional filter
-   (what can still be common before and behind) and a 128-bit parity map of all tokens (which differs in no more bits
-   than the sets differ in tokens) leave candidates. An entry is compared with LAGS entries before it, and the NEAREST
-   candidates by their maps become pairs; entries that are part of any other candidate, or whose run is longer, are
-   marked as open.
+3. Prefixes. A class lists its n - ceil(n * PERCENT / 100) + 1 rarest tokens. Entries are dealt by 36 bits of the token
+   (tokens that share them are one list, which adds candidates and loses none), and a list is sorted by n, so that the
+   length filter leaves an entry a run of entries before it. Of those, the positional filter (a pair is found on the list of its
+   first common token, so all that is common stands there or behind) and a parity map of all tokens (which differs in no
+   more bits than the sets differ in tokens; 64 bits of sets up to FOLDED, 128 of larger ones) leave candidates. An entry
+   is compared with LAGS entries before it, and the NEAREST candidates by their maps become pairs; entries that are part of
+   any other candidate, or whose run is longer, are marked as open.
 4. Verification. The token sets of the pairs are fetched by the position of their first line, and compared; of a pair that
    is similar the later class is removed.
 5. Open entries are taken up again only on lists where a class that is not removed yet has an earlier open one. Such a
@@ -49,6 +50,8 @@ MOST_FREQUENT = 1 << 18
 COUNTED, LINES, SEEN = 1 << 21, 4096, 150_000
 #: Entries of a list that each entry is compared with, and candidates of those that become pairs.
 LAGS, NEAREST = 96, 2
+#: Tokens up to which a parity map has 64 bits.
+FOLDED = 72
 #: Entries of a list that are one block of a job.
 BLOCK = 4096
 
@@ -149,8 +152,9 @@ def class_of(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def describe_lines(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row for each line with words: doc_id, mark (of the text), line, n (tokens), hi and lo (the class), prefix (rarest
-    tokens, or null where the task met the class before), even and odd (the parity map: how many tokens have each bit, modulo 2)."""
+    """One row for each line with words: doc_id, mark (of the text), line, hi and lo (the class), prefix (rarest
+    tokens as keys of lists, or null where the task met the class before), even and odd (the parity map: how many tokens have each bit,
+    modulo 2; of up to FOLDED tokens both halves are folded into even)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def described(doc: np.ndarray, mark: np.ndarray, line: np.ndarray, at: np.ndarray, words: np.ndarray, order: Frequencies, seen: set) -> pa.RecordBatch:
@@ -158,7 +162,9 @@ def describe_lines(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np
         hi, lo = class_of(token, starts)
         bit = mixed(token, 3) >> np.uint64(57)  # 0 to 127
         one = np.uint64(1) << (bit & np.uint64(63))
-        maps = [np.bitwise_xor.reduceat(np.where((bit >= 64) == half, one, np.uint64(0)), starts).view(np.int64) for half in (False, True)]
+        folded = np.bitwise_xor.reduceat(one, starts).view(np.int64)
+        odd = np.bitwise_xor.reduceat(np.where(bit >= 64, one, np.uint64(0)), starts).view(np.int64)
+        odd[n <= FOLDED] = 0
         keep = np.minimum(_prefix(n, percent), n)
         met = np.zeros(len(doc), bool)
         for k, key in enumerate(zip(hi.tolist(), lo.tolist(), strict=True)):
@@ -167,12 +173,13 @@ def describe_lines(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np
             elif len(seen) < SEEN:
                 seen.add(key)
         keep[met] = 0
-        listed = token[np.arange(len(token)) - starts[at] < keep[at]].view(np.int64)
+        own = np.arange(len(token)) - starts[at] < keep[at]
+        listed = (mixed(token[own], 4) >> np.uint64(N_BITS) << np.uint64(N_BITS)).view(np.int64) | n[at[own]]
         ends = pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32())
         lists = pa.ListArray.from_arrays(ends, pa.array(listed), mask=pa.array(met))
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(mark), pa.array(line, pa.int32()), pa.array(n, pa.int32()), pa.array(hi), pa.array(lo), lists, *map(pa.array, maps)],
-            ["doc_id", "mark", "line", "n", "hi", "lo", "prefix", "even", "odd"],
+            [pa.array(doc), pa.array(mark), pa.array(line, pa.int32()), pa.array(hi), pa.array(lo), lists, pa.array(folded ^ odd), pa.array(odd)],
+            ["doc_id", "mark", "line", "hi", "lo", "prefix", "even", "odd"],
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,25 +204,30 @@ def describe_lines(docs: DataFrame, percent: int, frequent: tuple[np.ndarray, np
                 done += len(texts)
 
     return docs.select(ranked().alias("doc_id"), "text", text_mark().alias("mark")).mapInArrow(
-        rows, "doc_id long, mark long, line int, n int, hi long, lo long, prefix array<long>, even long, odd long"
+        rows, "doc_id long, mark long, line int, hi long, lo long, prefix array<long>, even long, odd long"
     )
 
 
-#: Of an entry: n and its place in the prefix in one number.
-PLACE_BITS = 24
+#: Bits of n in the key of an entry, behind those of its token: one number to sort by.
+N_BITS = 28
+
+
+def list_entries(lines: DataFrame) -> DataFrame:
+    """key, node, at (the place in the prefix), even and odd of the entries, dealt by token and sorted by key."""
+    entries = lines.where("prefix is not null").select(F.posexplode("prefix").alias("at", "key"), F.col("hi").alias("node"), "even", "odd")
+    return entries.select("key", "node", "at", "even", "odd").repartition(F.shiftrightunsigned("key", N_BITS)).sortWithinPartitions("key")
 
 
 def list_pairs(entries: DataFrame, percent: int, lags: int, nearest: int) -> DataFrame:
-    """From entries (token, node, size, even, odd; sorted by token and size in each partition): pairs of nodes as a, b with
-    is_open false; open entries as a: node, b: token."""
+    """From list_entries(): pairs of nodes as a, b with is_open false; open entries as a: node, b: token."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [np.zeros(0, np.int64)] * 5
         was_open = np.zeros(0, bool)
         for batch in batches:
             new = [c.to_numpy().astype(np.int64) for c in batch.columns]
-            token, node, size, even, odd = (np.concatenate([t, c]) for t, c in zip(tail, new, strict=True))
-            n, at = size >> PLACE_BITS, size & ((1 << PLACE_BITS) - 1)
+            key, node, at, even, odd = (np.concatenate([t, c]) for t, c in zip(tail, new, strict=True))
+            token, n = key >> N_BITS, key & ((1 << N_BITS) - 1)
             fresh = len(token) - len(new[0])
             is_open = np.concatenate([was_open, np.zeros(len(new[0]), bool)])
             a, b, gap = [], [], []
@@ -229,12 +241,19 @@ def list_pairs(entries: DataFrame, percent: int, lags: int, nearest: int) -> Dat
                 if not len(i):
                     break
                 j = i - lag
-                overlap = -(-percent * (n[i] + n[j]) // (100 + percent))
-                apart = np.bitwise_count((even[i] ^ even[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((odd[i] ^ odd[j]).view(np.uint64))
-                ok = (node[i] != node[j]) & (np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap) & (apart <= n[i] + n[j] - 2 * overlap)
-                a.append(i[ok])
-                b.append(j[ok])
-                gap.append((apart[ok] + 1.0) / (n[i] + n[j])[ok])
+                both = n[i] + n[j]
+                overlap = -(-percent * both // (100 + percent))
+                ok = np.flatnonzero((node[i] != node[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= overlap))
+                p, q, both, most = i[ok], j[ok], both[ok], (both - 2 * overlap)[ok]
+                x, y = even[p] ^ even[q], odd[p] ^ odd[q]
+                uneven = (n[p] <= FOLDED) != (n[q] <= FOLDED)  # of these the larger set's map is folded too
+                x[uneven] ^= y[uneven]
+                y[uneven] = 0
+                apart = np.bitwise_count(x.view(np.uint64)).astype(np.int64) + np.bitwise_count(y.view(np.uint64))
+                ok = apart <= most
+                a.append(p[ok])
+                b.append(q[ok])
+                gap.append((apart[ok] + 1.0) / both[ok])
             if len(i):  # a run goes on: the entry, and all that are further back on its list
                 i = runs(i[i > lags], lags + 1)
                 is_open[i] = True
@@ -254,11 +273,11 @@ def list_pairs(entries: DataFrame, percent: int, lags: int, nearest: int) -> Dat
                 [pa.array(np.repeat([False, True], [len(a), len(old)])), pa.array(np.concatenate([node[a], node[old]])), pa.array(np.concatenate([node[b], token[old]]))],
                 ["is_open", "a", "b"],
             )
-            tail, was_open = [x[done:] for x in (token, node, size, even, odd)], is_open[done:]
+            tail, was_open = [x[done:] for x in (key, node, at, even, odd)], is_open[done:]
         old = np.flatnonzero(was_open)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(old), bool)), pa.array(tail[1][old]), pa.array(tail[0][old])], ["is_open", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(old), bool)), pa.array(tail[1][old]), pa.array(tail[0][old] >> N_BITS)], ["is_open", "a", "b"])
 
-    return entries.select("token", "node", "size", "even", "odd").mapInArrow(rows, "is_open boolean, a long, b long")
+    return entries.mapInArrow(rows, "is_open boolean, a long, b long")
 
 
 def fetch_tokens(docs: DataFrame, wanted: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -394,28 +413,28 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | No
     lines = scratch.keep(describe_lines(docs, percent, frequent), "lines")
     first = lines.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "mark", "line")).alias("first"), F.count("*").alias("lines"))
     classes = scratch.keep(first.select(F.col("hi").alias("node"), "lo", "first", "lines"), "classes")
-    size = F.shiftleft(F.col("n").cast("long"), PLACE_BITS) + F.col("at")
-    entries = lines.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), F.col("hi").alias("node"), "n", "even", "odd")
-    dealt = entries.select("token", "node", size.alias("size"), "even", "odd").repartition("token").sortWithinPartitions("token", "size", "node")
-    listed = scratch.keep(list_pairs(dealt, percent, lags, nearest), "listed")
+    listed = scratch.keep(list_pairs(list_entries(lines), percent, lags, nearest), "listed")
 
     pairs = scratch.keep(listed.where("not is_open").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = scratch.keep(classes.select("node", "first").join(nodes, "node"), "near-wanted")
+    open_ = scratch.keep(listed.where("is_open").select(F.col("a").alias("node"), F.col("b").alias("token")).distinct(), "open-entries")
+    # all other classes are read once more only where they repeat
+    near = pairs.select(F.explode(F.array("a", "b")).alias("node"), F.lit(True).alias("near"))
+    nodes = near.unionByName(open_.select("node", F.lit(False).alias("near"))).groupBy("node").agg(F.max("near").alias("near"))
+    met = scratch.keep(classes.join(nodes, "node"), "met")
+    wanted = met.where("near").select("node", "first")
     tokens = scratch.keep(fetch_tokens(docs, wanted, frequent), "near-tokens")
     ends = [wanted.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in ("a", "b")]
     placed = verified(pairs, tokens, percent).join(ends[0], "a").join(ends[1], "b")
     removed = scratch.keep(placed.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct(), "near-removed")
     scratch.drop("near-tokens")
-    open_ = listed.where("is_open").select(F.col("a").alias("node"), F.col("b").alias("token")).distinct()
-    if (jobs := open_jobs(open_, classes, removed, block, scratch)) is not None:
+    if (jobs := open_jobs(open_, met, removed, block, scratch)) is not None:
         jobs = scratch.keep(jobs, "jobs")
         wanted = scratch.keep(jobs.select("node", "first").distinct(), "open-wanted")
         tokens = scratch.keep(fetch_tokens(docs, wanted, frequent), "open-tokens")
         more = search_lists(jobs.join(tokens, "node"), percent)
         removed = scratch.keep(removed.unionByName(more).distinct(), "removed")
     # classes that lose lines: those that are removed, and the others that have more lines than their first
-    similar = classes.join(removed, "node", "left_semi").select("node", "lo", "first", F.lit(True).alias("similar"))
+    similar = met.join(removed, "node", "left_semi").select("node", "lo", "first", F.lit(True).alias("similar"))
     repeated = classes.where("lines > 1").join(removed, "node", "left_anti").select("node", "lo", "first", F.lit(False).alias("similar"))
     losing = scratch.keep(similar.unionByName(repeated), "losing")
     held = lines.select("doc_id", "mark", "line", F.col("hi").alias("node"), "lo").join(sent_if_small(losing), ["node", "lo"])

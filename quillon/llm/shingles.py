@@ -22,8 +22,10 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of a word up to which its hash is a polynomial.
 LONG = 128
 #: Bytes of texts that are handled at once (a longer text by itself).
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Running sums of a chunk, whose memory is used again: a worker gives the memory of large arrays back to the system at once.
+_SUMS = np.zeros(2 * CHUNK, np.uint64)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +54,16 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(data, np.uint8)
     if not len(b):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    inside = np.zeros(len(b) + 2, bool)
+    np.logical_not(_SPACE[b], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     up, down = _powers(len(b))
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_VALUES[b] * up, out=sums[1:])
+    sums = _SUMS[: len(b) + 1] if len(b) < len(_SUMS) else np.empty(len(b) + 1, np.uint64)
+    sums[0] = 0
+    np.take(_VALUES, b, out=sums[1:], mode="clip")
+    np.multiply(sums[1:], up, out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts])
     for k in np.flatnonzero(ends - starts > LONG).tolist():
         hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]])

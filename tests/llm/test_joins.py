@@ -325,6 +325,29 @@ def test_removed_lines_of_families_and_odd_rows(spark):
     assert line_dedup.removed_lines(docs_of(spark, [])).count() == 0
 
 
+def test_pairs_of_lines_are_found_at_the_first_common_token_and_short_sets_have_maps_of_64_bits(spark):
+    """Both have 40 tokens and need 36 in common, so the first of these is one of the first five; all nine of the prefix are common or but one."""
+    short = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(short)), (2, " ".join([*short[:-1], "other"])), (3, " ".join(f"v{k}" for k in range(90)))]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lines = line_dedup.describe_lines(docs_of(spark, rows).coalesce(1), 80, none).cache()
+    of = {r["doc_id"]: r for r in lines.collect()}
+    assert of[1]["odd"] == of[2]["odd"] == 0 != of[3]["odd"] and len({r["hi"] for r in of.values()}) == 3
+    assert {key & 0xFFFFFFF for key in of[1]["prefix"]} == {40} and len(of[1]["prefix"]) == 9
+    found = line_dedup.list_pairs(line_dedup.list_entries(lines), 80, 96, 2).collect()
+    assert 1 <= len(found) <= 5
+    assert all((r["is_open"], {r["a"], r["b"]}) == (False, {of[1]["hi"], of[2]["hi"]}) for r in found)
+
+
+def test_lines_about_the_length_at_which_maps_are_folded(spark):
+    long = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*long[: 50 + 5 * k], *(f"x{k}_{i}" for i in range(k % 4))])) for k in range(14)] + [(20 + k, " ".join(long[k : k + 71 + k % 3])) for k in range(30)]
+    want = brute_lines(rows, 80)
+    assert sum(len(gone) for _, gone in want) > 20
+    for parameters in ({}, {"lags": 2, "nearest": 1, "block": 3}):
+        assert {(r["doc_id"], tuple(r["removed"])) for r in line_dedup.removed_lines(docs_of(spark, rows), **parameters).collect()} == want
+
+
 def test_rows_that_repeat_an_id_lose_the_same_lines_in_any_order(spark):
     words = "a b c d e f g h i j"
     rows = [(1, words), (1, "z y x w v"), (2, words[:-1] + "k"), (2, words[:-1] + "k"), (3, "z y x w v\n" + words)]
