@@ -36,9 +36,9 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,9 @@ from quillon.llm.shared import ship, table
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 FAR = float("inf")
-#: Bytes of paths that a worker remembers; neighbours whose arcs, and pieces whose merges it remembers.
-MEMORY, ARCS, TRACES = 24 << 20, 200_000, 5_000
+#: Bytes of paths that a worker remembers; slots (as a power of two, of eight bytes each) for the arcs of neighbours, and
+#: pieces whose merges it remembers.
+MEMORY, ARCS, TRACES = 24 << 20, 20, 5_000
 #: Rows that are encoded together; characters whose paths are searched together; the least length of a segment that is cut.
 ROWS, TOGETHER, LONG = 256, 1 << 15, 48
 #: Numbers of the model format: kinds of models and of pieces.
@@ -216,6 +217,26 @@ class Numbers:
         return out
 
 
+class Lately:
+    """A yes or no for each of many numbers, by a function of one number; a number's answer stays in its slot until another number
+    takes the slot."""
+
+    def __init__(self, function: Callable[[int], bool], bits: int = ARCS) -> None:
+        self.function, self.shift = function, np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, -1)  # twice the number, and its answer
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+        held = self.slots[slot]
+        new = np.flatnonzero(held >> 1 != keys)
+        if len(new):
+            asked, first, of = np.unique(keys[new], return_index=True, return_inverse=True)
+            answers = 2 * asked + np.fromiter(map(self.function, asked.tolist()), np.int64, len(asked))
+            self.slots[slot[new[first]]] = answers
+            held[new] = answers[of]
+        return (held & 1).astype(bool)
+
+
 class Transducer:
     """The composed machines of a model."""
 
@@ -236,7 +257,7 @@ class Transducer:
         least = [-score for text, score, kind in pieces if kind == PLAIN]
         self.cost = np.array([*(-score for _, score, _ in pieces), max(least, default=0.0) + UNKNOWN_PENALTY])
         self.traces: dict[int, tuple] = {}
-        self.arcs: dict[int, bool] = {}
+        self.arcs = Lately(lambda key: self.arc(*divmod(key, self.other + 1)))
         self._compile_pieces()
         self._compile_cuts()
         self.paths = Recent(self.paths_of, MEMORY)
@@ -300,8 +321,6 @@ class Transducer:
     def arc(self, a: int, b: int) -> bool:
         """Whether the text of a and b merges to a and b: both are built side by side, in the order of their weights,
         and at no time the parts that meet make a piece that would be merged first."""
-        if len(self.arcs) > ARCS:
-            self.arcs.clear()
         apart, i, j = True, 0, 0
         if a != self.other and b != self.other:
             left, lasts, _, _ = self.trace(a)
@@ -321,16 +340,11 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-        self.arcs[a * (self.other + 1) + b] = apart
         return apart
 
     def follows(self, before: np.ndarray, pieces: np.ndarray) -> np.ndarray:
         """Which pieces may stand behind those before them."""
-        keys = (before * (self.other + 1) + pieces).tolist()
-        found = np.fromiter(map(self.arcs.get, keys, repeat(2)), np.int8, len(keys))
-        for k in np.flatnonzero(found == 2).tolist():
-            found[k] = self.arc(int(before[k]), int(pieces[k]))
-        return found > 0
+        return self.arcs.of(before * (self.other + 1) + pieces)
 
     def fallback(self, char: str) -> tuple[int, ...]:
         raw = char.encode("utf-8", "replace")

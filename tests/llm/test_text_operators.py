@@ -279,6 +279,18 @@ def machine():
     return pieces.Transducer(pieces.read_model())
 
 
+def test_answers_about_neighbours_stay_in_their_slots():
+    asked = []
+    table = pieces.Lately(lambda key: asked.append(key) or key % 3 == 0, bits=4)
+    keys = np.array([5, 9, 5, 0, 9, 123_456_789_012])
+    for _ in range(2):
+        assert table.of(keys).tolist() == [False, True, False, True, True, True]
+    assert sorted(asked[:4]) == [0, 5, 9, 123_456_789_012]
+    many = np.arange(1000)
+    assert table.of(many).tolist() == [k % 3 == 0 for k in range(1000)] == table.of(many).tolist() and len(table.slots) == 16
+    assert table.of(keys[:0]).tolist() == []
+
+
 def test_encoding_is_the_model_s_own(machine, texts):
     import sentencepiece
 
