@@ -32,8 +32,9 @@ class Recent:
                     continue
                 self._remember(key, value)
             found[key] = value
-        for key, value in zip(missing, self.function(missing), strict=True):
-            found[key] = value
+        values = self.function(missing)
+        found |= zip(missing, values, strict=True)
+        for key, value in zip(missing, values, strict=True):
             if len(key) <= self.longest:
                 self._remember(key, value)
         return found

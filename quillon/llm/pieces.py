@@ -53,9 +53,9 @@ MARK = "▁"
 FAR = float("inf")
 #: Bytes of paths that a worker remembers; slots (as a power of two, of eight bytes each) for the arcs of neighbours, and
 #: pieces whose merges it remembers.
-MEMORY, ARCS, TRACES = 24 << 20, 20, 5_000
+MEMORY, ARCS, TRACES = 24 << 20, 21, 5_000
 #: Rows that are encoded together; characters whose paths are searched together; the least length of a segment that is cut.
-ROWS, TOGETHER, LONG = 256, 1 << 15, 48
+ROWS, TOGETHER, LONG = 256, 1 << 14, 48
 #: Numbers of the model format: kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
 PLAIN, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
@@ -421,7 +421,7 @@ class Transducer:
     def paths_of(self, segments: list[str]) -> list[bytes]:
         """The shortest path of each segment; long ones are cut first."""
         parts = {s: self.cut(s) for s in segments if len(s) > LONG}
-        todo = list({*(s for s in segments if s not in parts), *chain(*parts.values())})
+        todo = list({*(s for s in segments if s not in parts), *chain(*parts.values())}) if parts else segments
         found: dict[str, bytes] = {}
         at = size = 0
         for k, s in enumerate(todo):
