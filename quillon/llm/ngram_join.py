@@ -8,15 +8,18 @@ of n shingles then occurs on at least T = ceil(n * percent / 100) of the set's n
    order gives the same links, a good one gives few candidates. Its bound is what makes its broadcast safe.
 2. Candidates. Of a set's lists the longest are set aside, so that two linked sets share at least c of the others, with c
    about (1 - percent / 100) * n; a shared passage is not enough then. Entries of these short lists are dealt by shingle,
-   pairs on a list are counted, and those that reach c are candidates. On a list of more than NEAR + 1 entries each
-   entry is paired with the NEAR before it, and all its entries are candidates of the next one; so a list makes rows in
-   proportion to its entries, however long it is. Components of candidates are groups: all links lie within them.
+   pairs on a list are counted, and those that reach c are candidates. On a list of more than NEAR + 1 entries no pair
+   is made, so a list makes rows in proportion to its entries, however long it is. Two sets share at most as many such
+   lists as each of them is on, so c is less by that for them. What that leaves are pairs which share long lists only, c
+   of them: both have c long lists then, and of these one in common that is not among the c - 1 longest of either. So only
+   sets with that many are joined, each with the first one of such a list. Components of candidates are groups: all links
+   lie within them.
 3. Search. The sets of candidate groups are gathered by group, in blocks of at most BLOCK shingles, and each block is
    searched with DivideSkip: lists of the block are sorted by length, the long ones set aside, the short ones merged and
    counted, and sets that reach the remaining need are probed on the long lists by binary search. Sets of a block that
    already are connected are not compared again.
-4. Large groups. A group of several blocks goes on in rounds: a block of its unsettled sets is compared with all its
-   blocks. A set is settled when it was compared with all others, or is in the group's largest component, whose pairs
+4. Large groups. A group of several blocks goes on in rounds: a block of its unsettled sets is compared with what is not
+   settled by comparison in its blocks. A set is settled when it was compared with all others, or is in the group's largest component, whose pairs
    need no comparison. So a group of near copies needs one or two rounds, whatever its size, and no link is lost.
 
 Exact copies of a set are one member throughout. Output is one row for each document.
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
@@ -141,41 +144,79 @@ def describe_sets(docs: DataFrame, words: int, percent: int, frequent: tuple[np.
     )
 
 
-def candidates(sets: DataFrame, percent: int, near: int = NEAR) -> DataFrame:
-    """a, b: sets that share enough of their short lists, and neighbours on lists too long to count pairs on."""
+def shared_lists(sets: DataFrame, percent: int, near: int = NEAR) -> DataFrame:
+    """a, b, long, n, c. Of lists of up to near + 1 entries: sets a and b are on n of them together, and c is what two such
+    sets share at least. Of longer ones (long is true): set a is on list b, and c is what a set shares with its least
+    partner."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        tail = [np.zeros(0, np.int64)] * 3
-        for batch in batches:
-            new = [c.to_numpy().astype(np.int64) for c in batch.columns]
-            token, node, n = (np.concatenate([t, c]) for t, c in zip(tail, new, strict=True))
-            fresh = len(token) - len(new[0])
-            found = []
+
+        def found(token: np.ndarray, node: np.ndarray, n: np.ndarray, is_long: np.ndarray) -> pa.RecordBatch:
+            least = shared_need(need(n[is_long], percent), percent)
+            parts = [(node[is_long], token[is_long], np.ones(len(least), bool), least)]
+            token, node, n = token[~is_long], node[~is_long], n[~is_long]
             for lag in range(1, near + 1):
-                i = np.arange(max(fresh, lag), len(token))
+                i = np.arange(lag, len(token))
                 i = i[token[i] == token[i - lag]]
                 if not len(i):
                     break
                 j = i - lag
-                ok = (node[i] != node[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
                 i, j = i[ok], j[ok]
-                found.append((node[i], node[j], shared_need(np.minimum(n[i], n[j]), percent)))
-            i = np.arange(max(fresh, near + 1), len(token))
-            i = i[token[i] == token[i - near - 1]]
-            if len(i):  # the list is longer: each entry with the one before it, the first such entry with all before it
-                first = i[(i == near + 1) | (token[np.maximum(i - near - 2, 0)] != token[i])]
-                for now, before in [(i, i - 1), *[(first, first - k) for k in range(2, near + 2)]]:
-                    found.append((node[now], node[before], np.zeros(len(now), np.int64)))
-            a, b, c = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], ["a", "b", "c"])
-            tail = [x[-(near + 2) :] for x in (token, node, n)]
+                parts.append((node[j], node[i], np.zeros(len(i), bool), shared_need(np.minimum(n[i], n[j]), percent)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], ["a", "b", "long", "c"])
+
+        held, last, of_long = [np.zeros(0, np.int64)] * 3, None, None
+        for batch in batches:
+            columns = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
+            fresh = np.ones(len(columns[0]), bool)  # copies of a set that several tasks met are one entry
+            fresh[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+            if len(fresh) and (columns[0][0], columns[1][0]) == last:
+                fresh[0] = False
+            token, node, n = (c[fresh] for c in columns)
+            if not len(token):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sizes = np.diff(np.append(first, len(token)))
+            long = (sizes > near + 1) | (token[first] == of_long if of_long is not None else False)
+            ends = len(token) if long[-1] else int(first[-1])  # what is not known to be long waits for the rest of its list
+            held = [x[ends:] for x in (token, node, n)]
+            if ends:
+                last, of_long = (token[ends - 1], node[ends - 1]), token[-1] if long[-1] else None
+                yield found(token[:ends], node[:ends], n[:ends], np.repeat(long, sizes)[:ends])
+        if len(held[0]):
+            yield found(*held, np.zeros(len(held[0]), bool))
 
     entries = sets.select(F.explode("prefix").alias("shingle"), "node", F.col("n_shingles").alias("n"))
     dealt = entries.repartition("shingle").sortWithinPartitions("shingle", "node")
-    pairs = dealt.mapInArrow(rows, "a long, b long, c long")
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("c"))
-    return counted.where("a <> b and (least = 0 or n >= c)").select("a", "b")
+    met = dealt.mapInArrow(rows, "a long, b long, long boolean, c long")
+    return met.groupBy("a", "b", "long").agg(F.count("*").alias("n"), F.max("c").alias("c"))
+
+
+def candidates(sets: DataFrame, percent: int, scratch: Scratch, near: int = NEAR) -> DataFrame:
+    """a, b: sets that share enough of their short lists, and sets that one of their long lists joins."""
+    shared = scratch.keep(shared_lists(sets, percent, near), "shared")
+    on_long = shared.where("long").select(F.col("a").alias("node"), F.col("b").alias("shingle"), "c")
+    pairs = shared.where("not long").select("a", "b", "n", "c")
+    lists = on_long.groupBy("shingle").agg(F.count("*").alias("length"))
+    counts = scratch.keep(on_long.groupBy("node").agg(F.count("*").alias("lists"), F.max("c").alias("c")), "on-long-lists")
+    # two sets may share as many long lists as each of them is on, so much less is enough of the short ones
+    few = sent_if_small(counts.select("node", "lists"))
+    less = (
+        pairs.where("n < c")
+        .join(few.select(F.col("node").alias("a"), F.col("lists").alias("lists_a")), "a")
+        .join(few.select(F.col("node").alias("b"), F.col("lists").alias("lists_b")), "b")
+        .where("n >= c - least(lists_a, lists_b)")
+    )
+    # only what long lists alone can bring up to the need is joined by them, and by no more than the shortest of them that
+    # hold one in common with any partner
+    most = sent_if_small(counts.where("lists >= c").select("node", "lists"))
+    ranked = on_long.join(most, "node").join(lists, "shingle").withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("length", "shingle")))
+    held = scratch.keep(ranked.where("k <= lists - c + 1").select("node", "shingle"), "held-lists")
+    first = held.groupBy("shingle").agg(F.min("node").alias("first"))
+    joined = held.join(first, "shingle").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return pairs.where("n >= c").select("a", "b").unionByName(less.select("a", "b")).unionByName(joined)
 
 
 class Groups:
@@ -195,7 +236,7 @@ class Groups:
 
 
 def divide_skip(sets: list[np.ndarray], percent: int, queries: np.ndarray | None = None) -> Groups:
-    """Connect positions of linked sets; with queries (a mask), only pairs with a query in them are looked at."""
+    """Connect positions of linked sets; with queries (a mask), only pairs of a query and another set are looked at."""
     groups = Groups(len(sets))
     n = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets), dtype=np.int32), n)
@@ -224,6 +265,8 @@ def divide_skip(sets: list[np.ndarray], percent: int, queries: np.ndarray | None
         counts[q] = 0
         if queries is None:
             counts[q:] = 0  # pairs with later sets are theirs to find
+        else:
+            counts[queries] = 0
         hits = np.flatnonzero((counts >= max(1, t - aside)) & (100 * np.minimum(n, n[q]) >= percent * np.maximum(n, n[q])))
         probes = np.sort(long)
         for c in hits.tolist():
@@ -240,7 +283,7 @@ def divide_skip(sets: list[np.ndarray], percent: int, queries: np.ndarray | None
 def search(gathered: DataFrame, percent: int) -> DataFrame:
     """a, b: links that connect the sets of each job (columns job, part, query, id, shingles; rows of a job together).
 
-    Where a job has queries (query is true), pairs of others are not looked at.
+    Where a job has queries (query is true), only pairs of a query and another set are looked at.
     """
 
     def solved(rows: list[tuple[int, bool, bytes]]) -> Iterator[tuple[int, int]]:
@@ -322,8 +365,10 @@ def _rounds(hot: DataFrame, links: DataFrame, percent: int, scratch: Scratch, bl
         if asked.isEmpty():
             continue
         parts = hot.select("job", "part").distinct()
-        questions = hot.join(asked.select("id"), "id", "left_semi").select("job", "id", "shingles", F.lit(True).alias("query")).join(parts, "job")
-        rest = hot.join(asked.select("job").distinct(), "job", "left_semi").join(asked.select("id"), "id", "left_anti")
+        # pairs of one part and those of sets that are done were looked at before
+        questions = hot.join(asked.select("id"), "id", "left_semi").select("job", F.col("part").alias("own"), "id", "shingles", F.lit(True).alias("query"))
+        questions = questions.join(parts, "job").where("own <> part").drop("own")
+        rest = hot.join(asked.select("job").distinct(), "job", "left_semi").join(done, "id", "left_anti")
         gathered = questions.unionByName(rest.select("job", "part", "id", "shingles", F.lit(False).alias("query")))
         found = scratch.keep(search(gathered, percent), f"found-{r}")
         links = scratch.keep(links.unionByName(found).distinct(), f"linked-{r}")
@@ -334,7 +379,7 @@ def labelled(docs: DataFrame, words: int, percent: int, scratch: Scratch, block:
     """doc_id, mark (of the text), n_shingles and component_id of every row."""
     ship(docs.sparkSession)
     sets = scratch.keep(describe_sets(docs, words, percent, frequent_shingles(docs, words, scratch)), "sets")
-    groups = connected_components(candidates(sets.where("prefix is not null"), percent), scratch, "candidates")
+    groups = connected_components(candidates(sets.where("prefix is not null"), percent, scratch), scratch, "candidates")
     groups = groups.select(F.col("id").alias("node"), F.col("component").alias("job"))
     firsts = sets.where("n_shingles > 0").groupBy("sig", "node", "n_shingles").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("doc_id").isNull(), F.col("mark"))).alias("mark"))
     firsts = scratch.keep(firsts, "firsts")

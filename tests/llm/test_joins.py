@@ -290,6 +290,67 @@ def test_no_text_is_lost_with_near_copies(spark):
         assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
 
 
+def no_frequent(*_):
+    """As on a corpus with far more long lists than are known to the tasks."""
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def test_texts_with_a_common_passage_are_no_candidates_though_its_lists_are_not_known(spark, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(12))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)) + f" {passage} " + " ".join(f"w{i}y{k}" for k in range(30))) for i in range(90)]
+    rows += [(200, rows[5][1] + " z"), (201, passage), (202, passage + " z")]
+    groups = []
+
+    def components_of(pairs, scratch, name):
+        found = components.connected_components(pairs, scratch, name)
+        if name == "candidates":
+            groups.extend(r["n"] for r in found.groupBy("component").agg(F.count("*").alias("n")).collect())
+        return found
+
+    monkeypatch.setattr(ngram_join, "connected_components", components_of)
+    monkeypatch.setattr(ngram_join, "frequent_shingles", no_frequent)
+    got = {tuple(r) for r in ngram_join.near_groups(docs_of(spark, rows)).collect()}
+    assert got == brute_groups(rows, 4, 85) and {r[0]: r[2] for r in got}[200] == 5
+    assert sorted(groups) == [2, 2]
+
+
+def mixed_families(seed):
+    """Families, texts of passages in any order, short texts of few words, and texts of their own."""
+    rng = np.random.default_rng(seed)
+    passages = [" ".join(f"p{j}w{k}" for k in range(int(rng.integers(3, 30)))) for j in range(4)]
+    texts = [*variants(50, 40, seed), *variants(45, 18, seed + 1), *variants(8, 200, seed + 2)]
+    texts += [" ".join(passages[j] for j in rng.permutation(4)[: rng.integers(1, 5)]) + f" own{i % 37}" * int(rng.integers(0, 3)) for i in range(80)]
+    texts += [" ".join(f"s{j}" for j in rng.integers(0, 3, int(rng.integers(1, 12)))) for i in range(80)]
+    texts += [" ".join(f"t{i}w{k}" for k in range(30)) + " " + passages[i % 4] for i in range(40)]
+    rows = list(enumerate(texts))
+    return rows + [(1000 + i, t) for i, t in rows[::3]] + [(2000 + i, t.upper()) for i, t in rows[::5]]
+
+
+@pytest.mark.parametrize(("near", "percent"), [(1, 85), (3, 80), (32, 85), (32, 80)])
+def test_links_lie_within_groups_of_candidates(spark, near, percent):
+    """Whatever number of entries makes a list long, also where many tasks met copies of a set."""
+    rows = mixed_families(near + percent)
+    scratch = Scratch(spark)
+    sets = scratch.keep(ngram_join.describe_sets(docs_of(spark, rows).repartition(6), 4, percent, no_frequent()), "sets")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = components.connected_components(ngram_join.candidates(sets.where("prefix is not null"), percent, scratch, near), scratch, "candidates").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    group, node = {r["id"]: r["component"] for r in found}, {r["doc_id"]: r["node"] for r in sets.collect()}
+    for i, n, least in brute_groups(rows, 4, percent):
+        assert not n or group.get(node[i], node[i]) == group.get(node[least], node[least])
+
+
+@pytest.mark.parametrize("block", [2500, ngram_join.BLOCK])
+def test_near_groups_of_mixed_families(spark, monkeypatch, block):
+    rows = mixed_families(block % 7)
+    want = brute_groups(rows, 4, 85)
+    assert {tuple(r) for r in ngram_join.near_groups(docs_of(spark, rows).repartition(5), block=block).collect()} == want
+    monkeypatch.setattr(ngram_join, "frequent_shingles", no_frequent)
+    assert {tuple(r) for r in ngram_join.near_groups(docs_of(spark, rows).repartition(5), block=block).collect()} == want
+
+
 # --- lines
 
 
