@@ -351,6 +351,29 @@ def test_near_groups_of_mixed_families(spark, monkeypatch, block):
     assert {tuple(r) for r in ngram_join.near_groups(docs_of(spark, rows).repartition(5), block=block).collect()} == want
 
 
+def test_near_copies_of_the_pipeline_have_no_group_of_a_common_passage(spark, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(14))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)) + f" {passage} " + " ".join(f"w{i}y{k}" for k in range(30))) for i in range(60)]
+    rows += [(100, rows[7][1] + " z"), (101, "q " + rows[8][1])]
+    sizes = []
+
+    def components_of(pairs, scratch, name):
+        found = components.connected_components(pairs, scratch, name)
+        sizes.extend(r["count"] for r in found.groupBy("component").count().collect() if name == "candidates")
+        return found
+
+    monkeypatch.setattr(ngram_join, "connected_components", components_of)
+    monkeypatch.setattr(ngram_join, "frequent_shingles", no_frequent)
+    assert sorted(r["doc_id"] for r in ngram_join.drop_near_copies(docs_of(spark, rows)).collect()) == list(range(60))
+    assert sizes == [2, 2]
+
+
+def test_queries_of_a_block_are_compared_with_other_sets_only():
+    a, b = np.arange(100, dtype=np.uint64), np.arange(1000, 1100, dtype=np.uint64)
+    groups = ngram_join.divide_skip([a, a[:99], b, b[:98], b[:97]], 85, np.array([True, True, True, False, False]))
+    assert [groups.root(k) for k in range(5)] == [0, 1, 2, 2, 2]
+
+
 # --- lines
 
 
